@@ -18,7 +18,9 @@ from vitrina.operators.usage import with_budget
 
 
 def page_features(
-    pages: DataFrame, signatures: Sequence[tuple[str, str]] = defaults.PLATFORM_SIGNATURES
+    pages: DataFrame,
+    signatures: Sequence[tuple[str, str]] = defaults.PLATFORM_SIGNATURES,
+    cart_words: Sequence[str] = defaults.CART_WORDS,
 ) -> DataFrame:
     """url, plataforma, email, perfil of every page that was answered.
 
@@ -30,7 +32,7 @@ def page_features(
     lowered = pages.where(F.col("html").isNotNull()).withColumn("_low", F.lower("html"))
     return lowered.select(
         "url",
-        platform(F.col("html"), F.col("_low"), signatures).alias("plataforma"),
+        platform(F.col("html"), F.col("_low"), signatures, cart_words).alias("plataforma"),
         first_email(F.col("html")).alias("email"),
         first_handle(F.col("html")).alias("perfil"),
     )
