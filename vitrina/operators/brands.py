@@ -48,10 +48,9 @@ def count_by_brand(df: DataFrame) -> DataFrame:
 
 def with_store_count(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Add num_tiendas: the brand's rows in ``counts`` (default: in df), at least 1."""
-    own = counts is None
-    counts = count_by_brand(df) if own else counts
-    weights = counts.withColumnRenamed("num_tiendas", "_rows") if own else None
-    joined = attach(df, counts, "brand_key", weights)
+    counts = count_by_brand(df) if counts is None else counts
+    # Where a brand has many shops it has many rows to look up.
+    joined = attach(df, counts, "brand_key", counts.withColumnRenamed("num_tiendas", "_rows"))
     return joined.withColumn("num_tiendas", F.coalesce("num_tiendas", F.lit(1)))
 
 

@@ -13,6 +13,7 @@ from vitrina.functions.page import (
 )
 from vitrina.functions.text import strip, text, with_scheme, word_text
 from vitrina.operators.dedup import first_per_key
+from vitrina.operators.durable import keep
 from vitrina.operators.lookups import attach
 from vitrina.operators.usage import with_budget
 
@@ -43,18 +44,24 @@ def one_per_url(features: DataFrame) -> DataFrame:
     return first_per_key(features, "url", "plataforma", "email", "perfil")
 
 
-def with_page(listings: DataFrame, features: DataFrame) -> DataFrame:
+def page_address(web: Column) -> Column:
+    """The address a listing's page is saved under; null for none or a social profile."""
+    address = with_scheme(strip(text(web)))
+    return F.when((address != "") & ~is_social(address), address)
+
+
+def with_page(
+    listings: DataFrame, features: DataFrame, counts: DataFrame | None = None
+) -> DataFrame:
     """Add es_tienda, tecnologia, email, email_source, page_error and perfil.
 
     The page belongs to the listing's web address after the scheme is added;
-    social profiles are not looked at. ``features`` has one row per url.
+    social profiles are not looked at. ``features`` has one row per url;
+    ``counts`` (url, _rows) saves counting the listings per page.
     """
-    web = with_scheme(strip(text(F.col("web"))))
-    asked = listings.withColumn("_web", web).withColumn(
-        "url", F.when((F.col("_web") != "") & ~is_social(F.col("_web")), F.col("_web"))
-    )
+    asked = listings.withColumn("url", page_address(F.col("web")))
     read = features.withColumn("_read", F.lit(True)).withColumnRenamed("email", "_email")
-    joined = attach(asked, read, "url")
+    joined = attach(asked, read, "url", counts)
     shop = F.when(F.col("_read"), F.when(F.col("plataforma").isNotNull(), "Sí").otherwise("No"))
     return joined.withColumns(
         {
@@ -91,14 +98,16 @@ def resolve_handles(
     search_state is page, cache, paid, repeat or refused; a repeat reads what an
     earlier row of the run has paid for.
     """
-    keyed = listings.withColumn("key", search_key(F.col("nombre"), F.col("municipio_origen")))
+    keyed = listings.where(F.col("perfil").isNull()).select(
+        seq,
+        search_key(F.col("nombre"), F.col("municipio_origen")).alias("key"),
+        "nombre",
+        "municipio_origen",
+    )
     hits = latest_lookup(cache).select("key", F.col("url").alias("_cached"))
-    looked = attach(keyed, hits, "key")
-    open_rows = F.col("perfil").isNull() & F.col("_cached").isNull()
+    looked = keep(attach(keyed, hits, "key"), "looked")
 
-    asked = attach(
-        looked.where(open_rows).select(seq, "key", "nombre", "municipio_origen"), searches, "key"
-    ).select(
+    asked = attach(looked.where(F.col("_cached").isNull()), searches, "key").select(
         seq,
         "key",
         best_profile(F.col("items"), F.col("nombre"), F.col("municipio_origen")).alias("_found"),
@@ -106,21 +115,23 @@ def resolve_handles(
         .otherwise(F.coalesce("cost", F.lit(0.0)))
         .alias("cost"),
     )
-    spent = with_budget(asked, [], [seq], max_usd, key="key").select(seq, "_found", "search_state")
-    joined = looked.join(spent, seq, "left")
-    url = (
-        F.when(F.col("perfil").isNotNull(), F.col("perfil"))
-        .when(F.col("_cached").isNotNull(), F.col("_cached"))
-        .when(F.col("search_state").isin("paid", "repeat"), profile_link(F.col("_found")))
+    spent = with_budget(asked, [], [seq], max_usd, key="key")
+    answered = looked.where(F.col("_cached").isNotNull()).select(
+        seq, F.col("_cached").alias("_url"), F.lit("cache").alias("search_state")
+    ).unionByName(
+        spent.select(
+            seq,
+            F.when(F.col("search_state") != "refused", profile_link(F.col("_found"))).alias("_url"),
+            "search_state",
+        )
     )
-    shown = joined.withColumn("instagram", F.coalesce(url, F.lit("")))
-    return shown.withColumns(
+    joined = listings.join(answered, seq, "left")
+    return joined.withColumns(
         {
+            "instagram": F.coalesce("perfil", "_url", F.lit("")),
             "instagram_fuente": F.when(F.col("perfil").isNotNull(), "web")
-            .when(F.col("instagram") != "", "dataforseo")
+            .when(F.coalesce("_url", F.lit("")) != "", "dataforseo")
             .otherwise("-"),
-            "search_state": F.when(F.col("perfil").isNotNull(), "page")
-            .when(F.col("_cached").isNotNull(), "cache")
-            .otherwise(F.col("search_state")),
+            "search_state": F.coalesce("search_state", F.lit("page")),
         }
-    ).drop("key", "_cached", "_found")
+    ).drop("_url")

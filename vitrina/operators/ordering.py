@@ -43,14 +43,27 @@ def running(
     ``sums`` and ``lasts`` map new column names to input columns. With
     ``strictly_before`` a row's own value is left out.
     """
+    placed = with_order(df, *group, *order, name="_seq")
+    return running_over(placed, group, "_seq", sums, lasts, strictly_before).drop("_seq")
+
+
+def running_over(
+    placed: DataFrame,
+    group: Sequence[str],
+    seq: str,
+    sums: dict[str, str] | None = None,
+    lasts: dict[str, str] | None = None,
+    strictly_before: bool = False,
+) -> DataFrame:
+    """The same over rows that ``with_order`` has placed by group and order."""
     sums, lasts = sums or {}, lasts or {}
     group = list(group)
-    placed = with_order(df, *group, *order, name="_seq").withColumn("_chunk", _chunk())
+    placed = placed.withColumn("_chunk", F.shiftright(F.col(seq), _CHUNK_BITS).cast("int"))
     parts = [*group, "_chunk"]
 
     totals = placed.groupBy(*parts).agg(
         *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()],
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(f"_t_{n}")
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_t_{n}")
           for n, c in lasts.items()],
     )
     # One row per group and chunk; a group has at most as many rows as chunks.
@@ -69,21 +82,23 @@ def running(
         .where("_before > 0")
         .drop("_before")
     )
-    inside = Window.partitionBy(*parts).orderBy("_seq").rowsBetween(
+    inside = Window.partitionBy(*parts).orderBy(seq).rowsBetween(
         Window.unboundedPreceding, -1 if strictly_before else 0
     )
     same_part = F.lit(True)
     for c in parts:
         same_part = same_part & F.col(c).eqNullSafe(F.col(f"_p_{c}"))
-    local = placed.join(offsets, same_part, "left").drop(*[f"_p_{c}" for c in parts])
-    for n, c in sums.items():
-        here = F.coalesce(F.sum(c).over(inside), F.lit(0))
-        local = local.withColumn(n, here + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
-    for n, c in lasts.items():
-        local = local.withColumn(
-            n, F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_o_{n}"))
-        )
-    return local.drop("_seq", "_chunk", *[f"_o_{n}" for n in (*sums, *lasts)])
+    joined = placed.join(offsets, same_part, "left")
+    added = {
+        n: F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))
+        for n, c in sums.items()
+    } | {
+        n: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_o_{n}"))
+        for n, c in lasts.items()
+    }
+    return joined.withColumns(added).drop(
+        "_chunk", *[f"_p_{c}" for c in parts], *[f"_o_{n}" for n in added]
+    )
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str) -> DataFrame:

@@ -15,11 +15,19 @@ def name_key(name: Column) -> Column:
     return F.nullif(F.lower(strip(text(name))), F.lit(""))
 
 
-def town_population(listings: DataFrame, towns: DataFrame, town: str = "municipio_origen") -> DataFrame:
-    """Add poblacion: of the first town of that name in ``pos`` order, else 0."""
+def town_population(
+    listings: DataFrame,
+    towns: DataFrame,
+    town: str = "municipio_origen",
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """Add poblacion: of the first town of that name in ``pos`` order, else 0.
+
+    ``counts`` (_town, _rows) saves counting the listings per town.
+    """
     first = first_per_key(towns.withColumn("_town", name_key(F.col("name"))), "_town", "pos")
     known = first.select("_town", F.col("population").alias("poblacion"))
-    joined = attach(listings.withColumn("_town", name_key(F.col(town))), known, "_town")
+    joined = attach(listings.withColumn("_town", name_key(F.col(town))), known, "_town", counts)
     return joined.withColumn("poblacion", F.coalesce("poblacion", F.lit(0))).drop("_town")
 
 

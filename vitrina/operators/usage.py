@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina import defaults
 from vitrina.operators.lookups import attach
-from vitrina.operators.ordering import running
+from vitrina.operators.ordering import running, running_over, with_order
 
 
 def _price(tier: str, pricing: dict) -> tuple[int, float]:
@@ -95,42 +95,40 @@ def with_budget(
     nothing and is not refused.
     """
     run, order = list(run), list(order)
-    placed = df.withColumn("_at", F.struct(*order))
+    placed = with_order(df, *run, *order, name="_seq")
     if key is None:
-        placed = placed.withColumn("_repeat", F.lit(False))
+        placed = placed.withColumns({"_repeat": F.lit(False), "_paid_at": F.lit(None).cast("long")})
     else:
         first_paid = (
-            placed.where(F.col(cost) > 0).groupBy(*run, key).agg(F.min("_at").alias("_paid_at"))
+            placed.where(F.col(cost) > 0).groupBy(*run, key).agg(F.min("_seq").alias("_paid_at"))
         )
-        placed = attach(placed, first_paid, [*run, key])
-        placed = placed.withColumn(
-            "_repeat", F.coalesce(F.col("_at") > F.col("_paid_at"), F.lit(False))
+        placed = attach(placed, first_paid, [*run, key]).withColumn(
+            "_repeat", F.coalesce(F.col("_seq") > F.col("_paid_at"), F.lit(False))
         )
     charged = placed.withColumn(
         "_charge", F.when(F.col("_repeat"), F.lit(0.0)).otherwise(F.col(cost))
     ).withColumn("_real", F.when(F.col("_charge") > 0, F.col("_charge")))
 
-    state = running(
-        charged, run, order, {"_spent": "_charge"}, {"_last": "_real"}, strictly_before=True
+    state = running_over(
+        charged, run, "_seq", {"_spent": "_charge"}, {"_last": "_real"}, strictly_before=True
     )
     next_cost = F.coalesce("_last", F.lit(defaults.FIRST_SEARCH_COST))
     fits = F.col("_spent") + next_cost <= F.lit(max(0.0, max_usd) + defaults.BUDGET_SLACK)
     stopped = state.where(~fits & ~F.col("_repeat"))
     if run:
-        first_stop = stopped.groupBy(*run).agg(F.min("_at").alias("_stop"))
-        limited = attach(state, first_stop, run)
+        first_stop = stopped.groupBy(*run).agg(F.min("_seq").alias("_stop"))
+        limited = attach(placed, first_stop, run)
     else:
-        limited = state.withColumn("_stop", stopped.agg(F.min("_at")).scalar())
+        limited = placed.withColumn("_stop", stopped.agg(F.min("_seq")).scalar())
 
-    before_stop = F.col("_stop").isNull() | (F.col("_at") < F.col("_stop"))
-    if key is None:
-        known = F.lit(False)
-    else:
-        known = F.col("_repeat") & (F.col("_stop").isNull() | (F.col("_paid_at") < F.col("_stop")))
+    before_stop = F.col("_stop").isNull() | (F.col("_seq") < F.col("_stop"))
+    known = F.col("_repeat") & (
+        F.col("_stop").isNull() | F.coalesce(F.col("_paid_at") < F.col("_stop"), F.lit(False))
+    )
     return limited.withColumn(
         "search_state",
         F.when(known, "repeat").when(before_stop, "paid").otherwise("refused"),
-    ).drop("_at", "_paid_at", "_repeat", "_charge", "_real", "_spent", "_last", "_stop")
+    ).drop("_seq", "_paid_at", "_repeat", "_stop")
 
 
 def budget_report(

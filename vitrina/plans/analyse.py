@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, functions as F
 from vitrina import defaults
 from vitrina.functions.geo import coordinates
 from vitrina.functions.rules import maturity
-from vitrina.operators.brands import names_brand, with_brand_key, with_store_count
-from vitrina.operators.contact import resolve_handles, with_page
+from vitrina.functions.text import strip, text
+from vitrina.operators.brands import (
+    count_by_brand, names_brand, with_brand_key, with_store_count,
+)
+from vitrina.operators.contact import page_address, resolve_handles, with_page
 from vitrina.operators.dedup import first_per_key, with_keys
+from vitrina.operators.durable import keep
+from vitrina.operators.lookups import key_counts
 from vitrina.operators.score import apply_existing_customer, score_listings
-from vitrina.operators.towns import town_population
+from vitrina.operators.towns import name_key, town_population
 
 
 def analyse(
@@ -36,13 +41,19 @@ def analyse(
     so the brand filter comes after that count. ``keep_excluded`` leaves the
     excluded rows in, marked by ``excluded``, for the summary.
     """
-    first = first_per_key(with_keys(listings), "fallback_key", seq).drop("url_key", "fallback_key")
-    counted = with_store_count(with_brand_key(first)).drop("brand_key")
-    marked = counted.withColumn("excluded", names_brand(F.col("nombre"), brands))
+    unique = first_per_key(with_keys(listings), "fallback_key", seq)
+    first = with_brand_key(keep(unique.drop("url_key", "fallback_key"), "unique"))
+    # All counts come from the kept rows, not from the growing plan.
+    per_town = key_counts(first.select(name_key(F.col("municipio_origen")).alias("_town")), ["_town"])
+    per_page = key_counts(first.select(page_address(F.col("web")).alias("url")), ["url"])
+
+    marked = with_store_count(first, count_by_brand(first)).drop("brand_key").withColumn(
+        "excluded", names_brand(F.col("nombre"), brands)
+    )
     if not keep_excluded:
         marked = marked.where(~F.col("excluded")).drop("excluded")
-
-    read = with_page(town_population(marked, towns), features)
+    placed = town_population(marked, towns, counts=per_town)
+    read = with_page(placed, features, per_page)
     spot = coordinates(F.col("lat"), F.col("lon"), F.col("maps_url"))
     ready = read.withColumns(
         {
@@ -50,7 +61,7 @@ def analyse(
             "_lat": F.col("lat"),
             "_lon": F.col("lon"),
             "_tech": F.col("tecnologia"),
-            "madurez": maturity(F.col("es_tienda"), F.col("_web")),
+            "madurez": maturity(F.col("es_tienda"), strip(text(F.col("web")))),
         }
     ).withColumns(
         {
@@ -64,7 +75,7 @@ def analyse(
         scored = apply_existing_customer(scored, own_platform)
     return scored.withColumns(
         {"lat": F.col("_lat"), "lon": F.col("_lon"), "tecnologia": F.col("_tech")}
-    ).drop("_spot", "_lat", "_lon", "_tech", "_web")
+    ).drop("_spot", "_lat", "_lon", "_tech")
 
 
 def analyse_with_handles(
@@ -75,4 +86,5 @@ def analyse_with_handles(
     seq: str = "seq",
 ) -> DataFrame:
     """Add instagram and instagram_fuente to analysed listings."""
+    scored = keep(scored, "scored")
     return resolve_handles(scored, cache, searches, max_usd, seq).drop("perfil", "search_state")

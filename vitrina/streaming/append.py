@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vitrina.operators.dedup import dedup_two_keys
+from vitrina.operators.durable import keep
 from vitrina.operators.ordering import first_n
 
 # A batch of at most this many rows is sent to the stored keys; a larger one is
@@ -56,15 +58,15 @@ def append_batch(
     max_records: int = 0,
 ) -> None:
     spark = batch.sparkSession
-    new = dedup_two_keys(
-        _unknown(batch, stored(spark, output, schema, batch_id), url_key, row_key),
-        order, url_key, row_key,
-    )
+    earlier = stored(spark, output, schema, batch_id)
     room = 0
     if max_records > 0:
-        room = max_records - stored(spark, output, schema, batch_id).count()
+        room = max_records - earlier.count()
         if room <= 0:
             return
+    # Kept once, so that the stored keys are scanned once per batch.
+    unknown = keep(_unknown(batch, earlier, url_key, row_key), "unknown")
+    new = dedup_two_keys(unknown, order, url_key, row_key)
     first_n(new, room, order).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
 
@@ -72,25 +74,18 @@ def stored(
     spark: SparkSession, output: str, schema: StructType, before: int | None = None
 ) -> DataFrame:
     """Rows written so far, or by the batches before one."""
-    if not _exists(spark, output):
+    full = StructType([*schema.fields, StructField("batch", LongType())])
+    try:
+        table = spark.read.schema(full).option("basePath", output).parquet(output)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema)
-    table = rows.option("basePath", output).parquet(output)
     if before is not None:
         table = table.where(F.col("batch") < before)
     return table.drop("batch")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                    .load(path).select("path").limit(1).count())
-    except Exception as problem:  # noqa: BLE001 - a missing folder is the first run
-        if "PATH_NOT_FOUND" in str(problem):
-            return False
-        raise
-
-
 def _unknown(batch: DataFrame, earlier: DataFrame, url_key: str, row_key: str) -> DataFrame:
     """Rows of the batch that share no key with an earlier row.
 
