@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from vitrina import defaults
-from vitrina.functions.text import business_slug, text
+from vitrina.functions.text import business_slug, let, text
 
 
 def is_social(web: Column) -> Column:
@@ -61,15 +61,23 @@ _EMAIL_SEARCH = rf"(?:\G|(?<![a-zA-Z0-9._+\-]))[._+\-]*({EMAIL})"
 
 
 def valid_email(address: Column) -> Column:
-    local = F.regexp_extract(address, r"\A(.*)@", 1)
-    domain = F.lower(F.substring_index(address, "@", -1))
-    extension = F.substring_index(domain, ".", -1)
-    digits_only = F.regexp_replace(local, "[._-]", "").rlike(r"\A[0-9]+\z")
-    return (
-        ~extension.isin(*defaults.FILE_EXTENSIONS)
-        & ~digits_only
-        & ~F.lower(local).isin(*defaults.BLOCKED_LOCALS)
-        & ~domain.isin(*defaults.BLOCKED_DOMAINS)
+    def judge(v: Column) -> Column:
+        extension = F.substring_index(v["domain"], ".", -1)
+        digits_only = F.regexp_replace(v["local"], "[._-]", "").rlike(r"\A[0-9]+\z")
+        return (
+            ~extension.isin(*defaults.FILE_EXTENSIONS)
+            & ~digits_only
+            & ~v["local"].isin(*defaults.BLOCKED_LOCALS)
+            & ~v["domain"].isin(*defaults.BLOCKED_DOMAINS)
+        )
+
+    low = F.lower(address)
+    return let(
+        F.struct(
+            F.regexp_extract(low, r"\A(.*)@", 1).alias("local"),
+            F.substring_index(low, "@", -1).alias("domain"),
+        ),
+        judge,
     )
 
 
@@ -110,6 +118,5 @@ def first_handle(html: Column) -> Column:
 
 def profile_in(link: Column) -> Column:
     """Handle in a profile link, else in a breadcrumb, else ''."""
-    by_url = F.regexp_extract(text(link), PROFILE_URL, 1)
-    by_crumb = F.regexp_extract(text(link), PROFILE_CRUMB, 1)
-    return F.when(by_url != "", by_url).otherwise(by_crumb)
+    by_url = F.nullif(F.regexp_extract(link, PROFILE_URL, 1), F.lit(""))
+    return F.coalesce(by_url, F.regexp_extract(link, PROFILE_CRUMB, 1), F.lit(""))

@@ -6,11 +6,12 @@ applies first, so each rule set becomes one CASE in that order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
 from vitrina import defaults
+from vitrina.functions.text import let
 
 
 def first_match(tests: Sequence[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -26,26 +27,28 @@ def band(value: Column, bands: Sequence[dict], low: str = "min", high: str = "ma
     Both ends belong to a band, so neighbouring bands may share an edge.
     """
 
-    def pick(make: Callable[[dict], Column], outside: Column) -> Column:
-        return first_match(
-            [((value >= b[low]) & (value <= b[high]), make(b)) for b in bands], outside
-        )
-
-    return F.struct(
-        pick(lambda b: F.lit(int(b["puntos"])), F.lit(0)).alias("puntos"),
-        pick(lambda b: F.lit(b["etiqueta"]), F.lit("fuera de banda")).alias("etiqueta"),
+    return first_match(
+        [
+            ((value >= b[low]) & (value <= b[high]), _scored(int(b["puntos"]), b["etiqueta"]))
+            for b in bands
+        ],
+        _scored(0, "fuera de banda"),
     )
 
 
+def _scored(points: int, label: str) -> Column:
+    return F.struct(F.lit(points).alias("puntos"), F.lit(label).alias("etiqueta"))
+
+
 def tier(points: Column, tiers: Sequence[dict]) -> Column:
     """struct(id, etiqueta) of the highest tier reached."""
+    def named(identifier: str, label: str) -> Column:
+        return F.struct(F.lit(identifier).alias("id"), F.lit(label).alias("etiqueta"))
+
     ranked = sorted(tiers, key=lambda t: -int(t["min_puntos"]))
-    reached = [(points >= int(t["min_puntos"]), t) for t in ranked]
-    return F.struct(
-        first_match([(r, F.lit(t["id"])) for r, t in reached], F.lit("P4")).alias("id"),
-        first_match(
-            [(r, F.lit(t["etiqueta"])) for r, t in reached], F.lit("Prioridad mínima")
-        ).alias("etiqueta"),
+    return first_match(
+        [(points >= int(t["min_puntos"]), named(t["id"], t["etiqueta"])) for t in ranked],
+        named("P4", "Prioridad mínima"),
     )
 
 
@@ -60,19 +63,15 @@ def maturity(shop: Column, web: Column) -> Column:
 def maturity_points(level: Column, technology: Column, criterion: dict) -> Column:
     """struct(puntos, etiqueta): a technology's own value counts for shops only."""
     by_technology = criterion.get("por_tecnologia") or {}
+    shop = level == "ecommerce_funcional"
     tests = [
-        ((level == "ecommerce_funcional") & (technology == name), F.lit(int(points)))
+        (shop & (technology == name), _scored(int(points), f"ecommerce_funcional ({name})"))
         for name, points in by_technology.items()
     ]
-    labels = [
-        (test, F.lit(f"ecommerce_funcional ({name})"))
-        for (test, _), name in zip(tests, by_technology)
+    tests += [
+        (level == name, _scored(int(points), name)) for name, points in criterion["valores"].items()
     ]
-    tests += [(level == name, F.lit(int(points))) for name, points in criterion["valores"].items()]
-    return F.struct(
-        first_match(tests, F.lit(0)).alias("puntos"),
-        first_match(labels, level).alias("etiqueta"),
-    )
+    return first_match(tests, F.struct(F.lit(0).alias("puntos"), level.alias("etiqueta")))
 
 
 def avatar(
@@ -91,41 +90,47 @@ def avatar(
     def within(value: Column, bounds: Sequence[float]) -> Column:
         return F.coalesce(value.between(bounds[0], bounds[1]), F.lit(False)).cast("int")
 
-    def fit(a: dict) -> tuple[Column, Column]:
+    def met(a: dict) -> tuple[Column, int]:
         rules = a["criterios"]
-        met = (
+        count = (
             within(population, rules["poblacion_municipio"])
             + within(km, rules["distancia_eci_km"])
             + within(stores, rules["num_tiendas"])
         )
-        needed = 3
         if rules.get("ecommerce_requerido", False):
-            met, needed = met + shop.cast("int"), 4
-        return met == needed, met >= int(a.get("encaje_parcial_si_cumple_n", 2))
+            return count + shop.cast("int"), 4
+        return count, 3
+
+    def fit(kind: str, worth: int, a: dict) -> Column:
+        return F.struct(
+            F.lit(worth).alias("puntos"),
+            F.lit(f"encaje {kind} con Avatar {a['id']} ({a['nombre']})").alias("etiqueta"),
+            F.lit(int(a["id"])).alias("id"),
+        )
 
-    # Most points first; avatars worth the same keep their list order.
     clear, partial = int(points["encaje_claro"]), int(points["encaje_parcial"])
-    tests = []
-    for worth in sorted({clear, partial} - {0}, reverse=True):
-        for a in avatars:
-            fits, nearly = fit(a)
-            if worth == clear:
-                tests.append((fits, "claro", worth, a))
-            if worth == partial:
-                tests.append((nearly & ~fits, "parcial", worth, a))
-    return F.struct(
-        first_match([(t, F.lit(worth)) for t, _, worth, _ in tests], F.lit(0)).alias("puntos"),
-        first_match(
-            [
-                (t, F.lit(f"encaje {kind} con Avatar {a['id']} ({a['nombre']})"))
-                for t, kind, _, a in tests
-            ],
-            F.lit("no encaja con ningún avatar"),
-        ).alias("etiqueta"),
-        first_match(
-            [(t, F.lit(int(a["id"]))) for t, _, _, a in tests], F.lit(None).cast("int")
-        ).alias("id"),
-    )
+
+    def choose(counts: Column) -> Column:
+        # Most points first; avatars worth the same keep their list order.
+        tests = []
+        for worth in sorted({clear, partial} - {0}, reverse=True):
+            for i, a in enumerate(avatars):
+                enough = int(a.get("encaje_parcial_si_cumple_n", 2))
+                fits = counts[f"a{i}"] == met(a)[1]
+                if worth == clear:
+                    tests.append((fits, fit("claro", worth, a)))
+                if worth == partial:
+                    tests.append(((counts[f"a{i}"] >= enough) & ~fits, fit("parcial", worth, a)))
+        return first_match(
+            tests,
+            F.struct(
+                F.lit(0).alias("puntos"),
+                F.lit("no encaja con ningún avatar").alias("etiqueta"),
+                F.lit(None).cast("int").alias("id"),
+            ),
+        )
+
+    return let(F.struct(*[met(a)[0].alias(f"a{i}") for i, a in enumerate(avatars)]), choose)
 
 
 def guess_type(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -42,6 +43,15 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for the row, however often it is used.
+
+    Without it an expression is computed anew wherever it is named, and inside
+    an array function once for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Drop white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
@@ -71,14 +81,15 @@ def with_scheme(web: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """ASCII spelling of Latin text; letters of other scripts are dropped."""
+    table = _BASE | _SINGLE
     spelled = text(c)
     for letter, ascii_form in _SPELLED.items():
         spelled = F.replace(spelled, F.lit(letter), F.lit(ascii_form))
-    table = _BASE | _SINGLE
     mapped = F.translate(spelled, "".join(table), "".join(table.values()))
     # Other signs of the basic plane part words; letters and emoji vanish.
     parted = F.regexp_replace(mapped, r"[\u0080-\uFFFF&&[^\p{L}\p{M}\p{Cs}]]", " ")
-    return F.regexp_replace(parted, r"[^\x00-\x7f]+", "")
+    plain = F.regexp_replace(parted, r"[^\x00-\x7f]+", "")
+    return F.when(text(c).rlike(r"[^\x00-\x7f]"), plain).otherwise(text(c))
 
 
 def strip_accents(c: Column) -> Column:
@@ -109,11 +120,13 @@ def brand_norm(c: Column) -> Column:
 
 def brand_key(name: Column, town: Column) -> Column:
     """Normalised name without the words of the town, unless nothing is left."""
-    norm = brand_norm(name)
+
+    def shorten(v: Column) -> Column:
+        kept = F.filter(F.split(v["norm"], " "), lambda w: ~F.array_contains(v["town"], w))
+        return F.coalesce(F.nullif(F.array_join(kept, " "), F.lit("")), v["norm"])
+
     town_words = F.split(brand_norm(town), " ")
-    kept = F.filter(F.split(norm, " "), lambda w: ~F.array_contains(town_words, w))
-    short = F.array_join(kept, " ")
-    return F.when(short == "", norm).otherwise(short)
+    return let(F.struct(brand_norm(name).alias("norm"), town_words.alias("town")), shorten)
 
 
 def words(c: Column) -> Column:

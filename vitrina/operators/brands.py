@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrina.functions.text import brand_key, text
+from vitrina.functions.text import brand_key, let, text
 from vitrina.operators.lookups import attach
 
 
@@ -34,7 +34,7 @@ def exclude_brands(df: DataFrame, brands: Sequence[str], name: str = "nombre") -
 def with_brand_key(df: DataFrame, name: str = "nombre", town: str = "municipio_origen") -> DataFrame:
     """Add brand_key, null when the name leaves nothing."""
     key = brand_key(F.col(name), F.col(town))
-    return df.withColumn("brand_key", F.nullif(key, F.lit("")))
+    return df.withColumn("brand_key", let(key, lambda k: F.nullif(k, F.lit(""))))
 
 
 def count_by_brand(df: DataFrame) -> DataFrame:

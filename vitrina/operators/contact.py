@@ -107,7 +107,7 @@ def resolve_handles(
     hits = latest_lookup(cache).select("key", F.col("url").alias("_cached"))
     looked = keep(attach(keyed, hits, "key"), "looked")
 
-    asked = attach(looked.where(F.col("_cached").isNull()), searches, "key").select(
+    searched = attach(looked.where(F.col("_cached").isNull()), searches, "key").select(
         seq,
         "key",
         best_profile(F.col("items"), F.col("nombre"), F.col("municipio_origen")).alias("_found"),
@@ -115,7 +115,8 @@ def resolve_handles(
         .otherwise(F.coalesce("cost", F.lit(0.0)))
         .alias("cost"),
     )
-    spent = with_budget(asked, [], [seq], max_usd, key="key")
+    # Kept, as putting rows in order reads its input twice.
+    spent = with_budget(keep(searched, "searched"), [], [seq], max_usd, key="key")
     answered = looked.where(F.col("_cached").isNotNull()).select(
         seq, F.col("_cached").alias("_url"), F.lit("cache").alias("search_state")
     ).unionByName(
