@@ -19,6 +19,7 @@ from vitrina.operators.contact import (
 )
 from vitrina.operators.dedup import first_per_full_url, first_per_key, with_keys
 from vitrina.operators.lookups import attach
+from vitrina.operators.nearest import with_nearest_site
 from vitrina.operators.runs import analysis_summary
 from vitrina.operators.score import score_listings
 from vitrina.operators.towns import town_population
@@ -90,10 +91,8 @@ WITH {_SPOTS}, {sites_sql()},
 d AS (SELECT c_custkey, pos, city, {haversine_sql('lat', 'lon', 'slat', 'slon')} AS km FROM spots, sites)
 SELECT c_custkey, round(min(km), 6) AS km, arg_min(city, (km, pos)) AS site FROM d GROUP BY c_custkey""")
 def nearest_sites(spark, sf_dir):
-    near = geo.nearest_site(F.col("lat"), F.col("lon"), SITES)
-    return spots(spark, sf_dir).select("c_custkey", near.alias("near")).select(
-        "c_custkey", F.round("near.km", 6).alias("km"), "near.site"
-    )
+    near = with_nearest_site(spots(spark, sf_dir), SITES)
+    return near.select("c_custkey", F.round("km", 6).alias("km"), "site")
 
 
 @query(f"""
@@ -194,11 +193,12 @@ WITH ctx AS ({_AVATAR_INPUT} FROM orders), {avatar_sql('ctx', 'o_orderkey')}
 SELECT o_orderkey, pts AS puntos, label AS etiqueta, id AS avatar_id FROM best""")
 def avatar_match(spark, sf_dir):
     k = F.col("o_orderkey")
-    fit = rules.avatar(
-        k * 37 % 250000, F.when(k % 7 > 0, k % 130 + 0.5), k % 11, k % 2 == 0,
-        defaults.AVATARS, RULES["encaje_avatar"]["valores"],
+    hits = rules.avatar_hits(
+        k * 37 % 250000, F.when(k % 7 > 0, k % 130 + 0.5), k % 11, k % 2 == 0, defaults.AVATARS
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", fit.alias("a")).select(
+    best = rules.best_avatar(F.col("hits"), defaults.AVATARS, RULES["encaje_avatar"]["valores"])
+    counted = table(spark, sf_dir, "orders").select("o_orderkey", hits.alias("hits"))
+    return counted.select("o_orderkey", best.alias("a")).select(
         "o_orderkey", "a.puntos", "a.etiqueta", F.col("a.id").alias("avatar_id")
     )
 

@@ -9,45 +9,12 @@ from pyspark.sql import Column, functions as F
 EARTH_KM = 6371.0
 
 
-def _half_chord(lat1, lon1, lat2, lon2) -> Column:
-    """The quantity under the root of the haversine formula."""
+def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     north = F.sin(F.radians(lat2 - lat1) / 2)
     east = F.sin(F.radians(lon2 - lon1) / 2)
-    return north * north + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * east * east
-
-
-def _chord_to_km(a: Column) -> Column:
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
-
-
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return _chord_to_km(_half_chord(lat1, lon1, lat2, lon2))
-
-
-def nearest_site(lat: Column, lon: Column, sites: Sequence[dict]) -> Column:
-    """struct(km, site) of the closest site; the first of equally close ones.
-
-    Sites come from a configuration list, so they are part of the expression:
-    no join and no shuffle. The distance grows with the chord, so the smallest
-    chord decides and only the winner needs the inverse sine.
-    """
-    chords = F.array(
-        *[
-            F.struct(
-                _half_chord(lat, lon, F.lit(float(s["lat"])), F.lit(float(s["lon"]))).alias("a"),
-                F.lit(i).alias("pos"),
-            )
-            for i, s in enumerate(sites)
-        ]
-    )
-    cities = F.array(*[F.lit(s["ciudad"]) for s in sites])
-    best = F.transform(
-        F.array(F.array_min(chords)),
-        lambda b: F.struct(
-            _chord_to_km(b["a"]).alias("km"), F.get(cities, b["pos"]).alias("site")
-        ),
-    )
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.get(best, F.lit(0)))
+    a = north * north + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * east * east
+    km = F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return F.when(lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull(), km)
 
 
 def coordinates(lat_text: Column, lon_text: Column, maps_url: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from vitrina import defaults
-from vitrina.functions.text import business_slug, let, text
+from vitrina.functions.text import business_slug, let, literal, text
 
 
 def is_social(web: Column) -> Column:
@@ -36,8 +36,7 @@ def platform(
         plain = html.contains(needle)
         if not strict:
             return plain
-        escaped = "".join("\\" + ch if not ch.isalnum() else ch for ch in needle)
-        return plain & html.rlike(rf"(?<![A-Za-z]){escaped}")
+        return plain & html.rlike(rf"(?<![A-Za-z]){literal(needle)}")
 
     chain = None
     for name, needle in signatures:

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from vitrina import defaults
-from vitrina.functions.text import let
 
 
 def first_match(tests: Sequence[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -74,15 +73,10 @@ def maturity_points(level: Column, technology: Column, criterion: dict) -> Colum
     return first_match(tests, F.struct(F.lit(0).alias("puntos"), level.alias("etiqueta")))
 
 
-def avatar(
-    population: Column,
-    km: Column,
-    stores: Column,
-    shop: Column,
-    avatars: Sequence[dict],
-    points: dict,
+def avatar_hits(
+    population: Column, km: Column, stores: Column, shop: Column, avatars: Sequence[dict]
 ) -> Column:
-    """struct(puntos, etiqueta, id) of the best avatar, the first one on ties.
+    """struct(a0, a1, …): how many rules of each avatar are met.
 
     ``km`` is null without coordinates, which meets no distance range.
     """
@@ -90,16 +84,22 @@ def avatar(
     def within(value: Column, bounds: Sequence[float]) -> Column:
         return F.coalesce(value.between(bounds[0], bounds[1]), F.lit(False)).cast("int")
 
-    def met(a: dict) -> tuple[Column, int]:
+    hits = []
+    for i, a in enumerate(avatars):
         rules = a["criterios"]
-        count = (
+        met = (
             within(population, rules["poblacion_municipio"])
             + within(km, rules["distancia_eci_km"])
             + within(stores, rules["num_tiendas"])
         )
         if rules.get("ecommerce_requerido", False):
-            return count + shop.cast("int"), 4
-        return count, 3
+            met = met + shop.cast("int")
+        hits.append(met.alias(f"a{i}"))
+    return F.struct(*hits)
+
+
+def best_avatar(hits: Column, avatars: Sequence[dict], points: dict) -> Column:
+    """struct(puntos, etiqueta, id) of the best avatar, the first one on ties."""
 
     def fit(kind: str, worth: int, a: dict) -> Column:
         return F.struct(
@@ -109,28 +109,26 @@ def avatar(
         )
 
     clear, partial = int(points["encaje_claro"]), int(points["encaje_parcial"])
-
-    def choose(counts: Column) -> Column:
-        # Most points first; avatars worth the same keep their list order.
-        tests = []
-        for worth in sorted({clear, partial} - {0}, reverse=True):
-            for i, a in enumerate(avatars):
-                enough = int(a.get("encaje_parcial_si_cumple_n", 2))
-                fits = counts[f"a{i}"] == met(a)[1]
-                if worth == clear:
-                    tests.append((fits, fit("claro", worth, a)))
-                if worth == partial:
-                    tests.append(((counts[f"a{i}"] >= enough) & ~fits, fit("parcial", worth, a)))
-        return first_match(
-            tests,
-            F.struct(
-                F.lit(0).alias("puntos"),
-                F.lit("no encaja con ningún avatar").alias("etiqueta"),
-                F.lit(None).cast("int").alias("id"),
-            ),
-        )
-
-    return let(F.struct(*[met(a)[0].alias(f"a{i}") for i, a in enumerate(avatars)]), choose)
+    tests = []
+    # Most points first; avatars worth the same keep their list order.
+    for worth in sorted({clear, partial} - {0}, reverse=True):
+        for i, a in enumerate(avatars):
+            needed = 4 if a["criterios"].get("ecommerce_requerido", False) else 3
+            enough = int(a.get("encaje_parcial_si_cumple_n", 2))
+            met = hits[f"a{i}"]
+            if worth == clear:
+                tests.append((met == needed, fit("claro", worth, a)))
+            if worth == partial:
+                nearly = (met >= enough) & (met != needed)
+                tests.append((nearly, fit("parcial", worth, a)))
+    return first_match(
+        tests,
+        F.struct(
+            F.lit(0).alias("puntos"),
+            F.lit("no encaja con ningún avatar").alias("etiqueta"),
+            F.lit(None).cast("int").alias("id"),
+        ),
+    )
 
 
 def guess_type(

@@ -52,6 +52,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def literal(value: str) -> str:
+    """Pattern that matches exactly this text."""
+    return "".join(ch if ch.isalnum() or ch == " " else "\\" + ch for ch in value)
+
+
 def strip(c: Column) -> Column:
     """Drop white space of any kind at both ends."""
     return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
@@ -106,16 +111,13 @@ def slug(c: Column, length: int = 40) -> Column:
 
 def business_slug(c: Column) -> Column:
     letters = F.regexp_replace(F.lower(fold(c)), "[^a-z0-9]+", "")
-    return F.when(letters == "", "negocio").otherwise(letters)
+    return let(letters, lambda s: F.when(s == "", "negocio").otherwise(s))
 
 
 def brand_norm(c: Column) -> Column:
     """Name without bracketed parts, digits and punctuation."""
-    s = F.lower(text(c))
-    s = F.regexp_replace(s, r"\([^)]*\)", "")
-    s = F.regexp_replace(s, r"(?U)\d+", "")
-    s = F.regexp_replace(s, r"[\-_,.|/&]", " ")
-    return F.trim(F.regexp_replace(s, _SPACE + "+", " "))
+    plain = F.regexp_replace(F.lower(text(c)), r"(?U)\([^)]*\)|\d+", "")
+    return F.trim(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f\-_,.|/&]+", " "))
 
 
 def brand_key(name: Column, town: Column) -> Column:

@@ -6,25 +6,24 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrina.functions.text import brand_key, let, text
+from vitrina.functions.text import brand_key, let, literal, text
 from vitrina.operators.lookups import attach
 
 
 def names_brand(name: Column, brands: Sequence[str]) -> Column:
     """The name contains one of the brands, in any letter case.
 
-    The brands come from a configuration list, so they are one expression of
-    the scan's stage instead of a join. Blank brands are ignored.
+    The brands come from a configuration list, so they are one pattern in the
+    scan's stage instead of a join. Blank brands are ignored.
     """
-    low = F.lower(text(name))
-    needles = sorted({b.lower() for b in brands if b.strip()})
-    tests = [F.contains(low, F.lit(n)) for n in needles]
-    while len(tests) > 1:  # balanced, so that a long list stays a shallow tree
-        tests = [
-            tests[i] | tests[i + 1] if i + 1 < len(tests) else tests[i]
-            for i in range(0, len(tests), 2)
-        ]
-    return tests[0] if tests else F.lit(False)
+    by_first = {}
+    for needle in sorted({b.lower() for b in brands if b.strip()}):
+        by_first.setdefault(needle[0], []).append(literal(needle[1:]))
+    if not by_first:
+        return F.lit(False)
+    # Grouped by first letter: most places of a name are settled by one letter.
+    pattern = "|".join(f"{literal(ch)}(?:{'|'.join(rest)})" for ch, rest in by_first.items())
+    return F.lower(text(name)).rlike(pattern)
 
 
 def exclude_brands(df: DataFrame, brands: Sequence[str], name: str = "nombre") -> DataFrame:

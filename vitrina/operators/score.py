@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina import defaults
-from vitrina.functions.geo import nearest_site
-from vitrina.functions.rules import avatar, band, maturity_points, tier
+from vitrina.functions.rules import avatar_hits, band, best_avatar, maturity_points, tier
+from vitrina.operators.nearest import with_nearest_site
 
 
 def score_listings(
@@ -20,24 +20,16 @@ def score_listings(
     """Add puntuacion, prioridad, prioridad_etiqueta, justificacion and breakdown.
 
     Needs lat, lon (double or null), poblacion, num_tiendas, madurez and
-    tecnologia (null when unknown). All rules are column expressions of the
-    row: scoring adds no join and no shuffle.
+    tecnologia (null when unknown). The rules are column expressions of the row
+    and the sites are broadcast: scoring adds no shuffle.
     """
     rules = weights["criterios"]
     population = F.coalesce("poblacion", F.lit(0)).cast("int")
     stores = F.coalesce("num_tiendas", F.lit(1)).cast("int")
-    near = (
-        nearest_site(F.col("lat"), F.col("lon"), sites)
-        if sites
-        else F.lit(None).cast("struct<km:double,site:string>")
-    )
-    found = df.withColumn("_near", near).withColumns(
-        {
-            "_pop": population,
-            "_n": stores,
-            "_km": F.col("_near.km"),
-            "_site": F.col("_near.site"),
-        }
+    found = (
+        with_nearest_site(df, sites)
+        .withColumnsRenamed({"km": "_km", "site": "_site"})
+        .withColumns({"_pop": population, "_n": stores})
     )
     judged = found.withColumns(
         {
@@ -45,15 +37,16 @@ def score_listings(
             "_p": band(F.col("_pop"), rules["poblacion_municipio"]["bandas"]),
             "_t": band(F.col("_n"), rules["num_tiendas"]["bandas"]),
             "_m": maturity_points(F.col("madurez"), F.col("tecnologia"), rules["madurez_digital"]),
-            "_a": avatar(
+            "_hits": avatar_hits(
                 F.col("_pop"),
                 F.col("_km"),
                 F.col("_n"),
                 F.col("madurez") == "ecommerce_funcional",
                 avatars,
-                rules["encaje_avatar"]["valores"],
             ),
         }
+    ).withColumn(
+        "_a", best_avatar(F.col("_hits"), avatars, rules["encaje_avatar"]["valores"])
     )
     located = F.col("_km").isNotNull()
     km_shown = F.bround("_km", 1)
@@ -91,7 +84,7 @@ def score_listings(
                 ).alias("avatar"),
             ),
         }
-    ).drop("_near", "_pop", "_n", "_km", "_site", "_d", "_p", "_t", "_m", "_a", "_tier")
+    ).drop("_pop", "_n", "_km", "_site", "_d", "_p", "_t", "_m", "_hits", "_a", "_tier")
 
 
 def _part(rule: str, value: str) -> Column:
