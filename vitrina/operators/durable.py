@@ -21,8 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="vitrina-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
