@@ -190,8 +190,8 @@ def town_rows(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     return (
-        customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.col("r_name").alias("region"), F.col("n_name").alias("province"),
             F.col("c_name").alias("name"), (k * 37 % 9000).cast("int").alias("population"),

@@ -65,6 +65,13 @@ def test_two_key_dedup_of_a_chain(spark):
     assert seqs(dedup.dedup_two_keys(df, one_pass_rows=0)) == [0, 2, 4]
 
 
+def test_two_key_dedup_of_a_long_chain(spark):
+    # Every pair waits for the one before: rounds settle next to nothing.
+    rows = [(i, f"u{(i + 1) // 2}", f"f{i // 2}") for i in range(400)]
+    df = spark.createDataFrame(rows, "seq long, url_key string, fallback_key string")
+    assert seqs(dedup.dedup_two_keys(df, one_pass_rows=150)) == greedy(rows) == list(range(0, 400, 2))
+
+
 def test_two_key_dedup_of_nothing(spark):
     df = spark.createDataFrame([], "seq long, url_key string, fallback_key string")
     assert seqs(dedup.dedup_two_keys(df)) == []

@@ -28,6 +28,14 @@ def test_listing_file_of_an_older_layout(spark, tmp_path):
         ('A "x", y', "w", "1", ""), ("B", "", "2", ""), ("C", "z", "", "")]
 
 
+def test_ordered_parquet_listings(spark, tmp_path):
+    path = str(tmp_path / "l.parquet")
+    rows = [(f"n{i}", "w") for i in range(50)]
+    spark.createDataFrame(rows, "nombre string, web string").coalesce(1).write.parquet(path)
+    got = listings.read_listings(spark, path, ordered=True).orderBy("seq").collect()
+    assert [r["nombre"] for r in got] == [r[0] for r in rows] and got[0]["lat"] == ""
+
+
 def test_analysis_output(spark, tmp_path):
     df = spark.createDataFrame([tuple("abcdefghijkl")], model.LISTING)
     listings.write_analysis(df, df.withColumn("puntuacion", F.lit(3)), str(tmp_path))

@@ -15,6 +15,8 @@ from vitrina.operators.lookups import without
 # Open pairs up to this number are settled in one sorted pass; more are never
 # brought together.
 ONE_PASS_ROWS = 200_000
+# A round that leaves more than this part of the open pairs is slow.
+SLOW_ROUND = 0.9
 
 
 def with_keys(listings: DataFrame) -> DataFrame:
@@ -60,9 +62,12 @@ def dedup_two_keys(
     ``seq`` is a unique long in arrival order. Only the first row of each pair
     of keys can be kept, so the work starts from pairs. In each round a pair
     that comes first for both its keys is kept, and all pairs that share a key
-    with it are dropped; this repeats until few enough pairs are open to settle
-    them in one pass, or none. Every round keeps at least the first open pair,
-    so the loop ends for any input.
+    with it are dropped, until few enough pairs are open for one sorted pass.
+
+    Long chains of keys, each pair waiting for the one before, would take a
+    round per link. When a round settles little, the earliest pairs, as many
+    as one pass takes, are settled in order instead. Both steps are exact and
+    both shrink the open pairs, so any input comes to its end.
     """
     # A row without a link is tied by its row key alone.
     first = F.when(F.col(url_key).isNull(), F.concat(F.lit("f"), F.col(row_key))).otherwise(
@@ -74,31 +79,45 @@ def dedup_two_keys(
         .agg(F.min("seq").alias("seq"))
     )
     still_open = keep(pairs, "pairs")
+    count, before = still_open.count(), None
     kept = []
-    while (count := still_open.count()) > one_pass_rows:
-        first_a = still_open.groupBy("a").agg(F.min("seq").alias("seq"))
-        first_b = still_open.groupBy("b").agg(F.min("seq").alias("seq"))
-        won = keep(first_a.join(first_b, "seq"), "kept")
+    while count > one_pass_rows:
+        slow = before is not None and count > before * SLOW_ROUND
+        if slow and one_pass_rows > 0:
+            block = keep(still_open.orderBy("seq").limit(one_pass_rows), "block")
+            won = keep(_settle_in_order(block), "kept")
+            rest = still_open.where(F.col("seq") > block.agg(F.max("seq")).scalar())
+        else:
+            first_a = still_open.groupBy("a").agg(F.min("seq").alias("seq"))
+            first_b = still_open.groupBy("b").agg(F.min("seq").alias("seq"))
+            won = keep(first_a.join(first_b, "seq"), "kept")
+            rest = still_open
         kept.append(won.select("seq"))
-        rest = without(still_open, won.select("a"), "a")
+        rest = without(rest, won.select("a"), "a")
         rest = without(rest, won.select("b"), "b")
-        still_open = keep(rest, "pairs")
+        still_open, before = keep(rest, "pairs"), count
+        count = still_open.count()
     if count:
-        last = still_open.coalesce(1).sortWithinPartitions("seq")
-        kept.append(last.mapInPandas(_settle, "seq long"))
+        kept.append(_settle_in_order(still_open).select("seq"))
     if not kept:
         return df.limit(0)
     chosen = reduce(DataFrame.unionByName, kept).withColumnRenamed("seq", seq)
     return df.join(chosen, seq, "left_semi")
 
 
+def _settle_in_order(pairs: DataFrame) -> DataFrame:
+    """The kept ones of at most ``one_pass_rows`` pairs, taken one by one."""
+    return pairs.coalesce(1).sortWithinPartitions("seq").mapInPandas(_settle, pairs.schema)
+
+
 def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     taken_a, taken_b = set(), set()
     for batch in batches:
         chosen = []
-        for a, b, seq in zip(batch["a"], batch["b"], batch["seq"]):
-            if a not in taken_a and b not in taken_b:
+        for a, b in zip(batch["a"], batch["b"]):
+            free = a not in taken_a and b not in taken_b
+            if free:
                 taken_a.add(a)
                 taken_b.add(b)
-                chosen.append(seq)
-        yield pd.DataFrame({"seq": pd.Series(chosen, dtype="int64")})
+            chosen.append(free)
+        yield batch[chosen]

@@ -89,7 +89,7 @@ def reconcile_runs(history: DataFrame, counts: DataFrame, alive: DataFrame | Non
         seen = history
     else:
         live = alive.select("pid").distinct().withColumn("_live", F.lit(True))
-        seen = history.join(live, "pid", "left")
+        seen = attach(history, live, "pid")
         lost = (F.col("status") == "running") & F.col("_live").isNull()
     joined = seen.join(counts, "job_id", "left").withColumn("_lost", lost)
     settled = joined.withColumns(

@@ -84,11 +84,14 @@ def region_provinces(towns: DataFrame) -> DataFrame:
     return towns.select("region", "province").distinct()
 
 
-def town_file(towns: DataFrame) -> DataFrame:
-    """One row per region in the layout of the town file.
+# A town file is one document; larger town tables stay flat (towns_by_region).
+TOWN_FILE_ROWS = 200_000
 
-    For town lists of a country's size, which have to fit one file anyway.
-    """
+
+def town_file(towns: DataFrame) -> DataFrame:
+    """One row per region in the layout of the town file."""
+    if towns.limit(TOWN_FILE_ROWS + 1).count() > TOWN_FILE_ROWS:
+        raise ValueError("too many towns for one file; write towns_by_region instead")
     return towns.groupBy("region").agg(
         F.array_sort(F.collect_set("province")).alias("provincias"),
         F.transform(

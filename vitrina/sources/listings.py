@@ -19,14 +19,15 @@ def read_listings(spark: SparkSession, path: str, ordered: bool = False) -> Data
     """
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
+        position = F.col("_metadata.row_index")
     else:
         header = spark.read.options(**_CSV | {"multiLine": False}).csv(path).columns
         schema = ", ".join(f"`{c}` string" for c in header)
         df = spark.read.options(**_CSV, enforceSchema=False).schema(schema).csv(path)
+        # A file with quoted line breaks is read by one task, from its start.
+        position = F.monotonically_increasing_id()
     if ordered:
-        df = df.withColumns(
-            {"_file": F.col("_metadata.file_path"), "_row": F.monotonically_increasing_id()}
-        )
+        df = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": position})
     for column in model.LISTING_COLUMNS:
         if column not in df.columns:
             df = df.withColumn(column, F.lit(""))
