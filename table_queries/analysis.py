@@ -59,7 +59,7 @@ def brand_number(spark, sf_dir):
 
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate::VARCHAR AS shipped, p_type FROM lineitem
-LEFT JOIN (SELECT p_partkey, p_type FROM part WHERE p_partkey % 3 > 0) ON l_partkey % 7 * 100 = p_partkey""")
+LEFT JOIN (SELECT p_partkey, p_type FROM part WHERE p_size > 15) ON l_partkey % 7 * 100 = p_partkey""")
 def hot_key_lookup(spark, sf_dir):
     """Seven keys hold all line items: the case the look-up join spreads."""
     lines = table(spark, sf_dir, "lineitem").select(
@@ -67,7 +67,7 @@ def hot_key_lookup(spark, sf_dir):
         F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("shipped"),
         (F.col("l_partkey") % 7 * 100).alias("k"),
     )
-    parts = table(spark, sf_dir, "part").where(F.col("p_partkey") % 3 > 0)
+    parts = table(spark, sf_dir, "part").where("p_size > 15")
     return attach(lines, parts.select(F.col("p_partkey").alias("k"), "p_type"), "k").drop("k")
 
 
@@ -295,7 +295,7 @@ def supplier_scores(spark, sf_dir):
 
 _FEATURES_SQL = f"""features AS (
   SELECT url, {PLATFORM_SQL} AS plataforma, {first_email_sql('html')} AS email,
-    {first_handle_sql('html')} AS perfil FROM pages WHERE page_id % 10 <> 4
+    {first_handle_sql('html')} AS perfil FROM pages WHERE NOT ends_with(url, '#top')
   QUALIFY row_number() OVER (PARTITION BY url ORDER BY plataforma NULLS FIRST, email NULLS FIRST, perfil NULLS FIRST) = 1)"""
 _EXCLUDED = " OR ".join(
     f"contains(lower(nombre), {sql_text(b.lower())})" for b in BRANDS if b.strip()
@@ -330,9 +330,8 @@ _SCORED_COLUMNS = """seq, nombre, es_tienda, coalesce(tec, '-') AS tecnologia, n
 
 
 def analysed(spark, sf_dir, keep_excluded=False):
-    k = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select(
-        "url", "html", F.when(k % 10 == 4, 500).alias("status")
+        "url", "html", F.when(F.endswith("url", F.lit("#top")), 500).alias("status")
     )
     features = one_per_url(page_features(pages, SIGNATURES, CART_WORDS))
     return analyse(
@@ -384,6 +383,8 @@ def search_rows(spark, sf_dir):
         F.when(k % 2 == 0, "Vigo").otherwise("Lugo").alias("municipio_origen"),
         F.when(k % 7 > 0, items).alias("items"),
         F.when(k % 6 == 0, 0.0).otherwise(0.002).alias("cost"),
+        "c_mktsegment",
+        "c_acctbal",
     )
 
 
@@ -430,8 +431,8 @@ def search_cache(spark, sf_dir):
     return latest_lookup(cache)
 
 
-_RESOLVE_SQL = f"""rows AS (SELECT c_custkey AS seq, c_custkey % 8 = 0 AS on_page,
-    CASE WHEN c_custkey % 8 > 0 AND c_custkey % 9 = 0 THEN c_custkey % 18 = 0 END AS cached_known,
+_RESOLVE_SQL = f"""rows AS (SELECT c_custkey AS seq, c_mktsegment = 'BUILDING' AS on_page,
+    CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal > 5000 END AS cached_known,
     CASE WHEN c_custkey % 6 = 0 THEN 0.0 ELSE 0.002 END AS cost, {_HANDLE_SQL} AS handle FROM customer),
 asked AS (SELECT *, sum(cost) OVER w AS spent, count(*) FILTER (WHERE cost > 0) OVER w AS paid_before FROM rows
   WHERE NOT on_page AND cached_known IS NULL
@@ -456,10 +457,12 @@ def resolved_handles(spark, sf_dir):
         return F.concat(F.lit(f"https://instagram.com/{word}"), k.cast("string"))
 
     listings = rows.select(
-        "seq", "nombre", "municipio_origen", F.when(k % 8 == 0, link("page")).alias("perfil")
+        "seq", "nombre", "municipio_origen",
+        F.when(F.col("c_mktsegment") == "BUILDING", link("page")).alias("perfil"),
     )
-    cache = rows.where((k % 8 > 0) & (k % 9 == 0)).select(
-        key.alias("key"), F.when(k % 18 == 0, link("cache")).otherwise("").alias("url"),
+    cache = rows.where("c_mktsegment = 'MACHINERY'").select(
+        key.alias("key"),
+        F.when(F.col("c_acctbal") > 5000, link("cache")).otherwise("").alias("url"),
         k.alias("ts"),
     )
     searches = rows.select(key.alias("key"), "items", "cost")
@@ -502,14 +505,14 @@ def first_per_event_key(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT lower(p_name) AS name, arg_min(1000 + p_partkey * 7 % 90000, p_partkey) AS population
-  FROM part WHERE p_partkey % 4 > 0 GROUP BY 1)
+  FROM part WHERE p_size > 10 GROUP BY 1)
 SELECT l_orderkey, l_linenumber, l_partkey, coalesce(population, 0) AS poblacion
 FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
 LEFT JOIN t ON name = lower(CASE WHEN l_linenumber = 7 THEN 'Nowhere' ELSE p_name END)""")
 def town_populations(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    dim = part.where(k % 4 > 0).select(
+    dim = part.where("p_size > 10").select(
         F.concat(F.lit(" "), F.upper("p_name")).alias("name"),
         (1000 + k * 7 % 90000).alias("population"), k.alias("pos"),
     )

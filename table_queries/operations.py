@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from table_queries.registry import query
 from table_queries.shops import letters, table
 from vitrina.operators import runs, usage
+from vitrina.operators.contact import cache_entries
 
 
 # Usage and budget -----------------------------------------------------------
@@ -150,8 +151,9 @@ def log_counters(spark, sf_dir):
 
 
 @query("""
-SELECT (user_id % 50)::VARCHAR AS run, arg_max(CASE event_id % 7 WHEN 0 THEN event_id % 90 WHEN 4 THEN event_id % 80 ELSE event_id END, event_id) AS valid
-FROM events WHERE event_id % 7 IN (0, 4, 6) GROUP BY 1""")
+WITH l AS (SELECT (user_id % 50)::VARCHAR AS run, event_id,
+    CASE event_id % 7 WHEN 0 THEN event_id % 90 WHEN 4 THEN event_id % 80 WHEN 6 THEN event_id END AS valid FROM events)
+SELECT run, arg_max(valid, event_id) FILTER (WHERE valid IS NOT NULL) AS valid FROM l GROUP BY 1""")
 def log_valid(spark, sf_dir):
     return runs.latest_valid(log_lines(spark, sf_dir))
 
@@ -171,23 +173,24 @@ def history(spark, sf_dir):
 
 
 def outputs(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber > 2")
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'")
     return runs.row_counts(lines.select(F.col("l_orderkey").alias("job_id")), "job_id")
 
 
 _RUNS_SQL = """h AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'done' ELSE 'partial' END AS status,
     CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 9 END AS valid_count, o_custkey AS pid,
     CASE WHEN o_orderkey % 6 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS started_at FROM orders),
-n AS (SELECT l_orderkey AS job_id, count(*) AS real_count FROM lineitem WHERE l_linenumber > 2 GROUP BY 1)"""
+n AS (SELECT l_orderkey AS job_id, count(*) AS real_count FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)"""
 
 
 @query(f"""
-WITH {_RUNS_SQL}, s AS (SELECT *, status = 'running' AND pid % 2 = 1 AS lost FROM h LEFT JOIN n USING (job_id)),
+WITH {_RUNS_SQL}, s AS (SELECT *, status = 'running' AND pid NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AS lost
+  FROM h LEFT JOIN n USING (job_id)),
 t AS (SELECT * REPLACE (CASE WHEN lost THEN 'stopped' ELSE status END AS status, CASE WHEN lost THEN NULL ELSE pid END AS pid) FROM s)
 SELECT job_id, status, pid, started_at, CASE WHEN status <> 'running' AND real_count > 0 THEN real_count ELSE coalesce(valid_count, 0) END AS valid_count
 FROM t WHERE started_at IS NOT NULL""")
 def reconciled_runs(spark, sf_dir):
-    alive = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(
+    alive = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(
         F.col("c_custkey").alias("pid")
     )
     done = runs.reconcile_runs(history(spark, sf_dir), outputs(spark, sf_dir), alive)
@@ -257,3 +260,31 @@ def valid_rows_per_town(spark, sf_dir):
         towns, F.col("o_custkey") == F.col("pos")
     )
     return runs.valid_per_town(kept.select("municipio_origen"), towns)
+
+
+@query(f"""
+WITH {_KEYED_SQL}
+SELECT key, CASE WHEN event_type = 'click' THEN '' ELSE 'https://instagram.com/u' || event_id::VARCHAR END AS url, 99::BIGINT AS ts
+FROM s JOIN x ON true JOIN events USING (event_id) WHERE NOT again AND s.cost > 0 AND (stop IS NULL OR event_id < stop)""")
+def new_cache_entries(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_type") != "click", F.concat(F.lit("u"), F.col("event_id").cast("string")))
+        .alias("handle"),
+    )
+    key = F.concat(F.lit("k"), (F.col("user_id") * 7 + F.col("event_id") % 11).cast("string"))
+    rows = searches(spark, sf_dir).select("event_id", key.alias("key"), "cost").join(events, "event_id")
+    return cache_entries(usage.with_budget(rows, [], ["event_id"], 2.0, key="key"), 99)
+
+
+@query("""
+SELECT r.run, queries, requests, coalesce(results_raw, 0) AS results_raw, coalesce(results_deduped, 0) AS results_deduped,
+  requests AS pages, 'pro' AS tier, round(greatest(0, requests - 5000) / 1000.0::DOUBLE * 32.0::DOUBLE, 4) AS run_est_cost_usd
+FROM (SELECT user_id % 9 AS run, count(DISTINCT event_type) AS queries, count(*) AS requests FROM events GROUP BY 1) r
+LEFT JOIN (SELECT o_custkey % 9 AS run, count(*) AS results_raw, count(DISTINCT o_custkey) AS results_deduped FROM orders GROUP BY 1) USING (run)""")
+def metrics_of_runs(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 9).alias("run"), F.col("event_type").alias("source_query")
+    )
+    raw = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 9).alias("run"), "o_custkey")
+    return runs.run_metrics(asked, raw, raw.distinct(), "run", "pro")

@@ -113,25 +113,27 @@ def _cells(spark, sf_dir):
         (36 + (k * 7 % 800) / 100).alias("lat"),
         (-9 + (k * 13 % 1200) / 100).alias("lon"),
         (14 + k % 3).cast("int").alias("zoom"),
-        F.when(k % 5 == 0, 0.00125).otherwise(0.01 / F.pow(F.lit(2), k % 3)).alias("cell_deg"),
+        F.when(F.col("c_mktsegment") == "BUILDING", 0.00125)
+        .otherwise(0.01 / F.pow(F.lit(2), k % 3)).alias("cell_deg"),
+        "c_acctbal",
     )
 
 
-_SAT = "c_custkey % 4 < 3"
+_SAT = "c_acctbal > 1000"
 
 
 @query(f"""
 WITH c AS (SELECT c_custkey, 36 + (c_custkey * 7 % 800) / 100 AS lat0, -9 + (c_custkey * 13 % 1200) / 100 AS lon0,
-    14 + c_custkey % 3 AS z, CASE WHEN c_custkey % 5 = 0 THEN 0.00125 ELSE 0.01 / power(2, c_custkey % 3) END AS d FROM customer)
+    14 + c_custkey % 3 AS z, c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.00125 ELSE 0.01 / power(2, c_custkey % 3) END AS d FROM customer)
 SELECT c_custkey, part, round(lat0 + ny * d / 4, 9) AS lat, round(lon0 + ex * d / 4, 9) AS lon, least(z + 1, 16) AS zoom, d / 2 AS cell_deg
 FROM c, (VALUES (0, 1, -1), (1, 1, 1), (2, -1, -1), (3, -1, 1)) q(part, ny, ex) WHERE {_SAT} AND d > 0.002""")
 def divided_cells(spark, sf_dir):
     parts = grid.subdivide(_cells(spark, sf_dir), F.expr(_SAT))
-    return parts.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
+    return parts.drop("c_acctbal").withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
 
 
 @query(f"""
-SELECT count(*) AS heuristic_stops FROM customer WHERE {_SAT} AND c_custkey % 5 = 0""")
+SELECT count(*) AS heuristic_stops FROM customer WHERE {_SAT} AND c_mktsegment = 'BUILDING'""")
 def stopped_cells(spark, sf_dir):
     return grid.heuristic_stops(_cells(spark, sf_dir), F.expr(_SAT)).agg(
         F.count(F.lit(1)).alias("heuristic_stops")
@@ -263,7 +265,7 @@ def towns_of_files(spark, sf_dir):
 
 
 @query(f"""
-WITH {_TOWN_ROWS}, c AS (SELECT t.*, {_CENTRE.replace('c_custkey', 'pos')} FROM t WHERE pos % 2 = 0),
+WITH {_TOWN_ROWS}, c AS (SELECT t.*, {_CENTRE.replace('c_custkey', 'pos')} FROM t WHERE population < 5000),
 cells AS (SELECT *, (i - 3.5) * 0.01 AS dy, (j - 3.5) * 0.01 AS dx
   FROM c, generate_series(0, 7) y(i), generate_series(0, 7) x(j))
 SELECT name, 'bares en ' || name || ', ' || province AS source_query, round(lat0 + dy, 6) AS lat,
@@ -271,7 +273,7 @@ SELECT name, 'bares en ' || name || ', ' || province AS source_query, round(lat0
 WHERE pos % 3 = 2 OR (abs(dx) + abs(dy) < 0.0333 AND abs(dx) + abs(dy) > 0.0133)""")
 def search_work(spark, sf_dir):
     rows = town_rows(spark, sf_dir)
-    done = rows.where(F.col("pos") % 2 == 1).select(F.col("name").alias("municipio_origen"))
+    done = rows.where("population >= 5000").select(F.col("name").alias("municipio_origen"))
     city = F.concat_ws(", ", "name", "province", F.lit("España"))
     placed = outlines(saved_outlines(spark, sf_dir)).drop("display_name")
     named = placed.join(
@@ -280,3 +282,11 @@ def search_work(spark, sf_dir):
     return work_table(rows, named, "bares", done).select(
         "name", "source_query", "lat", "lon", "zoom", "cell_deg"
     )
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_custkey % 90 - 5 <= 0 THEN 3 ELSE least(3, ceil((o_custkey % 90 - 5) / 20)::BIGINT) END AS pages FROM orders""")
+def page_plans(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", T.pages_for(F.col("o_custkey") % 90 - 5).alias("pages")
+    )

@@ -227,11 +227,10 @@ def contact_details(spark, sf_dir):
 @query(f"""
 SELECT url, min(plataforma) AS plataforma, min(email) AS email, min(perfil) AS perfil FROM (
   SELECT url, {PLATFORM_SQL} AS plataforma, {first_email_sql('html')} AS email,
-    {first_handle_sql('html')} AS perfil FROM pages WHERE page_id % 10 <> 4) GROUP BY url""")
+    {first_handle_sql('html')} AS perfil FROM pages WHERE NOT contains(url, '?')) GROUP BY url""")
 def saved_page_features(spark, sf_dir):
-    k = F.col("page_id")
     pages = table(spark, sf_dir, "pages").select(
-        "url", "html", F.when(k % 10 == 4, 404).otherwise(200).alias("status")
+        "url", "html", F.when(F.contains("url", F.lit("?")), 404).otherwise(200).alias("status")
     )
     return page_features(pages, SIGNATURES, CART_WORDS)
 
@@ -269,3 +268,17 @@ def category_types(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     category = F.concat_ws(" ", "p_name", "p_type")
     return part.select("p_partkey", rules.guess_type(category, stems).alias("place_type"))
+
+
+@query(f"""
+WITH {SHOPS_SQL}
+SELECT seq, regexp_matches(lower(web), 'instagram\\.com|facebook\\.com|fb\\.com') AS social,
+  CASE WHEN web = '' THEN 'sin_presencia' WHEN ends_with(nombre, '1') THEN 'ecommerce_funcional' ELSE 'solo_redes_sociales' END AS madurez
+FROM shops""")
+def web_presence(spark, sf_dir):
+    sold = F.endswith("nombre", F.lit("1")) & (F.col("web") != "")
+    return shops(spark, sf_dir).select(
+        "seq",
+        page.is_social(F.col("web")).alias("social"),
+        rules.maturity(F.when(sold, "Sí").otherwise("No"), F.col("web")).alias("madurez"),
+    )

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from vitrina import defaults, model
 from vitrina.functions import geo
 from vitrina.operators import grid
-from vitrina.sources import config, listings, pages, responses
+from vitrina.operators.contact import latest_lookup
+from vitrina.operators.usage import monthly_usage
+from vitrina.sources import config, ledgers, listings, pages, responses
 from vitrina.streaming.append import append_deduped, stored
 from vitrina.streaming.logs import read_log_stream, start_counters
 
@@ -166,3 +168,31 @@ def test_live_counters(spark, tmp_path):
     start_counters(stream, "live", str(tmp_path / "ck")).awaitTermination()
     row = spark.table("live").first()
     assert (row["kind"], row["counters"]["analyzed"]) == ("analysis", "5")
+
+
+def test_ledgers(spark, tmp_path):
+    cache, used = str(tmp_path / "cache"), str(tmp_path / "usage")
+    for ts, url in ((1, "a"), (2, "")):
+        ledgers.append_cache(spark.createDataFrame([("k", url, ts)], model.LOOKUP_CACHE), cache)
+    assert latest_lookup(ledgers.read_cache(spark, cache)).first()["url"] == ""
+    (tmp_path / "c.json").write_text(json.dumps({"k|": {"url": "u", "ts": 5}}), encoding="utf-8")
+    assert tuple(ledgers.cache_from_json(spark, str(tmp_path / "c.json")).first()) == ("k|", "u", 5)
+    row = spark.createDataFrame([(600,)], "requests long").withColumn("run_ts", F.current_timestamp())
+    ledgers.append_usage(row, used)
+    ledgers.append_usage(row, used)
+    assert monthly_usage(ledgers.read_usage(spark, used)).first()["month_requests"] == 1200
+
+
+def test_history_and_logs(spark, tmp_path):
+    runs = [{"job_id": "j1", "city": "Vigo", "started_at": "2026", "status": "done", "valid_count": 4,
+             "output": "o", "params": {"a": "b"}, "category": "c"}, {"job_id": "j2"}]
+    (tmp_path / "h.json").write_text(json.dumps(runs, indent=1), encoding="utf-8")
+    history = ledgers.read_history(spark, str(tmp_path / "h.json"))
+    ledgers.write_history(history, str(tmp_path / "saved"))
+    back = spark.read.schema(model.RUN_HISTORY).json(str(tmp_path / "saved"))
+    assert {r["job_id"]: r["params"] for r in back.collect()} == {"j1": {"a": "b"}, "j2": None}
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "run.1.log").write_text("a\nSTATS discovered=1 processed=1 valid=1 errors=0\nvalid=9\n")
+    lines = ledgers.read_run_logs(spark, str(tmp_path / "logs")).orderBy("line_no").collect()
+    assert [(r["run"], r["line"]) for r in lines][1:] == [
+        ("run.1", "STATS discovered=1 processed=1 valid=1 errors=0"), ("run.1", "valid=9")]

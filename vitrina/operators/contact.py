@@ -84,6 +84,17 @@ def latest_lookup(cache: DataFrame) -> DataFrame:
     return cache.groupBy("key").agg(F.max_by("url", "ts").alias("url"), F.max("ts").alias("ts"))
 
 
+def cache_entries(searched: DataFrame, run_ts: int) -> DataFrame:
+    """What a run adds to the cache: each paid search once, "" when nothing was found.
+
+    ``searched`` is the output of with_budget with key, cost and the handle
+    found; a search that cost nothing has failed and is tried again next time.
+    """
+    paid = searched.where((F.col("search_state") == "paid") & (F.col("cost") > 0))
+    link = F.coalesce(profile_link(F.col("handle")), F.lit(""))
+    return paid.select("key", link.alias("url"), F.lit(run_ts).cast("long").alias("ts"))
+
+
 def resolve_handles(
     listings: DataFrame,
     cache: DataFrame,

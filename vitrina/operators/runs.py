@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vitrina.functions.text import slug, strip, text
 from vitrina.operators.lookups import attach
 from vitrina.operators.ordering import running
+from vitrina.operators.usage import estimate_cost
 
 # The counter lines of the logs. Each counter group is numbered
 # in the order of its names.
@@ -202,3 +203,29 @@ def raw_vs_deduped(raw: DataFrame, deduped: DataFrame) -> DataFrame:
     return deduped.agg(F.count(F.lit(1)).alias("results_deduped")).withColumn(
         "results_raw", before.scalar()
     )
+
+
+def run_metrics(
+    requests: DataFrame, raw: DataFrame, deduped: DataFrame, by: str, tier: str = "enterprise"
+) -> DataFrame:
+    """One row per run: queries, requests, pages, rows before and after, cost.
+
+    ``requests`` has one row per page asked for (run, source_query).
+    """
+    asked = requests.groupBy(by).agg(
+        F.count_distinct("source_query").alias("queries"),
+        F.count(F.lit(1)).alias("requests"),
+    )
+    before = raw.groupBy(by).agg(F.count(F.lit(1)).alias("results_raw"))
+    after = deduped.groupBy(by).agg(F.count(F.lit(1)).alias("results_deduped"))
+    joined = asked.join(before, by, "left").join(after, by, "left")
+    counted = joined.withColumns(
+        {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("results_raw", "results_deduped")}
+    )
+    return counted.withColumns(
+        {
+            "pages": F.col("requests"),
+            "tier": F.lit(tier),
+            "run_est_cost_usd": estimate_cost(F.col("requests"), tier),
+        }
+    )

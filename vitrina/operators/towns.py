@@ -55,11 +55,11 @@ def search_targets(towns: DataFrame, category: str) -> DataFrame:
     )
 
 
-def pages_for(max_results: int) -> int:
+def pages_for(max_results: Column) -> Column:
     """Pages to ask for: all when there is no limit, else what the limit needs."""
-    if max_results <= 0:
-        return defaults.MAX_PAGES
-    return min(defaults.MAX_PAGES, -(-max_results // defaults.RESULTS_PER_PAGE))
+    needed = F.ceil(max_results / defaults.RESULTS_PER_PAGE)
+    most = F.lit(defaults.MAX_PAGES).cast("long")
+    return F.when(max_results <= 0, most).otherwise(F.least(most, needed))
 
 
 def skip_processed(targets: DataFrame, done: DataFrame, name: str = "name") -> DataFrame:
