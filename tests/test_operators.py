@@ -355,7 +355,7 @@ def town_table(spark):
     return spark.createDataFrame(TOWNS, "region string, province string, name string, population int, pos int")
 
 
-def test_towns(spark):
+def test_towns(spark, monkeypatch):
     dim = town_table(spark)
     assert [r[0] for r in towns.regions(dim).collect()] == ["Cataluña", "Galicia"]
     assert [r["name"] for r in towns.region_towns(dim, "Galicia", 5000).collect()] == ["Carballo", "Vigo"]
@@ -364,6 +364,9 @@ def test_towns(spark):
     rows = spark.createDataFrame([(" vigo",), ("BARCELONA",), ("Inventado",), ("",)], "municipio_origen string")
     got = {r["municipio_origen"]: r["poblacion"] for r in towns.town_population(rows, dim).collect()}
     assert got == {" vigo": 293642, "BARCELONA": 1620343, "Inventado": 0, "": 0}
+    monkeypatch.setattr(towns, "BROADCAST_TOWNS", 1)
+    spread = {r["municipio_origen"]: r["poblacion"] for r in towns.town_population(rows, dim).collect()}
+    assert spread == got
     target = towns.search_targets(dim.where("pos = 0"), "bares").first()
     assert (target["city"], target["source_query"]) == ("Vigo, Pontevedra, España", "bares en Vigo, Pontevedra")
     done = spark.createDataFrame([("VIGO ",), ("",)], "municipio_origen string")

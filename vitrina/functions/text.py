@@ -114,21 +114,35 @@ def business_slug(c: Column) -> Column:
     return let(letters, lambda s: F.when(s == "", "negocio").otherwise(s))
 
 
+# Fixed value: punctuation that parts the words of a brand.
+_BRAND_SIGNS = "-_,.|/&"
+_SPACES = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
+_DIGITS = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd")
+
+
+def brand_words(c: Column) -> Column:
+    """Lower-case words of a name without bracketed parts and digits."""
+    low = F.lower(text(c))
+    open_text = F.when(low.contains("("), F.regexp_replace(low, r"\([^)]*\)", "")).otherwise(low)
+    # Signs and spaces become ' '; the digits have no counterpart and vanish.
+    gaps = _BRAND_SIGNS + _SPACES
+    plain = F.translate(open_text, gaps + _DIGITS, " " * len(gaps))
+    return F.filter(F.split(plain, " "), lambda w: w != "")
+
+
 def brand_norm(c: Column) -> Column:
     """Name without bracketed parts, digits and punctuation."""
-    plain = F.regexp_replace(F.lower(text(c)), r"(?U)\([^)]*\)|\d+", "")
-    return F.trim(F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f\-_,.|/&]+", " "))
+    return F.array_join(brand_words(c), " ")
 
 
 def brand_key(name: Column, town: Column) -> Column:
     """Normalised name without the words of the town, unless nothing is left."""
 
     def shorten(v: Column) -> Column:
-        kept = F.filter(F.split(v["norm"], " "), lambda w: ~F.array_contains(v["town"], w))
-        return F.coalesce(F.nullif(F.array_join(kept, " "), F.lit("")), v["norm"])
+        kept = F.filter(v["name"], lambda w: ~F.array_contains(v["town"], w))
+        return F.array_join(F.when(F.size(kept) > 0, kept).otherwise(v["name"]), " ")
 
-    town_words = F.split(brand_norm(town), " ")
-    return let(F.struct(brand_norm(name).alias("norm"), town_words.alias("town")), shorten)
+    return let(F.struct(brand_words(name).alias("name"), brand_words(town).alias("town")), shorten)
 
 
 def words(c: Column) -> Column:

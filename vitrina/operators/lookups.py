@@ -71,6 +71,11 @@ def attach(
     )
 
 
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether a table has at most this many rows; reads no more than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def without(left: DataFrame, gone: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """Rows whose key is not in ``gone`` (one row per key)."""
     flagged = attach(left, gone.select(key).withColumn("_gone", F.lit(True)), key, counts)

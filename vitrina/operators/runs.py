@@ -47,14 +47,12 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
             F.array(*[F.lit(f) for f in fields]),
             F.array(*[F.regexp_extract(line, pattern, i + 1) for i in range(len(fields))]),
         )
-        hit = line.rlike(pattern)
-        kind = (F if kind is None else kind).when(hit, name)
-        counters = (F if counters is None else counters).when(hit, values)
-    return (
-        lines.withColumns({"kind": kind, "counters": counters})
-        .where(F.col("kind").isNotNull())
-        .drop("line")
-    )
+        kind = (F if kind is None else kind).when(line.rlike(pattern), name)
+        counters = (F if counters is None else counters).when(F.col("kind") == name, values)
+    # Most lines have no counters; a plain search tells before the patterns do.
+    likely = line.contains("valid=") | line.contains("STATS ") | line.contains("IGBUDGET ")
+    known = lines.where(likely).withColumn("kind", kind).where(F.col("kind").isNotNull())
+    return known.withColumn("counters", counters).drop("line")
 
 
 def latest_counters(parsed: DataFrame, order: str = "line_no") -> DataFrame:

@@ -7,10 +7,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vitrina import defaults
 from vitrina.functions.text import city_label, search_text, strip, text
 from vitrina.operators.dedup import first_per_key
-from vitrina.operators.lookups import attach
+from vitrina.operators.lookups import attach, fits
 from vitrina.operators.ordering import numbered
 
 
+# Up to this many towns are broadcast to the listings.
+BROADCAST_TOWNS = 100_000
+
+
 def name_key(name: Column) -> Column:
     return F.nullif(F.lower(strip(text(name))), F.lit(""))
 
@@ -27,7 +31,11 @@ def town_population(
     """
     first = first_per_key(towns.withColumn("_town", name_key(F.col("name"))), "_town", "pos")
     known = first.select("_town", F.col("population").alias("poblacion"))
-    joined = attach(listings.withColumn("_town", name_key(F.col(town))), known, "_town", counts)
+    named = listings.withColumn("_town", name_key(F.col(town)))
+    if fits(towns, BROADCAST_TOWNS):
+        joined = named.join(F.broadcast(known), "_town", "left")
+    else:
+        joined = attach(named, known, "_town", counts)
     return joined.withColumn("poblacion", F.coalesce("poblacion", F.lit(0))).drop("_town")
 
 
@@ -90,7 +98,7 @@ TOWN_FILE_ROWS = 200_000
 
 def town_file(towns: DataFrame) -> DataFrame:
     """One row per region in the layout of the town file."""
-    if towns.limit(TOWN_FILE_ROWS + 1).count() > TOWN_FILE_ROWS:
+    if not fits(towns, TOWN_FILE_ROWS):
         raise ValueError("too many towns for one file; write towns_by_region instead")
     return towns.groupBy("region").agg(
         F.array_sort(F.collect_set("province")).alias("provincias"),

@@ -9,6 +9,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from vitrina.operators.dedup import dedup_two_keys
 from vitrina.operators.durable import keep
+from vitrina.operators.lookups import fits
 from vitrina.operators.ordering import first_n
 
 # A batch of at most this many rows is sent to the stored keys; a larger one is
@@ -94,7 +95,7 @@ def _unknown(batch: DataFrame, earlier: DataFrame, url_key: str, row_key: str) -
     """
     for key in (url_key, row_key):
         own = batch.select(key).where(F.col(key).isNotNull()).distinct()
-        if own.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        if fits(own, BROADCAST_ROWS):
             own = F.broadcast(own)
         known = earlier.select(key).join(own, key, "left_semi").distinct()
         batch = batch.join(known, key, "left_anti")
