@@ -14,9 +14,7 @@ from vitrina.functions.handles import best_profile, matches_business
 from vitrina.operators.brands import (
     count_by_brand, distinct_brands, with_brand_key, with_store_count,
 )
-from vitrina.operators.contact import (
-    latest_lookup, one_per_url, page_features, search_key,
-)
+from vitrina.operators.contact import latest_lookup, page_features, search_key
 from vitrina.operators.dedup import first_per_full_url, first_per_key, with_keys
 from vitrina.operators.lookups import attach
 from vitrina.operators.nearest import with_nearest_site
@@ -333,7 +331,7 @@ def analysed(spark, sf_dir, keep_excluded=False):
     pages = table(spark, sf_dir, "pages").select(
         "url", "html", F.when(F.endswith("url", F.lit("#top")), 500).alias("status")
     )
-    features = one_per_url(page_features(pages, SIGNATURES, CART_WORDS))
+    features = page_features(pages, SIGNATURES, CART_WORDS)
     return analyse(
         shops(spark, sf_dir), features, towns(spark, sf_dir), SITES, BRANDS,
         own_platform="Casa", keep_excluded=keep_excluded,
@@ -472,10 +470,11 @@ def resolved_handles(spark, sf_dir):
 
 @query(f"""
 WITH {ANALYSIS_SQL}
-SELECT count(*) AS total, count_if(excluded) AS filtered, count_if(NOT excluded) AS analyzed,
-  count_if(NOT excluded AND es_tienda = 'Sí') AS stores, count_if(NOT excluded AND page_error) AS errors,
-  count_if(NOT excluded AND perfil IS NOT NULL) AS ig_web, 0 AS ig_dataforseo,
-  count_if(NOT excluded AND perfil IS NULL) AS ig_none FROM ready""")
+SELECT count(*) AS total, count(*) FILTER (WHERE excluded) AS filtered, count(*) FILTER (WHERE NOT excluded) AS analyzed,
+  count(*) FILTER (WHERE NOT excluded AND es_tienda = 'Sí') AS stores,
+  count(*) FILTER (WHERE NOT excluded AND page_error) AS errors,
+  count(*) FILTER (WHERE NOT excluded AND perfil IS NOT NULL) AS ig_web, 0::BIGINT AS ig_dataforseo,
+  count(*) FILTER (WHERE NOT excluded AND perfil IS NULL) AS ig_none FROM ready""")
 def analysis_counts(spark, sf_dir):
     rows = analysed(spark, sf_dir, keep_excluded=True)
     return analysis_summary(

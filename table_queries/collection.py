@@ -275,8 +275,9 @@ def collected(spark, sf_dir):
 @query("""
 WITH r AS (SELECT *, c_custkey % 17 > 0 AS named FROM customer),
 v AS (SELECT c_nationkey, count(DISTINCT (c_mktsegment, c_custkey % 23)) AS valid FROM r WHERE named GROUP BY 1)
-SELECT c_nationkey AS town, count(*) AS discovered, count_if(named) AS processed, count_if(NOT named) AS errors,
-  coalesce(any_value(valid), 0) AS valid, count_if(named) - coalesce(any_value(valid), 0) AS duplicates
+SELECT c_nationkey AS town, count(*) AS discovered, count(*) FILTER (WHERE named) AS processed,
+  count(*) FILTER (WHERE NOT named) AS errors, coalesce(any_value(valid), 0) AS valid,
+  count(*) FILTER (WHERE named) - coalesce(any_value(valid), 0) AS duplicates
 FROM r LEFT JOIN v USING (c_nationkey) GROUP BY 1""")
 def collection_counts(spark, sf_dir):
     rows = collected(spark, sf_dir)

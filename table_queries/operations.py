@@ -81,8 +81,8 @@ def budget_states(spark, sf_dir):
 
 
 @query(f"""
-WITH {_BUDGET_SQL} SELECT run, round(sum(cost) FILTER (WHERE ok), 6) AS spent, count_if(NOT ok) AS pending, 6.0::DOUBLE AS cap,
-  round(count_if(NOT ok) * arg_max(cost, (ts, event_id)) FILTER (WHERE ok AND cost > 0) + 0.004, 2) AS est FROM f GROUP BY run""")
+WITH {_BUDGET_SQL} SELECT run, round(sum(cost) FILTER (WHERE ok), 6) AS spent, count(*) FILTER (WHERE NOT ok) AS pending, 6.0::DOUBLE AS cap,
+  round(count(*) FILTER (WHERE NOT ok) * arg_max(cost, (ts, event_id)) FILTER (WHERE ok AND cost > 0) + 0.004, 2) AS est FROM f GROUP BY run""")
 def budget_reports(spark, sf_dir):
     rows = searches(spark, sf_dir).withColumn("run", F.col("user_id") % 3)
     order = ["ts", "event_id"]

@@ -154,7 +154,7 @@ def _level_sql(level: int) -> str:
 WITH p AS (SELECT 40 + power((o_orderkey * 7919 % 1009) / 1009, 3) / 5 AS lat, -4 + power((o_orderkey * 104729 % 1013) / 1013, 2) / 5 AS lon FROM orders),
 fine AS (SELECT floor(lat / 0.00125) AS iy, floor(lon / 0.00125) AS ix, count(*) AS n FROM p GROUP BY 1, 2),
 {", ".join(_level_sql(i) for i in range(4))}
-{" UNION ALL ".join(f"SELECT iy::BIGINT AS iy, ix::BIGINT AS ix, {i} AS level, {0.01 / 2**i} AS cell_deg, {min(14 + i, 16)} AS zoom, n::BIGINT AS n FROM l{i}" + (" WHERE n < 120" if i < 3 else "") for i in range(4))}""")
+{" UNION ALL ".join(f"SELECT iy::BIGINT AS iy, ix::BIGINT AS ix, {i} AS level, {0.01 / 2**i}::DOUBLE AS cell_deg, {min(14 + i, 16)} AS zoom, n::BIGINT AS n FROM l{i}" + (" WHERE n < 120" if i < 3 else "") for i in range(4))}""")
 def dense_cells(spark, sf_dir):
     k = F.col("o_orderkey")
     points = table(spark, sf_dir, "orders").select(
@@ -165,7 +165,7 @@ def dense_cells(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, z AS pos, 36 + o_orderkey % 8 + 0.5 AS lat, -9 + o_orderkey % 12 + z AS lon,
+SELECT o_orderkey, z AS pos, (36 + o_orderkey % 8 + 0.5)::DOUBLE AS lat, (-9 + o_orderkey % 12 + z)::DOUBLE AS lon,
   CASE WHEN (o_orderkey + z) % 2 = 0 THEN 15 ELSE 14 END AS zoom, 0.01::DOUBLE AS cell_deg
 FROM orders, (VALUES (0), (1)) t(z)""")
 def zone_cells(spark, sf_dir):

@@ -22,6 +22,11 @@ def sql_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def _kind(name: str) -> str:
+    name = name.lower()
+    return {"bigint": "int", "integer": "int", "varchar": "string", "float": "double"}.get(name, name)
+
+
 def _plain(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else float(f"{value:.9g}")
@@ -47,6 +52,10 @@ def differences(spark, con, fn, sql: str, sf_dir: str) -> list[str]:
     names = sorted(df.columns)
     if names != sorted(sql_names):
         return [f"columns {names} != {sorted(sql_names)}"]
+    sql_kinds = {c[0]: _kind(str(c[1])) for c in result.description}
+    kinds = {f.name: _kind(f.dataType.simpleString()) for f in df.schema}
+    if kinds != sql_kinds:
+        return [f"types {kinds} != {sql_kinds}"]
     got = _sorted(df.select(*[f"`{n}`" for n in names]).collect())
     order = [sql_names.index(n) for n in names]
     want = _sorted([row[i] for i in order] for row in result.fetchall())

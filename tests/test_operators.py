@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,10 @@ def test_attach_with_hot_and_null_keys(spark):
             assert r["v"] == 1
         else:
             assert r["v"] == (int(r["k"]) if int(r["k"]) % 2 == 0 else None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = lookups.attach(left, lookup, "k")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(k#\d+, _to#\d+", plan)  # hot rows are spread
     hot_less = lookups.attach(left, lookup.where("k <> 'hot'"), "k").where("k = 'hot'")
     assert hot_less.where("v is null").count() == 1000
     assert lookups.without(left, lookup, "k").where("k = 'hot'").count() == 0

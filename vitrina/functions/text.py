@@ -122,8 +122,8 @@ _DIGITS = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)
 
 def brand_words(c: Column) -> Column:
     """Lower-case words of a name without bracketed parts and digits."""
-    low = F.lower(text(c))
-    open_text = F.when(low.contains("("), F.regexp_replace(low, r"\([^)]*\)", "")).otherwise(low)
+    bracketed = F.regexp_replace(c, r"\([^)]*\)", "")
+    open_text = F.lower(text(F.when(c.contains("("), bracketed).otherwise(c)))
     # Signs and spaces become ' '; the digits have no counterpart and vanish.
     gaps = _BRAND_SIGNS + _SPACES
     plain = F.translate(open_text, gaps + _DIGITS, " " * len(gaps))

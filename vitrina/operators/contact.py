@@ -81,7 +81,8 @@ def search_key(name: Column, town: Column) -> Column:
 
 def latest_lookup(cache: DataFrame) -> DataFrame:
     """The newest entry of each key (key, url, ts)."""
-    return cache.groupBy("key").agg(F.max_by("url", "ts").alias("url"), F.max("ts").alias("ts"))
+    newest = cache.groupBy("key").agg(F.max_by("url", "ts").alias("url"), F.max("ts").alias("ts"))
+    return newest.withColumn("url", F.coalesce("url", F.lit("")))
 
 
 def cache_entries(searched: DataFrame, run_ts: int) -> DataFrame:
@@ -118,7 +119,9 @@ def resolve_handles(
     hits = latest_lookup(cache).select("key", F.col("url").alias("_cached"))
     looked = keep(attach(keyed, hits, "key"), "looked")
 
-    searched = attach(looked.where(F.col("_cached").isNull()), searches, "key").select(
+    # Of a search saved more than once the paid response counts.
+    responses = first_per_key(searches, "key", F.col("cost").desc())
+    searched = attach(looked.where(F.col("_cached").isNull()), responses, "key").select(
         seq,
         "key",
         best_profile(F.col("items"), F.col("nombre"), F.col("municipio_origen")).alias("_found"),

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina.functions.text import strip, text
 from vitrina.operators.durable import keep
@@ -31,7 +31,7 @@ def with_keys(listings: DataFrame) -> DataFrame:
     )
 
 
-def first_per_key(df: DataFrame, key: str | list[str], *order: str) -> DataFrame:
+def first_per_key(df: DataFrame, key: str | list[str], *order: str | Column) -> DataFrame:
     """The first row of each key.
 
     ``row_number = 1`` lets Spark keep one row per key in every map task before

@@ -13,7 +13,7 @@ from vitrina.functions.text import strip, text
 from vitrina.operators.brands import (
     count_by_brand, names_brand, with_brand_key, with_store_count,
 )
-from vitrina.operators.contact import page_address, resolve_handles, with_page
+from vitrina.operators.contact import one_per_url, page_address, resolve_handles, with_page
 from vitrina.operators.dedup import first_per_key, with_keys
 from vitrina.operators.durable import keep
 from vitrina.operators.lookups import key_counts
@@ -35,8 +35,8 @@ def analyse(
 ) -> DataFrame:
     """Score every listing that is no excluded brand.
 
-    ``listings`` has the listing columns and ``seq``; ``features`` is
-    page_features, one row per url; ``towns`` has name, population, pos.
+    ``listings`` has the listing columns and ``seq``; ``features`` comes from
+    page_features; ``towns`` has name, population, pos.
     Shops per brand are counted over all listings, excluded ones included,
     so the brand filter comes after that count. ``keep_excluded`` leaves the
     excluded rows in, marked by ``excluded``, for the summary.
@@ -53,7 +53,7 @@ def analyse(
     if not keep_excluded:
         marked = marked.where(~F.col("excluded")).drop("excluded")
     placed = town_population(marked, towns, counts=per_town)
-    read = with_page(placed, features, per_page)
+    read = with_page(placed, one_per_url(features), per_page)
     spot = coordinates(F.col("lat"), F.col("lon"), F.col("maps_url"))
     ready = read.withColumns(
         {

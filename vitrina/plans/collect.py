@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from vitrina import defaults
 from vitrina.functions.text import clean_rating, clean_text
 from vitrina.operators.dedup import dedup_two_keys, first_per_full_url, with_keys
+from vitrina.operators.durable import keep
 from vitrina.operators.grid import grid_cells
 from vitrina.operators.ordering import first_n
 from vitrina.operators.runs import require_name
@@ -38,7 +39,8 @@ def clean_listings(listings: DataFrame) -> DataFrame:
 
 def collect_pages(listings: DataFrame, max_records: int = 0, seq: str = "seq") -> DataFrame:
     """Listings of detail pages: cleaned, named, without duplicates by either key."""
-    named = require_name(clean_listings(listings))
+    # Kept, as de-duplication reads its rows twice and the pages are costly to read.
+    named = keep(require_name(clean_listings(listings)), "named")
     unique = dedup_two_keys(with_keys(named), seq).drop("url_key", "fallback_key")
     return first_n(unique, max_records, seq)
 
