@@ -24,7 +24,7 @@ def test_listing_files_keep_odd_texts(spark, tmp_path):
 
 def test_listing_file_of_an_older_layout(spark, tmp_path):
     (tmp_path / "a.csv").write_text('nombre,web,telefono\n"A ""x"", y",w,1\nB,,2\n', encoding="utf-8")
-    (tmp_path / "b.csv").write_text("nombre,web,telefono\nC,z,\n", encoding="utf-8")
+    (tmp_path / "b ñ%20.csv").write_text("nombre,web,telefono\nC,z,\n", encoding="utf-8")
     got = listings.read_listings(spark, str(tmp_path), ordered=True).orderBy("seq").collect()
     assert [(r["nombre"], r["web"], r["telefono"], r["lat"]) for r in got] == [
         ('A "x", y', "w", "1", ""), ("B", "", "2", ""), ("C", "z", "", "")]
@@ -148,15 +148,16 @@ def test_stream_of_many_files_is_one_pass(spark, tmp_path):
 
 
 def test_replayed_batch_writes_the_same_rows(spark, tmp_path):
-    from vitrina.streaming.append import append_batch
+    from vitrina.streaming.append import append_batch, seed_output
 
     schema = "seq long, url_key string, fallback_key string"
     first = spark.createDataFrame([(0, "a", "x"), (1, "a", "y")], schema)
     second = spark.createDataFrame([(2, "b", "x"), (3, "b", "z")], schema)
     out = str(tmp_path / "out")
+    seed_output(spark.createDataFrame([(-5, "q", "y")], schema), out)
     for n, batch in ((0, first), (1, second), (1, second)):
         append_batch(batch, n, out, batch.schema, "seq", "url_key", "fallback_key")
-    assert sorted(r["seq"] for r in stored(spark, out, first.schema).collect()) == [0, 3]
+    assert sorted(r["seq"] for r in stored(spark, out, first.schema).collect()) == [-5, 0, 3]
 
 
 def test_live_counters(spark, tmp_path):

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrina import model
-from vitrina.operators.ordering import with_order
+from vitrina.operators.durable import keep
+
+_ROW_BITS = 33
+# Up to this many file names are broadcast to the rows.
+BROADCAST_FILES = 100_000
 
 _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
@@ -13,26 +19,47 @@ _CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encodin
 def read_listings(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
     """Listings of CSV files with a header, or of a Parquet table; '' for missing.
 
-    The columns of a CSV file are found by its header, whatever their order;
-    columns that older files lack are empty. ``ordered`` adds ``seq``, the
-    position over files by name and rows in a file.
+    The columns of CSV files are found by their header; columns that older
+    files lack are empty. ``ordered`` adds ``seq``, the position over files by
+    name and rows in a file, and keeps the table in the shared folder.
     """
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
-        position = F.col("_metadata.row_index")
+        row = F.col("_metadata.row_index")
     else:
         header = spark.read.options(**_CSV | {"multiLine": False}).csv(path).columns
         schema = ", ".join(f"`{c}` string" for c in header)
         df = spark.read.options(**_CSV, enforceSchema=False).schema(schema).csv(path)
-        # A file with quoted line breaks is read by one task, from its start.
-        position = F.monotonically_increasing_id()
+        # A file with quoted line breaks is read by one task, from its start, so
+        # the place in the task's part of the rows follows the file.
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    files = df.inputFiles()
     if ordered:
-        df = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": position})
+        file = F.regexp_replace("_metadata.file_path", r"\A([^:/]+:)/+", "$1/")
+        df = df.withColumns({"_file": file, "_row": row})
     for column in model.LISTING_COLUMNS:
         if column not in df.columns:
             df = df.withColumn(column, F.lit(""))
     df = df.fillna("")
-    return with_order(df, "_file", "_row").drop("_file", "_row") if ordered else df
+    return _numbered(df, files) if ordered else df
+
+
+def _numbered(df: DataFrame, files: list[str]) -> DataFrame:
+    """seq out of the file's rank and the row's place, without moving the rows.
+
+    Kept, as the places in a CSV file's part hold for one reading only.
+    """
+    # The two spellings of a path differ in the slashes after the scheme.
+    ranks = df.sparkSession.createDataFrame(
+        [(re.sub("(?<=:)/+", "/", f, count=1), i) for i, f in enumerate(sorted(files))],
+        "_file string, _rank long",
+    )
+    if len(files) <= BROADCAST_FILES:
+        ranks = F.broadcast(ranks)
+    placed = df.join(ranks, "_file", "left")
+    rank = F.coalesce("_rank", F.raise_error(F.concat(F.lit("unlisted file "), F.col("_file"))))
+    seq = F.shiftleft(rank.cast("long"), _ROW_BITS) + F.col("_row")
+    return keep(placed.withColumn("seq", seq).drop("_file", "_row", "_rank"), "listings")
 
 
 def write_listings(df: DataFrame, path: str) -> None:

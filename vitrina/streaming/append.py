@@ -48,6 +48,11 @@ def append_deduped(
     )
 
 
+def seed_output(rows: DataFrame, output: str) -> None:
+    """Put rows of an earlier output, with their keys, before all batches."""
+    rows.write.mode("overwrite").parquet(f"{output}/batch=-1")
+
+
 def append_batch(
     batch: DataFrame,
     batch_id: int,
