@@ -212,7 +212,9 @@ def detail_page_listings(spark, sf_dir):
 
 
 @query(r"""
-SELECT url, replace(trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS nombre
+SELECT url, replace(replace(replace(replace(replace(replace(
+  trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')),
+  '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS nombre
 FROM pages""")
 def page_names(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
