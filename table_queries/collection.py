@@ -211,11 +211,20 @@ def detail_page_listings(spark, sf_dir):
     return listings_from_detail_pages(detail_pages(spark, sf_dir), F.lit("q"), F.lit("t"))
 
 
-@query(r"""
-SELECT url, replace(replace(replace(replace(replace(replace(
-  trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')),
-  '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS nombre
-FROM pages""")
+def _entities_sql(text: str) -> str:
+    """Entities decoded, also those that a page's end has cut before the ';'."""
+    for entity, sign in (
+        ("&quot;?", "'\"'"), ("&#(x27|39);?", "chr(39)"), ("&lt;?", "'<'"), ("&gt;?", "'>'"),
+        ("&amp;?", "'&'"),
+    ):
+        text = f"regexp_replace({text}, '{entity}', {sign}, 'g')"
+    return text
+
+
+_HEADING = r"trim(regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT url, {_entities_sql(_HEADING)} AS nombre FROM pages")
 def page_names(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     listed = listings_from_detail_pages(pages, F.lit("q"), F.lit("t"))
