@@ -1,6 +1,7 @@
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from table_queries import QUERIES, SQL
 from tests.compare import differences, sql_connection
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -12,12 +13,12 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert QUERIES.keys() == SQL.keys()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, con, name):
-    assert differences(spark, con, queries()[name], oracle_sql()[name], SF_DIR) == []
+    assert differences(spark, con, QUERIES[name], SQL[name], SF_DIR) == []
 
 
 def test_entry(spark):
