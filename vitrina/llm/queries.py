@@ -126,3 +126,24 @@ def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vitrina.llm.minhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrina.llm.vectors import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrina.llm.wrappers import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+@query()
+def op6_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrina.llm.repeats import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
