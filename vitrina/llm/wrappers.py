@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vitrina.llm.common import keep
@@ -72,38 +73,45 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             at = end.start() if end else size
 
 
-def texts(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
-    """Path, whether a new block begins here, and text. Dropped elements' paths hold a "!"."""
+def texts(page: str) -> Iterator[tuple[list[str], list[int], bool, str]]:
+    """Path, its elements' numbers, whether a new block begins here, and text.
+
+    The names of dropped elements end in "!".
+    """
     path: list[str] = []
     tags: list[str] = []
-    fresh = True
+    numbers: list[int] = []
+    fresh, number = True, 0
+
+    def close(upto: str) -> None:
+        while tags.pop() != upto:
+            path.pop(), numbers.pop()
+        path.pop(), numbers.pop()
+
     for kind, value, rest in events(page):
         if kind == "text":
-            yield tuple(path[:DEPTH]), fresh, value
+            yield path[:DEPTH], numbers[:DEPTH], fresh, value
             fresh = False
             continue
         fresh = fresh or value in BLOCKS
         if kind == "close":
             if value in tags:
-                while tags.pop() != value:
-                    path.pop()
-                path.pop()
+                close(value)
             continue
         if value in VOID:
             continue
         if value in BLOCKS and "p" in tags:
-            while tags.pop() != "p":
-                path.pop()
-            path.pop()
+            close("p")
         while tags and tags[-1] in CLOSES.get(value, ()):
-            tags.pop()
-            path.pop()
+            close(tags[-1])
         labels = " ".join(LABEL.findall(rest)).lower() if rest else ""
         in_main = any(t in MAIN for t in tags)
         dropped = value in DROPPED or (value == "header" and not in_main)
         dropped = dropped or (value not in (*MAIN, "body", "html") and bool(NOISE.search(labels)))
+        number += 1
         tags.append(value)
         path.append(value + "!" * dropped)
+        numbers.append(number)
 
 
 # A wrapper is a tree: [tag, optional, repeated, constant, children]. A text has the tag
@@ -111,21 +119,25 @@ def texts(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
 
 
 def page_wrapper(page: str) -> list:
-    """The page's own expression: its tree, with runs of equal elements as repeated groups."""
-    root: list = ["", False, False, None, []]
+    """The page's own expression: its tree, with runs of equal elements as repeated groups.
+
+    The root's constant tells pages apart.
+    """
+    digest = hashlib.blake2b(page.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    root: list = ["", False, False, digest, []]
     open_: list[list] = [root]
-    above: tuple[str, ...] = ()
-    for path, _, text in texts(page):
+    above: list[int] = []
+    for path, numbers, _, text in texts(page):
         text = " ".join(html.unescape(text).split())
         same = 0
-        while same < min(len(path), len(above)) and path[same] == above[same] and same + 1 < len(open_):
+        while same < min(len(numbers), len(above)) and numbers[same] == above[same]:
             same += 1
         del open_[same + 1 :]
         for tag in path[same:]:
             node = [tag, False, False, None, []]
             open_[-1][4].append(node)
             open_.append(node)
-        above = path
+        above = numbers
         if text:
             open_[-1][4].append(["#", False, False, text if len(text) < 200 else None, []])
     return _folded(root)
@@ -166,11 +178,20 @@ def merge(a: list, b: list) -> list:
     return [a[0], a[1] or b[1], a[2] or b[2], constant, squeezed]
 
 
+def joined(a: list, b: list) -> list:
+    """Wrapper of the pages of both; its root is marked if they differ."""
+    if a == b:
+        return a
+    both = merge(a, b)
+    both[2] = True
+    return both
+
+
 def content_paths(wrapper: list) -> list[list[str]]:
     """Paths whose text slots are main text: in articles, in main elements, elsewhere.
 
     Inside an article or main element every text counts; elsewhere only slots do, not
-    constants. Paths through dropped elements never count. A page takes the first of the
+    constants, unless the host has but one page to tell them by. Paths through dropped elements never count. A page takes the first of the
     three lists on which it has any text.
     """
     found: dict[str, set[str]] = {"article": set(), "main": set(), "": set()}
@@ -183,7 +204,7 @@ def content_paths(wrapper: list) -> list[list[str]]:
                 walk(kid, (*path, kid[0]))
                 continue
             region = next((m for m in MAIN if m in path), "")
-            if region or kid[3] is None:
+            if region or kid[3] is None or not wrapper[2]:
                 found[region].add("/".join(path))
 
     walk(wrapper, ())
@@ -192,7 +213,7 @@ def content_paths(wrapper: list) -> list[list[str]]:
 
 def main_text(page: str, paths: list[set[str]]) -> str:
     """Blocks of the page's texts on the paths of the first list that gives any."""
-    runs = [("/".join(path), fresh, text) for path, fresh, text in texts(page)]
+    runs = [("/".join(path), fresh, text) for path, _, fresh, text in texts(page)]
     for chosen in paths:
         blocks: list[list[str]] = []
         pending = True
@@ -210,6 +231,10 @@ def main_text(page: str, paths: list[set[str]]) -> str:
     return ""
 
 
+def _strings(**columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in columns.values()], names=list(columns))
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """One row per _host with its wrapper (JSON), from rows of _host, _html.
 
@@ -218,32 +243,34 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     """
     most_hosts = 2_000
 
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list] = {}
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"_host": list(known), "wrapper": [json.dumps(w) for w in known.values()]})
+        def out() -> pa.RecordBatch:
+            return _strings(_host=list(known), wrapper=[json.dumps(w) for w in known.values()])
 
-        for frame in frames:
-            for host, page in zip(frame["_host"], frame["_html"]):
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 mine = page_wrapper(page)
-                known[host] = merge(known[host], mine) if host in known else mine
+                known[host] = joined(known[host], mine) if host in known else mine
                 if len(known) > most_hosts:
                     yield out()
                     known.clear()
         yield out()
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        wrappers = [json.loads(w) for w in sorted(frame["wrapper"])]
+    def fold(table: pa.Table) -> pa.Table:
+        wrappers = [json.loads(w) for w in sorted(table.column("wrapper").to_pylist())]
         merged = wrappers[0]
         for other in wrappers[1:]:
-            merged = merge(merged, other)
-        return pd.DataFrame({"_host": [frame["_host"].iloc[0]], "wrapper": [json.dumps(merged)]})
+            merged = joined(merged, other)
+        return pa.Table.from_batches(
+            [_strings(_host=[table.column("_host")[0].as_py()], wrapper=[json.dumps(merged)])]
+        )
 
     schema = "_host string, wrapper string"
-    parts = pages.select("_host", "_html").mapInPandas(local, schema).distinct()
+    parts = pages.select("_host", "_html").mapInArrow(local, schema).distinct()
     dealt = parts.withColumn("_deal", F.pmod(F.xxhash64("wrapper"), F.lit(16)))
-    return dealt.groupBy("_host", "_deal").applyInPandas(fold, schema).groupBy("_host").applyInPandas(fold, schema)
+    return dealt.groupBy("_host", "_deal").applyInArrow(fold, schema).groupBy("_host").applyInArrow(fold, schema)
 
 
 def extract_text(
@@ -263,30 +290,32 @@ def extract_text(
     )
     wrappers = infer_wrappers(plain)
 
-    def paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [json.dumps(content_paths(json.loads(w))) for w in frame["wrapper"]]
-            yield pd.DataFrame({"_host": frame["_host"], "_paths": found})
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [json.dumps(content_paths(json.loads(w))) for w in batch.column(1).to_pylist()]
+            yield _strings(_host=batch.column(0).to_pylist(), _paths=found)
 
-    kept = keep(wrappers.mapInPandas(paths, "_host string, _paths string"), "wrappers")
+    kept = keep(wrappers.select("_host", "wrapper").mapInArrow(paths, "_host string, _paths string"), "wrappers")
 
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[set[str]]] = {}
-        for frame in frames:
+        for batch in batches:
             out = []
-            for page, of_host in zip(frame["_html"], frame["_paths"]):
+            for page, of_host in zip(batch.column(2), batch.column(3).to_pylist()):
                 if of_host not in known:
                     if len(known) > 1_000:
                         known.clear()
                     known[of_host] = [set(p) for p in json.loads(of_host)]
-                out.append(main_text(page, known[of_host]))
-            yield pd.DataFrame({"_id": frame["_id"], "_url": frame["_url"], "text": out})
+                out.append(main_text(page.as_py(), known[of_host]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["_id", "_url", "text"]
+            )
 
     # The planner broadcasts the kept table of paths if it is small; else Spark can split
     # a host with very many pages.
-    joined = plain.join(kept, "_host", "left").select("_id", "_url", "_html", F.coalesce("_paths", F.lit("[]")).alias("_paths"))
+    matched = plain.join(kept, "_host", "left").select("_id", "_url", "_html", F.coalesce("_paths", F.lit("[]")).alias("_paths"))
     kinds = dict(plain.dtypes)
-    texts_ = joined.mapInPandas(extract, f"_id {kinds['_id']}, _url {kinds['_url']}, text string")
+    texts_ = matched.mapInArrow(extract, f"_id {kinds['_id']}, _url {kinds['_url']}, text string")
     return texts_.select(
         F.col("_id").alias(id_col), F.col("_url").alias(url), "text", F.length("text").cast("long").alias("n_chars")
     )
