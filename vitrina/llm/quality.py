@@ -174,5 +174,9 @@ def keep_good(
     outcomes = keep(light.groupBy("_host", "base_failed").agg(F.count(F.lit(1)).alias("_n")), "outcomes")
     hosts = host_verdicts(outcomes, "_host", "base_failed", max_rate, weight="_n")
     rejected = keep(hosts.where(~F.col("host_ok")).select("_host"), "rejected-hosts")
-    good = text_features(whole, "_body").where(~base_failed()).select("_doc", "_host")
+    # The row number keeps the optimizer from copying the counts' expressions into the scan.
+    counted = text_features(whole, "_body").select(
+        "_doc", "_host", base_failed().alias("_failed"), F.monotonically_increasing_id().alias("_row")
+    )
+    good = counted.where(~F.col("_failed") & (F.col("_row") >= 0))
     return good.join(rejected, "_host", "left_anti").select("_doc.*")
