@@ -216,8 +216,9 @@ def test_word_encoder_equals_the_library(text):
     import public_tokenizers
 
     encoder = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want
+    texts = [text, "other words " + text, "", text + text]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
 
 
 def test_lower_bound_and_best_fit():

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import ChainMap
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,8 +19,9 @@ END = 0
 # Pieces that one task packs together.
 PER_PART = 20_000
 MAX_ROUNDS = 8
-# Words the tokenizing task remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+# Words that a worker remembers, and characters of text it encodes together.
+REMEMBERED = 600_000
+TOGETHER = 500_000
 
 # Texts of these characters are split into words here and each word is encoded once;
 # in all other texts the library does everything. No character of the class has a
@@ -26,6 +29,11 @@ REMEMBERED = 400_000
 PLAIN = re.compile("[\\t\\n\\r -~¡-ªº»¿À-ÖØ-öø-ÿ‘’“”–—…]*")
 PLAIN_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªºß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ªºß-öø-ÿ]+")
 
+# Byte-level files write a byte as the character of its number, but for those that are no
+# visible Latin-1 character: they take the numbers from 256 on, in order.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+
 
 class WordEncoder:
     """Ids of texts by a tokenizer file whose words are encoded independently."""
@@ -41,19 +49,52 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._ids([text])[0]
-        words = PLAIN_WORD.findall(text.lower())
+    def _word_ids(self, word: str) -> bytes:
+        """Ids of a single plain word; its bytes stand for characters as in all byte-level files."""
+        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))
+        return np.asarray([t.id for t in tokens], dtype="<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        split = [
+            PLAIN_WORD.findall(t.lower()) if PLAIN.fullmatch(t) and not any(s in t for s in self.special) else None
+            for t in texts
+        ]
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        new: set[str] = set()
+        for words in split:
+            if words:
+                new |= set(words).difference(known)
         if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._ids(new)))
-        return b"".join([known[w] for w in words])
+            coded = {w: self._word_ids(w) for w in new}
+            if len(known) < REMEMBERED:
+                known.update(coded)
+            else:
+                # Full: what came first and so is frequent stays; the rest is encoded again.
+                known = ChainMap(coded, known)
+        return [
+            self._ids([t])[0] if words is None else b"".join([known[w] for w in words])
+            for t, words in zip(texts, split)
+        ]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """Kept by a worker from task to task."""
+    return WordEncoder(path)
+
+
+def _together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about TOGETHER characters, with the place of the first; nulls are empty."""
+    first, held, texts = 0, 0, []
+    for at, value in enumerate(column):
+        texts.append(value.as_py() or "")
+        held += len(texts[-1])
+        if held >= TOGETHER:
+            yield first, texts
+            first, held, texts = at + 1, 0, []
+    if texts:
+        yield first, texts
 
 
 def tokenize(
@@ -77,36 +118,31 @@ def tokenize(
         import public_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(public_tokenizers.path(tokenizer))
+        encoder = _encoder(public_tokenizers.path(tokenizer))
         last = np.asarray([end], dtype="<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            rows, piece, start, length, data = [], [], [], [], []
-            held = 0
-            for at in range(len(texts)):
-                coded = encoder.encode(texts[at].as_py() or "") + last
-                for k, lo in enumerate(range(0, len(coded), step)):
-                    part = coded[lo : lo + step]
-                    rows.append(at)
-                    piece.append(k)
-                    start.append(lo // 4)
-                    length.append(len(part) // 4)
-                    data.append(part)
-                    held += len(part)
-                if held > 4_000_000 or at == len(texts) - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            ids.take(pa.array(rows, pa.int64())),
-                            pa.array(piece, pa.int32()),
-                            pa.array(start, pa.int64()),
-                            pa.array(length, pa.int64()),
-                            pa.array(data, pa.binary()),
-                        ],
-                        names=["_id", "piece", "start", "length", "ids"],
-                    )
-                    rows, piece, start, length, data = [], [], [], [], []
-                    held = 0
+            for lo, texts in _together(batch.column(1)):
+                rows, piece, start, length, data = [], [], [], [], []
+                for at, ids in enumerate(encoder.encode(texts)):
+                    coded = ids + last
+                    for k, cut in enumerate(range(0, len(coded), step)):
+                        part = coded[cut : cut + step]
+                        rows.append(lo + at)
+                        piece.append(k)
+                        start.append(cut // 4)
+                        length.append(len(part) // 4)
+                        data.append(part)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(rows, pa.int64())),
+                        pa.array(piece, pa.int32()),
+                        pa.array(start, pa.int64()),
+                        pa.array(length, pa.int64()),
+                        pa.array(data, pa.binary()),
+                    ],
+                    names=["_id", "piece", "start", "length", "ids"],
+                )
 
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     return plain.mapInArrow(pieces, schema).withColumnRenamed("_id", id_col)
