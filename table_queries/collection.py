@@ -51,8 +51,24 @@ def dedup_two_keys_events(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {two_keys_sql(EVENT_PAIRS)} SELECT seq FROM kept")
 def dedup_two_keys_by_rounds(spark, sf_dir):
-    """The same rows by distributed rounds alone, as for large tables."""
-    return dedup_two_keys(event_keys(spark, sf_dir), one_pass_rows=0).select("seq")
+    """The same rows from a table in another order and in many small tasks."""
+    return dedup_two_keys(event_keys(spark, sf_dir).repartition(23, "fallback_key")).select("seq")
+
+
+@query("""
+SELECT event_id AS seq FROM (
+  SELECT event_id, row_number() OVER (PARTITION BY event_id - nth ORDER BY event_id) AS place
+  FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS nth FROM events))
+WHERE place % 2 = 1""")
+def dedup_key_chain(spark, sf_dir):
+    """Every event shares a key with the one before: one chain, of which every other row stays."""
+    e = F.col("event_id")
+    chained = table(spark, sf_dir, "events").select(
+        e.alias("seq"),
+        F.floor((e + 1) / 2).cast("string").alias("url_key"),
+        F.floor(e / 2).cast("string").alias("fallback_key"),
+    )
+    return dedup_two_keys(chained).select("seq")
 
 
 _SHOP_PAIRS = """SELECT CASE WHEN maps_url <> '' THEN 'u' || maps_url

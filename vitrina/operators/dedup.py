@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina.functions.text import strip, text
 from vitrina.operators.durable import keep
-from vitrina.operators.lookups import without
-
-# Open pairs up to this number are settled in one sorted pass; more are never
-# brought together.
-ONE_PASS_ROWS = 200_000
-# A round that leaves more than this part of the open pairs is slow.
-SLOW_ROUND = 0.9
 
 
 def with_keys(listings: DataFrame) -> DataFrame:
@@ -51,73 +42,82 @@ def first_per_full_url(listings: DataFrame, *order: str) -> DataFrame:
 
 
 def dedup_two_keys(
-    df: DataFrame,
-    seq: str = "seq",
-    url_key: str = "url_key",
-    row_key: str = "fallback_key",
-    one_pass_rows: int = ONE_PASS_ROWS,
+    df: DataFrame, seq: str = "seq", url_key: str = "url_key", row_key: str = "fallback_key"
 ) -> DataFrame:
     """Keep a row unless one of its keys belongs to an earlier kept row.
 
-    ``seq`` is a unique long in arrival order. Only the first row of each pair
-    of keys can be kept, so the work starts from pairs. In each round a pair
-    that comes first for both its keys is kept, and all pairs that share a key
-    with it are dropped, until few enough pairs are open for one sorted pass.
-
-    Long chains of keys, each pair waiting for the one before, would take a
-    round per link. When a round settles little, the earliest pairs, as many
-    as one pass takes, are settled in order instead. Both steps are exact and
-    both shrink the open pairs, so any input comes to its end.
+    ``seq`` is a unique long in arrival order. Only the first row of each pair of keys
+    can be kept, so the work is on pairs. A round settles two kinds of open pairs. A pair
+    that comes first for both its keys is kept. A pair with one earlier rival is kept
+    just when the rival is not; such pairs form chains, which are followed to their ends
+    by doubling, so a chain of n pairs takes about log2 n joins. Pairs that share a key
+    with a kept one are then dropped. Runs jobs while the plan is built: some per round.
     """
     # A row without a link is tied by its row key alone.
-    first = F.when(F.col(url_key).isNull(), F.concat(F.lit("f"), F.col(row_key))).otherwise(
+    own = F.coalesce(row_key, F.lit("\0"))
+    first = F.when(F.col(url_key).isNull(), F.concat(F.lit("f"), own)).otherwise(
         F.concat(F.lit("u"), F.col(url_key))
     )
-    pairs = (
-        df.select(first.alias("a"), F.col(row_key).alias("b"), F.col(seq).alias("seq"))
+    still_open = keep(
+        df.select(first.alias("a"), own.alias("b"), F.col(seq).alias("seq"))
         .groupBy("a", "b")
-        .agg(F.min("seq").alias("seq"))
+        .agg(F.min("seq").alias("seq")),
+        "pairs",
     )
-    still_open = keep(pairs, "pairs")
-    count, before = still_open.count(), None
     kept = []
-    while count > one_pass_rows:
-        slow = before is not None and count > before * SLOW_ROUND
-        if slow and one_pass_rows > 0:
-            block = keep(still_open.orderBy("seq").limit(one_pass_rows), "block")
-            won = keep(_settle_in_order(block), "kept")
-            rest = still_open.where(F.col("seq") > block.agg(F.max("seq")).scalar())
-        else:
-            first_a = still_open.groupBy("a").agg(F.min("seq").alias("seq"))
-            first_b = still_open.groupBy("b").agg(F.min("seq").alias("seq"))
-            won = keep(first_a.join(first_b, "seq"), "kept")
-            rest = still_open
+    while not still_open.isEmpty():
+        ranked = keep(
+            _first_two(still_open, "a").join(_first_two(still_open, "b"), "seq"), "ranked"
+        )
+        free = ranked.where("n_a = 1 and n_b = 1").select("seq", "a", "b")
+        waiting = ranked.where("n_a + n_b = 3").select(
+            "seq",
+            F.when(F.col("n_a") == 2, F.col("least_a")).otherwise(F.col("least_b")).alias("to"),
+        )
+        even = _chain_ends(waiting).where("not odd")
+        freed = even.join(free.select(F.col("seq").alias("to")), "to", "left_semi")
+        chained = ranked.join(freed, "seq", "left_semi").select("seq", "a", "b")
+        won = keep(free.unionByName(chained), "kept")
         kept.append(won.select("seq"))
-        rest = without(rest, won.select("a"), "a")
-        rest = without(rest, won.select("b"), "b")
-        still_open, before = keep(rest, "pairs"), count
-        count = still_open.count()
-    if count:
-        kept.append(_settle_in_order(still_open).select("seq"))
+        rest = still_open.join(won.select("a"), "a", "left_anti")
+        still_open = keep(rest.join(won.select("b"), "b", "left_anti"), "pairs")
     if not kept:
         return df.limit(0)
     chosen = reduce(DataFrame.unionByName, kept).withColumnRenamed("seq", seq)
     return df.join(chosen, seq, "left_semi")
 
 
-def _settle_in_order(pairs: DataFrame) -> DataFrame:
-    """The kept ones of at most ``one_pass_rows`` pairs, taken one by one."""
-    return pairs.coalesce(1).sortWithinPartitions("seq").mapInPandas(_settle, pairs.schema)
-
+def _first_two(pairs: DataFrame, key: str) -> DataFrame:
+    """The two earliest pairs of each key with their rank and the key's least ``seq``.
 
-def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    taken_a, taken_b = set(), set()
-    for batch in batches:
-        chosen = []
-        for a, b in zip(batch["a"], batch["b"]):
-            free = a not in taken_a and b not in taken_b
-            if free:
-                taken_a.add(a)
-                taken_b.add(b)
-            chosen.append(free)
-        yield batch[chosen]
+    Spark keeps two rows per key in every map task before the shuffle.
+    """
+    ordered = Window.partitionBy(key).orderBy("seq")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = pairs.select(
+        "seq", key,
+        F.row_number().over(ordered).alias(f"n_{key}"),
+        F.min("seq").over(upto).alias(f"least_{key}"),
+    )
+    return ranked.where(F.col(f"n_{key}") <= 2)
+
+
+def _chain_ends(waiting: DataFrame) -> DataFrame:
+    """Where the chain of rivals of each pair (seq, to) ends, and whether after an odd number of steps."""
+    links = keep(waiting.withColumn("odd", F.lit(True)), "chain")
+    while True:
+        ahead = links.select(
+            F.col("seq").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd")
+        )
+        stepped = keep(
+            links.join(ahead, "to", "left").select(
+                "seq",
+                F.coalesce("_to", "to").alias("to"),
+                (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+                F.col("_to").isNotNull().alias("moved"),
+            ),
+            "chain",
+        )
+        links = stepped.drop("moved")
+        if stepped.where("moved").isEmpty():
+            return links
