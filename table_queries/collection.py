@@ -156,6 +156,17 @@ def collected_places(spark, sf_dir):
     return collect_places(listed, seq="nombre").select("nombre", "maps_url")
 
 
+@query(f"""
+WITH {_PLACES_SQL} SELECT nombre, maps_url, rating FROM (
+  SELECT * FROM places QUALIFY row_number() OVER (PARTITION BY maps_url ORDER BY seq) = 1)
+ORDER BY seq LIMIT 150""")
+def collect_from_places(spark, sf_dir):
+    """Saved responses to the capped table, as the job runs it."""
+    body = F.from_json("body", model.PLACES_RESPONSE)
+    saved = place_responses(spark, sf_dir).select(F.col("seq").alias("line"), body.alias("r")).select("line", "r.*")
+    return collect_places(places_to_listings(saved, ["line"]), 150).select("nombre", "maps_url", "rating")
+
+
 @query("""
 SELECT c_custkey, c_custkey % 4 AS items, CASE WHEN c_custkey % 3 = 0 THEN 0.002 ELSE c_custkey % 5 / 100 END AS cost
 FROM customer""")
@@ -189,6 +200,8 @@ def detail_pages(spark, sf_dir):
     k = F.col("c_custkey")
     n = k.cast("string")
     return table(spark, sf_dir, "customer").select(
+        k.alias("seq"),
+        F.col("c_mktsegment").alias("town"),
         F.concat(F.lit("https://maps.example.com/p/"), n).alias("url"),
         F.concat(
             F.lit("<html><body><h1> "), F.col("c_name"), F.lit("&amp;<b>Hijos</b>\n</h1>"),
@@ -227,6 +240,21 @@ def detail_page_listings(spark, sf_dir):
     return listings_from_detail_pages(detail_pages(spark, sf_dir), F.lit("q"), F.lit("t"))
 
 
+@query("""
+SELECT c_name || '&Hijos' AS nombre, c_mktsegment AS municipio_origen, 'q' || c_custkey::VARCHAR AS source_query,
+  'https://maps.example.com/p/' || (c_custkey % 90)::VARCHAR AS maps_url
+FROM (SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_custkey % 90 ORDER BY c_custkey) = 1)
+ORDER BY c_custkey LIMIT 70""")
+def collect_from_pages(spark, sf_dir):
+    """Saved detail pages to the capped table: every place is saved several times."""
+    saved = detail_pages(spark, sf_dir).withColumn(
+        "url", F.concat(F.lit("https://maps.example.com/p/"), (F.col("seq") % 90).cast("string"))
+    )
+    query_text = F.concat(F.lit("q"), F.col("seq").cast("string"))
+    listings = listings_from_detail_pages(saved, query_text, F.lit("t"), F.col("town"), F.col("seq"))
+    return collect_pages(listings, 70).select("nombre", "municipio_origen", "source_query", "maps_url")
+
+
 def _entities_sql(text: str) -> str:
     """Entities decoded, also those that a page's end has cut before the ';'."""
     for entity, sign in (

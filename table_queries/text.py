@@ -43,6 +43,16 @@ def clean_ratings(spark, sf_dir):
     return orders.select("o_orderkey", text.clean_rating(raw).alias("rating"))
 
 
+@query("""
+SELECT o_orderkey, regexp_replace(printf('%.1f',
+  ((o_orderkey % 10)::VARCHAR || '.' || lpad((o_orderkey % 100)::VARCHAR, 2, '0'))::DOUBLE), '[.]0$', '') AS rating
+FROM orders""")
+def two_decimal_ratings(spark, sf_dir):
+    k = F.col("o_orderkey")
+    raw = F.concat((k % 10).cast("string"), F.lit(","), F.lpad((k % 100).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.clean_rating(raw).alias("rating"))
+
+
 @query(f"""
 WITH {SHOPS_SQL}
 SELECT seq, CASE WHEN web <> '' AND NOT starts_with(web, 'http://') AND NOT starts_with(web, 'https://')

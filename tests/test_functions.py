@@ -16,7 +16,7 @@ def test_clean_text(one, raw, want):
 
 
 @pytest.mark.parametrize("raw, want", [
-    ("4,6", "4.6"), ("n/a", ""), ("10", "10"), ("4.25", "4.2"), ("4.5d", ""), ("", ""),
+    ("4,6", "4.6"), ("n/a", ""), ("10", "10"), ("4.25", "4.2"), ("4.35", "4.3"), ("4.45", "4.5"), ("-0,75", "-0.8"), ("4.5d", ""), ("", ""),
     ("5.0", "5"), (".5", "0.5"), ("1e1", "10"), ("nan", ""), ("0", "0"), ("-3,25", "-3.2"),
 ])
 def test_clean_rating(one, raw, want):
@@ -116,7 +116,7 @@ def test_platform_strict(one):
 
 
 @pytest.mark.parametrize("html, want", [
-    ('<a href="https://instagram.com/midwi.es">', "midwi.es"), ("https://instagram.com/p/abc/", None),
+    ('<a href="https://instagram.com/faro.vigo">', "faro.vigo"), ("https://instagram.com/p/abc/", None),
     ("//www.Instagram.com/Tienda_1/", "Tienda_1"), ("instagram.com/x", None),
     ("//instagram.com/reel/1 //instagram.com/mi... //instagram.com/ok", "ok"),
 ])
@@ -129,14 +129,14 @@ _ITEM = "array<struct<type:string,title:string,url:string,breadcrumb:string>>"
 
 
 @pytest.mark.parametrize("titles, name, town, want", [
-    (["Vestido de @unique_spain", "Thebes Moda (@thebesmoda) - Instagram"], "Thebes", "", "thebesmoda"),
-    (["Zara (@zara) - Instagram"], "Calzados Raquel", "", None),
-    (["Dandara | Moda para Mujer (@dandara_ontinyent)", "DANDARA CARMONA (@dandara_carmona)",
-      "D A N D A R A (@dandara_spain)"], "Dándara", "A Estrada", "dandara_spain"),
-    (["Mi Vestidor Azul (@mi...)"], "Mi Vestidor Azul", "", None),
-    (["Thebes (@thebes) | TikTok"], "Thebes", "", None),
-    (["Thebes Moda (@thebes.aestrada) - Mentions"], "Thebes", "", None),
-    ([], "Thebes", "", None),
+    (["Pulsera @otra_marca", "Faro Joyas (@farojoyas) - Instagram"], "Faro", "", "farojoyas"),
+    (["Lunaria (@lunaria) - Instagram"], "Muebles Teo", "", None),
+    (["SÓLEO | Ropa (@soleo_burgos)", "SOLEO NORTE (@soleo_norte)", "S Ó L E O (@soleo_shop)"],
+     "Sóleo", "Vila Alta", "soleo_shop"),
+    (["Rincón Verde Mar (@rin...)"], "Rincón Verde Mar", "", None),
+    (["Faro (@faro) | TikTok"], "Faro", "", None),
+    (["Faro Joyas (@faro.vilaalta) - Mentions"], "Faro", "", None),
+    ([], "Faro", "", None),
 ])
 def test_best_profile(spark, titles, name, town, want):
     items = [("organic", t, "https://google.com/goto?url=x", None) for t in titles]
@@ -146,19 +146,19 @@ def test_best_profile(spark, titles, name, town, want):
 
 def test_best_profile_reads_links_and_breadcrumbs(spark):
     rows = [
-        ([("organic", "x", None, "https://www.instagram.com › popular › thebes")], None),
-        ([("organic", "x", None, "https://www.instagram.com › thebes_oficial ")], "thebes_oficial"),
-        ([("ads", "Thebes (@thebes)", None, None), ("organic", "y", "//instagram.com/Thebes.es?hl", "z")],
-         "Thebes.es"),
+        ([("organic", "x", None, "https://www.instagram.com › popular › lunaria")], None),
+        ([("organic", "x", None, "https://www.instagram.com › lunaria_oficial ")], "lunaria_oficial"),
+        ([("ads", "Lunaria (@lunaria)", None, None), ("organic", "y", "//instagram.com/Lunaria.es?hl", "z")],
+         "Lunaria.es"),
     ]
     df = spark.createDataFrame(rows, f"items {_ITEM}, want string")
-    got = df.select(handles.best_profile(C("items"), F.lit("Thebes"), F.lit("")).alias("g"), "want")
+    got = df.select(handles.best_profile(C("items"), F.lit("Lunaria"), F.lit("")).alias("g"), "want")
     assert all(r["g"] == r["want"] for r in got.collect())
 
 
 def test_matches_business(one):
-    assert one(handles.matches_business(C("n"), C("h"), F.lit("")), n="Dándara", h="dandaraoficial")
-    assert not one(handles.matches_business(C("n"), C("h"), F.lit("")), n="Moda Tienda", h="zara")
+    assert one(handles.matches_business(C("n"), C("h"), F.lit("")), n="Sóleo", h="soleooficial")
+    assert not one(handles.matches_business(C("n"), C("h"), F.lit("")), n="Tienda Verde", h="lunaria")
 
 
 @pytest.mark.parametrize("lat, lon, url, want", [

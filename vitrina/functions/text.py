@@ -75,10 +75,26 @@ def clean_rating(c: Column) -> Column:
         dotted.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"),
         dotted.try_cast("double"),
     )
-    shown = F.format_string("%.1f", F.bround(number, 1))
+    shown = F.format_string("%.1f", _one_decimal(number))
     return F.when(number.isNull(), "").otherwise(F.regexp_replace(shown, r"\.0\z", ""))
 
 
+def _one_decimal(x: Column) -> Column:
+    """The nearest number of one decimal to the exact binary value; ties go to the even digit.
+
+    The fraction of a double is a whole number of 2 ** -52 steps (from 1 on), so twenty
+    times it fits a long and is compared with the midpoints exactly.
+    """
+    size = F.abs(x)
+    whole = F.floor(size)
+    scaled = ((size - whole) * F.lit(float(1 << 52))).cast("long") * 20
+    tenths = F.shiftright(scaled, 53)
+    rest, half = scaled.bitwiseAND(F.lit((1 << 53) - 1)), F.lit(1 << 52)
+    up = (rest > half) | ((rest == half) & (tenths % 2 == 1))
+    rounded = (whole * 10 + tenths + up.cast("long")) / 10 * F.signum(x)
+    return F.when(size < 1e15, rounded).otherwise(x)
+
+
 def with_scheme(web: Column) -> Column:
     has_scheme = web.startswith("http://") | web.startswith("https://")
     return F.when((web != "") & ~has_scheme, F.concat(F.lit("https://"), web)).otherwise(web)

@@ -31,8 +31,10 @@ def page_features(
     if "status" in pages.columns:
         pages = pages.where(F.col("status").isNull() | (F.col("status") < 400))
     lowered = pages.where(F.col("html").isNotNull()).withColumn("_low", F.lower("html"))
+    saved = [F.col("saved_at")] if "saved_at" in pages.columns else []
     return lowered.select(
         "url",
+        *saved,
         platform(F.col("html"), F.col("_low"), signatures, cart_words).alias("plataforma"),
         first_email(F.col("html")).alias("email"),
         first_handle(F.col("html")).alias("perfil"),
@@ -40,8 +42,14 @@ def page_features(
 
 
 def one_per_url(features: DataFrame) -> DataFrame:
-    """One row per url, for pages saved more than once."""
-    return first_per_key(features, "url", "plataforma", "email", "perfil")
+    """One row per url, for pages saved more than once.
+
+    The newest copy counts if the table has ``saved_at``; among equals one that shows
+    more comes before one that shows less.
+    """
+    newest = [F.col("saved_at").desc_nulls_last()] if "saved_at" in features.columns else []
+    shown = [F.col(c).asc_nulls_last() for c in ("plataforma", "email", "perfil")]
+    return first_per_key(features, "url", *newest, *shown).drop("saved_at")
 
 
 def page_address(web: Column) -> Column:

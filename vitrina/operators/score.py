@@ -25,11 +25,13 @@ def score_listings(
     """
     rules = weights["criterios"]
     population = F.coalesce("poblacion", F.lit(0)).cast("int")
-    stores = F.coalesce("num_tiendas", F.lit(1)).cast("int")
+    # A shop without a count, or with none, is one shop to the band but none to the avatars.
+    counted = F.coalesce("num_tiendas", F.lit(0)).cast("int")
+    stores = F.when(counted == 0, 1).otherwise(counted)
     found = (
         with_nearest_site(df, sites)
         .withColumnsRenamed({"km": "_km", "site": "_site"})
-        .withColumns({"_pop": population, "_n": stores})
+        .withColumns({"_pop": population, "_n": stores, "_raw_n": counted})
     )
     judged = found.withColumns(
         {
@@ -40,7 +42,7 @@ def score_listings(
             "_hits": avatar_hits(
                 F.col("_pop"),
                 F.col("_km"),
-                F.col("_n"),
+                F.col("_raw_n"),
                 F.col("madurez") == "ecommerce_funcional",
                 avatars,
             ),
@@ -84,7 +86,7 @@ def score_listings(
                 ).alias("avatar"),
             ),
         }
-    ).drop("_pop", "_n", "_km", "_site", "_d", "_p", "_t", "_m", "_hits", "_a", "_tier")
+    ).drop("_pop", "_n", "_raw_n", "_km", "_site", "_d", "_p", "_t", "_m", "_hits", "_a", "_tier")
 
 
 def _part(rule: str, value: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitrina import defaults
 from vitrina.functions.text import clean_rating, clean_text
-from vitrina.operators.dedup import dedup_two_keys, first_per_full_url, with_keys
+from vitrina.operators.dedup import dedup_two_keys, first_per_full_url, first_per_key, with_keys
 from vitrina.operators.durable import keep
 from vitrina.operators.grid import grid_cells
 from vitrina.operators.ordering import first_n
@@ -19,15 +19,32 @@ def work_table(
 ) -> DataFrame:
     """Searches still to make: one row per target town and grid cell.
 
-    ``outlines`` (place, box, edges) is matched by the target's city text.
+    ``outlines`` (place, box, edges) is matched by the target's city text; of an outline
+    saved more than once one counts. ``towns_without_outline`` names the other towns.
     """
+    placed = _placed(towns, outlines, category, done).where("min_lat is not null")
+    return grid_cells(placed, defaults.CELL_DEGREES, defaults.START_ZOOM, "edges")
+
+
+def towns_without_outline(
+    towns: DataFrame, outlines: DataFrame, category: str, done: DataFrame | None = None
+) -> DataFrame:
+    """name, city, source_query of the targets that no saved outline matches."""
+    missing = _placed(towns, outlines, category, done).where("min_lat is null")
+    return missing.select("name", "city", "source_query")
+
+
+def _placed(
+    towns: DataFrame, outlines: DataFrame, category: str, done: DataFrame | None
+) -> DataFrame:
     targets = search_targets(towns, category)
     if done is not None:
         targets = skip_processed(targets, done)
-    placed = targets.select("name", "city", "source_query").join(
-        outlines.withColumnRenamed("place", "city"), "city"
+    boxed = outlines.where("min_lat is not null")
+    single = first_per_key(boxed, "place", "min_lat", "min_lon", F.to_json("edges"))
+    return targets.select("name", "city", "source_query").join(
+        single.withColumnRenamed("place", "city"), "city", "left"
     )
-    return grid_cells(placed, defaults.CELL_DEGREES, defaults.START_ZOOM, "edges")
 
 
 def clean_listings(listings: DataFrame) -> DataFrame:

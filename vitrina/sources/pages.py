@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -29,7 +31,9 @@ def _once(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\A(.+?) ?\1\z", "$1"))
 
 
-def towns_from_html(pages: DataFrame, html: str = "html") -> DataFrame:
+def towns_from_html(
+    pages: DataFrame, html: str = "html", min_population: int = defaults.MIN_TOWN_POPULATION
+) -> DataFrame:
     """rank, name, population, province, region of all town tables of a page."""
     own = [c for c in pages.columns if c != html]
 
@@ -60,7 +64,7 @@ def towns_from_html(pages: DataFrame, html: str = "html") -> DataFrame:
             _once(cell(4)).alias("region"),
         )
         .where(F.col("rank").isNotNull())
-        .where(F.col("population") >= defaults.MIN_TOWN_POPULATION)
+        .where(F.col("population") >= min_population)
         .where((F.col("name") != "") & (F.col("region") != ""))
     )
 
@@ -74,32 +78,44 @@ class _DetailPage(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements: list[tuple[str, dict, list[str]]] = []
+        # Of each element: tag, attributes, where its text begins and ends among the pieces.
+        self.elements: list[list] = []
+        self._pieces: list[str] = []
         self._open: list[tuple[str, int]] = []
+        self._open_tags: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
         if tag in self._BREAKS:
             self.handle_data(" ")
         if tag not in self._VOID:
             self._open.append((tag, len(self.elements)))
-        self.elements.append((tag, dict(attrs), []))
+            self._open_tags[tag] += 1
+        at = len(self._pieces)
+        self.elements.append([tag, dict(attrs), at, at])
 
     def handle_endtag(self, tag):
-        for i in range(len(self._open) - 1, -1, -1):
-            if self._open[i][0] == tag:
-                del self._open[i:]
+        while self._open_tags[tag]:
+            name, i = self._open.pop()
+            self._open_tags[name] -= 1
+            self.elements[i][3] = len(self._pieces)
+            if name == tag:
                 break
         if tag in self._BREAKS:
             self.handle_data(" ")
 
     def handle_data(self, data):
-        if any(tag in ("script", "style") for tag, _ in self._open):
-            return
+        if not (self._open_tags["script"] or self._open_tags["style"]):
+            self._pieces.append(data)
+
+    def close(self):
+        super().close()
         for _, i in self._open:
-            self.elements[i][2].append(data)
+            self.elements[i][3] = len(self._pieces)
 
-    def matching(self, test) -> list[tuple[str, dict]]:
-        return [("".join(words), attrs) for tag, attrs, words in self.elements if test(tag, attrs)]
+    def matching(self, test, most: int) -> list[tuple[str, dict]]:
+        """Text and attributes of the first ``most`` elements that pass the test."""
+        found = islice((e for e in self.elements if test(e[0], e[1])), most)
+        return [("".join(self._pieces[start:end]), attrs) for _, attrs, start, end in found]
 
 
 def _attr(name: str, part: str, tags: tuple[str, ...] = ()):
@@ -124,17 +140,19 @@ _RATING_TRIES = 12
 _RAW = (
     "url string, name string, phones array<string>, address string, site_text string, "
     "site_href string, stars string, numbers array<string>, categories array<string>, "
-    "any_phone string"
+    "any_phone string, source_query string, retrieved_at_utc string, town string, seq long"
 )
+_GIVEN = ["any_phone", "source_query", "retrieved_at_utc", "town", "seq"]
 
 
 def _read_details(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [
-            (*_detail(url, html or ""), phone)
-            for url, html, phone in zip(batch["url"], batch["html"], batch["any_phone"])
-        ]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _RAW.split(", ")])
+        read = [_detail(url, html or "") for url, html in zip(batch["url"], batch["html"])]
+        names = [c.split()[0] for c in _RAW.split(", ")]
+        out = pd.DataFrame(read, columns=names[: -len(_GIVEN)])
+        for name in _GIVEN:
+            out[name] = batch[name].to_numpy()
+        yield out
 
 
 def _detail(url: str, html: str) -> tuple:
@@ -143,7 +161,7 @@ def _detail(url: str, html: str) -> tuple:
     page.close()
 
     def first(test) -> tuple[str, dict]:
-        return next(iter(page.matching(test)), ("", {}))
+        return next(iter(page.matching(test, 1)), ("", {}))
 
     def item(name: str) -> tuple[str, dict]:
         return first(lambda tag, a: tag in ("button", "a") and a.get("data-item-id") == name)
@@ -157,7 +175,9 @@ def _detail(url: str, html: str) -> tuple:
         lambda tag, a: tag == "div" and a.get("role") == "img"
         and "estrellas" in (a.get("aria-label") or "")
     )
-    hidden = page.matching(lambda tag, a: tag == "span" and a.get("aria-hidden") == "true")
+    hidden = page.matching(
+        lambda tag, a: tag == "span" and a.get("aria-hidden") == "true", _RATING_TRIES
+    )
     return (
         url,
         first(lambda tag, a: tag == "h1")[0],
@@ -166,22 +186,36 @@ def _detail(url: str, html: str) -> tuple:
         site,
         site_attrs.get("href") or "",
         (stars.get("aria-label") or "").split(" ")[0],
-        [words for words, _ in hidden[:_RATING_TRIES]],
+        [words for words, _ in hidden],
         [first(test)[0] for test in _CATEGORIES],
     )
 
 
 def listings_from_detail_pages(
-    pages: DataFrame, source_query: Column, retrieved_at_utc: Column
+    pages: DataFrame,
+    source_query: Column,
+    retrieved_at_utc: Column,
+    town: Column | None = None,
+    seq: Column | None = None,
 ) -> DataFrame:
     """Listings of saved detail pages (url, html).
 
+    Query, time, the town the page was collected for and the place in arrival order may
+    be columns of the page table; with ``seq`` the result has that column as well.
+
     Only taking the page apart is Python, one page at a time on the scan; the
     rules that choose and clean the values are column expressions. The web
     address is the link's text when that is an address, else its target.
     """
     # The page's whole source is the last resort for a phone number.
-    raw = pages.select("url", "html", phone_in(F.col("html")).alias("any_phone")).mapInPandas(
+    given = {
+        "any_phone": phone_in(F.col("html")),
+        "source_query": source_query.cast("string"),
+        "retrieved_at_utc": retrieved_at_utc.cast("string"),
+        "town": F.lit("") if town is None else text(town),
+        "seq": F.lit(0).cast("long") if seq is None else seq.cast("long"),
+    }
+    raw = pages.select("url", "html", *[v.alias(n) for n, v in given.items()]).mapInPandas(
         _read_details, _RAW
     )
     phones = F.transform("phones", lambda p: phone_like(clean_text(p)))
@@ -195,14 +229,15 @@ def listings_from_detail_pages(
         "web": F.when(site_is_address, site).otherwise(clean_text(F.col("site_href"))),
         "rating": _first_filled(F.array_prepend(ratings, clean_rating(F.col("stars")))),
         "categoria": _first_filled(F.transform("categories", clean_text)),
-        "source_query": source_query,
-        "retrieved_at_utc": retrieved_at_utc,
+        "source_query": F.col("source_query"),
+        "retrieved_at_utc": F.col("retrieved_at_utc"),
         "maps_url": text(F.col("url")),
-        "municipio_origen": F.lit(""),
+        "municipio_origen": F.col("town"),
         "lat": F.lit(""),
         "lon": F.lit(""),
     }
-    return raw.select(*[fields[c].alias(c) for c in model.LISTING_COLUMNS])
+    order = [] if seq is None else ["seq"]
+    return raw.select(*[fields[c].alias(c) for c in model.LISTING_COLUMNS], *order)
 
 
 def _first_filled(values: Column) -> Column:

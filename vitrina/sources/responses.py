@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vitrina import defaults, model
+from vitrina.operators.ordering import with_order
 
 
 def read_places(spark: SparkSession, path: str) -> DataFrame:
-    """Listings of saved places responses, one JSON document per line."""
-    saved = spark.read.schema(model.PLACES_RESPONSE).json(path)
-    return places_to_listings(saved)
+    """Listings of saved places responses, one JSON document per line, with ``seq``.
+
+    ``seq`` follows the files' names, the lines of a file and the places of a line.
+    """
+    saved = spark.read.schema(model.PLACES_RESPONSE).json(path).withColumns(
+        {
+            "_file": F.col("_metadata.file_path"),
+            "_block": F.col("_metadata.file_block_start"),
+            "_line": F.monotonically_increasing_id(),
+        }
+    )
+    return places_to_listings(saved, ["_file", "_block", "_line"])
 
 
-def places_to_listings(saved: DataFrame) -> DataFrame:
-    """Explode responses (query, municipio_origen, retrieved_at_utc, places)."""
+def places_to_listings(saved: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Explode responses (query, municipio_origen, retrieved_at_utc, places).
+
+    With ``order``, columns that tell the responses apart and put them in order, the
+    listings are numbered by ``seq`` in that order and by their place in the response.
+    """
     one = saved.select(
-        "query", "municipio_origen", "retrieved_at_utc", F.explode("places").alias("place")
+        *order, "query", "municipio_origen", "retrieved_at_utc",
+        F.posexplode("places").alias("_place", "place"),
     )
-    return one.select(
+    listings = one.select(
+        *order, "_place",
         *map_place(
             F.col("place"), F.col("query"), F.col("municipio_origen"), F.col("retrieved_at_utc")
-        )
+        ),
     )
+    if order:
+        listings = with_order(listings, *order, "_place")
+    return listings.drop(*order, "_place")
 
 
 def _filled(*values: Column) -> Column:
