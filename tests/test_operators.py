@@ -375,16 +375,10 @@ def test_towns(spark, monkeypatch):
     rows = spark.createDataFrame([(" vigo",), ("BARCELONA",), ("Inventado",), ("",)], "municipio_origen string")
     got = {r["municipio_origen"]: r["poblacion"] for r in towns.town_population(rows, dim).collect()}
     assert got == {" vigo": 293642, "BARCELONA": 1620343, "Inventado": 0, "": 0}
-    monkeypatch.setattr(towns, "BROADCAST_TOWNS", 1)
-    spread = {r["municipio_origen"]: r["poblacion"] for r in towns.town_population(rows, dim).collect()}
-    assert spread == got
     target = towns.search_targets(dim.where("pos = 0"), "bares").first()
     assert (target["city"], target["source_query"]) == ("Vigo, Pontevedra, España", "bares en Vigo, Pontevedra")
     done = spark.createDataFrame([("VIGO ",), ("",)], "municipio_origen string")
     assert {r["name"] for r in towns.skip_processed(dim, done).collect()} == {"Aldea", "Carballo", "Barcelona"}
-    file = {r["region"]: r for r in towns.town_file(dim).collect()}["Galicia"]
-    assert file["provincias"] == ["A Coruña", "Pontevedra"]
-    assert [t["nombre"] for t in file["municipios"]] == ["Vigo", "Carballo", "Aldea"]
     ranked = {(r["region"], r["name"]): r["place"] for r in towns.towns_by_region(dim).collect()}
     assert ranked[("Galicia", "Carballo")] == 2 and ranked[("Cataluña", "Vigo")] == 2
     asked = spark.createDataFrame([(n,) for n in (0, 1, 20, 21, 60, 500)], "n int")

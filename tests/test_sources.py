@@ -10,7 +10,7 @@ from vitrina.operators.contact import latest_lookup
 from vitrina.operators.usage import monthly_usage
 from vitrina.sources import config, ledgers, listings, pages, responses
 from vitrina.streaming.append import append_deduped, stored
-from vitrina.streaming.logs import read_log_stream, start_counters
+from vitrina.streaming.logs import current_counters, read_log_stream, start_counters
 
 
 def test_listing_files_keep_odd_texts(spark, tmp_path):
@@ -31,11 +31,19 @@ def test_listing_file_of_an_older_layout(spark, tmp_path):
         ('A "x", y', "w", "1", ""), ("B", "", "2", ""), ("C", "z", "", "")]
 
 
+def test_listing_files_of_two_layouts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("nombre,web\nA,w\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("telefono,nombre,extra,web\n1,B,e,\n2,C,,v\n", encoding="utf-8")
+    got = listings.read_listings(spark, str(tmp_path), ordered=True).orderBy("seq").collect()
+    assert [(r["nombre"], r["web"], r["telefono"], r["extra"]) for r in got] == [
+        ("A", "w", "", ""), ("B", "", "1", "e"), ("C", "v", "2", "")]
+
+
 def test_ordered_parquet_listings(spark, tmp_path):
     path = str(tmp_path / "l.parquet")
     rows = [(f"n{i}", "w") for i in range(50)]
     spark.createDataFrame(rows, "nombre string, web string").coalesce(1).write.parquet(path)
-    got = listings.read_listings(spark, path, ordered=True).orderBy("seq").collect()
+    got = listings.read_listings(spark, path, ordered=True, format="parquet").orderBy("seq").collect()
     assert [r["nombre"] for r in got] == [r[0] for r in rows] and got[0]["lat"] == ""
 
 
@@ -188,8 +196,8 @@ def test_live_counters(spark, tmp_path):
     for part in range(3):
         df.where(F.col("line_no") % 3 == part).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = read_log_stream(spark, str(tmp_path / "in"), files_per_batch=1)
-    start_counters(stream, "live", str(tmp_path / "ck")).awaitTermination()
-    row = spark.table("live").first()
+    start_counters(stream, str(tmp_path / "live"), str(tmp_path / "ck")).awaitTermination()
+    row = current_counters(spark, str(tmp_path / "live")).first()
     assert (row["kind"], row["counters"]["analyzed"]) == ("analysis", "5")
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A hot key holds more than 1/HOT_SHARE of the rows, so there are fewer than
-# HOT_SHARE of them whatever the data: that list may always be broadcast.
-HOT_SHARE = 256
-_SPREAD = 4096
+# A hot key holds more than a quarter of an even task's rows. With n tasks there are
+# fewer than 4 n such keys whatever the data: that list may always be broadcast.
+_LEAST_SHARE = 256
+
+
+def hot_share(spark: SparkSession) -> int:
+    return max(_LEAST_SHARE, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def key_counts(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -18,7 +21,7 @@ def key_counts(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def hot_keys(counts: DataFrame, key: Sequence[str], rows: str = "_rows") -> DataFrame:
     total = counts.agg(F.sum(rows)).scalar()
-    return counts.where(F.col(rows) * HOT_SHARE > total).select(*key)
+    return counts.where(F.col(rows) * hot_share(counts.sparkSession) > total).select(*key)
 
 
 def attach(
@@ -55,7 +58,10 @@ def attach(
     any_null = F.lit(False)
     for k in key:
         any_null = any_null | F.col(k).isNull()
-    spread = 1 + F.pmod(F.xxhash64(*[F.col(c) for c in _hashable(left)]), F.lit(_SPREAD))
+    # By the row's place, so that equal rows are spread as well.
+    spread = 1 + F.pmod(
+        F.xxhash64(F.monotonically_increasing_id()), F.lit(4 * hot_share(left.sparkSession))
+    )
     marked = left.join(hot_rows, key, "left").withColumn(
         "_to",
         F.when(F.col("_hot") | any_null, spread.cast("int")).otherwise(F.lit(0)),
@@ -71,16 +77,7 @@ def attach(
     )
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most this many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def without(left: DataFrame, gone: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
     """Rows whose key is not in ``gone`` (one row per key)."""
     flagged = attach(left, gone.select(key).withColumn("_gone", F.lit(True)), key, counts)
     return flagged.where(F.col("_gone").isNull()).drop("_gone")
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]

@@ -111,6 +111,4 @@ def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The first ``n`` rows in order; 0 keeps all."""
     if n <= 0:
         return df
-    if n <= 10_000:
-        return df.orderBy(*order).limit(n)
     return numbered(df, [], order, "_nth").where(F.col("_nth") <= n).drop("_nth")

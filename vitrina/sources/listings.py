@@ -2,64 +2,80 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrina import model
 from vitrina.operators.durable import keep
+from vitrina.operators.ordering import numbered
 
 _ROW_BITS = 33
-# Up to this many file names are broadcast to the rows.
-BROADCAST_FILES = 100_000
 
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+_CSV = {"header": False, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def read_listings(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
-    """Listings of CSV files with a header, or of a Parquet table; '' for missing.
+def read_listings(
+    spark: SparkSession, path: str, ordered: bool = False, format: str = "csv"
+) -> DataFrame:
+    """Listings of CSV files with a header, or of a table in another format; '' for missing.
 
-    The columns of CSV files are found by their header; columns that older
-    files lack are empty. ``ordered`` adds ``seq``, the position over files by
-    name and rows in a file, and keeps the table in the shared folder.
+    Every CSV file's columns are found by its own header, so files of several layouts
+    may lie in one folder; columns that a file lacks are empty. Quoted line breaks are
+    allowed, so one task reads a CSV file. ``ordered`` adds ``seq``, the position over
+    files by name and rows in a file, and keeps the table in the shared folder.
     """
-    if path.rstrip("/").endswith(".parquet"):
-        df = spark.read.parquet(path)
-        row = F.col("_metadata.row_index")
-    else:
-        header = spark.read.options(**_CSV | {"multiLine": False}).csv(path).columns
-        schema = ", ".join(f"`{c}` string" for c in header)
-        df = spark.read.options(**_CSV, enforceSchema=False).schema(schema).csv(path)
-        # A file with quoted line breaks is read by one task, from its start, so
-        # the place in the task's part of the rows follows the file.
+    if format == "csv":
+        df = _csv_rows(spark, path)
+        # One task reads a file from its start, so the place in the task's part of the
+        # rows follows the file.
         row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-    files = df.inputFiles()
+    else:
+        df = spark.read.format(format).load(path).withColumn("_file", F.col("_metadata.file_path"))
+        row = F.col("_metadata.row_index") if format == "parquet" else F.monotonically_increasing_id()
     if ordered:
-        file = F.regexp_replace("_metadata.file_path", r"\A([^:/]+:)/+", "$1/")
-        df = df.withColumns({"_file": file, "_row": row})
+        df = df.withColumn("_row", row)
     for column in model.LISTING_COLUMNS:
         if column not in df.columns:
             df = df.withColumn(column, F.lit(""))
     df = df.fillna("")
-    return _numbered(df, files) if ordered else df
+    return _numbered(df) if ordered else df.drop("_file")
 
 
-def _numbered(df: DataFrame, files: list[str]) -> DataFrame:
+def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all files with the columns that any header names, and _file."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"),
+    )
+    first = lines.groupBy("_file").agg(F.min_by("value", "_at").alias("_head"))
+    plain = F.regexp_replace("_head", "[\\uFEFF\"\\r]", "")
+    heads = keep(first.select("_file", F.split(plain, ",").alias("_names")), "headers")
+    # The distinct column names of all layouts, not the files' names.
+    names = heads.select(F.explode("_names").alias("n")).groupBy("n").agg(F.min("n")).orderBy("n")
+    known = [r["n"] for r in names.collect()]
+    width = heads.agg(F.max(F.size("_names"))).first()[0] or 0
+    cells = [f"_c{i}" for i in range(width)]
+    rows = spark.read.options(**_CSV).schema(", ".join(f"{c} string" for c in cells)).csv(path)
+    placed = rows.select(F.array(*cells).alias("_cells"), F.col("_metadata.file_path").alias("_file"))
+    # The planner broadcasts the headers if they are small.
+    headed = placed.join(heads, "_file").where(
+        ~F.slice("_cells", F.lit(1), F.size("_names")).eqNullSafe(F.col("_names"))
+    )
+    listed = sorted(known, key=lambda n: (n not in model.LISTING_COLUMNS, n))
+    return headed.select(
+        "_file",
+        *[F.get("_cells", F.array_position("_names", F.lit(n)).cast("int") - 1).alias(n) for n in listed if n],
+    )
+
+
+def _numbered(df: DataFrame) -> DataFrame:
     """seq out of the file's rank and the row's place, without moving the rows.
 
     Kept, as the places in a CSV file's part hold for one reading only.
     """
-    # The two spellings of a path differ in the slashes after the scheme.
-    ranks = df.sparkSession.createDataFrame(
-        [(re.sub("(?<=:)/+", "/", f, count=1), i) for i, f in enumerate(sorted(files))],
-        "_file string, _rank long",
-    )
-    if len(files) <= BROADCAST_FILES:
-        ranks = F.broadcast(ranks)
-    placed = df.join(ranks, "_file", "left")
-    rank = F.coalesce("_rank", F.raise_error(F.concat(F.lit("unlisted file "), F.col("_file"))))
-    seq = F.shiftleft(rank.cast("long"), _ROW_BITS) + F.col("_row")
-    return keep(placed.withColumn("seq", seq).drop("_file", "_row", "_rank"), "listings")
+    placed = keep(df, "listings")
+    ranks = keep(numbered(placed.select("_file").distinct(), [], ["_file"], "_rank"), "file-ranks")
+    seq = F.shiftleft(F.col("_rank") - 1, _ROW_BITS) + F.col("_row")
+    return placed.join(ranks, "_file").withColumn("seq", seq).drop("_file", "_row", "_rank")
 
 
 def write_listings(df: DataFrame, path: str) -> None:

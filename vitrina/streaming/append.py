@@ -9,13 +9,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from vitrina.operators.dedup import dedup_two_keys
 from vitrina.operators.durable import keep
-from vitrina.operators.lookups import fits
+from vitrina.operators.lookups import without
 from vitrina.operators.ordering import first_n
 
-# A batch of at most this many rows is sent to the stored keys; a larger one is
-# joined by shuffle.
-BROADCAST_ROWS = 500_000
-
 
 def append_deduped(
     stream: DataFrame,
@@ -25,6 +21,7 @@ def append_deduped(
     url_key: str = "url_key",
     row_key: str = "fallback_key",
     max_records: int = 0,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append each row unless one of its keys was stored before.
 
@@ -33,6 +30,7 @@ def append_deduped(
     there, and compared with the folders of earlier batches only: a replayed
     batch gives the same rows, and a restart goes on from the stored output.
     ``max_records`` limits the output to its first rows; 0 means no limit.
+    ``trigger`` is the stream's trigger; by default it stops when all is read.
     The state is every key ever stored, as the rule has no time limit.
     """
     schema = stream.schema
@@ -43,7 +41,7 @@ def append_deduped(
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
@@ -95,13 +93,12 @@ def stored(
 def _unknown(batch: DataFrame, earlier: DataFrame, url_key: str, row_key: str) -> DataFrame:
     """Rows of the batch that share no key with an earlier row.
 
-    The stored side is only scanned: the batch's keys travel to it when there
-    are few enough, and just the keys found come back.
+    The stored keys are made distinct where they are read, and of those only the ones
+    that the batch has come back. A key of very many rows and rows without a key are
+    spread over the tasks.
     """
     for key in (url_key, row_key):
         own = batch.select(key).where(F.col(key).isNotNull()).distinct()
-        if fits(own, BROADCAST_ROWS):
-            own = F.broadcast(own)
-        known = earlier.select(key).join(own, key, "left_semi").distinct()
-        batch = batch.join(known, key, "left_anti")
+        known = keep(earlier.select(key).distinct().join(own, key, "left_semi"), "known")
+        batch = without(batch, known, key)
     return batch
