@@ -21,8 +21,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ).distinct()
 
     edges = keep(strict(links.select(F.col(a).alias("u"), F.col(b).alias("v"))), "links")
-    before = _state(edges)
-    while before[0]:
+    while not _only_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = keep(
@@ -37,17 +36,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             )),
             "links",
         )
-        now = _state(after)
         discard(edges, least, large, down)
         edges = after
-        if now == before:
-            break
-        before = now
     # Stars: every node but the centres occurs once on the left.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("u", "v"), 16))).first())
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether no node has two lesser neighbours, or both a lesser and a greater one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    mixed = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return mixed.where("down + up > 1 and down > 0").isEmpty()

@@ -180,27 +180,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
             fresh.join(one, "a").join(two, "b").where(close).where(same >= LEAST_EQUAL).select("a", "b"), "candidates"
         )
 
-    def confirm(pairs: DataFrame) -> DataFrame | None:
-        """Links among the pairs; remembers that the pairs were looked at."""
-        nonlocal seen, links
+    def confirm(pairs: DataFrame) -> None:
+        """Look at the pairs, remember that, and label all documents linked so far."""
+        nonlocal seen, links, labels
         if pairs.isEmpty():
-            return None
+            return
         ends = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
         wanted = reps.select("_row", "_id", "_key").join(ends, "_row")
         sets = keep(_full_sets(docs, wanted, id_col, text), "full-sets")
         found = keep(_confirmed(pairs, sets), "confirmed")
         discard(sets)
         seen, links = seen.unionByName(pairs), links.unionByName(found)
-        return keep(components(links), "components")
+        if not found.isEmpty():
+            labels = keep(components(links), "components")
 
+    # Pairs of nodes that the level before has settled; they wait for the next look.
+    waiting = seen
     for level in range(1, LEVELS + 1):
-        labels = confirm(agreeing(members.select(F.col("pivot").alias("a"), F.col("_row").alias("b")))) or labels
-        labelled = members
+        stars = members.select(F.col("pivot").alias("a"), F.col("_row").alias("b"))
+        confirm(agreeing(stars.unionByName(waiting)))
+        waiting = seen.limit(0)
         if labels is not None:
-            labelled = labelled.join(labels.withColumnRenamed("node", "_row"), "_row", "left")
+            labelled = members.join(labels.withColumnRenamed("node", "_row"), "_row", "left")
             labelled = labelled.withColumn("component", F.coalesce("component", "_row"))
         else:
-            labelled = labelled.withColumn("component", F.col("_row"))
+            labelled = members.withColumn("component", F.col("_row"))
         labelled = keep(labelled, "labelled")
         parts = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_n"))
         nodes = parts.groupBy("node").agg(
@@ -208,18 +212,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         ).select("node", "_all", (F.col("_all") - F.col("_main._n")).alias("_out"), F.col("_main.component").alias("_main"))
         nodes = keep(nodes.where("_out > 0"), "open-nodes")
         open_members = keep(labelled.join(nodes, "node"), "open-members")
-        if open_members.isEmpty():
-            break
         settled = F.col("_out") <= (FEW if level < LEVELS else 1 << 62)
         whole = open_members.where(settled)
         others = whole.where("component != _main").select("node", F.col("_row").alias("a"), F.col("component").alias("_ca"))
         rest = whole.select("node", F.col("_row").alias("b"), "component", "pivot")
         cross = others.join(rest, "node").where("_ca != component and a != pivot and b != pivot")
-        labels = confirm(agreeing(cross.select("a", "b"))) or labels
+        waiting = keep(cross.select("a", "b").distinct(), "waiting")
         larger = open_members.where(~settled).select("node", "_row")
         if level == LEVELS or larger.isEmpty():
             break
         members = _crowded(_branch(larger.join(reps.select("_row", "_tokens"), "_row")))
+    confirm(agreeing(waiting))
 
     named = reps.select("_row", "_key", "_id")
     if labels is not None:
