@@ -23,7 +23,7 @@ ANCHOR = 16
 # Bytes of text in one block, in the hash buckets of one task and in one shard.
 BLOCK_BYTES = 4_000_000
 PART_BYTES = 6_000_000
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 PASSED_ON = -1
 LAST_ID = np.iinfo(np.int64).max
 

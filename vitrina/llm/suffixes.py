@@ -158,10 +158,10 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray, most: int) -> np.nda
     n = len(t)
     padded = np.concatenate((t, np.zeros(most + 8, dtype=np.uint8)))
     words = np.ndarray(buffer=padded, shape=(n + most,), dtype="<u8", strides=(1,))
-    before = np.empty(n, dtype=np.int64)
+    before = np.empty(n, dtype=np.int32)
     before[sa[0]] = -1
     before[sa[1:]] = sa[:-1]
-    out = np.zeros(n, dtype=np.int64)
+    out = np.zeros(n, dtype=np.int32)
     live = np.flatnonzero(before >= 0)
     for at in range(0, most, 8):
         differ = words[live + at] ^ words[before[live] + at]
