@@ -25,23 +25,20 @@ def read_listings(
     """
     if format == "csv":
         df = _csv_rows(spark, path)
-        # One task reads a file from its start, so the place in the task's part of the
-        # rows follows the file.
-        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     else:
-        df = spark.read.format(format).load(path).withColumn("_file", F.col("_metadata.file_path"))
         row = F.col("_metadata.row_index") if format == "parquet" else F.monotonically_increasing_id()
-    if ordered:
-        df = df.withColumn("_row", row)
+        df = spark.read.format(format).load(path).withColumns(
+            {"_file": F.col("_metadata.file_path"), "_row": row}
+        )
     for column in model.LISTING_COLUMNS:
         if column not in df.columns:
             df = df.withColumn(column, F.lit(""))
     df = df.fillna("")
-    return _numbered(df) if ordered else df.drop("_file")
+    return _numbered(df) if ordered else df.drop("_file", "_row")
 
 
 def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of all files with the columns that any header names, and _file."""
+    """Rows of all files with the columns that any header names, _file and _row (place in it)."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"),
@@ -55,15 +52,22 @@ def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
     width = heads.agg(F.max(F.size("_names"))).first()[0] or 0
     cells = [f"_c{i}" for i in range(width)]
     rows = spark.read.options(**_CSV).schema(", ".join(f"{c} string" for c in cells)).csv(path)
-    placed = rows.select(F.array(*cells).alias("_cells"), F.col("_metadata.file_path").alias("_file"))
+    # One task reads a file from its start, so the place in the task's part of the rows
+    # follows the file.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    placed = rows.select(
+        F.array(*cells).alias("_cells"), F.col("_metadata.file_path").alias("_file"), place.alias("_row")
+    )
     # The planner broadcasts the headers if they are small.
     headed = placed.join(heads, "_file").where(
         ~F.slice("_cells", F.lit(1), F.size("_names")).eqNullSafe(F.col("_names"))
     )
-    listed = sorted(known, key=lambda n: (n not in model.LISTING_COLUMNS, n))
+    listed = [n for n in model.LISTING_COLUMNS if n in known]
+    listed += [n for n in known if n and n not in model.LISTING_COLUMNS]
     return headed.select(
         "_file",
-        *[F.get("_cells", F.array_position("_names", F.lit(n)).cast("int") - 1).alias(n) for n in listed if n],
+        "_row",
+        *[F.get("_cells", F.array_position("_names", F.lit(n)).cast("int") - 1).alias(n) for n in listed],
     )
 
 
