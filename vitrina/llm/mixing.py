@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina.llm.common import WORD, discard, group_key, keep, unit_hash
-from vitrina.operators.lookups import attach
 from vitrina.operators.ordering import numbered
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 SEED = 20_011
 # Newton stops when every source is this close to its target, as a share of it.
-SOLVED = 1e-10
+SOLVED = 1e-9
 MAX_STEPS = 60
 # Rounding stops when every source is this close, or no document can improve it.
-ROUNDED = 0.001
-CUTS = 32
-MAX_CUT_PASSES = 6
-MAX_SWAPS = 24
+ROUNDED = 0.002
+CUTS = 64
+MAX_CUT_PASSES = 4
+MAX_SWAPS = 12
 
 
 def text_size(text: Column) -> Column:
@@ -154,7 +153,9 @@ def mix_sources(
     added or taken away while that brings a source nearer. Copies of equal rows are
     interchangeable. A null source is a source of its own; documents without words get
     no copies' worth of words and copies by their rate 1; a source without words has
-    target 0. Extra columns are ignored; an empty table gives an empty one.
+    target 0. Extra columns are ignored; an empty table gives an empty one. Joins are of
+    kept tables by source: Spark broadcasts the sources' table when it is small and
+    splits a source with very many rows when it is not.
     """
     compact = keep(
         docs.select(
@@ -171,13 +172,12 @@ def mix_sources(
         F.count(F.lit(1)).alias("_n"),
     )
     targets = keep(source_targets(keep(sources, "sources"), weights, max_repeats), "targets")
-    counts = targets.select("_key", F.col("_n").alias("_rows"))
     sizes = keep(compact.where("size > 0").groupBy("_key", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     tilts = solve_tilts(sizes, targets, max_repeats)
 
     lookup = targets.select("_key", "source_size", F.col("target").alias("_target")).join(tilts, "_key", "left")
     rated = keep(
-        attach(compact, lookup.drop("target"), "_key", counts)
+        compact.join(keep(lookup.drop("target"), "lookup"), "_key", "left")
         .withColumn(
             "rate",
             F.when(F.col("tilt").isNull() | (F.col("size") == 0), F.lit(1.0))
@@ -190,7 +190,7 @@ def mix_sources(
     )
     cuts = _find_cuts(rated, max_repeats)
     rounded = keep(
-        attach(rated, cuts, "_key", counts).withColumn(
+        rated.join(cuts, "_key", "left").withColumn(
             "copies", F.when(F.col("size") == 0, F.lit(1).cast("long"))
             .otherwise(_copies(F.col("cut"), max_repeats))
         ).drop("cut", "_shift"),
@@ -223,10 +223,9 @@ def _find_cuts(rated: DataFrame, max_repeats: int) -> DataFrame:
         ),
         "cuts",
     )
-    counts = keep(rated.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")), "counts")
     for _ in range(MAX_CUT_PASSES):
         width = (F.col("high") - F.col("low")) / CUTS
-        joined = attach(rated.drop("target"), state, "_key", counts)
+        joined = rated.drop("target").join(state, "_key")
         sums = joined.groupBy("_key").agg(
             F.array(*[
                 F.sum(F.col("size") * _copies(F.col("low") + width * i, max_repeats))
@@ -269,13 +268,14 @@ def _swap_copies(rounded: DataFrame, max_repeats: int) -> DataFrame:
         "totals",
     )
     moves = spark.createDataFrame([], "_row long, _by long")
-    counts = keep(rounded.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")), "counts")
     for _ in range(MAX_SWAPS):
         open_sources = totals.where(
             F.abs(F.col("words") - F.col("target")) > F.lit(ROUNDED) * F.col("target")
         ).select("_key", (F.col("target") - F.col("words")).alias("_gap"))
+        if open_sources.isEmpty():
+            break
         now = rounded.join(moves, "_row", "left_anti")  # a document is changed once at most
-        joined = attach(now, open_sources, "_key", counts).where(F.col("_gap").isNotNull())
+        joined = now.join(open_sources, "_key")
         fits = (F.col("size") > 0) & (F.col("size") < 2 * F.abs("_gap"))
         room = F.when(F.col("_gap") > 0, F.col("copies") < max_repeats).otherwise(F.col("copies") > 0)
         better = F.struct(
