@@ -32,6 +32,10 @@ KINDS = {
 }
 PATTERN = "|".join(KINDS.values())
 
+# Every match holds a digit, an at sign or one of these; texts without any are not searched.
+SIGNS = "[0-9@]"
+HINTS = ["AKIA", "ASIA", *sorted({t for t in MALE + FEMALE if not any(t != o and o in t for o in MALE + FEMALE)})]
+
 # Syllables of made-up names: first part, last part of a male, a female, a family name.
 SYLLABLES = {
     "Latin": ("ba be bo da de do fa fe ga ka ke la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se "
@@ -47,6 +51,10 @@ MAX_ATTEMPTS = 30
 KEEP_PREFIX = "^(?i:[a-z_-]+\\s*[=:]\\s*[\"']?)"
 
 
+def may_match(body: Column) -> Column:
+    return body.rlike(SIGNS) | reduce(lambda a, b: a | b, [F.contains(body, F.lit(h)) for h in HINTS])
+
+
 def _let(value: Column, body) -> Column:
     """Bind a value once for several uses."""
     return F.transform(F.array(value), body)[0]
@@ -258,7 +266,7 @@ def replace_entities(
     """
     body = F.col(f"`{text}`")
     matches = F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0))
-    some = body.rlike(PATTERN)
+    some = may_match(body) & body.rlike(PATTERN)
     mentions = keep(
         docs.where(some).select(group_key(F.col(id_col)).alias("_doc"), F.explode(matches).alias("_match"))
         .select("_doc", "_match", kind_of(F.col("_match")).alias("_kind"))
@@ -284,7 +292,7 @@ def replace_entities(
     no_map = F.create_map().cast("map<string,int>")
     pieces = whole.select(
         "_row", "_text", F.coalesce("_redrawn", no_map).alias("_redrawn"),
-        F.when(F.col("_text").rlike(PATTERN), F.struct(gaps.alias("gaps"), matches.alias("found"))).alias("_cut"),
+        F.when(may_match(F.col("_text")) & F.col("_text").rlike(PATTERN), F.struct(gaps.alias("gaps"), matches.alias("found"))).alias("_cut"),
     )
 
     def new(m: Column) -> Column:
