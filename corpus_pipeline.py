@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm.common import keep
+from vitrina.llm.common import group_key, keep
 from vitrina.llm.mixing import mix_sources
 from vitrina.llm.minhash import near_duplicates
 from vitrina.llm.packing import pack_documents
@@ -22,9 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; one row of those that share an id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    on = docs["doc_id"].eqNullSafe(kept["_kept"])
-    return docs.join(kept, on, "left_semi").dropDuplicates(["doc_id"])
+    key = group_key(F.col("doc_id"))
+    kept = near_duplicates(docs).where("kept").select(key.alias("_kept")).distinct()
+    # One key for both steps, so that the texts are moved once.
+    return (
+        docs.withColumn("_kept", key).join(kept, "_kept", "left_semi").dropDuplicates(["_kept"]).drop("_kept")
+    )
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
