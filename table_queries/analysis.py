@@ -21,7 +21,7 @@ from vitrina.operators.nearest import with_nearest_site
 from vitrina.operators.runs import analysis_summary
 from vitrina.operators.score import score_listings
 from vitrina.operators.towns import town_population
-from vitrina.plans.analyse import analyse, analyse_with_handles
+from vitrina.plans.analyse import analyse, analyse_with_handles, resolve_and_account
 
 RULES = defaults.WEIGHTS["criterios"]
 
@@ -438,15 +438,7 @@ asked AS (SELECT *, sum(cost) OVER w AS spent, count(*) FILTER (WHERE cost > 0)
 allowed AS (SELECT seq, coalesce(spent, 0) + 0.002 <= 0.5 + 1e-9 AS ok FROM asked)"""
 
 
-@query(f"""
-WITH {_RESOLVE_SQL}
-SELECT seq, CASE WHEN on_page THEN 'https://instagram.com/page' || seq::VARCHAR
-    WHEN cached_known THEN 'https://instagram.com/cache' || seq::VARCHAR
-    WHEN cached_known IS NULL AND ok AND handle IS NOT NULL THEN 'https://instagram.com/' || handle ELSE '' END AS instagram,
-  CASE WHEN on_page THEN 'web' WHEN cached_known OR (cached_known IS NULL AND ok AND handle IS NOT NULL)
-    THEN 'dataforseo' ELSE '-' END AS instagram_fuente
-FROM rows LEFT JOIN allowed USING (seq)""")
-def resolved_handles(spark, sf_dir):
+def _handle_inputs(spark, sf_dir):
     rows = search_rows(spark, sf_dir)
     k = F.col("seq")
     key = search_key(F.col("nombre"), F.col("municipio_origen"))
@@ -463,7 +455,41 @@ def resolved_handles(spark, sf_dir):
         F.when(F.col("c_acctbal") > 5000, link("cache")).otherwise("").alias("url"),
         k.alias("ts"),
     )
-    searches = rows.select(key.alias("key"), "items", "cost")
+    return listings, cache, rows.select(key.alias("key"), "items", "cost")
+
+
+@query(f"""
+WITH {_RESOLVE_SQL},
+state AS (SELECT *, CASE WHEN on_page THEN 'page' WHEN cached_known IS NOT NULL THEN 'cache' ELSE 'paid' END AS one FROM rows),
+runs AS (SELECT 1 AS run, one AS search_state, CASE WHEN one = 'paid' THEN cost ELSE 0 END AS usd FROM state
+  UNION ALL SELECT 2, CASE WHEN one = 'paid' AND cost > 0 THEN 'cache' ELSE one END, 0 FROM state)
+SELECT run::INT AS run, search_state, count(*) AS n, round(sum(usd), 6)::DOUBLE AS usd FROM runs GROUP BY ALL""")
+def handles_of_two_runs(spark, sf_dir):
+    """A second run finds the first one's searches in the cache and pays nothing."""
+    listings, cache, searches = _handle_inputs(spark, sf_dir)
+    counted = []
+    for run in (1, 2):
+        rows, new, report = resolve_and_account(listings, cache, searches, 10**12 + run, max_usd=10_000.0)
+        cache = cache.unionByName(new.select(*cache.columns))
+        spent = report.agg(F.round(F.coalesce(F.sum("spent"), F.lit(0.0)), 6)).scalar()
+        per_state = rows.groupBy("search_state").agg(F.count(F.lit(1)).alias("n"))
+        counted.append(per_state.select(
+            F.lit(run).alias("run"), "search_state", "n",
+            F.when(F.col("search_state") == "paid", spent).otherwise(0.0).alias("usd"),
+        ))
+    return counted[0].unionByName(counted[1])
+
+
+@query(f"""
+WITH {_RESOLVE_SQL}
+SELECT seq, CASE WHEN on_page THEN 'https://instagram.com/page' || seq::VARCHAR
+    WHEN cached_known THEN 'https://instagram.com/cache' || seq::VARCHAR
+    WHEN cached_known IS NULL AND ok AND handle IS NOT NULL THEN 'https://instagram.com/' || handle ELSE '' END AS instagram,
+  CASE WHEN on_page THEN 'web' WHEN cached_known OR (cached_known IS NULL AND ok AND handle IS NOT NULL)
+    THEN 'dataforseo' ELSE '-' END AS instagram_fuente
+FROM rows LEFT JOIN allowed USING (seq)""")
+def resolved_handles(spark, sf_dir):
+    listings, cache, searches = _handle_inputs(spark, sf_dir)
     done = analyse_with_handles(listings, cache, searches, max_usd=0.5)
     return done.select("seq", "instagram", "instagram_fuente")
 

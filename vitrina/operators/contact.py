@@ -111,12 +111,13 @@ def resolve_handles(
     max_usd: float = 1.0,
     seq: str = "seq",
 ) -> DataFrame:
-    """Add instagram, instagram_fuente and search_state.
+    """Add instagram, instagram_fuente, search_state and what was searched: key, cost, handle.
 
     In turn: the handle of the listing's page (``perfil``), a cached search, and
     a saved search response (key, items, cost) as far as the budget reaches.
     search_state is page, cache, paid, repeat or refused; a repeat reads what an
-    earlier row of the run has paid for.
+    earlier row of the run has paid for. key, cost and handle are null for rows that
+    made no search; with them the result goes to ``cache_entries`` and ``budget_report``.
     """
     keyed = listings.where(F.col("perfil").isNull()).select(
         seq,
@@ -140,12 +141,13 @@ def resolve_handles(
     # Kept, as putting rows in order reads its input twice.
     spent = with_budget(keep(searched, "searched"), [], [seq], max_usd, key="key")
     answered = looked.where(F.col("_cached").isNotNull()).select(
-        seq, F.col("_cached").alias("_url"), F.lit("cache").alias("search_state")
+        seq, F.col("_cached").alias("_url"), F.lit("cache").alias("search_state"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("key", "string"), ("cost", "double"), ("handle", "string"))],
     ).unionByName(
         spent.select(
             seq,
             F.when(F.col("search_state") != "refused", profile_link(F.col("_found"))).alias("_url"),
-            "search_state",
+            "search_state", "key", F.col("cost").cast("double").alias("cost"), F.col("_found").alias("handle"),
         )
     )
     joined = listings.join(answered, seq, "left")

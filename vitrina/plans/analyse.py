@@ -13,12 +13,15 @@ from vitrina.functions.text import strip, text
 from vitrina.operators.brands import (
     count_by_brand, names_brand, with_brand_key, with_store_count,
 )
-from vitrina.operators.contact import one_per_url, page_address, resolve_handles, with_page
+from vitrina.operators.contact import (
+    cache_entries, one_per_url, page_address, resolve_handles, with_page,
+)
 from vitrina.operators.dedup import first_per_key, with_keys
 from vitrina.operators.durable import keep
 from vitrina.operators.lookups import key_counts
 from vitrina.operators.score import apply_existing_customer, score_listings
 from vitrina.operators.towns import name_key, town_population
+from vitrina.operators.usage import budget_report
 
 
 def analyse(
@@ -41,8 +44,7 @@ def analyse(
     so the brand filter comes after that count. ``keep_excluded`` leaves the
     excluded rows in, marked by ``excluded``, for the summary.
     """
-    unique = first_per_key(with_keys(listings), "fallback_key", seq)
-    first = with_brand_key(keep(unique.drop("url_key", "fallback_key"), "unique"))
+    first = with_brand_key(keep(unique_listings(listings, seq), "unique"))
     # All counts come from the kept rows, not from the growing plan.
     per_town = key_counts(first.select(name_key(F.col("municipio_origen")).alias("_town")), ["_town"])
     per_page = key_counts(first.select(page_address(F.col("web")).alias("url")), ["url"])
@@ -87,4 +89,31 @@ def analyse_with_handles(
 ) -> DataFrame:
     """Add instagram and instagram_fuente to analysed listings."""
     scored = keep(scored, "scored")
-    return resolve_handles(scored, cache, searches, max_usd, seq).drop("perfil", "search_state")
+    return resolve_handles(scored, cache, searches, max_usd, seq).drop(
+        "perfil", "search_state", "key", "cost", "handle"
+    )
+
+
+def resolve_and_account(
+    scored: DataFrame,
+    cache: DataFrame,
+    searches: DataFrame,
+    run_ts: int,
+    max_usd: float = 1.0,
+    seq: str = "seq",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with handles, the run's new cache rows, and its budget report.
+
+    Append the cache rows (``ledgers.append_cache``) and the next run pays for none of
+    these searches again.
+    """
+    resolved = keep(resolve_handles(keep(scored, "scored"), cache, searches, max_usd, seq), "resolved")
+    made = resolved.where(F.col("cost").isNotNull())
+    rows = resolved.drop("perfil", "key", "cost", "handle")
+    return rows, cache_entries(made, run_ts), budget_report(made, [], [seq], max_usd)
+
+
+def unique_listings(listings: DataFrame, seq: str = "seq") -> DataFrame:
+    """The first table of an analysis: the listings without repeated name, address and phone."""
+    unique = first_per_key(with_keys(listings), "fallback_key", seq)
+    return unique.drop("url_key", "fallback_key")
