@@ -243,7 +243,7 @@ def _context_rows(block: Block, at: np.ndarray, length: int) -> tuple[np.ndarray
     size = end - start
     width = reach + length
     padded = np.concatenate((block.data, np.zeros(width, dtype=np.uint8)))
-    matrix = padded[start[:, None] + np.arange(width)]
+    matrix = np.lib.stride_tricks.sliding_window_view(padded, width)[start]
     matrix[np.arange(width) >= size[:, None]] = 0
     return matrix, place - start, size
 
@@ -351,6 +351,26 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, ids: np.ndarray, length:
     return out
 
 
+def _several(contexts: np.ndarray) -> np.ndarray:
+    """Which of the distinct contexts share their anchor with another one."""
+    rows = np.ascontiguousarray(contexts["bytes"])
+    at = np.arange(len(rows)) * rows.shape[1] + contexts["lead"]
+    _, which, count = np.unique(_anchor_hashes(rows.ravel(), at), return_inverse=True, return_counts=True)
+    return count[which] > 1
+
+
+def _judged(contexts: np.ndarray, length: int) -> np.ndarray:
+    """Per context, as bits: which of its strings also begin in a context of smaller id."""
+    wide = length - ANCHOR + 1
+    taken = np.arange(contexts["bytes"].shape[1]) < contexts["size"][:, None]
+    ends = np.cumsum(contexts["size"].astype(np.int64))
+    repeated = repeated_starts(contexts["bytes"][taken], ends, contexts["id"], length)
+    padded = np.concatenate((repeated, np.zeros(wide, dtype=bool)))
+    bits = np.lib.stride_tricks.sliding_window_view(padded, wide)[ends - contexts["size"]]
+    bits = bits & (np.arange(wide) + length <= contexts["size"][:, None])
+    return (bits * (np.uint64(1) << np.arange(wide, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+
+
 def _marks(contexts: DataFrame, length: int) -> DataFrame:
     """Per block: which strings around which anchors are repeated (block, marks)."""
 
@@ -368,15 +388,10 @@ def _marks(contexts: DataFrame, length: int) -> DataFrame:
         group = np.empty(len(every), dtype=np.int64)
         group[order] = np.cumsum(first) - 1
         least = every[order[first]]
-        taken = np.arange(least["bytes"].shape[1]) < least["size"][:, None]
-        ends = np.cumsum(least["size"].astype(np.int64))
-        starts = ends - least["size"]
-        repeated = repeated_starts(least["bytes"][taken], ends, least["id"], length)
-        padded = np.concatenate((repeated, np.zeros(64, dtype=bool)))
-        wide = length - ANCHOR + 1
-        bits = padded[starts[:, None] + np.arange(wide)] & (np.arange(wide) + length <= least["size"][:, None])
-        powers = np.uint64(1) << np.arange(wide, dtype=np.uint64)
-        masks = (bits * powers).sum(axis=1, dtype=np.uint64)
+        masks = np.zeros(len(least), dtype=np.uint64)
+        # An anchor with one surrounding shares no string but with that one's equals.
+        some = np.flatnonzero(_several(least))
+        masks[some] = _judged(least[some], length)
         mask = np.where(every["id"] > least["id"][group], ~np.uint64(0), masks[group])
         out = []
         for at, n in zip(np.cumsum(sizes) - sizes, sizes):
