@@ -62,6 +62,13 @@ def test_placeholder_email(one, name, want):
     assert one(page.placeholder_email(C("x")), x=name) == f"vmarketing@{want}.com"
 
 
+@pytest.mark.parametrize("raw, want", [
+    ("Καφές Ψυχή", "kaphespsukhe"), ("Щука и Ёж", "shchukaiiozh"), ("Ресторан №1", "restoranno1"), ("日本", "negocio"),
+])
+def test_business_slug_of_other_scripts(one, raw, want):
+    assert one(text.business_slug(C("x")), x=raw) == want
+
+
 def test_fold_parts_words_at_other_signs(one):
     assert one(text.words(C("x")), x="D A·N «Dará»…fin") == ["d", "a", "n", "dara", "fin"]
 

@@ -38,6 +38,34 @@ def _base_letters() -> dict[str, str]:
 
 _BASE = _base_letters()
 
+# ASCII spellings of Greek and Cyrillic letters.
+_SCRIPTS = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i",
+    "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s",
+    "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "zh", "з": "z",
+    "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r",
+    "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh",
+    "щ": "shch", "ъ": '"', "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia",
+}
+
+
+def _script_letters() -> dict[str, str]:
+    """The letters above, their capitals, and both with accents."""
+    table = dict(_SCRIPTS)
+    for point in [*range(0x0386, 0x0460), *range(0x1F00, 0x2000)]:
+        letter = chr(point)
+        base = unicodedata.normalize("NFD", letter)[0].lower()
+        own = _SCRIPTS.get(letter.lower(), _SCRIPTS.get(base))
+        if own is not None:
+            table[letter] = own.capitalize() if letter != letter.lower() else own
+    return table
+
+
+_LETTERS = _script_letters()
+_LONG_LETTERS = {k: v for k, v in _LETTERS.items() if len(v) > 1}
+_SHORT_LETTERS = {k: v for k, v in _LETTERS.items() if len(v) == 1}
+
 
 def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
@@ -101,9 +129,13 @@ def with_scheme(web: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """ASCII spelling of Latin text; letters of other scripts are dropped."""
-    table = _BASE | _SINGLE
+    """ASCII spelling of Latin, Greek and Cyrillic text; letters of other scripts are dropped."""
+    table = _BASE | _SINGLE | _SHORT_LETTERS
     spelled = text(c)
+    other = spelled
+    for letter, ascii_form in _LONG_LETTERS.items():
+        other = F.replace(other, F.lit(letter), F.lit(ascii_form))
+    spelled = F.when(spelled.rlike("[\\u0370-\\u045f\\u1f00-\\u1fff]"), other).otherwise(spelled)
     for letter, ascii_form in _SPELLED.items():
         spelled = F.replace(spelled, F.lit(letter), F.lit(ascii_form))
     mapped = F.translate(spelled, "".join(table), "".join(table.values()))
