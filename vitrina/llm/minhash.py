@@ -128,10 +128,14 @@ def _branch(members: DataFrame) -> DataFrame:
     return picked.select("_row", F.xxhash64("node", "_at", F.get("_tokens", F.col("_at"))).alias("node"))
 
 
-def _crowded(members: DataFrame) -> DataFrame:
-    """Members of nodes that hold at least two, with the node's least member as pivot."""
+def _crowded(members: DataFrame, least: bool) -> DataFrame:
+    """Members of nodes that hold at least two, with a pivot.
+
+    The pivot is the node's least member, the same in all trees, or one by the node's hash.
+    """
+    by = F.col("_row") if least else F.xxhash64("node", "_row")
     nodes = keep(
-        members.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("pivot")).where("_n > 1"),
+        members.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_row", by).alias("pivot")).where("_n > 1"),
         "nodes",
     )
     return keep(members.join(nodes.drop("_n"), "node"), "members")
@@ -142,7 +146,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     Equal sets are joined first, so that groups of copies take part once. Trees: the
     documents of a node are dealt to children by minwise tokens that the node chooses;
-    every node's documents are compared with its least document, and when all but a few
+    every node's documents are compared with one of them (the least at first, below that
+    another one in each node), and when all but a few
     are then in one component, the few are compared with all; else the node branches.
     Candidates that agree in enough minwise tokens are confirmed on their whole sets;
     pairs inside a component found before are not compared again. Links between
@@ -163,7 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     )
     reps = keep(filled.join(classes.select("_row"), "_row"), "representatives")
     members = reps.select("_row", "_tokens", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("_tree"))
-    members = _crowded(_branch(members.select("_row", "_tokens", F.xxhash64(F.lit(SEED), "_tree").alias("node"))))
+    members = _branch(members.select("_row", "_tokens", F.xxhash64(F.lit(SEED), "_tree").alias("node")))
+    members = _crowded(members, least=True)
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     seen = docs.sparkSession.createDataFrame([], "a long, b long")
     labels = None
@@ -198,6 +204,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     waiting = seen
     for level in range(1, LEVELS + 1):
         stars = members.select(F.col("pivot").alias("a"), F.col("_row").alias("b"))
+        if labels is not None:
+            # What is in the pivot's component already need not meet it.
+            one = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
+            two = labels.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
+            stars = stars.distinct().join(one, "a", "left").join(two, "b", "left").where(
+                F.coalesce("_ca", "a") != F.coalesce("_cb", "b")
+            ).select("a", "b")
         confirm(agreeing(stars.unionByName(waiting)))
         waiting = seen.limit(0)
         if labels is not None:
@@ -221,7 +234,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         larger = open_members.where(~settled).select("node", "_row")
         if level == LEVELS or larger.isEmpty():
             break
-        members = _crowded(_branch(larger.join(reps.select("_row", "_tokens"), "_row")))
+        deeper = _crowded(_branch(larger.join(reps.select("_row", "_tokens"), "_row")), least=False)
+        discard(members, labelled, nodes, open_members)
+        members = deeper
     confirm(agreeing(waiting))
 
     named = reps.select("_row", "_key", "_id")
