@@ -1,7 +1,7 @@
 import numpy as np
 
 from tests.llm.plain import roots
-from vitrina.llm.vectors import near_vectors, passes_needed
+from vitrina.llm.vectors import near_vectors, passes_for, passes_needed
 
 
 def table(spark, rows):
@@ -54,3 +54,40 @@ def test_empty_and_unusable(spark):
 
 def test_passes_grow_with_the_table():
     assert passes_needed(10, 0.9, 128, 0.999) <= passes_needed(10**6, 0.9, 128, 0.999) < passes_needed(10**9, 0.9, 128, 0.999)
+
+
+def test_recall_on_a_cone(spark):
+    """Vectors about one direction, as embeddings of texts are: pairs must still meet."""
+    rng = np.random.default_rng(7)
+    n, dim, n_pairs = 4_000, 48, 300
+    axis = np.eye(dim)[0]
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    def across(v, k):
+        w = rng.standard_normal((k, dim))
+        return unit(w - (w * v).sum(axis=1, keepdims=True) * v)
+
+    x = np.sqrt(0.7) * axis + np.sqrt(0.3) * across(axis, n)
+    # Partners at cosine 0.902 that stay as near the axis as the others.
+    side = across(axis, n_pairs)
+    own = unit(x[:n_pairs] - np.sqrt(0.7) * axis)
+    side = unit(side - (side * own).sum(axis=1, keepdims=True) * own)
+    near = (0.902 - 0.7) / 0.3
+    x[n_pairs : 2 * n_pairs] = np.sqrt(0.7) * axis + np.sqrt(0.3) * (near * own + np.sqrt(1 - near**2) * side)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    hit = x @ x.T >= 0.9
+    np.fill_diagonal(hit, False)
+    a, b = np.nonzero(hit)
+    want = roots(range(n), [(p, q) for p, q in zip(a.tolist(), b.tolist()) if p < q])
+    got = {r["vec_id"]: r["component_id"] for r in near_vectors(table(spark, rows), window=8).collect()}
+    linked = [i for i in range(n) if want[i] != i]
+    assert len(linked) >= n_pairs
+    assert sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+
+
+def test_passes_from_chances():
+    assert passes_for([(0.5, 10)], 0.999) == 10 and passes_for([(1.0, 5)], 0.999) == 1
+    assert passes_for([(0.5, 9_000), (0.01, 1_000)], 0.999) > 400
+    assert passes_for([(0.0, 1)], 0.999) is None
