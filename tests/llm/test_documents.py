@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.plain import odd_rows, removed_bytes, repeat_words, roots, shingles, water_fill, words
-from vitrina.llm import mixing, packing, shards
+from vitrina.llm import mixing, packing, repeats, shards
 from vitrina.llm.minhash import near_duplicates
 from vitrina.llm.pii import replace_entities
 from vitrina.llm.quality import host_rules, keep_good
@@ -276,3 +276,31 @@ def test_surrogates_stay_distinct(spark):
     assert out.distinct().count() == len({t for _, t in rows}) == 9_000
     old = {t[5:-4] for _, t in rows}
     assert not old & {r["p"].strip() for r in out.collect()}
+
+
+def test_repeats_around_a_frequent_anchor(spark, odd, monkeypatch):
+    """One phrase with other text around it in every document: no shard takes all of it."""
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)]
+    rows = [
+        (i, " ".join([words[k] for k in rng.integers(0, 40, 3)] + ["dear customer of our shop,"] + [words[k] for k in rng.integers(0, 3, 4)]))
+        for i in range(300)
+    ]
+    rows += [(None, rows[5][1] + " end"), (7, rows[8][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    divided = repeats._divided
+
+    def watched(contexts, most):
+        few, many = divided(contexts, most)
+        seen.append((few.where("shard >= 0").groupBy("shard").agg(F.sum("n_contexts")).collect(), many.count()))
+        return few, many
+
+    monkeypatch.setattr(repeats, "_divided", watched)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2_000)
+    for most, table, given in ((200, docs, rows), (0, odd, [(i, t) for i, t, _ in ROWS])):
+        monkeypatch.setattr(repeats, "SHARD_CONTEXTS", most)
+        want = Counter((i, sum(g)) for (i, _), g in zip(given, removed_bytes(given).values()))
+        assert Counter((r["doc_id"], r["n_removed"]) for r in remove_repeats(table).collect()) == want
+        few, many = seen[-1]
+        assert many > 0 and all(n <= most for _, n in few)

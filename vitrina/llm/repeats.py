@@ -24,11 +24,14 @@ ANCHOR = 16
 BLOCK_BYTES = 4_000_000
 PART_BYTES = 6_000_000
 SHARD_BYTES = 1_000_000
+# Contexts that one suffix array may take, about twice those of a shard that is all shared.
+SHARD_CONTEXTS = 100_000
 PASSED_ON = -1
 LAST_ID = np.iinfo(np.int64).max
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB)]
 _CONTEXT = np.random.default_rng(3_001).integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
+_STRING = np.random.default_rng(3_002).integers(0, 2**64, (2, 16), dtype=np.uint64) | np.uint64(1)
 
 
 def _words(data: np.ndarray, n: int) -> np.ndarray:
@@ -260,7 +263,7 @@ def _context_keys(matrix: np.ndarray, lead: np.ndarray, size: np.ndarray) -> np.
 
 
 def _contexts(blocks: DataFrame, shared: DataFrame, parts: int, shards: int, length: int) -> DataFrame:
-    """Contexts of shared anchors: shard, block, payload.
+    """Contexts of shared anchors: shard, block, n_contexts, payload.
 
     Of equal contexts a block sends the one of its least document. The others are passed
     on to the block's marks: either as a copy of that one's marks (same document) or as
@@ -295,7 +298,7 @@ def _contexts(blocks: DataFrame, shared: DataFrame, parts: int, shards: int, len
                 by = np.argsort(shard, kind="stable")
                 sent, shard = sent[by], shard[by]
                 cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]))
-                out_shard, payload = [PASSED_ON - number % shards], [_squeezed(passed)]
+                out_shard, counts, payload = [PASSED_ON - number % shards], [0], [_squeezed(passed)]
                 for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     if lo < hi:
                         s = sent[lo:hi]
@@ -303,14 +306,25 @@ def _contexts(blocks: DataFrame, shared: DataFrame, parts: int, shards: int, len
                         record["id"], record["place"] = ids[s], block.places[at[s]]
                         record["lead"], record["size"], record["bytes"] = lead[s], size[s], matrix[s]
                         out_shard.append(int(shard[lo]))
+                        counts.append(hi - lo)
                         payload.append(_squeezed(record.tobytes()))
                 yield _rows({
                     "shard": (out_shard, pa.int32()),
                     "block": ([number] * len(payload), pa.int64()),
+                    "n_contexts": (counts, pa.int64()),
                     "payload": (payload, pa.binary()),
                 })
 
-    return joined.select("block", *_BLOCK_COLUMNS, "masks").mapInArrow(cut, "shard int, block long, payload binary")
+    return joined.select("block", *_BLOCK_COLUMNS, "masks").mapInArrow(
+        cut, "shard int, block long, n_contexts long, payload binary"
+    )
+
+
+def _divided(contexts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of shards with at most ``most`` of them, and of the others."""
+    sizes = contexts.where("shard >= 0").groupBy("shard").agg(F.sum("n_contexts").alias("_n"))
+    large = keep(sizes.where(F.col("_n") > most).select("shard"), "large-shards")
+    return contexts.join(large, "shard", "left_anti"), contexts.join(large, "shard", "left_semi")
 
 
 def _record(length: int) -> np.dtype:
@@ -403,6 +417,69 @@ def _marks(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.groupBy("shard").applyInArrow(judge, "block long, passed boolean, marks binary")
 
 
+def _string_keys(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row of bytes."""
+    wide = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), dtype=np.uint8)
+    wide[:, : strings.shape[1]] = strings
+    words = wide.view("<u8")
+    keys = []
+    for lane in range(2):
+        key = np.full(len(words), _C[lane], dtype=np.uint64)
+        for k in range(words.shape[1]):
+            key = (key ^ words[:, k]) * _STRING[lane, k % _STRING.shape[1]]
+            key ^= key >> np.uint64(29)
+        keys.append(key.view(np.int64))
+    return keys[0], keys[1]
+
+
+def _string_marks(contexts: DataFrame, length: int) -> DataFrame:
+    """The marks of ``_marks`` for contexts that are too many for a suffix array.
+
+    Every string around an anchor goes by its own hash and its anchor's place in it, so
+    that an anchor with very many surroundings spreads over all tasks; the least
+    document of equal strings is an aggregate, of which each map task sends one row.
+    """
+    wide = length - ANCHOR + 1
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                every = np.frombuffer(_unsqueezed(payload.as_buffer()), dtype=_record(length))
+                for lo in range(0, len(every), 4_000):
+                    rows = every[lo : lo + 4_000]
+                    at = np.arange(wide)
+                    # Strings that hold the anchor and lie inside the text.
+                    row, bit = np.nonzero((at <= rows["lead"][:, None]) & (at + length <= rows["size"][:, None]))
+                    windows = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(rows["bytes"]), length, axis=1)
+                    one, two = _string_keys(windows[row, bit])
+                    yield _rows({
+                        "_one": (one, pa.int64()), "_two": (two, pa.int64()),
+                        "_offset": ((rows["lead"][row] - bit).astype(np.int32), pa.int32()),
+                        "_id": (rows["id"][row], pa.int64()), "block": (np.full(len(row), number), pa.int64()),
+                        "place": (rows["place"][row].astype(np.int64), pa.int64()),
+                        "bit": (bit.astype(np.int32), pa.int32()),
+                    })
+
+    schema = "_one long, _two long, _offset int, _id long, block long, place long, bit int"
+    every = contexts.select("block", "payload").mapInArrow(strings, schema)
+    same = ["_one", "_two", "_offset"]
+    least = every.groupBy(*same).agg(F.min("_id").alias("_least"), F.max("_id").alias("_most"))
+    least = keep(least.where("_least < _most").drop("_most"), "least-documents")
+    repeated = every.join(least, same).where("_id > _least")
+    masks = repeated.groupBy("block", "place").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+
+    def of_block(table: pa.Table) -> pa.Table:
+        place, mask = table.column("place").to_numpy(), table.column("mask").to_numpy()
+        marks = place.astype("<u4").tobytes() + mask.astype("<u8").tobytes()
+        return pa.table({
+            "block": pa.array([table.column("block")[0].as_py()], pa.int64()),
+            "passed": pa.array([False]), "marks": pa.array([marks], pa.binary()),
+        })
+
+    # One block's places, which are as many as a block's text has at most.
+    return masks.groupBy("block").applyInArrow(of_block, "block long, passed boolean, marks binary")
+
+
 def _covered(block: Block, marks: list[dict], copies: np.ndarray, length: int) -> np.ndarray:
     """Which bytes of the block go."""
     n = len(block.data)
@@ -450,7 +527,9 @@ def remove_repeats(
     hash) find strings that may occur in two different texts; the bytes around each such
     anchor go to the shard of its hash, where equal ones are joined under their least
     document and a suffix array, built by induced sorting, and its permuted common
-    prefixes tell exactly which strings are repeated. Only those decisions return to the
+    prefixes tell exactly which strings are repeated. A shard with more contexts than
+    one suffix array may take, as that of an anchor with very many surroundings, is dealt
+    out by whole strings instead. Only those decisions return to the
     blocks. A text that equals one of a smaller id goes as a whole if it is long enough.
 
     A null text is empty. A null id is larger than all others; rows that share an id are
@@ -480,8 +559,13 @@ def remove_repeats(
     copies = owners.join(first, "_key").where("_id > _first").groupBy("block").agg(F.collect_list("at").alias("copies"))
 
     shared = keep(_shared(_entries(blocks, parts)), "shared")
-    contexts = _contexts(blocks, shared, parts, shards, length)
-    marks = keep(_marks(contexts, length), "marks")
+    contexts = keep(_contexts(blocks, shared, parts, shards, length), "contexts")
+    few, many = _divided(contexts, SHARD_CONTEXTS)
+    marks = _marks(few, length)
+    if not many.isEmpty():
+        marks = marks.unionByName(_string_marks(many, length))
+    marks = keep(marks, "marks")
+    discard(contexts)
     by_block = marks.groupBy("block").agg(F.collect_list(F.struct("passed", "marks")).alias("marks"))
     sides = by_block.join(copies, "block", "full").select("block", "marks", "copies")
     joined = blocks.join(sides.hint("shuffle_hash"), "block", "left")
