@@ -1,10 +1,13 @@
 """The registered queries: their SQL, the pipeline's stages, and the scale of their results."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import differences, sql_connection
+from tests.llm.plain import DOC_SCHEMA, prose
 from vitrina.llm.minhash import near_duplicates
 from vitrina.llm.mixing import mix_sources
 from vitrina.llm.quality import host_rules
@@ -47,3 +50,16 @@ def test_pipeline_stages(spark, odd, none):
     assert corpus_pipeline.STAGES[-1][1](spark, none, SF_DIR).count() == 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF_DIR).count() == 0
+
+
+def test_pipeline_keeps_texts_of_null_and_repeated_ids(spark):
+    """No clean text is lost to another one's id, and none is multiplied by it."""
+    shared, unique = prose(70, 90), [prose(71 + k, 90) for k in range(5)]
+    rows = [(3, shared), (7, unique[0]), (7, shared), (7, unique[0]), (8, unique[1]), (8, unique[2]),
+            (None, unique[3]), (None, unique[4]), (None, unique[4]), (None, ""), (None, ""), (None, None), (9, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "size", "kept", "words", "row") for i, t in rows], DOC_SCHEMA)
+    kept = corpus_pipeline.dedup(spark, docs, SF_DIR)
+    want = Counter([(3, shared), (7, unique[0]), (8, unique[1]), (8, unique[2]), (None, unique[3]), (None, unique[4]), *rows[-4:]])
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+    # One source: the mix takes each document once.
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix(spark, corpus_pipeline.keep(kept, "kept"), SF_DIR).collect()) == want

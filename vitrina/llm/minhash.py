@@ -30,12 +30,17 @@ LEVELS = 6
 SEED = 40_009
 
 
+def text_digest(body: Column) -> Column:
+    """16 bytes that tell texts apart; null for a null text."""
+    return F.unhex(F.md5(body.cast("binary")))
+
+
 def document_sets(docs: DataFrame, id_col: str, text: str, tokens: int = TOKENS) -> DataFrame:
-    """One row per row: _id, n_shingles, _key (16 bytes, equal for equal sets), _tokens.
+    """One row per row: _id, n_shingles, _key (16 bytes, equal for equal sets), _tokens, _digest.
 
-    ``_tokens`` are the minwise tokens, one hash function each; empty sets have none.
+    ``_digest`` tells texts apart. ``_tokens`` are the minwise tokens, one hash function each; empty sets have none.
     """
-    schema = f"_id {dict(docs.dtypes)[id_col]}, n_shingles long, _key binary, _tokens array<int>"
+    schema = f"_id {dict(docs.dtypes)[id_col]}, n_shingles long, _key binary, _tokens array<int>, _digest binary"
     factors = np.random.default_rng(SEED).integers(0, 2**64, tokens, dtype=np.uint64) | np.uint64(1)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,11 +64,15 @@ def document_sets(docs: DataFrame, id_col: str, text: str, tokens: int = TOKENS)
                     pa.array(least.view(np.int32).ravel(), pa.int32()),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(keys, pa.binary()), lists],
-                    names=["_id", "n_shingles", "_key", "_tokens"],
+                    [
+                        batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(keys, pa.binary()), lists,
+                        batch.column(2).slice(lo, hi - lo),
+                    ],
+                    names=["_id", "n_shingles", "_key", "_tokens", "_digest"],
                 )
 
-    plain = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text"))
+    body = F.col(text).cast("string")
+    plain = docs.select(F.col(id_col).alias("_id"), body.alias("_text"), text_digest(body).alias("_digest"))
     return plain.mapInArrow(signed, schema)
 
 
@@ -142,7 +151,16 @@ def _crowded(members: DataFrame, least: bool) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: id, n_shingles, component_id, kept; see ``near_rows``."""
+    return near_rows(docs, id_col, text).drop("_digest", "_first")
+
+
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept, _digest, _first.
+
+    ``kept`` holds for all rows with the least id of their component. ``_first`` holds for
+    one row of each component only, and for every row without words; ``_digest`` is that
+    of the text, as an id may be null or have several texts.
 
     Equal sets are joined first, so that groups of copies take part once. Trees: the
     documents of a node are dealt to children by minwise tokens that the node chooses;
@@ -247,12 +265,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     else:
         named = named.withColumn("component", F.col("_row"))
     named = keep(named, "named")
-    least = keep(named.groupBy("component").agg(F.min("_id").alias("_least")), "least")
-    by_key = keep(named.join(least, "component").select("_key", "_least"), "by-key")
+    # Representatives are the first rows of their keys, so one of them is the component's.
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row")))["_row"]
+    least = keep(named.groupBy("component").agg(F.min("_id").alias("_least"), first.alias("_least_row")), "least")
+    by_key = keep(named.join(least, "component").select("_key", "_least", "_least_row"), "by-key")
     # A key may be that of very many copies: a plain join of two kept tables.
-    joined = rows.select("_id", "n_shingles", "_key").join(by_key, "_key", "left")
+    joined = rows.select("_id", "n_shingles", "_key", "_row", "_digest").join(by_key, "_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("_id"))
     return joined.select(
         F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"),
         component.eqNullSafe(F.col("_id")).alias("kept"),
+        "_digest", ((F.col("n_shingles") == 0) | (F.col("_row") == F.col("_least_row"))).alias("_first"),
     )

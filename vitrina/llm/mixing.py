@@ -143,9 +143,12 @@ def mix_sources(
     weights=WEIGHTS,
     max_repeats: int = MAX_REPEATS,
     seed: int = SEED,
+    carry: Column | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, rate, copies, taken.
 
+    A value of the row to ``carry`` becomes a last column _carry.
+
     Rates maximise entropy relative to taking every document once, subject to each
     source's words meeting its target and no rate above ``max_repeats``. Copies are
     whole: the rate is rounded at a threshold that each document's keyed hash shifts and
@@ -163,9 +166,11 @@ def mix_sources(
             F.col(source).cast("string").alias("_source"),
             group_key(F.col(source)).alias("_key"),
             text_size(F.col(text)).alias("size"),
+            *([] if carry is None else [carry.alias("_carry")]),
         ).withColumn("_row", F.monotonically_increasing_id()),
         "sizes",
     )
+    carried = [] if carry is None else ["_carry"]
     sources = compact.groupBy("_key").agg(
         F.first("_source", ignorenulls=True).alias("source"),
         F.sum("size").alias("source_size"),
@@ -185,7 +190,7 @@ def mix_sources(
         )
         .withColumn("_shift", unit_hash(F.col("_id"), F.col("size"), seed=seed))
         .select("_row", "_id", "_source", "_key", "size", "source_size",
-                F.col("_target").alias("target"), "rate", "_shift"),
+                F.col("_target").alias("target"), "rate", "_shift", *carried),
         "rated",
     )
     cuts = _find_cuts(rated, max_repeats)
@@ -200,7 +205,7 @@ def mix_sources(
     discard(rated)
     return done.select(
         F.col("_id").alias(id_col), F.col("_source").alias("source"), "size", "source_size",
-        "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"),
+        "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried,
     )
 
 
