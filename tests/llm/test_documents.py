@@ -304,3 +304,23 @@ def test_repeats_around_a_frequent_anchor(spark, odd, monkeypatch):
         assert Counter((r["doc_id"], r["n_removed"]) for r in remove_repeats(table).collect()) == want
         few, many = seen[-1]
         assert many > 0 and all(n <= most for _, n in few)
+
+
+def test_rewrite_of_odd_rows(spark, odd, tmp_path):
+    """Null and repeated ids, clashing columns, an unaffected shard and an emptied one."""
+    path = str(tmp_path / "shards")
+    docs = odd.withColumn("Shard", F.lit("own")).withColumn("slot", F.lit(-1))
+    spark.createDataFrame([(99, 1), (98, 2)], "doc_id long, _shard int").write.partitionBy("_shard").parquet(path)
+    placed, transfers = shards.reshard(odd, F.pmod(F.xxhash64("doc_id", "text"), F.lit(3)), 3, 5)
+    # Shard 1 is taken as unaffected; shard 2 as one that only gives.
+    placed = shards.keep(placed.where("shard != 1").withColumn("shard", F.when(F.col("shard") == 2, 3).otherwise(F.col("shard"))), "placed")
+    changed = [(0, 0, 5), (2, 3, 9), (0, 4, 9)]
+    want = Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"]) for r in placed.collect())
+    everything = Counter(tuple(r) for r in docs.collect())
+    assert shards.rewrite(docs, placed, changed, path) == [0, 2, 3, 4]
+    back = spark.read.parquet(path)
+    new = back.where("_shard != 1").collect()
+    got = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode()), r["_shard"]) for r in new)
+    assert got == want
+    assert not Counter(tuple(r[c] for c in docs.columns) for r in new) - everything
+    assert [r["doc_id"] for r in back.where("_shard = 1").collect()] == [99]

@@ -80,11 +80,17 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 32 old shards, by the hash of the id, to 40 of equal bytes."""
-    from vitrina.llm.shards import reshard
+    """From 32 old shards, by the hash of the id, to 40 of equal bytes; affected ones are written."""
+    from vitrina.llm.common import keep
+    from vitrina.llm.shards import reshard, rewrite
+    from vitrina.operators.durable import new_path
 
     old = F.pmod(F.xxhash64("doc_id"), F.lit(32))
-    placed, _ = reshard(_table(spark, sf_dir, "documents"), old, 32, 40)
+    docs = _table(spark, sf_dir, "documents")
+    row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    placed, transfers = reshard(docs, old, 32, 40, row=row)
+    placed = keep(placed, "placed")
+    rewrite(docs, placed, transfers, new_path(spark, "shards"), row=row)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard",

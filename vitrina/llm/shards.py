@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina.llm.common import keep
 from vitrina.operators.ordering import numbered, running
@@ -87,6 +87,7 @@ def reshard(
     text: str = "text",
     cost: Callable[[int, int], int] = stay_free,
     slots: bool = True,
+    row: Column | None = None,
 ) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """Give every row a new shard; return the rows and the block transfers.
 
@@ -98,14 +99,17 @@ def reshard(
     between small rows; a row goes where its middle lies. Running sums span tasks, so a
     shard may be of any size. A null text counts as empty; equal rows are told apart by
     their place in the table and are interchangeable; rows need no unique id. Extra
-    columns are ignored. An empty table gives no rows and no transfers.
+    columns are ignored. An empty table gives no rows and no transfers. ``row`` names a
+    row in every reading of the table; it becomes a last column _name, for ``rewrite``.
     """
+    named = [] if row is None else ["_name"]
     rows = keep(
         docs.select(
             F.col(id_col).alias("_id"),
             row_bytes(F.col(text)).alias("size"),
             F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
             old_shard.cast("int").alias("old_shard"),
+            *([] if row is None else [row.alias("_name")]),
         ).withColumn("_row", F.monotonically_increasing_id()),
         "shard-rows",
     )
@@ -134,6 +138,7 @@ def reshard(
     placed = laid.join(layout, "old_shard").select(
         "_id", "size", "text_crc32", "old_shard", "_row",
         F.element_at("_to", F.size(F.filter("_starts", lambda s: s <= middle))).alias("shard"),
+        *named,
     )
     if slots:
         placed = numbered(placed, ["shard"], ["_id", "text_crc32", "_row"], "_nth").withColumn(
@@ -147,6 +152,12 @@ def affected(transfers: list[tuple[int, int, int]]) -> list[int]:
     return sorted({s for i, j, n in transfers if i != j and n for s in (i, j)})
 
 
+def _free_name(name: str, taken: list[str]) -> str:
+    while name in [c.lower() for c in taken]:
+        name = "_" + name
+    return name
+
+
 def rewrite(
     docs: DataFrame,
     placed: DataFrame,
@@ -154,21 +165,55 @@ def rewrite(
     path: str,
     id_col: str = "doc_id",
     rows_per_file: int = 100_000,
+    text: str = "text",
+    row: Column | None = None,
 ) -> list[int]:
-    """Write the affected shards' rows below ``path``, one folder per shard; ids are unique here.
+    """Write the affected shards' rows below ``path``, one folder per shard.
 
-    Shards that no block leaves or enters are not read again and not written.
+    Shards that no block leaves or enters stay as they are; the folder of a shard that
+    nothing is left in goes. With the ``row`` that ``reshard`` was given, rows are joined
+    by it; else by id, size, check sum and a number within equals, which are
+    interchangeable. All columns of ``docs`` are written, and ``shard`` and ``slot`` (with
+    a line before the name where ``docs`` has it).
     """
     shards = affected(transfers)
-    moved = placed.where(F.col("shard").isin(shards)).select(id_col, "shard", "slot")
-    part = F.floor(F.col("slot") / rows_per_file)
+    shard, slot = _free_name("shard", docs.columns), _free_name("slot", docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    moved = placed.where(F.col("shard").isin(shards))
+    if row is not None:
+        left = docs.select(F.struct(*columns).alias("_doc"), row.alias("_name"))
+        right = moved.select(F.col("_name"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+        joined = left.join(right, "_name")
+    else:
+        key = ["_id", "_size", "_crc"]
+        # Numbers before the rows of other shards go, as equal rows may lie in several.
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+        left = docs.select(
+            F.struct(*columns).alias("_doc"), F.col(id_col).alias("_id"), row_bytes(F.col(text)).alias("_size"),
+            F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc"),
+        ).withColumn("_nth", nth)
+        right = placed.select(
+            F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"),
+            F.col("shard").alias("_shard"), F.col("slot").alias("_slot"),
+        ).withColumn("_nth", nth).where(F.col("_shard").isin(shards))
+        same = left["_id"].eqNullSafe(right["_id"])
+        for c in ("_size", "_crc", "_nth"):
+            same = same & (left[c] == right[c])
+        joined = left.join(right, same)
+    part = F.floor(F.col("_slot") / rows_per_file)
     (
-        docs.drop("shard", "slot")
-        .join(moved, id_col)
-        .repartition("shard", part)
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
+        joined.select("_doc", "_shard", "_slot")
+        .repartition("_shard", part)
+        .sortWithinPartitions("_shard", "_slot")
+        .select("_doc.*", F.col("_slot").alias(slot), F.col("_shard").alias(shard))
+        .write.partitionBy(shard)
+        .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(path)
     )
+    full = {r[0] for r in moved.select("shard").distinct().collect()}
+    context = docs.sparkSession.sparkContext
+    for empty in sorted(set(shards) - full):
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{shard}={empty}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
     return shards
