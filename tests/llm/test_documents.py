@@ -324,3 +324,21 @@ def test_rewrite_of_odd_rows(spark, odd, tmp_path):
     assert got == want
     assert not Counter(tuple(r[c] for c in docs.columns) for r in new) - everything
     assert [r["doc_id"] for r in back.where("_shard = 1").collect()] == [99]
+
+
+def test_whole_names_and_further_mentions(spark):
+    texts = [
+        "Mr. J. Smith and Mrs Anna Maria Schmidt came.",
+        "Mr John Smith spoke. Later John Smith left; Smith was tired, Smithson was not.",
+        "Herr Ludwig van Beethoven wrote.", "card 2221000000000009 at 2001:db8::8a2e:370:7334 and ::ffff:10.1.2.3.",
+        "at 10:30:45, std::vector, a::b",
+    ]
+    rows = replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    new = [r["text"] for r in rows]
+    one = re.fullmatch(r"Mr\. ([A-Z]\.) (\w+) and Mrs (\w+) (\w+) (\w+) came\.", new[0])
+    assert one and not {"Smith", "Anna", "Maria", "Schmidt"} & set(one.groups())
+    two = re.fullmatch(r"Mr (\w+) (\w+) spoke\. Later (\w+) (\w+) left; (\w+) was tired, Smithson was not\.", new[1])
+    assert two and two[1] == two[3] != "John" and two[2] == two[4] == two[5] != "Smith" and rows[1]["n_entities"] == 3
+    assert "Beethoven" not in new[2] and " van " in new[2]
+    assert "2221000000000009" not in new[3] and _luhn(re.search(r"card (\d{16})", new[3])[1])
+    assert "8a2e" not in new[3] and "10.1.2.3" not in new[3] and new[4] == texts[4]

@@ -12,6 +12,11 @@ from vitrina.llm.common import group_key, keep
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "Госпожа", "Κυρία"]
 
+# A word of a name, or initials; small words that stand between them.
+INITIALS = "(?:\\p{Lu}\\.-?)+|\\p{Lu}(?![\\p{L}'’-])"
+NAME_WORD = f"(?:{INITIALS}|\\p{{Lu}}[\\p{{L}}'’-]{{1,60}}+)"
+PARTICLE = "(?:van|von|zu|zur|de|der|den|del|della|di|da|do|dos|du|la|le|el|al|bin|ten|ter)"
+
 # One pattern per kind, tried in this order at each place. Every run of characters is
 # entered at its start only, so the search is linear in the text.
 KINDS = {
@@ -22,13 +27,15 @@ KINDS = {
     "@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}+)(?:\\.[A-Za-z0-9-]{1,63}+){0,8}(?<=\\.[A-Za-z]{2,24})",
     "ip": "(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\\.){3}"
     "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\\.[0-9])",
+    "ipv6": "(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,40}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    "|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){1,7}:|:(?::[0-9A-Fa-f]{1,4}){1,7})"
+    "(?![0-9A-Za-z:]|\\.[0-9])",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": "(?<![0-9])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
+    "card": "(?<![0-9])[2-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "ssn": "(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": "(?<![0-9+])(?:\\+[0-9]{1,3}[ .-]?)?(?:\\([0-9]{2,4}\\) ?|[0-9]{2,4}[ .-])"
     "[0-9]{3,4}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
-    "name": f"(?<![\\p{{L}}])(?:{'|'.join(MALE + FEMALE)})\\.? \\p{{Lu}}[\\p{{L}}'’-]{{1,30}}+"
-    "(?: \\p{Lu}[\\p{L}'’-]{1,30}+)?",
+    "name": f"(?<![\\p{{L}}])(?:{'|'.join(MALE + FEMALE)})\\.? {NAME_WORD}(?: (?:{PARTICLE} ){{0,3}}{NAME_WORD}){{0,8}}+",
 }
 PATTERN = "|".join(KINDS.values())
 
@@ -133,6 +140,14 @@ def _ip(digest: Column) -> Column:
     return F.concat_ws(".", F.lit("10"), *parts)
 
 
+def _ipv6(value: Column, digest: Column) -> Column:
+    """Colons kept; hexadecimal digits drawn, those that lead a group not zero."""
+    chars = F.filter(F.split(value, ""), lambda c: c != "")
+    return F.array_join(
+        F.transform(chars, lambda c, i: F.when(c == ":", c).otherwise(_pick(HEX[1:], digest, i))), ""
+    )
+
+
 def _phone(value: Column, digest: Column) -> Column:
     """Country code, spacing and a fictional exchange 555 kept, the other digits drawn."""
     code = F.regexp_extract(value, "^(\\+[0-9]{1,3}[ .-]?)?", 0)
@@ -172,7 +187,7 @@ def _name(value: Column, key: str, attempt: Column) -> Column:
     female = title.rlike(f"^(?:{'|'.join(FEMALE)})\\.? $")
 
     def word(w: Column, i: Column) -> Column:
-        given = (i == 0) & (F.size(words) > 1)
+        given = i < F.size(words) - 1
         digest = F.sha2(F.concat(F.lit(f"{key}|name|"), F.lower(w), F.lit("|"), attempt.cast("string")), 256)
 
         def made(script: str) -> Column:
@@ -189,7 +204,17 @@ def _name(value: Column, key: str, attempt: Column) -> Column:
             w.rlike("\\p{IsGreek}"), made("Greek")
         ).otherwise(made("Latin"))
         proper = F.concat(F.upper(F.substring(drawn, 1, 1)), drawn.substr(F.lit(2), F.length(drawn)))
-        return F.when((F.upper(w) == w) & (F.length(w) > 1), F.upper(drawn)).otherwise(proper)
+
+        def initials(letters: str) -> Column:
+            each = F.filter(F.split(w, ""), lambda c: c != "")
+            return F.array_join(
+                F.transform(each, lambda c, k: F.when(c.rlike("\\p{L}"), _pick(letters, digest, k)).otherwise(c)), ""
+            )
+
+        short = F.when(w.rlike("\\p{IsCyrillic}"), initials("АБВГДЕЗИКЛМНОПРСТ")).when(
+            w.rlike("\\p{IsGreek}"), initials("ΑΒΓΔΕΖΗΙΚΛΜΝΟΠΡΣΤ")
+        ).otherwise(initials(UPPER))
+        return F.when(w.rlike(f"^(?:{INITIALS})$"), short).when(w.rlike(f"^{PARTICLE}$"), w).when((F.upper(w) == w) & (F.length(w) > 1), F.upper(drawn)).otherwise(proper)
 
     return F.concat(title, F.array_join(F.transform(words, word), " "))
 
@@ -206,6 +231,7 @@ def surrogate(match: Column, kind: Column, key: str, attempt: Column) -> Column:
         return (
             F.when(kind == "email", _email(match, d, key))
             .when(kind == "ip", _ip(d))
+            .when(kind == "ipv6", _ipv6(match, d))
             .when(kind == "card", _card(match, d))
             .when(kind == "phone", _phone(match, d))
             .when(kind == "name", _name(match, key, attempt))
@@ -252,13 +278,56 @@ def _settle(found: DataFrame, key: str) -> DataFrame:
     return state.where("_attempt > 0").select("_form", "_attempt")
 
 
+def _aliases(found: Column, new: Column) -> Column:
+    """What else a text may call its titled people, longest first, and by what: arrays old, new.
+
+    The whole name without the title, and the family name if it is no initial.
+    """
+    named = F.filter(F.arrays_zip(found.alias("old"), new.alias("new")), lambda p: kind_of(p["old"]) == "name")
+
+    def untitled(x: Column) -> Column:
+        return F.regexp_replace(x, "^\\S+ ", "")
+
+    def family(x: Column) -> Column:
+        return F.substring_index(x, " ", -1)
+
+    def pair(old: Column, made: Column) -> Column:
+        return F.struct((-F.length(old)).alias("n"), old.alias("old"), made.alias("new"))
+
+    whole = F.transform(named, lambda p: pair(untitled(p["old"]), untitled(p["new"])))
+    last = F.transform(named, lambda p: pair(family(p["old"]), family(p["new"])))
+    every = F.filter(F.concat(whole, last), lambda p: ~p["old"].rlike(f"^(?:{INITIALS})$"))
+    return F.array_sort(F.array_distinct(every))
+
+
+def _renamed(gap: Column, aliases: Column) -> Column:
+    """The text between two entities with the aliases in it replaced, and how many: text, n."""
+    escaped = F.transform(aliases, lambda p: F.regexp_replace(p["old"], "\\.", "\\\\\\."))
+    pattern = F.concat(F.lit("(?<![\\p{L}])(?:"), F.array_join(escaped, "|"), F.lit(")(?![\\p{L}])"))
+    old, new = F.transform(aliases, lambda p: p["old"]), F.transform(aliases, lambda p: p["new"])
+
+    def swapped(hits: Column) -> Column:
+        parts = F.split(gap, pattern, -1)
+        swaps = F.transform(hits, lambda h: F.get(new, (F.array_position(old, h) - 1).cast("int")))
+        return F.struct(
+            F.array_join(F.transform(parts, lambda g, i: F.concat(g, F.coalesce(F.get(swaps, i), F.lit("")))), "").alias("text"),
+            F.size(hits).alias("n"),
+        )
+
+    return F.when(F.size(aliases) > 0, _let(F.regexp_extract_all(gap, pattern, F.lit(0)), swapped)).otherwise(
+        F.struct(gap.alias("text"), F.lit(0).alias("n"))
+    )
+
+
 def replace_entities(
     docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """All rows and columns of ``docs``, the text's entities replaced, and n_entities (long).
 
     Equal entities get equal surrogates in the whole table, distinct ones distinct
-    surrogates of the same kind, script and format; the key decides which. A null text
+    surrogates of the same kind, script and format; the key decides which. Further
+    mentions of a text's titled names, whole or by the family name, get the same
+    surrogate and count. A null text
     stays null; texts without entities are unchanged to the byte. Repeated rows are
     replaced alike. If ``docs`` has a column n_entities of its own, it gives way. An
     empty table gives an empty one. Native functions only. Texts are not moved; what is
@@ -305,12 +374,16 @@ def replace_entities(
 
     swapped = F.transform("_cut.found", new)
     joined = F.array_join(
-        F.transform("_cut.gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_new", i), F.lit("")))), ""
+        F.transform("_gaps", lambda g, i: F.concat(g["text"], F.coalesce(F.get("_new", i), F.lit("")))), ""
     )
     made = pieces.select("_row", "_text", "_cut", F.when(F.col("_cut").isNotNull(), swapped).alias("_new"))
+    made = made.withColumn("_aliases", _aliases(F.col("_cut.found"), F.col("_new"))).withColumn(
+        "_gaps", F.transform("_cut.gaps", lambda g: _renamed(g, F.col("_aliases")))
+    )
+    further = F.aggregate("_gaps", F.lit(0), lambda n, g: n + g["n"])
     others = [F.col(f"_row.`{c}`") for c in docs.columns if c not in (text, "n_entities")]
     return made.select(
         *others,
         F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(joined).alias(text),
-        F.coalesce(F.size("_new"), F.lit(0)).cast("long").alias("n_entities"),
+        F.coalesce(F.size("_new") + further, F.lit(0)).cast("long").alias("n_entities"),
     )
