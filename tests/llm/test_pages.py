@@ -131,3 +131,15 @@ def test_wrapper_groups():
 
 def test_page_of_open_paragraphs_is_linear():
     assert len(page_wrapper("<p>x" * 50_000)[4]) == 1
+
+
+def test_labels_do_not_drop_the_article(spark):
+    body = (
+        "<body><div class='site-content has-sidebar'><article><div class='page-header'><h1 id='login'>Title {n}</h1></div>"
+        "<h2 id='social-impact'>Impact</h2><section id='related-work'><p data-id='nav' data-class='ad'>Work {n}</p></section>"
+        "<div class='share big'>Tweet</div></article></div>"
+        "<div class='comments'><article><p>Nice {n}</p></article></div></body>"
+    )
+    rows = [(k, f"http://side.org/{k}", body.format(n=k)) for k in range(3)]
+    got = {r["page_id"]: r["text"] for r in extract_text(pages(spark, rows)).collect()}
+    assert got == {k: f"Title {k}\n\nImpact\n\nWork {k}" for k in range(3)}

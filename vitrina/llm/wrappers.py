@@ -40,12 +40,21 @@ NOISE = re.compile(
     "share|sharing|social|related|comments?|replies|reply|disqus|popup|modal|toolbar|pagination|pager|login)"
     "(?:$|[^a-z])"
 )
+# Names of blocks inside an article that are none of its text; a whole class or role says so.
+INNER_NOISE = re.compile(
+    "ad|ads|advert[a-z]*|adbox|banner|sponsor[a-z]*|promo[a-z]*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|"
+    "cookies?|consent|newsletter|subscribe|share|sharing|social|related|comments?|replies|disqus|popup|modal|"
+    "toolbar|pagination|pager|login"
+)
+# Their ids are made from their text, or name it.
+TEXTUAL = set("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre".split())
 MAIN = ("article", "main")
+HAS_MAIN = re.compile("<(?:article|main)(?=[\\s/>]|$)", re.I)
 # Elements nested deeper than this count as lying at this depth.
 DEPTH = 60
 
 TOKEN = re.compile("<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|$)|<|[^<]+", re.S)
-LABEL = re.compile("(?:class|id|role|aria-label)\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", re.I)
+LABEL = re.compile("(?<![^\\s\"'/])(class|id|role|aria-label)\\s*=\\s*(\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)", re.I)
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -73,11 +82,58 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             at = end.start() if end else size
 
 
+def _whole_noise(labels: list[tuple[str, str]]) -> bool:
+    """Whether a class or role, as a whole, names a block that is no main text."""
+    names = [n for k, v in labels if k.lower() in ("class", "role") for n in v.strip("\"'").lower().split()]
+    return any(INNER_NOISE.fullmatch(n) for n in names)
+
+
+def is_noise(tag: str, rest: str, in_main: bool) -> bool:
+    """Whether an element's labels say that it is no main text."""
+    labels = LABEL.findall(rest) if rest else []
+    if tag in (*MAIN, "body", "html") or not labels:
+        return False
+    if in_main:
+        return tag not in TEXTUAL and _whole_noise(labels)
+    values = [v for k, v in labels if tag not in TEXTUAL or k.lower() != "id"]
+    return bool(NOISE.search(" ".join(values).lower()))
+
+
 def texts(page: str) -> Iterator[tuple[list[str], list[int], bool, str]]:
     """Path, its elements' numbers, whether a new block begins here, and text.
 
-    The names of dropped elements end in "!".
+    The names of dropped elements end in "!". An element that holds an article or main
+    element is not dropped for its labels, unless a class or role as a whole says noise
+    (a list of comments) and another article or main element lies outside of it.
     """
+    spared: set[int] = set()
+    if HAS_MAIN.search(page):
+        held: dict[int, int] = {}
+        noise: set[int] = set()
+        total = 0
+        for opened, numbers, rest in _elements(page):
+            if opened in MAIN:
+                total += 1
+                for n in numbers[:-1]:
+                    held[n] = held.get(n, 0) + 1
+            elif _whole_noise(LABEL.findall(rest) if rest else []):
+                noise.add(numbers[-1])
+        spared = {n for n, count in held.items() if n not in noise or count == total}
+    return _texts(page, spared)
+
+
+def _elements(page: str) -> Iterator[tuple[str, list[int], str]]:
+    """Every element as it opens: tag, numbers of the open elements and its own, attributes."""
+    opened: list[tuple[str, list[int], str]] = []
+    for _ in _texts(page, set(), opened):
+        yield from opened
+        opened.clear()
+    yield from opened
+
+
+def _texts(
+    page: str, spared: set[int], opened: list | None = None
+) -> Iterator[tuple[list[str], list[int], bool, str]]:
     path: list[str] = []
     tags: list[str] = []
     numbers: list[int] = []
@@ -104,14 +160,15 @@ def texts(page: str) -> Iterator[tuple[list[str], list[int], bool, str]]:
             close("p")
         while tags and tags[-1] in CLOSES.get(value, ()):
             close(tags[-1])
-        labels = " ".join(LABEL.findall(rest)).lower() if rest else ""
         in_main = any(t in MAIN for t in tags)
         dropped = value in DROPPED or (value == "header" and not in_main)
-        dropped = dropped or (value not in (*MAIN, "body", "html") and bool(NOISE.search(labels)))
         number += 1
+        dropped = dropped or (number not in spared and is_noise(value, rest, in_main))
         tags.append(value)
         path.append(value + "!" * dropped)
         numbers.append(number)
+        if opened is not None and (value in MAIN or rest):
+            opened.append((value, numbers[:] if value in MAIN else [number], rest))
 
 
 # A wrapper is a tree: [tag, optional, repeated, constant, children]. A text has the tag
