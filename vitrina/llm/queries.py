@@ -1,8 +1,11 @@
-"""The registered queries of the ten operators."""
+"""The registered queries of the operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from vitrina.functions.text import let
+from vitrina.llm.common import WORD, split_words
 
 QUERIES = {}
 SQL = {}
@@ -153,3 +156,80 @@ def op6_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vitrina.llm.repeats import remove_repeats
 
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query(r"""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+""")
+def op11_radix_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrina.llm.radix import exact_groups
+
+    return exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of every tenth document by its id's crc32, the words from one place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    numbered = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("long").alias("g"))
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.col("g") % n
+        p = 1 + F.floor((n - a) / (3 + F.col("g") % 8))
+        word = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+        return F.array_join(word, " ")
+
+    text = F.col("text")
+    some = (F.col("h") % 10 == 0) & text.rlike(WORD)
+    return numbered.select("doc_id", F.when(some, let(split_words(text), repeated)).otherwise(text).alias("text"))
+
+
+@query()
+def op12_frequency_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrina.llm.periods import periodic_runs, strongest
+
+    found = periodic_runs(planted_periods(_table(spark, sf_dir, "documents")))
+    best = found.withColumn("best", strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query(r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), total AS (
+    SELECT count(*) FILTER (len(terms) > 0) AS n_all, sum(len(terms))::BIGINT AS l_all FROM doc
+), posting AS (
+    SELECT r, doc_id, len(terms) AS n, t, count(*) AS tf FROM (SELECT *, unnest(terms) AS t FROM doc) GROUP BY ALL
+), weight AS (
+    SELECT t, floor(1000 * ln((2 * any_value(n_all) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+    FROM posting, total GROUP BY t
+), asked AS (
+    SELECT i, item_id, unnest(list_distinct(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS t
+    FROM (SELECT row_number() OVER () AS i, * FROM benchmark)
+), scored AS (
+    SELECT i, item_id, r, doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_all) // l_all))))::BIGINT AS score
+    FROM asked JOIN weight USING (t) JOIN posting USING (t), total GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50
+""")
+def op13_block_max_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vitrina.llm.ranking import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
