@@ -123,22 +123,26 @@ def test_attach_with_hot_and_null_keys(spark):
         F.create_map(F.lit("a"), "id").alias("m"),
     )
     lookup = spark.createDataFrame([("hot", 1)] + [(str(i), i) for i in range(0, 900, 2)], "k string, v int")
-    got = lookups.attach(left, lookup, "k")
-    assert got.columns == ["id", "k", "m", "v"] and got.count() == 3000
-    for r in got.collect():
-        if r["k"] is None:
-            assert r["v"] is None
-        elif r["k"] == "hot":
-            assert r["v"] == 1
-        else:
-            assert r["v"] == (int(r["k"]) if int(r["k"]) % 2 == 0 else None)
+    for threshold in ("-1", "10MB"):
+        # Above the planner's threshold hot rows are spread; below it nothing is shuffled.
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        got = lookups.attach(left, lookup, "k")
+        assert got.columns == ["id", "k", "m", "v"] and got.count() == 3000
+        for r in got.collect():
+            if r["k"] is None:
+                assert r["v"] is None
+            elif r["k"] == "hot":
+                assert r["v"] == 1
+            else:
+                assert r["v"] == (int(r["k"]) if int(r["k"]) % 2 == 0 else None)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     plan = lookups.attach(left, lookup, "k")._jdf.queryExecution().executedPlan().toString()
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert re.search(r"hashpartitioning\(k#\d+, _to#\d+", plan)  # hot rows are spread
     hot_less = lookups.attach(left, lookup.where("k <> 'hot'"), "k").where("k = 'hot'")
     assert hot_less.where("v is null").count() == 1000
     assert lookups.without(left, lookup, "k").where("k = 'hot'").count() == 0
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_running_values(spark):

@@ -186,7 +186,7 @@ def test_replayed_batch_writes_the_same_rows(spark, tmp_path):
     out = str(tmp_path / "out")
     seed_output(spark.createDataFrame([(-5, "q", "y")], schema), out)
     for n, batch in ((0, first), (1, second), (1, second)):
-        append_batch(batch, n, out, batch.schema, "seq", "url_key", "fallback_key")
+        append_batch(batch, n, out, "seq", "url_key", "fallback_key")
     assert sorted(r["seq"] for r in stored(spark, out, first.schema).collect()) == [-5, 0, 3]
 
 

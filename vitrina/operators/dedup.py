@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina.functions.text import strip, text
-from vitrina.operators.durable import keep
+from vitrina.operators.durable import discard, keep
 
 
 def with_keys(listings: DataFrame) -> DataFrame:
@@ -35,10 +35,13 @@ def first_per_key(df: DataFrame, key: str | list[str], *order: str | Column) ->
 
 def first_per_full_url(listings: DataFrame, *order: str) -> DataFrame:
     """Rows of the places search: the whole link, or name, address and phone."""
+    return first_per_key(listings.withColumn("_key", full_url_key()), "_key", *order).drop("_key")
+
+
+def full_url_key() -> Column:
     link = strip(text(F.col("maps_url")))
     other = F.lower(F.concat_ws("|", "nombre", "direccion", "telefono"))
-    keyed = listings.withColumn("_key", F.when(link != "", link).otherwise(other))
-    return first_per_key(keyed, "_key", *order).drop("_key")
+    return F.when(link != "", link).otherwise(other)
 
 
 def dedup_two_keys(
@@ -70,23 +73,34 @@ def dedup_two_keys(
             _first_two(still_open, "a").join(_first_two(still_open, "b"), "seq"), "ranked"
         )
         free = ranked.where("n_a = 1 and n_b = 1").select("seq", "a", "b")
-        waiting = ranked.where("n_a + n_b = 3").select(
-            "seq",
-            F.when(F.col("n_a") == 2, F.col("least_a")).otherwise(F.col("least_b")).alias("to"),
-        )
-        even = _chain_ends(waiting).where("not odd")
-        freed = even.join(free.select(F.col("seq").alias("to")), "to", "left_semi")
-        chained = ranked.join(freed, "seq", "left_semi").select("seq", "a", "b")
-        won = keep(free.unionByName(chained), "kept")
-        kept.append(won.select("seq"))
+        waiting = ranked.where("n_a + n_b = 3")
+        chained = not waiting.isEmpty()
+        if chained:
+            won = keep(free.unionByName(_freed(ranked, free, waiting)), "kept")
+        else:
+            won = free
         rest = still_open.join(won.select("a"), "a", "left_anti")
-        still_open = keep(rest.join(won.select("b"), "b", "left_anti"), "pairs")
+        after = keep(rest.join(won.select("b"), "b", "left_anti"), "pairs")
+        discard(still_open)
+        kept.append(won.select("seq"))
+        if chained:
+            discard(ranked)
+        still_open = after
+    discard(still_open)
     if not kept:
         return df.limit(0)
     chosen = reduce(DataFrame.unionByName, kept).withColumnRenamed("seq", seq)
     return df.join(chosen, seq, "left_semi")
 
 
+def _freed(ranked: DataFrame, free: DataFrame, waiting: DataFrame) -> DataFrame:
+    """The waiting pairs that an even number of steps leads to a free one."""
+    rival = F.when(F.col("n_a") == 2, F.col("least_a")).otherwise(F.col("least_b"))
+    even = _chain_ends(waiting.select("seq", rival.alias("to"))).where("not odd")
+    freed = even.join(free.select(F.col("seq").alias("to")), "to", "left_semi")
+    return ranked.join(freed, "seq", "left_semi").select("seq", "a", "b")
+
+
 def _first_two(pairs: DataFrame, key: str) -> DataFrame:
     """The two earliest pairs of each key with their rank and the key's least ``seq``.
 
@@ -104,7 +118,7 @@ def _first_two(pairs: DataFrame, key: str) -> DataFrame:
 
 def _chain_ends(waiting: DataFrame) -> DataFrame:
     """Where the chain of rivals of each pair (seq, to) ends, and whether after an odd number of steps."""
-    links = keep(waiting.withColumn("odd", F.lit(True)), "chain")
+    links = waiting.withColumn("odd", F.lit(True))
     while True:
         ahead = links.select(
             F.col("seq").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd")
@@ -118,6 +132,8 @@ def _chain_ends(waiting: DataFrame) -> DataFrame:
             ),
             "chain",
         )
-        links = stepped.drop("moved")
+        if hasattr(links, "kept_at"):
+            discard(links)
+        links = stepped
         if stepped.where("moved").isEmpty():
             return links

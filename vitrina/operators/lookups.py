@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from vitrina.operators.durable import may_broadcast
+
 # A hot key holds more than a quarter of an even task's rows. With n tasks there are
 # fewer than 4 n such keys whatever the data: that list may always be broadcast.
 _LEAST_SHARE = 256
@@ -32,13 +34,23 @@ def attach(
 ) -> DataFrame:
     """Left join with a look-up table of at most one row per key.
 
-    Rows of hot keys get their values from a broadcast of the few hot look-up
+    A look-up table that the planner itself takes to be below its broadcast threshold is
+    left to it: the rows then stay where they are. Otherwise rows of hot keys get their values from a broadcast of the few hot look-up
     rows and are spread over the tasks of the shuffle join that serves all
     other rows. Rows with a null key match nothing and are spread as well.
     ``counts`` (key, _rows) saves the counting pass when the caller has it.
     """
     key = [key] if isinstance(key, str) else list(key)
     values = [c for c in lookup.columns if c not in key]
+    if may_broadcast(lookup):
+        # Null keys are the left side's, which does not move.
+        near = lookup.select(
+            *[F.col(k).alias(f"_k_{k}") for k in key], *[F.col(v).alias(f"_v_{v}") for v in values]
+        )
+        same = [left[k] == near[f"_k_{k}"] for k in key]
+        return left.join(near, same, "left").select(
+            *[left[c] for c in left.columns], *[F.col(f"_v_{v}").alias(v) for v in values]
+        )
     counts = key_counts(left, key) if counts is None else counts
     hot = hot_keys(counts, key)
 

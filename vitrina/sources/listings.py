@@ -8,9 +8,9 @@ from vitrina import model
 from vitrina.operators.durable import keep
 from vitrina.operators.ordering import numbered
 
-_ROW_BITS = 33
+ROW_BITS = 33
 
-_CSV = {"header": False, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+CSV_OPTIONS = {"header": False, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
 def read_listings(
@@ -51,10 +51,10 @@ def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
     known = [r["n"] for r in names.collect()]
     width = heads.agg(F.max(F.size("_names"))).first()[0] or 0
     cells = [f"_c{i}" for i in range(width)]
-    rows = spark.read.options(**_CSV).schema(", ".join(f"{c} string" for c in cells)).csv(path)
+    rows = spark.read.options(**CSV_OPTIONS).schema(", ".join(f"{c} string" for c in cells)).csv(path)
     # One task reads a file from its start, so the place in the task's part of the rows
     # follows the file.
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     placed = rows.select(
         F.array(*cells).alias("_cells"), F.col("_metadata.file_path").alias("_file"), place.alias("_row")
     )
@@ -78,7 +78,7 @@ def _numbered(df: DataFrame) -> DataFrame:
     """
     placed = keep(df, "listings")
     ranks = keep(numbered(placed.select("_file").distinct(), [], ["_file"], "_rank"), "file-ranks")
-    seq = F.shiftleft(F.col("_rank") - 1, _ROW_BITS) + F.col("_row")
+    seq = F.shiftleft(F.col("_rank") - 1, ROW_BITS) + F.col("_row")
     return placed.join(ranks, "_file").withColumn("seq", seq).drop("_file", "_row", "_rank")
 
 
