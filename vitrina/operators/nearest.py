@@ -1,4 +1,4 @@
-"""The closest of a list of reference sites."""
+"""The closest of a list or a table of reference sites."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrina.functions.geo import EARTH_KM
+from vitrina.functions.geo import EARTH_KM, haversine_km
+from vitrina.operators.durable import keep
+from vitrina.operators.lookups import attach
 
 # Degrees around the sites for which candidates are prepared; listings further
 # away are compared with all sites.
@@ -102,3 +104,101 @@ def _candidates(sites: list[tuple]) -> tuple[float, list[tuple]]:
             for x, found in zip(columns, near)
         ]
     return size, rows
+
+
+# Sides of the cubes around the unit sphere's points are 2 ** -level.
+FINEST, STEP = 20, 3
+# Sites in a cube at the first level that is searched.
+SITES_PER_CUBE = 16
+
+
+def nearest_in_table(
+    points: DataFrame, sites: DataFrame, lat: str = "lat", lon: str = "lon"
+) -> DataFrame:
+    """Add km and site: the closest row of a table of sites, of equally close ones that of least ``pos``.
+
+    ``sites`` has pos (unique), site, lat, lon and may be as large as the points. Both sides are
+    places on the unit sphere, so neither the poles nor the 180th meridian are special. Only
+    distinct places take part, so a place with very many points or sites counts once. A site is
+    entered in the 27 cubes around its own; a place that finds a site no further away
+    than a cube's side there has found its closest. The first cubes are small enough that
+    none holds more than ``SITES_PER_CUBE`` sites, if need be down to some six metres; places
+    that find none go on with cubes of four times the side, up to the whole sphere. Every
+    step is one join by cube and one aggregation by place.
+
+    Null without coordinates; without sites all are null. Rows of equal coordinates stay rows
+    of their own. Runs a job for each step while the plan is built.
+    """
+    where = ["_lat", "_lon"]
+    located = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    placed = points.withColumns({"_lat": F.when(located, F.col(lat).cast("double")),
+                                 "_lon": F.when(located, F.col(lon).cast("double"))})
+    open_ = keep(_on_sphere(placed.where(located).select(*where).distinct()), "places")
+    own = sites.where("lat is not null and lon is not null").select(
+        F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"), "pos", "site"
+    )
+    known = keep(_on_sphere(own.groupBy(*where).agg(F.min(F.struct("pos", "site")).alias("_site"))), "sites")
+    found = []
+    level = _first_level(known)
+    while level is not None and not open_.isEmpty():
+        # Cubes of side 2: those around any place make up the whole sphere.
+        last = level < 0
+        near = keep(_closest(open_, known, level), "nearest")
+        # The chord of a great-circle distance; rounding is kept on the safe side.
+        chord = 2 * F.sin(F.col("_best.km") / (2 * EARTH_KM))
+        sure = F.lit(True) if last else F.coalesce(chord <= 0.999999 * 2.0**-level, F.lit(False))
+        found.append(near.where(sure).select(*where, "_best"))
+        open_ = keep(near.where(~sure).drop("_best"), "places")
+        level = None if last else max(level - STEP, -1)
+    if not found:
+        return points.withColumns({"km": F.lit(None).cast("double"), "site": F.lit(None).cast("string")})
+    best = found[0]
+    for more in found[1:]:
+        best = best.unionByName(more)
+    joined = attach(placed, best, where)
+    return joined.select(
+        *points.columns, F.col("_best.km").alias("km"), F.col("_best.site").cast("string").alias("site")
+    )
+
+
+def _on_sphere(places: DataFrame) -> DataFrame:
+    phi, theta = F.radians("_lat"), F.radians("_lon")
+    return places.withColumns(
+        {"_x": F.cos(phi) * F.cos(theta), "_y": F.cos(phi) * F.sin(theta), "_z": F.sin(phi)}
+    )
+
+
+def _cube(level: int, *shift: Column) -> list[Column]:
+    shift = shift or (F.lit(0),) * 3
+    return [
+        (F.floor(F.col(c) * float(2**level)) + s).alias(f"_c{c}") for c, s in zip(("_x", "_y", "_z"), shift)
+    ]
+
+
+def _first_level(known: DataFrame) -> int | None:
+    """The coarsest level at which no cube holds more than SITES_PER_CUBE sites; None without sites."""
+    levels = list(range(0, FINEST + 1, STEP))
+    cubes = F.array(*[F.struct(F.lit(v).alias("level"), *_cube(v)) for v in levels])
+    counts = known.select(F.explode(cubes).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    fullest = {r["level"]: r["n"] for r in counts.groupBy("c.level").agg(F.max("n").alias("n")).collect()}
+    if not fullest:
+        return None
+    return next((v for v in levels if fullest[v] <= SITES_PER_CUBE), FINEST)
+
+
+def _closest(places: DataFrame, known: DataFrame, level: int) -> DataFrame:
+    """The places with _best, the closest site in the 27 cubes around them, or null."""
+    around = F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip((x, y, z), "abc")])
+                       for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
+    shifted = known.withColumn("_d", F.explode(around))
+    entered = shifted.select(
+        *_cube(level, F.col("_d.a"), F.col("_d.b"), F.col("_d.c")),
+        F.struct(F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "_site").alias("_s"),
+    )
+    cubes = ["_c_x", "_c_y", "_c_z"]
+    met = places.select("*", *_cube(level)).join(entered, cubes, "left")
+    km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_s.lat"), F.col("_s.lon"))
+    best = F.min(F.when(F.col("_s").isNotNull(), F.struct(
+        km.alias("km"), F.col("_s._site.pos").alias("pos"), F.col("_s._site.site").alias("site")
+    )))
+    return met.groupBy("_lat", "_lon", "_x", "_y", "_z").agg(best.alias("_best"))
