@@ -8,8 +8,11 @@ from vitrina import model
 from vitrina.functions.text import clean_rating
 from vitrina.operators.dedup import dedup_two_keys, first_per_key, with_keys
 from vitrina.operators.ordering import first_n
-from vitrina.operators.runs import collection_summary, raw_vs_deduped, require_name
-from vitrina.plans.collect import collect_pages, collect_places
+from vitrina.operators.runs import collection_report, collection_summary, raw_vs_deduped, require_name
+from vitrina.operators.durable import new_path
+from vitrina.plans.collect import collect_pages, collect_places, collect_places_run
+from vitrina.sources.ledgers import append_usage
+from vitrina.sources.listings import read_listings
 from vitrina.sources.pages import listings_from_detail_pages, towns_from_html
 from vitrina.sources.responses import places_to_listings, search_items
 
@@ -347,3 +350,61 @@ FROM shops""")
 def raw_and_deduped(spark, sf_dir):
     raw = with_keys(shops(spark, sf_dir))
     return raw_vs_deduped(raw, first_per_key(raw, "fallback_key", "seq"))
+
+
+_TOWN = "CASE WHEN c_nationkey % 6 > 0 THEN c_nationkey END"
+
+
+@query(f"""
+WITH r AS (SELECT *, c_nationkey % 4 AS run, {_TOWN} AS town, c_custkey % 17 > 0 AS named FROM customer),
+marked AS (SELECT run, town, 1 AS d, named::INT AS p, (NOT named)::INT AS e, 0 AS v, 0 AS h FROM r
+  UNION ALL SELECT DISTINCT ON (run, town, c_mktsegment, c_custkey % 23) run, town, 0, 0, 0, 1, 0 FROM r WHERE named
+  UNION ALL SELECT s_nationkey % 4, CASE WHEN s_nationkey % 6 > 0 THEN s_nationkey END, 0, 0, 0, 0, 1 FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT run, town, sum(d)::BIGINT AS discovered, sum(p)::BIGINT AS processed, sum(e)::BIGINT AS errors, sum(v)::BIGINT AS valid,
+  sum(h)::BIGINT AS heuristic_stops, (sum(p) - sum(v))::BIGINT AS duplicates, 2 - grouping(run)::INT - grouping(town)::INT AS level
+FROM marked GROUP BY ROLLUP (run, town)""")
+def collection_totals(spark, sf_dir):
+    """Counts per run and town, per run and of all; a sixth of the rows have no town."""
+    def town(key):
+        return F.when(F.col(key) % 6 > 0, F.col(key))
+
+    rows = collected(spark, sf_dir).withColumn("run", F.col("town") % 4).withColumn("town", town("town"))
+    kept = first_per_key(require_name(rows), ["run", "town", "nombre", "direccion"], "seq")
+    stops = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(
+        (F.col("s_nationkey") % 4).alias("run"), town("s_nationkey").alias("town")
+    )
+    return collection_report(rows, kept, ["run", "town"], stops)
+
+
+@query(f"""
+WITH {SHOPS_SQL},
+u AS (SELECT count(DISTINCT CASE WHEN trim(maps_url) <> '' THEN trim(maps_url) ELSE lower(nombre || '|' || direccion || '|' || telefono) END) AS n FROM shops),
+q AS (SELECT count(*) AS requests, count(*) FILTER (WHERE event_type <> 'click') AS pages FROM events WHERE user_id % 9 = 0),
+m AS (SELECT requests + (SELECT count(*) FROM events WHERE user_id % 9 = 1) AS month_requests FROM q)
+SELECT 'bares' AS category, (SELECT count(DISTINCT event_type) FROM events WHERE user_id % 9 = 0) AS n_queries, requests, pages,
+  (SELECT count(*) FROM shops) AS results_raw, least(n, 500) AS results_deduped, 500::BIGINT AS written, month_requests,
+  greatest(0, 1000 - month_requests) AS remaining, month_requests <= 1000 AS within_free,
+  round(greatest(0, month_requests - 1000) / 1000.0::DOUBLE * 35.0::DOUBLE, 4) AS est_cost_usd, '2026-03-05T10:00:00+00:00' AS retrieved_at_utc
+FROM u, q, m""")
+def run_report(spark, sf_dir):
+    """A run of the places search: its output of 500 rows and its metrics, with the month's quota."""
+    from datetime import datetime
+
+    events = table(spark, sf_dir, "events")
+    output, ledger = new_path(spark, "places-output"), new_path(spark, "usage")
+    # Another run of the month, and one of the month before.
+    earlier = events.where("user_id % 9 = 1").agg(F.count(F.lit(1)).alias("requests"))
+    dates = F.array(*[F.lit(d).cast("timestamp") for d in ("2026-03-01 00:00:00", "2026-02-28 23:59:59")])
+    append_usage(earlier.select(F.explode(dates).alias("run_ts"), "requests"), ledger)
+    asked = events.where("user_id % 9 = 0").select(
+        F.col("event_type").alias("source_query"), (F.col("event_type") != "click").alias("answered")
+    )
+    run = collect_places_run(
+        shops(spark, sf_dir), asked, output, ledger, "bares", max_records=500, now=datetime(2026, 3, 5, 10)
+    )
+    written = read_listings(spark, output).count()
+    return run.select(
+        "category", F.size("queries").cast("long").alias("n_queries"), "requests", "pages", "results_raw", "results_deduped",
+        F.lit(written).cast("long").alias("written"), "quota.month_requests", "quota.remaining", "quota.within_free",
+        "quota.est_cost_usd", "retrieved_at_utc",
+    )

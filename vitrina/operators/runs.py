@@ -151,17 +151,60 @@ def output_path(city: Column, category: Column, started: Column) -> Column:
 
 
 def collection_summary(records: DataFrame, kept: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per group: rows discovered, processed (with a name), errors, valid, duplicates."""
-    by = list(by)  # at least one column, such as the run or the town
-    named = F.coalesce("nombre", F.lit("")) != ""
-    seen = records.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("discovered"),
-        F.count_if(named).alias("processed"),
-        F.count_if(~named).alias("errors"),
+    """Per group: rows discovered, processed (with a name), errors, valid, duplicates.
+
+    ``by`` names at least one column of both tables; rows without a value are a group too.
+    """
+    by = list(by)
+    counted = _collected(records, kept, by).groupBy(*by).agg(*_collection_counts())
+    return counted.drop("heuristic_stops").withColumn("duplicates", F.col("processed") - F.col("valid"))
+
+
+def collection_report(
+    records: DataFrame, kept: DataFrame, by: Sequence[str], stops: DataFrame | None = None
+) -> DataFrame:
+    """The summary per group with totals: of the last column of ``by``, the last two, …, and of all.
+
+    ``level`` tells how many columns of ``by`` a row is for: as many as there are for a group, 0
+    for the whole. The columns summed over are null, as may be a group's own value; ``level``
+    tells them apart. ``stops`` has a row with the columns of ``by`` for each grid cell that stopped
+    before its results were known to be complete (``heuristic_stops``). One aggregation
+    gives all rows; a group that only ``stops`` names is listed too. Where nothing was
+    collected there are no rows.
+    """
+    by = list(by)
+    counted = _collected(records, kept, by, stops).rollup(*by).agg(
+        *_collection_counts(), F.grouping_id().alias("_summed")
     )
-    valid = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("valid"))
-    counted = seen.join(valid, by, "left").withColumn("valid", F.coalesce("valid", F.lit(0).cast("long")))
-    return counted.withColumn("duplicates", F.col("processed") - F.col("valid"))
+    # One bit for each column summed over, the last column's lowest.
+    level = len(by) - F.bit_count("_summed")
+    return counted.withColumns(
+        {"duplicates": F.col("processed") - F.col("valid"), "level": level.cast("int")}
+    ).drop("_summed")
+
+
+def _collected(
+    records: DataFrame, kept: DataFrame, by: list[str], stops: DataFrame | None = None
+) -> DataFrame:
+    """What is counted, one row each: records, kept rows and stops."""
+    named = F.coalesce("nombre", F.lit("")) != ""
+
+    def marked(df: DataFrame, kind: str, name: Column) -> DataFrame:
+        return df.select(*by, F.lit(kind).alias("_kind"), name.alias("_named"))
+
+    rows = marked(records, "record", named).unionByName(marked(kept, "kept", F.lit(True)))
+    return rows if stops is None else rows.unionByName(marked(stops, "stop", F.lit(True)))
+
+
+def _collection_counts() -> list[Column]:
+    record = F.col("_kind") == "record"
+    return [
+        F.count_if(record).alias("discovered"),
+        F.count_if(record & F.col("_named")).alias("processed"),
+        F.count_if(record & ~F.col("_named")).alias("errors"),
+        F.count_if(F.col("_kind") == "kept").alias("valid"),
+        F.count_if(F.col("_kind") == "stop").alias("heuristic_stops"),
+    ]
 
 
 def require_name(records: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vitrina import model
+from vitrina.operators.durable import file_system
 from vitrina.operators.ordering import with_order
 
 
@@ -50,13 +51,27 @@ def write_history(runs: DataFrame, path: str) -> None:
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
     """run, line_no, line of log files; a run is a file, named without its ending.
 
-    A log is one text file per run; the lines keep the order of the file.
+    A log is one text file per run; the lines keep the order of the file. Files may lie in
+    folders below ``path``; the run then has the folders in its name, so files of the same name
+    in two folders are two runs. Where ``path`` is a pattern, a run is the file's whole path.
     """
-    lines = spark.read.text(path).select(
-        F.regexp_extract("_metadata.file_name", r"\A(.*?)(\.[^.]*)?\z", 1).alias("run"),
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.regexp_replace(_below(spark, path), r"(?<=[^/])\.[^./]*\z", "").alias("run"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
         F.col("value").alias("line"),
     )
     placed = with_order(lines, "run", "_block", "_row")
     return placed.select("run", F.col("seq").alias("line_no"), "line")
+
+
+def _below(spark: SparkSession, path: str) -> Column:
+    """The file's path from ``path`` on; its name if ``path`` is the file itself."""
+    files, where = file_system(spark, path)
+    root = files.makeQualified(where).toUri().getPath().rstrip("/") + "/"
+    whole = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", r"\A[a-zA-Z0-9+.-]+:(//[^/]*)?", ""),
+                                   F.lit("+"), F.lit("%2B")))
+    return (
+        F.when(whole.startswith(root), F.substr(whole, F.lit(len(root) + 1)))
+        .when(whole == root.rstrip("/"), F.col("_metadata.file_name")).otherwise(whole)
+    )
