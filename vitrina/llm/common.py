@@ -17,7 +17,7 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back; ``discard`` removes it."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.kept_at = path
     return kept

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina.llm.common import keep
-from vitrina.operators.ordering import numbered, running
+from vitrina.operators.ordering import running
 
 OVERHEAD = 16
 
@@ -92,7 +92,7 @@ def reshard(
     """Give every row a new shard; return the rows and the block transfers.
 
     The rows have id, size, text_crc32, old_shard, shard and, if wanted, slot (gapless
-    from 0 in each shard, by id). Transfers are (old, new, bytes), blocks that stay
+    from 0 in each shard, by id) and offset (bytes in the shard before the row). Transfers are (old, new, bytes), blocks that stay
     included. The new capacities are equal. The flow over the shards' sizes (``n_old``
     numbers) is solved on the driver. The bytes of an old shard are laid out largest
     row first; the block that stays comes first, so that the cuts between blocks fall
@@ -141,9 +141,10 @@ def reshard(
         *named,
     )
     if slots:
-        placed = numbered(placed, ["shard"], ["_id", "text_crc32", "_row"], "_nth").withColumn(
-            "slot", F.col("_nth") - 1
-        ).drop("_nth")
+        sums = {"_nth": "_one", "_upto": "size"}
+        placed = running(
+            placed.withColumn("_one", F.lit(1).cast("long")), ["shard"], ["_id", "text_crc32", "_row"], sums
+        ).withColumns({"slot": F.col("_nth") - 1, "offset": F.col("_upto") - F.col("size")}).drop("_one", *sums)
     return placed.drop("_row").withColumnRenamed("_id", id_col), transfers
 
 
@@ -164,7 +165,7 @@ def rewrite(
     transfers: list[tuple[int, int, int]],
     path: str,
     id_col: str = "doc_id",
-    rows_per_file: int = 100_000,
+    bytes_per_file: int = 64_000_000,
     text: str = "text",
     row: Column | None = None,
 ) -> list[int]:
@@ -174,7 +175,8 @@ def rewrite(
     nothing is left in goes. With the ``row`` that ``reshard`` was given, rows are joined
     by it; else by id, size, check sum and a number within equals, which are
     interchangeable. All columns of ``docs`` are written, and ``shard`` and ``slot`` (with
-    a line before the name where ``docs`` has it).
+    a line before the name where ``docs`` has it). A file takes the rows that begin in
+    one range of ``bytes_per_file`` of its shard, so no task holds more, but for one long row.
     """
     shards = affected(transfers)
     shard, slot = _free_name("shard", docs.columns), _free_name("slot", docs.columns)
@@ -182,7 +184,8 @@ def rewrite(
     moved = placed.where(F.col("shard").isin(shards))
     if row is not None:
         left = docs.select(F.struct(*columns).alias("_doc"), row.alias("_name"))
-        right = moved.select(F.col("_name"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
+        right = moved.select(F.col("_name"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"),
+                             F.col("offset").alias("_offset"))
         joined = left.join(right, "_name")
     else:
         key = ["_id", "_size", "_crc"]
@@ -194,20 +197,21 @@ def rewrite(
         ).withColumn("_nth", nth)
         right = placed.select(
             F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"),
-            F.col("shard").alias("_shard"), F.col("slot").alias("_slot"),
+            F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), F.col("offset").alias("_offset"),
         ).withColumn("_nth", nth).where(F.col("_shard").isin(shards))
         same = left["_id"].eqNullSafe(right["_id"])
         for c in ("_size", "_crc", "_nth"):
             same = same & (left[c] == right[c])
         joined = left.join(right, same)
-    part = F.floor(F.col("_slot") / rows_per_file)
+    part = F.floor(F.col("_offset") / bytes_per_file)
     (
-        joined.select("_doc", "_shard", "_slot")
+        joined.select("_doc", "_shard", "_slot", "_offset")
         .repartition("_shard", part)
         .sortWithinPartitions("_shard", "_slot")
         .select("_doc.*", F.col("_slot").alias(slot), F.col("_shard").alias(shard))
         .write.partitionBy(shard)
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .mode("overwrite")
         .parquet(path)
     )
