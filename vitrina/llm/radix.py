@@ -20,7 +20,7 @@ from vitrina.operators.durable import new_path
 FIRST = 16
 GROWTH = 8
 # Bytes and rows of one block of texts.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 _AT_BITS = 16
 
 
@@ -64,8 +64,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     )
     start, width = FIRST, FIRST * GROWTH
     while True:
-        split = keep(_split(digits), "split")
-        discard(digits)
+        children = keep(_children(digits), "children")
+        split = keep(_members(digits, children), "split")
+        discard(digits, children)
         done.append(split)
         still = split.where("more")
         if still.isEmpty():
@@ -92,15 +93,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return result
 
 
-def _split(digits: DataFrame) -> DataFrame:
-    """Members of the children with two rows or more; a child is named by the row it would keep."""
-    by = ["group", "digit", "more"]
-    children = (
-        digits.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "row")).alias("best"))
-        .where("n > 1")
-    )
-    return digits.select("row", *by).join(children, by).select(
+_CHILD = ["group", "digit", "more"]
+
+
+def _children(digits: DataFrame) -> DataFrame:
+    """The children with two rows or more; a child is named by the row it would keep."""
+    counted = digits.groupBy(*_CHILD).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "row")).alias("best"))
+    return counted.where("n > 1")
+
+
+def _members(digits: DataFrame, children: DataFrame) -> DataFrame:
+    """The children's rows. Both sides are tables, so the join's large partitions can be split."""
+    return digits.select("row", *_CHILD).join(children, _CHILD).select(
         "row", "more", "n", F.col("best.row").alias("group"), F.col("best.id").alias("keep_id")
     )
 
