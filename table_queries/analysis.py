@@ -21,7 +21,9 @@ from vitrina.operators.nearest import with_nearest_site
 from vitrina.operators.runs import analysis_summary
 from vitrina.operators.score import score_listings
 from vitrina.operators.towns import town_population
-from vitrina.plans.analyse import analyse, analyse_with_handles, resolve_and_account
+from vitrina.plans.analyse import (
+    analyse, analyse_with_handles, resolve_and_account, summarise_with_handles,
+)
 
 RULES = defaults.WEIGHTS["criterios"]
 
@@ -508,6 +510,25 @@ def analysis_counts(spark, sf_dir):
     )
 
 
+@query(f"""
+WITH {_RESOLVE_SQL.replace('FROM customer)', 'FROM customer WHERE c_custkey % 11 > 0)')},
+f AS (SELECT seq, CASE WHEN on_page THEN 'web' WHEN cached_known OR (cached_known IS NULL AND ok AND handle IS NOT NULL)
+    THEN 'dataforseo' ELSE '-' END AS fuente FROM rows LEFT JOIN allowed USING (seq))
+SELECT count(*) AS total, count(*) FILTER (WHERE c_custkey % 11 = 0) AS filtered, count(seq) AS analyzed,
+  count(*) FILTER (WHERE seq % 3 = 0) AS stores, count(*) FILTER (WHERE seq % 7 = 2) AS errors,
+  count(*) FILTER (WHERE fuente = 'web') AS ig_web, count(*) FILTER (WHERE fuente = 'dataforseo') AS ig_dataforseo,
+  count(*) FILTER (WHERE fuente = '-') AS ig_none
+FROM customer LEFT JOIN f ON seq = c_custkey""")
+def analysis_counts_with_handles(spark, sf_dir):
+    """Handles from pages, from the cache and from paid searches within a budget, counted by source."""
+    listings, cache, searches = _handle_inputs(spark, sf_dir)
+    k = F.col("seq")
+    flagged = listings.withColumns({
+        "excluded": k % 11 == 0, "es_tienda": F.when(k % 3 == 0, "Sí").otherwise("No"), "page_error": k % 7 == 2,
+    })
+    return summarise_with_handles(flagged, cache, searches, max_usd=0.5)
+
+
 # First rows and town look-ups ----------------------------------------------
 
 @query(f"""

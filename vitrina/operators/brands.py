@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina.functions.text import brand_key, let, literal, text
+from vitrina.operators.durable import keep
 from vitrina.operators.lookups import attach
 
 
@@ -46,8 +47,11 @@ def count_by_brand(df: DataFrame) -> DataFrame:
 
 
 def with_store_count(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Add num_tiendas: the brand's rows in ``counts`` (default: in df), at least 1."""
-    counts = count_by_brand(df) if counts is None else counts
+    """Add num_tiendas: the brand's rows in ``counts`` (default: in df), at least 1.
+
+    The counts are kept, so the brand keys are made once for them and once for the rows.
+    """
+    counts = keep(count_by_brand(df) if counts is None else counts, "brand-counts")
     # Where a brand has many shops it has many rows to look up.
     joined = attach(df, counts, "brand_key", counts.withColumnRenamed("num_tiendas", "_rows"))
     return joined.withColumn("num_tiendas", F.coalesce("num_tiendas", F.lit(1)))

@@ -19,6 +19,7 @@ from vitrina.operators.contact import (
 from vitrina.operators.dedup import first_per_key, with_keys
 from vitrina.operators.durable import keep
 from vitrina.operators.lookups import key_counts
+from vitrina.operators.runs import analysis_summary
 from vitrina.operators.score import apply_existing_customer, score_listings
 from vitrina.operators.towns import name_key, town_population
 from vitrina.operators.usage import budget_report
@@ -94,6 +95,24 @@ def analyse_with_handles(
     )
 
 
+def summarise_with_handles(
+    scored: DataFrame,
+    cache: DataFrame,
+    searches: DataFrame,
+    max_usd: float = 1.0,
+    seq: str = "seq",
+) -> DataFrame:
+    """The counts of an analysis, with handles by where they come from.
+
+    ``scored`` has excluded, es_tienda, page_error and perfil; excluded rows are counted as
+    such and not searched for, so they cost nothing.
+    """
+    done = analyse_with_handles(scored.where(~F.col("excluded")), cache, searches, max_usd, seq)
+    columns = ["excluded", "es_tienda", "page_error", "instagram_fuente"]
+    left_out = scored.where("excluded").withColumn("instagram_fuente", F.lit("-"))
+    return analysis_summary(done.select(*columns).unionByName(left_out.select(*columns)))
+
+
 def resolve_and_account(
     scored: DataFrame,
     cache: DataFrame,
