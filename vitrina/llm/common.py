@@ -14,10 +14,10 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+def keep(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back; ``discard`` removes it."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.write if codec is None else df.write.option("compression", codec)).parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.kept_at = path
     return kept

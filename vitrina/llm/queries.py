@@ -92,7 +92,7 @@ def op7_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     placed, transfers = reshard(docs, old, 32, 40, row=row)
-    placed = keep(placed, "placed")
+    placed = keep(placed, "placed", "zstd")
     rewrite(docs, placed, transfers, new_path(spark, "shards"), row=row)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",

@@ -61,17 +61,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         light.select("row", "id", F.lit(0).cast("long").alias("group"),
                      F.col("head").alias("digit"), (F.col("size") > FIRST).alias("more")),
         "digits",
+        "zstd",
     )
     start, width = FIRST, FIRST * GROWTH
     while True:
-        children = keep(_children(digits), "children")
-        split = keep(_members(digits, children), "split")
+        children = keep(_children(digits), "children", "zstd")
+        split = keep(_members(digits, children), "split", "zstd")
         discard(digits, children)
         done.append(split)
         still = split.where("more")
         if still.isEmpty():
             break
-        digits = keep(_digits(blocks, still, start, width), "digits")
+        digits = keep(_digits(blocks, still, start, width), "digits", "zstd")
         start, width = start + width, width * GROWTH
 
     settled = reduce(DataFrame.unionByName, [d.where("not more") for d in done]).drop("more")
@@ -86,6 +87,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             F.lower(F.hex("sha")).alias("text_sha256"),
         ),
         "groups",
+        "zstd",
     )
     spark.sql(f"DROP TABLE {name}")
     blocks.kept_at = path

@@ -112,6 +112,7 @@ def reshard(
             *([] if row is None else [row.alias("_name")]),
         ).withColumn("_row", F.monotonically_increasing_id()),
         "shard-rows",
+        "zstd",
     )
     found = {r["old_shard"]: r["bytes"] for r in rows.groupBy("old_shard").agg(F.sum("size").alias("bytes")).collect()}
     sizes = [found.get(i, 0) for i in range(n_old)]
