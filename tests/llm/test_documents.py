@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.plain import odd_rows, removed_bytes, repeat_words, roots, shingles, water_fill, words
-from vitrina.llm import mixing, packing, repeats, shards
+from vitrina.llm import minhash, mixing, packing, repeats, shards
+from vitrina.llm.blocks import Blocks
 from vitrina.llm.minhash import near_duplicates
 from vitrina.llm.pii import replace_entities
 from vitrina.llm.quality import host_rules, keep_good
@@ -81,6 +82,63 @@ def test_near_duplicates_of_a_crowded_node(spark):
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == roots(sets, links)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Of 2,500 planted pairs at 75 to 80 % at least 99 % are found, and nothing else."""
+    rng = np.random.default_rng(5)
+    rows, wanted = [], set()
+    for g in range(2_500):
+        n = int(rng.integers(40, 200))
+        own = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        a, size = frozenset(tuple(own[i : i + 5]) for i in range(n - 4)), n - 4
+        # A tail of other words: size - cut common shingles of size + cut in all.
+        cut = int(size * (1 - rng.uniform(0.75, 0.8)) / 1.775)
+        other = own[: n - cut] + [f"v{x}" for x in rng.integers(0, 10**6, cut)]
+        b = frozenset(tuple(other[i : i + 5]) for i in range(n - 4))
+        if 100 * len(a & b) >= 75 * len(a | b):
+            wanted.add(2 * g)
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(other))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    component = {r["doc_id"]: r["component_id"] for r in got}
+    found = {i for i in range(0, 5_000, 2) if component[i + 1] == i}
+    assert len(wanted) > 1_500 and found <= wanted
+    assert len(found) >= 0.99 * len(wanted)
+    assert all(component[i] == i for i in range(0, 5_000, 2))
+
+
+def test_near_duplicates_that_branch(spark, monkeypatch):
+    """Nodes with more than a few outside branch, and large components come in parts."""
+    monkeypatch.setattr(minhash, "FEW", 4)
+    monkeypatch.setattr(minhash, "PART", 8)
+    rng = np.random.default_rng(6)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for g in range(8):
+        own = [f"g{g}x{k}" for k in range(30)]
+        rows += [(100 * g + k, " ".join(common + own + [f"t{g}y{x}" for x in rng.integers(0, 99, 12)])) for k in range(20)]
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    looks = []
+    branch = minhash._branch
+    monkeypatch.setattr(minhash, "_branch", lambda members: looks.append(1) or branch(members))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == roots(sets, links)
+    assert len(looks) > 1
+
+
+def test_blocks_keep_whole_rows(odd, none):
+    from vitrina.llm.blocks import Blocks
+
+    named = odd.withColumn("a.b", F.lit("dot")).withColumn("row", F.lit("x")).withColumn("block", F.lit(None).cast("int"))
+    for docs in (named, named.limit(0)):
+        blocks = Blocks(docs, "text")
+        rows = blocks.rows(i="doc_id", t="text")
+        assert rows.select("row").distinct().count() == docs.count()
+        assert sorted(map(repr, blocks.whole(rows).collect())) == sorted(map(repr, docs.collect()))
+        assert sorted(map(repr, blocks.some(rows, i="doc_id", t="text").collect())) == sorted(map(repr, rows.collect()))
+        assert blocks.whole(rows.withColumn("n", F.lit(2)), F.col("n")).count() == 2 * docs.count()
+        blocks.delete()
+
+
 def test_remove_repeats(odd, none):
     gone = removed_bytes([(i, t) for i, t, _ in ROWS])
     want = Counter()

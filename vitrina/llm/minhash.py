@@ -7,99 +7,83 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from vitrina.llm.blocks import Blocks
 from vitrina.llm.common import discard, keep
 from vitrina.llm.components import components
 from vitrina.llm.shingles import Shingler, text_slices
 
 # Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-# Minwise tokens per document. A pair at the threshold agrees in fewer than LEAST_EQUAL
-# of them with a chance of about one in 100,000.
+# Minwise tokens per document, two bytes each. A pair at the threshold agrees in fewer
+# than LEAST_EQUAL of them with a chance of about one in 100,000.
 TOKENS = 128
 LEAST_EQUAL = 74
 # Independent trees. A node chooses 4/3 tokens on average (1 / 0.75), so that a linked
 # pair has at least one common child on average; a pair at the threshold that takes three
 # levels to get into a small node is missed by all trees with a chance of about 1e-4.
 TREES = 10
-# A node is compared exhaustively when at most so many of its documents lie outside its
-# largest component. Nodes still larger at the last level are compared exhaustively too.
-FEW = 32
-LEVELS = 6
+# A node is small when at most so many of its documents lie outside its largest component:
+# those are compared with all. Documents of the largest component come in parts of PART.
+FEW = 256
+PART = 1_024
 SEED = 40_009
 
 
-def text_digest(body: Column) -> Column:
-    """16 bytes that tell texts apart; null for a null text."""
-    return F.unhex(F.md5(body.cast("binary")))
+def document_sets(blocks: Blocks, id_col: str, text: str, tokens: int = TOKENS) -> DataFrame:
+    """One row per row: _row, _id, n_shingles, _key (16 bytes, equal for equal sets), _tokens.
 
-
-def document_sets(docs: DataFrame, id_col: str, text: str, tokens: int = TOKENS) -> DataFrame:
-    """One row per row: _id, n_shingles, _key (16 bytes, equal for equal sets), _tokens, _digest.
-
-    ``_digest`` tells texts apart. ``_tokens`` are the minwise tokens, one hash function each; empty sets have none.
+    ``_tokens`` are the minwise tokens, one hash function each; empty sets have none.
     """
-    schema = f"_id {dict(docs.dtypes)[id_col]}, n_shingles long, _key binary, _tokens array<int>, _digest binary"
+    rows = blocks.rows(_id=id_col, _text=text).select("row", "_id", F.col("_text").cast("string").alias("_text"))
+    schema = f"_row long, _id {dict(rows.dtypes)['_id']}, n_shingles long, _key binary, _tokens binary"
     factors = np.random.default_rng(SEED).integers(0, 2**64, tokens, dtype=np.uint64) | np.uint64(1)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            for lo, hi, data, ends in text_slices(batch.column(1)):
+            for lo, hi, data, ends in text_slices(batch.column(2)):
                 found, sizes = shingler.sets(data, ends)
                 full = np.flatnonzero(sizes)
                 starts = np.concatenate(([0], np.cumsum(sizes[full])))
-                least = np.empty((len(full), tokens), dtype=np.uint32)
+                least = np.empty((len(full), tokens), dtype=np.uint16)
                 if len(full):
                     for k, factor in enumerate(factors):
-                        least[:, k] = np.minimum.reduceat(found * factor, starts[:-1]) >> np.uint64(32)
+                        # The high bits of a minimum are small numbers; those in the middle are even.
+                        least[:, k] = np.minimum.reduceat(found * factor, starts[:-1]) >> np.uint64(24)
                 keys: list[bytes | None] = [None] * (hi - lo)
+                signs: list[bytes | None] = [None] * (hi - lo)
                 for j, i in enumerate(full):
                     own = found[starts[j] : starts[j + 1]]
                     keys[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                counts = np.where(sizes > 0, tokens, 0)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()),
-                    pa.array(least.view(np.int32).ravel(), pa.int32()),
-                )
+                    signs[i] = least[j].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(keys, pa.binary()), lists,
-                        batch.column(2).slice(lo, hi - lo),
+                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
+                        pa.array(sizes), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()),
                     ],
-                    names=["_id", "n_shingles", "_key", "_tokens", "_digest"],
+                    names=["_row", "_id", "n_shingles", "_key", "_tokens"],
                 )
 
-    body = F.col(text).cast("string")
-    plain = docs.select(F.col(id_col).alias("_id"), body.alias("_text"), text_digest(body).alias("_digest"))
-    return plain.mapInArrow(signed, schema)
+    return rows.mapInArrow(signed, schema)
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Whole sets (sorted 8-byte hashes) of the wanted (_row, _id, _key)."""
-    schema = f"_id {dict(docs.dtypes)[id_col]}, _key binary, _set binary"
+def _full_sets(blocks: Blocks, wanted: DataFrame, text: str) -> DataFrame:
+    """Whole sets (sorted 8-byte hashes) of the wanted rows (_row)."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
             for lo, hi, data, ends in text_slices(batch.column(1)):
                 found, sizes = shingler.sets(data, ends)
-                stops = np.cumsum(sizes)
-                own = [found[e - n : e].tobytes() for e, n in zip(stops, sizes)]
-                keys = [hashlib.blake2b(s, digest_size=16).digest() for s in own]
+                own = [found[e - n : e].tobytes() for e, n in zip(np.cumsum(sizes), sizes)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.binary()), pa.array(own, pa.binary())],
-                    names=["_id", "_key", "_set"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(own, pa.binary())], names=["_row", "_set"]
                 )
 
-    plain = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text"))
-    ids = wanted.select(F.col("_id").alias("_wanted")).distinct()
-    some = plain.join(ids, plain["_id"].eqNullSafe(ids["_wanted"]), "left_semi")
-    sets = some.mapInArrow(whole, schema).dropDuplicates(["_id", "_key"])
-    return wanted.join(sets, wanted["_id"].eqNullSafe(sets["_id"]) & (wanted["_key"] == sets["_key"])).select(
-        "_row", "_set"
-    )
+    some = blocks.some(wanted.select(F.col("_row").alias("row")), _text=text)
+    return some.select("row", F.col("_text").cast("string").alias("_text")).mapInArrow(whole, "_row long, _set binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -127,6 +111,60 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(linked, "a long, b long")
 
 
+def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in enough tokens and are near enough in size."""
+    one = reps.select(F.col("_row").alias("a"), F.col("_tokens").alias("_x"), F.col("n_shingles").alias("_n"))
+    two = reps.select(F.col("_row").alias("b"), F.col("_tokens").alias("_y"), F.col("n_shingles").alias("_m"))
+    close = F.lit(100) * F.least("_n", "_m") >= PERCENT * F.greatest("_n", "_m")
+    both = pairs.join(one, "a").join(two, "b").where(close).select("a", "b", "_x", "_y")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            equal = _token_rows(batch.column(2)) == _token_rows(batch.column(3))
+            hits = pa.array(equal.sum(axis=1) >= LEAST_EQUAL)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(hits), batch.column(1).filter(hits)], names=["a", "b"]
+            )
+
+    return both.mapInArrow(alike, "a long, b long")
+
+
+def _token_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
+
+
+def _compared(small: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a small node's documents in different components that agree in enough tokens.
+
+    Documents outside the largest component meet all others; those inside it are dealt
+    to parts, and the few outside go to each part. A task sees one part at a time.
+    """
+    parts = F.ceil(F.col("_all") / PART).cast("int")
+    inside = F.array(F.pmod(F.xxhash64("_row"), parts).cast("int"))
+    chosen = F.when(F.col("component") == F.col("_main"), inside).otherwise(F.sequence(F.lit(0), parts - 1))
+    dealt = small.select("node", "_row", "component", "_main", "pivot", F.explode(chosen).alias("part"))
+    signed = dealt.join(reps.select("_row", "_tokens", "n_shingles"), "_row")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        row, component, size = [table[c].to_numpy() for c in ("_row", "component", "n_shingles")]
+        met = row == table["pivot"][0].as_py()
+        tokens = _token_rows(table["_tokens"].combine_chunks())
+        out = np.flatnonzero((component != table["_main"][0].as_py()) & ~met)
+        first, second = [], []
+        for i in out:
+            fits = (component != component[i]) & ~met
+            fits &= 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])
+            others = np.flatnonzero(fits)
+            hits = others[(tokens[others] == tokens[i]).sum(axis=1) >= LEAST_EQUAL]
+            first.append(np.minimum(row[hits], row[i]))
+            second.append(np.maximum(row[hits], row[i]))
+        ends = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, second)]
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    return signed.groupBy("node", "part").applyInArrow(pairs, "a long, b long").distinct()
+
+
 def _branch(members: DataFrame) -> DataFrame:
     """Children of every node: one token chosen by the node, and a second one a third of the time."""
     first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS)).cast("int")
@@ -134,7 +172,8 @@ def _branch(members: DataFrame) -> DataFrame:
     twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PERCENT)) < 100 - PERCENT
     chosen = F.when(twice, F.array(first, second)).otherwise(F.array(first))
     picked = members.select("_row", "node", "_tokens", F.explode(chosen).alias("_at"))
-    return picked.select("_row", F.xxhash64("node", "_at", F.get("_tokens", F.col("_at"))).alias("node"))
+    token = F.substring(F.col("_tokens"), F.col("_at") * 2 + 1, F.lit(2))
+    return picked.select("_row", F.xxhash64("node", "_at", token).alias("node"))
 
 
 def _crowded(members: DataFrame, least: bool) -> DataFrame:
@@ -143,40 +182,69 @@ def _crowded(members: DataFrame, least: bool) -> DataFrame:
     The pivot is the node's least member, the same in all trees, or one by the node's hash.
     """
     by = F.col("_row") if least else F.xxhash64("node", "_row")
+    members = keep(members, "children")
     nodes = keep(
         members.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_row", by).alias("pivot")).where("_n > 1"),
         "nodes",
     )
-    return keep(members.join(nodes.drop("_n"), "node"), "members")
+    crowded = keep(members.join(nodes.drop("_n"), "node"), "members")
+    discard(members, nodes)
+    return crowded
+
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members (node, _row, pivot) of nodes with several components, with the nodes' counts.
+
+    Added: component, _all (members), _main (the largest component), _out (members outside it).
+    """
+    members = members.select("node", "_row", "pivot")
+    if labels is None:
+        labelled = members.withColumn("component", F.col("_row"))
+    else:
+        labelled = members.join(labels.withColumnRenamed("node", "_row"), "_row", "left").withColumn(
+            "component", F.coalesce("component", "_row")
+        )
+    labelled = keep(labelled, "labelled")
+    parts = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_n"))
+    nodes = parts.groupBy("node").agg(
+        F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_most")
+    ).select("node", "_all", (F.col("_all") - F.col("_most._n")).alias("_out"), F.col("_most.component").alias("_main"))
+    nodes = keep(nodes.where("_out > 0"), "open-nodes")
+    opened = keep(labelled.join(nodes, "node"), "open-members")
+    discard(labelled, nodes)
+    return opened
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept; see ``near_rows``."""
-    return near_rows(docs, id_col, text).drop("_digest", "_first")
+    blocks = Blocks(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")), "text")
+    rows = near_rows(blocks, "id", "text")
+    blocks.delete()
+    return rows.select(F.col("_id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
-def near_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept, _digest, _first.
+def near_rows(blocks: Blocks, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of the blocks: _row, _id, n_shingles, component_id, kept, first.
 
-    ``kept`` holds for all rows with the least id of their component. ``_first`` holds for
-    one row of each component only, and for every row without words; ``_digest`` is that
-    of the text, as an id may be null or have several texts.
+    ``kept`` holds for all rows with the least id of their component. ``first`` holds for
+    one row of each component only, and for every row without words.
 
     Equal sets are joined first, so that groups of copies take part once. Trees: the
     documents of a node are dealt to children by minwise tokens that the node chooses;
     every node's documents are compared with one of them (the least at first, below that
-    another one in each node), and when all but a few
-    are then in one component, the few are compared with all; else the node branches.
+    another one in each node). When all but a few are then in one component, the few are
+    compared with all, in parts; else the node branches, until no node is left.
     Candidates that agree in enough minwise tokens are confirmed on their whole sets;
     pairs inside a component found before are not compared again. Links between
     different texts are lost only with the small chance that no tree brings a pair
-    together. Rows without words have no links: component_id is their own id. Rows that
+    together. The texts stay in their blocks; whole sets are made where they lie.
+
+    Rows without words have no links: component_id is their own id. Rows that
     share an id share its outcome if their texts do; a null id counts as larger than all
     others. Other columns are ignored; an empty table gives an empty one.
     """
-    rows = keep(
-        document_sets(docs, id_col, text).withColumn("_row", F.monotonically_increasing_id()), "sets"
-    )
+    spark = blocks.spark
+    rows = keep(document_sets(blocks, id_col, text), "sets", "zstd")
     filled = rows.where("n_shingles > 0")
     classes = keep(
         filled.groupBy("_key").agg(
@@ -185,77 +253,50 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
         "classes",
     )
     reps = keep(filled.join(classes.select("_row"), "_row"), "representatives")
-    members = reps.select("_row", "_tokens", F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("_tree"))
-    members = _branch(members.select("_row", "_tokens", F.xxhash64(F.lit(SEED), "_tree").alias("node")))
-    members = _crowded(members, least=True)
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    seen = docs.sparkSession.createDataFrame([], "a long, b long")
+    trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("_tree")
+    roots = reps.select("_row", "_tokens", trees).select(
+        "_row", "_tokens", F.xxhash64(F.lit(SEED), "_tree").alias("node")
+    )
+    members = _crowded(_branch(roots), least=True)
+    refused = spark.createDataFrame([], "a long, b long")
     labels = None
 
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        """New pairs that agree in enough tokens."""
-        fresh = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = fresh.join(seen, ["a", "b"], "left_anti")
-        one = reps.select(F.col("_row").alias("a"), F.col("_tokens").alias("_x"), F.col("n_shingles").alias("_n"))
-        two = reps.select(F.col("_row").alias("b"), F.col("_tokens").alias("_y"), F.col("n_shingles").alias("_m"))
-        same = F.size(F.filter(F.zip_with("_x", "_y", lambda x, y: x == y), lambda e: e))
-        close = F.lit(100) * F.least("_n", "_m") >= PERCENT * F.greatest("_n", "_m")
-        return keep(
-            fresh.join(one, "a").join(two, "b").where(close).where(same >= LEAST_EQUAL).select("a", "b"), "candidates"
-        )
-
     def confirm(pairs: DataFrame) -> None:
-        """Look at the pairs, remember that, and label all documents linked so far."""
-        nonlocal seen, links, labels
-        if pairs.isEmpty():
-            return
-        ends = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
-        wanted = reps.select("_row", "_id", "_key").join(ends, "_row")
-        sets = keep(_full_sets(docs, wanted, id_col, text), "full-sets")
-        found = keep(_confirmed(pairs, sets), "confirmed")
-        discard(sets)
-        seen, links = seen.unionByName(pairs), links.unionByName(found)
-        if not found.isEmpty():
-            labels = keep(components(links), "components")
-
-    # Pairs of nodes that the level before has settled; they wait for the next look.
-    waiting = seen
-    for level in range(1, LEVELS + 1):
-        stars = members.select(F.col("pivot").alias("a"), F.col("_row").alias("b"))
-        if labels is not None:
-            # What is in the pivot's component already need not meet it.
-            one = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
-            two = labels.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
-            stars = stars.distinct().join(one, "a", "left").join(two, "b", "left").where(
-                F.coalesce("_ca", "a") != F.coalesce("_cb", "b")
-            ).select("a", "b")
-        confirm(agreeing(stars.unionByName(waiting)))
-        waiting = seen.limit(0)
-        if labels is not None:
-            labelled = members.join(labels.withColumnRenamed("node", "_row"), "_row", "left")
-            labelled = labelled.withColumn("component", F.coalesce("component", "_row"))
-        else:
-            labelled = members.withColumn("component", F.col("_row"))
-        labelled = keep(labelled, "labelled")
-        parts = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_n"))
-        nodes = parts.groupBy("node").agg(
-            F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_main")
-        ).select("node", "_all", (F.col("_all") - F.col("_main._n")).alias("_out"), F.col("_main.component").alias("_main"))
-        nodes = keep(nodes.where("_out > 0"), "open-nodes")
-        open_members = keep(labelled.join(nodes, "node"), "open-members")
-        settled = F.col("_out") <= (FEW if level < LEVELS else 1 << 62)
-        whole = open_members.where(settled)
-        others = whole.where("component != _main").select("node", F.col("_row").alias("a"), F.col("component").alias("_ca"))
-        rest = whole.select("node", F.col("_row").alias("b"), "component", "pivot")
-        cross = others.join(rest, "node").where("_ca != component and a != pivot and b != pivot")
-        waiting = keep(cross.select("a", "b").distinct(), "waiting")
-        larger = open_members.where(~settled).select("node", "_row")
-        if level == LEVELS or larger.isEmpty():
+        """Look at the pairs' whole sets, label all documents linked so far, remember the other pairs."""
+        nonlocal refused, labels
+        fresh = keep(pairs.join(refused, ["a", "b"], "left_anti"), "candidates")
+        if not fresh.isEmpty():
+            ends = fresh.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+            sets = keep(_full_sets(blocks, ends, text), "full-sets", "zstd")
+            found = keep(_confirmed(fresh, sets), "confirmed")
+            refused = refused.unionByName(keep(fresh.join(found, ["a", "b"], "left_anti"), "refused"))
+            if not found.isEmpty():
+                # What was known goes in as its stars.
+                links = found if labels is None else found.unionByName(
+                    labels.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+                )
+                known, labels = labels, keep(components(links), "components")
+                discard(*([] if known is None else [known]))
+            discard(sets, found)
+        discard(fresh)
+
+    while True:
+        opened = _open(members, labels)
+        mains = opened.where("_row = pivot").select("node", F.col("component").alias("_with"))
+        stars = opened.join(mains, "node").where("component != _with").select(
+            F.least("pivot", "_row").alias("a"), F.greatest("pivot", "_row").alias("b")
+        ).distinct()
+        confirm(_agreeing(stars, reps))
+        again = _open(opened, labels)
+        # Two members have met as pivot and other.
+        confirm(_compared(again.where(f"_out <= {FEW} and _all > 2"), reps))
+        larger = again.where(f"_out > {FEW}").select("node", "_row")
+        discard(members, opened)
+        if larger.isEmpty():
+            discard(again)
             break
-        deeper = _crowded(_branch(larger.join(reps.select("_row", "_tokens"), "_row")), least=False)
-        discard(members, labelled, nodes, open_members)
-        members = deeper
-    confirm(agreeing(waiting))
+        members = _crowded(_branch(larger.join(reps.select("_row", "_tokens"), "_row")), least=False)
+        discard(again)
 
     named = reps.select("_row", "_key", "_id")
     if labels is not None:
@@ -269,11 +310,11 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row")))["_row"]
     least = keep(named.groupBy("component").agg(F.min("_id").alias("_least"), first.alias("_least_row")), "least")
     by_key = keep(named.join(least, "component").select("_key", "_least", "_least_row"), "by-key")
+    discard(classes, reps, named, least)
     # A key may be that of very many copies: a plain join of two kept tables.
-    joined = rows.select("_id", "n_shingles", "_key", "_row", "_digest").join(by_key, "_key", "left")
+    joined = rows.select("_id", "n_shingles", "_key", "_row").join(by_key, "_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("_least")).otherwise(F.col("_id"))
     return joined.select(
-        F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"),
-        component.eqNullSafe(F.col("_id")).alias("kept"),
-        "_digest", ((F.col("n_shingles") == 0) | (F.col("_row") == F.col("_least_row"))).alias("_first"),
+        "_row", "_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"),
+        ((F.col("n_shingles") == 0) | (F.col("_row") == F.col("_least_row"))).alias("first"),
     )
