@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm.common import WORD, group_key, keep
+from vitrina.llm.blocks import Blocks
+from vitrina.llm.common import keep
 from vitrina.llm.mixing import mix_sources
-from vitrina.llm.minhash import near_rows, text_digest
+from vitrina.llm.minhash import near_rows
 from vitrina.llm.packing import pack_documents
 from vitrina.llm.pii import replace_entities
 from vitrina.llm.quality import keep_good
@@ -21,23 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; those without words all stay.
+    """One document of each group of near copies; those without words (null texts too) all stay.
 
-    A document is known by its id and text, as an id may be null or have several texts.
+    Rows are known by their places, as an id may be null or have several texts. Of equal
+    rows one stays. All columns come back as they were; an empty table gives an empty one.
     """
-    def key(digest: Column) -> Column:
-        return F.concat(group_key(F.col("doc_id")), F.lit("|"), F.hex(digest))
-
-    kept = near_rows(docs).where("_first and n_shingles > 0").select(key(F.col("_digest")).alias("_kept")).distinct()
-    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    # Rows without words have keys of their own, so that they stay apart.
-    own = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
-    keyed = docs.withColumn("_wordless", wordless).withColumn(
-        "_kept", F.when(F.col("_wordless"), own).otherwise(key(text_digest(F.col("text"))))
-    )
-    # One key for both steps, so that the texts are moved once.
-    joined = keyed.join(kept.withColumn("_in", F.lit(True)), "_kept", "left").where("_in or _wordless")
-    return joined.dropDuplicates(["_kept"]).select(*docs.columns)
+    blocks = Blocks(docs, "text")
+    return blocks.whole(near_rows(blocks, "doc_id", "text").where("first").select(F.col("_row").alias("row")))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,17 +40,13 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it.
 
-    Rows are known by all their values; equal ones are taken together, with their copies' sum.
+    Equal rows, and those with null or repeated ids, each have copies of their own; a null
+    source is a source; rows without words are taken once. An empty table gives an empty one.
     """
-    row = F.concat(
-        group_key(F.col("doc_id")), F.lit("|"), F.hex(F.xxhash64(*docs.columns)),
-        F.lit("|"), F.coalesce(F.hex(text_digest(F.col("text"))), F.lit("-")),
-    )
-    mixed = mix_sources(docs, carry=row).where("copies > 0")
-    copies = mixed.groupBy("_carry").agg(F.sum("copies").alias("_copies"))
-    joined = docs.withColumn("_carry", row).join(copies, "_carry").dropDuplicates(["_carry"])
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return joined.select(*docs.columns, times.alias("_copy")).drop("_copy")
+    blocks = Blocks(docs, "text")
+    rows = blocks.rows(doc_id="doc_id", text="text", source="source")
+    mixed = mix_sources(rows, carry=F.col("row")).where("copies > 0")
+    return blocks.whole(mixed.select(F.col("_carry").alias("row"), "copies"), F.col("copies"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
