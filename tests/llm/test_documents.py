@@ -126,8 +126,6 @@ def test_near_duplicates_that_branch(spark, monkeypatch):
 
 
 def test_blocks_keep_whole_rows(odd, none):
-    from vitrina.llm.blocks import Blocks
-
     named = odd.withColumn("a.b", F.lit("dot")).withColumn("row", F.lit("x")).withColumn("block", F.lit(None).cast("int"))
     for docs in (named, named.limit(0)):
         blocks = Blocks(docs, "text")

@@ -26,8 +26,10 @@ LEAST_EQUAL = 74
 TREES = 10
 # A node is small when at most so many of its documents lie outside its largest component:
 # those are compared with all. Documents of the largest component come in parts of PART.
-FEW = 256
-PART = 1_024
+FEW = 64
+PART = 256
+# Documents that a level's nodes share among them to compare the others with first.
+PIVOTS = 4
 SEED = 40_009
 
 
@@ -86,6 +88,20 @@ def _full_sets(blocks: Blocks, wanted: DataFrame, text: str) -> DataFrame:
     return some.select("row", F.col("_text").cast("string").alias("_text")).mapInArrow(whole, "_row long, _set binary")
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two whole sets meet the threshold."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    merged = np.concatenate((x, y))
+    merged.sort(kind="stable")
+    common = int((merged[1:] == merged[:-1]).sum())
+    return 100 * common >= PERCENT * (len(merged) - common)
+
+
+def _whole_sets(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in column]
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets meet the threshold."""
     both = pairs.join(sets.select(F.col("_row").alias("a"), F.col("_set").alias("_a")), "a").join(
@@ -94,18 +110,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.uint64)
-                y = np.frombuffer(batch.column(3)[i].as_buffer(), dtype=np.uint64)
-                if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                    continue
-                merged = np.concatenate((x, y))
-                merged.sort(kind="stable")
-                common = int((merged[1:] == merged[:-1]).sum())
-                hits[i] = 100 * common >= PERCENT * (len(merged) - common)
+            ends = zip(_whole_sets(batch.column(2)), _whole_sets(batch.column(3)))
+            hits = pa.array([_linked(x, y) for x, y in ends], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(hits)), batch.column(1).filter(pa.array(hits))], names=["a", "b"]
+                [batch.column(0).filter(hits), batch.column(1).filter(hits)], names=["a", "b"]
             )
 
     return both.mapInArrow(linked, "a long, b long")
@@ -133,8 +141,24 @@ def _token_rows(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
 
 
-def _compared(small: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a small node's documents in different components that agree in enough tokens.
+def _partners(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every document outside the largest component: its place, others' places, tokens in common.
+
+    Others are those of other components that agree in enough tokens. The pivot has met all before.
+    """
+    row, component, size = [table[c].to_numpy() for c in ("_row", "component", "n_shingles")]
+    met = row == table["pivot"][0].as_py()
+    tokens = _token_rows(table["_tokens"].combine_chunks())
+    for i in np.flatnonzero((component != table["_main"][0].as_py()) & ~met):
+        fits = (component != component[i]) & ~met
+        fits &= 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])
+        others = np.flatnonzero(fits)
+        common = (tokens[others] == tokens[i]).sum(axis=1)
+        yield i, others[common >= LEAST_EQUAL], common[common >= LEAST_EQUAL]
+
+
+def _involved(small: DataFrame, reps: DataFrame) -> DataFrame:
+    """Documents of small nodes that agree with one of another component in enough tokens.
 
     Documents outside the largest component meet all others; those inside it are dealt
     to parts, and the few outside go to each part. A task sees one part at a time.
@@ -145,24 +169,37 @@ def _compared(small: DataFrame, reps: DataFrame) -> DataFrame:
     dealt = small.select("node", "_row", "component", "_main", "pivot", F.explode(chosen).alias("part"))
     signed = dealt.join(reps.select("_row", "_tokens", "n_shingles"), "_row")
 
-    def pairs(table: pa.Table) -> pa.Table:
+    def alike(table: pa.Table) -> pa.Table:
+        found = np.zeros(table.num_rows, dtype=bool)
+        for i, others, _ in _partners(table):
+            found[others] = True
+            found[i] |= len(others) > 0
+        return table.filter(pa.array(found))
+
+    return signed.groupBy("node", "part").applyInArrow(alike, signed.schema)
+
+
+def _spanning(involved: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b), confirmed on whole sets, that join the components met in each part.
+
+    Every pair that agrees in enough tokens is looked at, likeliest first, unless links
+    found in the part have joined its components already.
+    """
+
+    def joined(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        row, component, size = [table[c].to_numpy() for c in ("_row", "component", "n_shingles")]
-        met = row == table["pivot"][0].as_py()
-        tokens = _token_rows(table["_tokens"].combine_chunks())
-        out = np.flatnonzero((component != table["_main"][0].as_py()) & ~met)
-        first, second = [], []
-        for i in out:
-            fits = (component != component[i]) & ~met
-            fits &= 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])
-            others = np.flatnonzero(fits)
-            hits = others[(tokens[others] == tokens[i]).sum(axis=1) >= LEAST_EQUAL]
-            first.append(np.minimum(row[hits], row[i]))
-            second.append(np.maximum(row[hits], row[i]))
-        ends = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (first, second)]
-        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
-
-    return signed.groupBy("node", "part").applyInArrow(pairs, "a long, b long").distinct()
+        row, component = [table[c].to_numpy() for c in ("_row", "component")]
+        whole = _whole_sets(table["_set"].combine_chunks())
+        _, group = np.unique(component, return_inverse=True)
+        found = []
+        for i, others, common in _partners(table):
+            for j in others[np.argsort(-common, kind="stable")]:
+                if group[i] != group[j] and _linked(whole[i], whole[j]):
+                    group[group == group[j]] = group[i]
+                    found.append((row[i], row[j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return involved.join(sets, "_row").groupBy("node", "part").applyInArrow(joined, "a long, b long")
 
 
 def _branch(members: DataFrame) -> DataFrame:
@@ -176,12 +213,13 @@ def _branch(members: DataFrame) -> DataFrame:
     return picked.select("_row", F.xxhash64("node", "_at", token).alias("node"))
 
 
-def _crowded(members: DataFrame, least: bool) -> DataFrame:
+def _crowded(members: DataFrame, level: int) -> DataFrame:
     """Members of nodes that hold at least two, with a pivot.
 
-    The pivot is the node's least member, the same in all trees, or one by the node's hash.
+    A level's nodes use few orders of the documents, so that nodes with the same
+    documents have few pivots among them, and other levels have others.
     """
-    by = F.col("_row") if least else F.xxhash64("node", "_row")
+    by = F.xxhash64(F.lit(level), F.pmod("node", F.lit(PIVOTS)), "_row")
     members = keep(members, "children")
     nodes = keep(
         members.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_row", by).alias("pivot")).where("_n > 1"),
@@ -231,10 +269,10 @@ def near_rows(blocks: Blocks, id_col: str = "doc_id", text: str = "text") -> Dat
 
     Equal sets are joined first, so that groups of copies take part once. Trees: the
     documents of a node are dealt to children by minwise tokens that the node chooses;
-    every node's documents are compared with one of them (the least at first, below that
-    another one in each node). When all but a few are then in one component, the few are
-    compared with all, in parts; else the node branches, until no node is left.
-    Candidates that agree in enough minwise tokens are confirmed on their whole sets;
+    every node's documents are compared with one of them. When all but a few are then in
+    one component, the few are compared with all, in parts, each of which yields no more
+    links than join its components; else the node branches, until no node is left.
+    What agrees in enough minwise tokens is confirmed on whole sets;
     pairs inside a component found before are not compared again. Links between
     different texts are lost only with the small chance that no tree brings a pair
     together. The texts stay in their blocks; whole sets are made where they lie.
@@ -243,7 +281,6 @@ def near_rows(blocks: Blocks, id_col: str = "doc_id", text: str = "text") -> Dat
     share an id share its outcome if their texts do; a null id counts as larger than all
     others. Other columns are ignored; an empty table gives an empty one.
     """
-    spark = blocks.spark
     rows = keep(document_sets(blocks, id_col, text), "sets", "zstd")
     filled = rows.where("n_shingles > 0")
     classes = keep(
@@ -257,28 +294,26 @@ def near_rows(blocks: Blocks, id_col: str = "doc_id", text: str = "text") -> Dat
     roots = reps.select("_row", "_tokens", trees).select(
         "_row", "_tokens", F.xxhash64(F.lit(SEED), "_tree").alias("node")
     )
-    members = _crowded(_branch(roots), least=True)
-    refused = spark.createDataFrame([], "a long, b long")
+    level = 1
+    members = _crowded(_branch(roots), level)
     labels = None
 
-    def confirm(pairs: DataFrame) -> None:
-        """Look at the pairs' whole sets, label all documents linked so far, remember the other pairs."""
-        nonlocal refused, labels
-        fresh = keep(pairs.join(refused, ["a", "b"], "left_anti"), "candidates")
-        if not fresh.isEmpty():
-            ends = fresh.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
-            sets = keep(_full_sets(blocks, ends, text), "full-sets", "zstd")
-            found = keep(_confirmed(fresh, sets), "confirmed")
-            refused = refused.unionByName(keep(fresh.join(found, ["a", "b"], "left_anti"), "refused"))
-            if not found.isEmpty():
-                # What was known goes in as its stars.
-                links = found if labels is None else found.unionByName(
-                    labels.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-                )
-                known, labels = labels, keep(components(links), "components")
-                discard(*([] if known is None else [known]))
-            discard(sets, found)
-        discard(fresh)
+    def label(links: DataFrame) -> None:
+        """Components with the confirmed links; what was known goes in as its stars."""
+        nonlocal labels
+        links = keep(links, "confirmed")
+        if not links.isEmpty():
+            if labels is None:
+                labels = keep(components(links), "components")
+            else:
+                known = labels.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+                joined = keep(components(links.unionByName(known)), "components")
+                discard(labels)
+                labels = joined
+        discard(links)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return keep(_full_sets(blocks, wanted.distinct(), text), "full-sets", "zstd")
 
     while True:
         opened = _open(members, labels)
@@ -286,16 +321,28 @@ def near_rows(blocks: Blocks, id_col: str = "doc_id", text: str = "text") -> Dat
         stars = opened.join(mains, "node").where("component != _with").select(
             F.least("pivot", "_row").alias("a"), F.greatest("pivot", "_row").alias("b")
         ).distinct()
-        confirm(_agreeing(stars, reps))
+        likely = keep(_agreeing(stars, reps), "candidates")
+        if not likely.isEmpty():
+            sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("_row")))
+            label(_confirmed(likely, sets))
+            discard(sets)
+        discard(likely, members)
+
         again = _open(opened, labels)
         # Two members have met as pivot and other.
-        confirm(_compared(again.where(f"_out <= {FEW} and _all > 2"), reps))
+        involved = keep(_involved(again.where(f"_out <= {FEW} and _all > 2"), reps), "involved", "zstd")
+        if not involved.isEmpty():
+            sets = sets_of(involved.select("_row"))
+            label(_spanning(involved, sets))
+            discard(sets)
+        discard(involved, opened)
+
         larger = again.where(f"_out > {FEW}").select("node", "_row")
-        discard(members, opened)
         if larger.isEmpty():
             discard(again)
             break
-        members = _crowded(_branch(larger.join(reps.select("_row", "_tokens"), "_row")), least=False)
+        level += 1
+        members = _crowded(_branch(larger.join(reps.select("_row", "_tokens"), "_row")), level)
         discard(again)
 
     named = reps.select("_row", "_key", "_id")
