@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina.llm.blocks import Blocks
 from vitrina.llm.common import discard, keep
@@ -16,10 +16,13 @@ from vitrina.llm.shingles import Shingler, text_slices
 
 # Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-# Minwise tokens per document, two bytes each. A pair at the threshold agrees in fewer
-# than LEAST_EQUAL of them with a chance of about one in 100,000.
+# Minwise tokens per document, two bytes each; their last two bits make the sketch, 32 to a
+# long. Of a pair at the threshold 13 of 16 of those agree on average, and fewer than
+# LEAST_EQUAL with a chance of about one in 100,000.
 TOKENS = 128
-LEAST_EQUAL = 74
+LEAST_EQUAL = 85
+SKETCH = ["s0", "s1", "s2", "s3"]
+ODD = np.uint64(0x5555555555555555)
 # Independent trees. A node chooses 4/3 tokens on average (1 / 0.75), so that a linked
 # pair has at least one common child on average; a pair at the threshold that takes three
 # levels to get into a small node is missed by all trees with a chance of about 1e-4.
@@ -34,12 +37,13 @@ SEED = 40_009
 
 
 def document_sets(blocks: Blocks, id_col: str, text: str, tokens: int = TOKENS) -> DataFrame:
-    """One row per row: _row, _id, n_shingles, _key (16 bytes, equal for equal sets), _tokens.
+    """One row per row: _row, _id, n_shingles, _key (16 bytes, equal for equal sets), _tokens, s0 to s3.
 
     ``_tokens`` are the minwise tokens, one hash function each; empty sets have none.
     """
     rows = blocks.rows(_id=id_col, _text=text).select("row", "_id", F.col("_text").cast("string").alias("_text"))
     schema = f"_row long, _id {dict(rows.dtypes)['_id']}, n_shingles long, _key binary, _tokens binary"
+    schema += "".join(f", {s} long" for s in SKETCH)
     factors = np.random.default_rng(SEED).integers(0, 2**64, tokens, dtype=np.uint64) | np.uint64(1)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,12 +64,16 @@ def document_sets(blocks: Blocks, id_col: str, text: str, tokens: int = TOKENS)
                     own = found[starts[j] : starts[j + 1]]
                     keys[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                     signs[i] = least[j].tobytes()
+                sketch = np.zeros((hi - lo, len(SKETCH)), dtype=np.uint64)
+                pairs_of_bits = (least & 3).astype(np.uint64).reshape(len(full), len(SKETCH), 32)
+                sketch[full] = (pairs_of_bits << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
                         pa.array(sizes), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()),
+                        *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in sketch.T],
                     ],
-                    names=["_row", "_id", "n_shingles", "_key", "_tokens"],
+                    names=["_row", "_id", "n_shingles", "_key", "_tokens", *SKETCH],
                 )
 
     return rows.mapInArrow(signed, schema)
@@ -119,45 +127,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(linked, "a long, b long")
 
 
-def _agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that agree in enough tokens and are near enough in size."""
-    one = reps.select(F.col("_row").alias("a"), F.col("_tokens").alias("_x"), F.col("n_shingles").alias("_n"))
-    two = reps.select(F.col("_row").alias("b"), F.col("_tokens").alias("_y"), F.col("n_shingles").alias("_m"))
-    close = F.lit(100) * F.least("_n", "_m") >= PERCENT * F.greatest("_n", "_m")
-    both = pairs.join(one, "a").join(two, "b").where(close).select("a", "b", "_x", "_y")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            equal = _token_rows(batch.column(2)) == _token_rows(batch.column(3))
-            hits = pa.array(equal.sum(axis=1) >= LEAST_EQUAL)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(hits), batch.column(1).filter(hits)], names=["a", "b"]
-            )
-
-    return both.mapInArrow(alike, "a long, b long")
-
-
-def _token_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), -1)
+def _near(other: str) -> Column:
+    """Whether a document's sketch and size are near those of the one in the struct column."""
+    differ = F.lit(0)
+    for c in SKETCH:
+        x = F.col(c).bitwiseXOR(F.col(f"{other}.{c}"))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(int(ODD))))
+    n, m = F.col("n_shingles"), F.col(f"{other}.n_shingles")
+    return (differ <= TOKENS - LEAST_EQUAL) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
 def _partners(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For every document outside the largest component: its place, others' places, tokens in common.
+    """For every document outside the largest component: its place, others' places, tokens that differ.
 
-    Others are those of other components that agree in enough tokens. The pivot has met all before.
+    Others are those of other components whose sketches agree enough. The pivot has met all before.
     """
     row, component, size = [table[c].to_numpy() for c in ("_row", "component", "n_shingles")]
     met = row == table["pivot"][0].as_py()
-    tokens = _token_rows(table["_tokens"].combine_chunks())
+    sketch = np.stack([table[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
     for i in np.flatnonzero((component != table["_main"][0].as_py()) & ~met):
         fits = (component != component[i]) & ~met
         fits &= 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])
         others = np.flatnonzero(fits)
-        common = (tokens[others] == tokens[i]).sum(axis=1)
-        yield i, others[common >= LEAST_EQUAL], common[common >= LEAST_EQUAL]
+        x = sketch[others] ^ sketch[i]
+        differ = np.bitwise_count((x | (x >> np.uint64(1))) & ODD).sum(axis=1)
+        yield i, others[differ <= TOKENS - LEAST_EQUAL], differ[differ <= TOKENS - LEAST_EQUAL]
 
 
-def _involved(small: DataFrame, reps: DataFrame) -> DataFrame:
+def _involved(small: DataFrame) -> DataFrame:
     """Documents of small nodes that agree with one of another component in enough tokens.
 
     Documents outside the largest component meet all others; those inside it are dealt
@@ -166,8 +163,9 @@ def _involved(small: DataFrame, reps: DataFrame) -> DataFrame:
     parts = F.ceil(F.col("_all") / PART).cast("int")
     inside = F.array(F.pmod(F.xxhash64("_row"), parts).cast("int"))
     chosen = F.when(F.col("component") == F.col("_main"), inside).otherwise(F.sequence(F.lit(0), parts - 1))
-    dealt = small.select("node", "_row", "component", "_main", "pivot", F.explode(chosen).alias("part"))
-    signed = dealt.join(reps.select("_row", "_tokens", "n_shingles"), "_row")
+    dealt = small.select(
+        "node", "_row", "component", "_main", "pivot", "n_shingles", *SKETCH, F.explode(chosen).alias("part")
+    )
 
     def alike(table: pa.Table) -> pa.Table:
         found = np.zeros(table.num_rows, dtype=bool)
@@ -176,7 +174,7 @@ def _involved(small: DataFrame, reps: DataFrame) -> DataFrame:
             found[i] |= len(others) > 0
         return table.filter(pa.array(found))
 
-    return signed.groupBy("node", "part").applyInArrow(alike, signed.schema)
+    return dealt.groupBy("node", "part").applyInArrow(alike, dealt.schema)
 
 
 def _spanning(involved: DataFrame, sets: DataFrame) -> DataFrame:
@@ -192,8 +190,8 @@ def _spanning(involved: DataFrame, sets: DataFrame) -> DataFrame:
         whole = _whole_sets(table["_set"].combine_chunks())
         _, group = np.unique(component, return_inverse=True)
         found = []
-        for i, others, common in _partners(table):
-            for j in others[np.argsort(-common, kind="stable")]:
+        for i, others, differ in _partners(table):
+            for j in others[np.argsort(differ, kind="stable")]:
                 if group[i] != group[j] and _linked(whole[i], whole[j]):
                     group[group == group[j]] = group[i]
                     found.append((row[i], row[j]))
@@ -208,13 +206,13 @@ def _branch(members: DataFrame) -> DataFrame:
     second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS)).cast("int")
     twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PERCENT)) < 100 - PERCENT
     chosen = F.when(twice, F.array(first, second)).otherwise(F.array(first))
-    picked = members.select("_row", "node", "_tokens", F.explode(chosen).alias("_at"))
+    picked = members.select("_row", "node", "_tokens", "n_shingles", *SKETCH, F.explode(chosen).alias("_at"))
     token = F.substring(F.col("_tokens"), F.col("_at") * 2 + 1, F.lit(2))
-    return picked.select("_row", F.xxhash64("node", "_at", token).alias("node"))
+    return picked.select("_row", "n_shingles", *SKETCH, F.xxhash64("node", "_at", token).alias("node"))
 
 
 def _crowded(members: DataFrame, level: int) -> DataFrame:
-    """Members of nodes that hold at least two, with a pivot.
+    """Members of nodes that hold at least two, with a pivot and whether they are near it.
 
     A level's nodes use few orders of the documents, so that nodes with the same
     documents have few pivots among them, and other levels have others.
@@ -222,20 +220,21 @@ def _crowded(members: DataFrame, level: int) -> DataFrame:
     by = F.xxhash64(F.lit(level), F.pmod("node", F.lit(PIVOTS)), "_row")
     members = keep(members, "children")
     nodes = keep(
-        members.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min_by("_row", by).alias("pivot")).where("_n > 1"),
+        members.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("_row", "n_shingles", *SKETCH), by).alias("_pivot"))
+        .where("_n > 1").drop("_n"),
         "nodes",
     )
-    crowded = keep(members.join(nodes.drop("_n"), "node"), "members")
+    crowded = members.join(nodes, "node").withColumn("near", _near("_pivot") & (F.col("_row") != F.col("_pivot._row")))
+    crowded = keep(crowded.withColumn("pivot", F.col("_pivot._row")).drop("_pivot"), "members", "zstd")
     discard(members, nodes)
     return crowded
 
 
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members (node, _row, pivot) of nodes with several components, with the nodes' counts.
+    """Members of nodes with several components, with the nodes' counts.
 
     Added: component, _all (members), _main (the largest component), _out (members outside it).
     """
-    members = members.select("node", "_row", "pivot")
     if labels is None:
         labelled = members.withColumn("component", F.col("_row"))
     else:
@@ -272,7 +271,7 @@ def near_rows(blocks: Blocks, id_col: str = "doc_id", text: str = "text") -> Dat
     every node's documents are compared with one of them. When all but a few are then in
     one component, the few are compared with all, in parts, each of which yields no more
     links than join its components; else the node branches, until no node is left.
-    What agrees in enough minwise tokens is confirmed on whole sets;
+    What agrees in enough bits of its minwise tokens is confirmed on whole sets;
     pairs inside a component found before are not compared again. Links between
     different texts are lost only with the small chance that no tree brings a pair
     together. The texts stay in their blocks; whole sets are made where they lie.
@@ -291,8 +290,8 @@ def near_rows(blocks: Blocks, id_col: str = "doc_id", text: str = "text") -> Dat
     )
     reps = keep(filled.join(classes.select("_row"), "_row"), "representatives")
     trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("_tree")
-    roots = reps.select("_row", "_tokens", trees).select(
-        "_row", "_tokens", F.xxhash64(F.lit(SEED), "_tree").alias("node")
+    roots = reps.select("_row", "_tokens", "n_shingles", *SKETCH, trees).select(
+        "_row", "_tokens", "n_shingles", *SKETCH, F.xxhash64(F.lit(SEED), "_tree").alias("node")
     )
     level = 1
     members = _crowded(_branch(roots), level)
@@ -316,33 +315,37 @@ def near_rows(blocks: Blocks, id_col: str = "doc_id", text: str = "text") -> Dat
         return keep(_full_sets(blocks, wanted.distinct(), text), "full-sets", "zstd")
 
     while True:
-        opened = _open(members, labels)
-        mains = opened.where("_row = pivot").select("node", F.col("component").alias("_with"))
-        stars = opened.join(mains, "node").where("component != _with").select(
+        likely = members.where("near").select(
             F.least("pivot", "_row").alias("a"), F.greatest("pivot", "_row").alias("b")
         ).distinct()
-        likely = keep(_agreeing(stars, reps), "candidates")
+        if labels is not None:
+            one = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
+            two = labels.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
+            likely = likely.join(one, "a", "left").join(two, "b", "left").where(
+                F.coalesce("_ca", "a") != F.coalesce("_cb", "b")
+            ).select("a", "b")
+        likely = keep(likely, "candidates")
         if not likely.isEmpty():
             sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("_row")))
             label(_confirmed(likely, sets))
             discard(sets)
-        discard(likely, members)
+        discard(likely)
 
-        again = _open(opened, labels)
+        again = _open(members, labels)
         # Two members have met as pivot and other.
-        involved = keep(_involved(again.where(f"_out <= {FEW} and _all > 2"), reps), "involved", "zstd")
+        involved = keep(_involved(again.where(f"_out <= {FEW} and _all > 2")), "involved", "zstd")
         if not involved.isEmpty():
             sets = sets_of(involved.select("_row"))
             label(_spanning(involved, sets))
             discard(sets)
-        discard(involved, opened)
+        discard(involved, members)
 
         larger = again.where(f"_out > {FEW}").select("node", "_row")
         if larger.isEmpty():
             discard(again)
             break
         level += 1
-        members = _crowded(_branch(larger.join(reps.select("_row", "_tokens"), "_row")), level)
+        members = _crowded(_branch(larger.join(reps.select("_row", "_tokens", "n_shingles", *SKETCH), "_row")), level)
         discard(again)
 
     named = reps.select("_row", "_key", "_id")
