@@ -354,12 +354,15 @@ def test_repeats_around_a_frequent_anchor(spark, odd, monkeypatch):
 
     monkeypatch.setattr(repeats, "_divided", watched)
     monkeypatch.setattr(repeats, "SHARD_BYTES", 2_000)
-    for most, table, given in ((200, docs, rows), (0, odd, [(i, t) for i, t, _ in ROWS])):
+    for most, table, given in ((200, docs, rows), (30, docs, rows), (0, odd, [(i, t) for i, t, _ in ROWS])):
+        seen.clear()
         monkeypatch.setattr(repeats, "SHARD_CONTEXTS", most)
         want = Counter((i, sum(g)) for (i, _), g in zip(given, removed_bytes(given).values()))
         assert Counter((r["doc_id"], r["n_removed"]) for r in remove_repeats(table).collect()) == want
-        few, many = seen[-1]
-        assert many > 0 and all(n <= most for _, n in few)
+        # By short anchors, then by long ones; what is left goes by whole strings.
+        assert len(seen) == 2 and seen[0][1] > 0
+        assert all(n <= most for few, _ in seen for _, n in few)
+        assert most == 0 or seen[1][0]
 
 
 def test_rewrite_of_odd_rows(spark, odd, tmp_path):

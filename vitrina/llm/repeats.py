@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ PART_BYTES = 6_000_000
 SHARD_BYTES = 1_000_000
 # Contexts that one suffix array may take, about twice those of a shard that is all shared.
 SHARD_CONTEXTS = 100_000
+# Strings of a shard with more contexts have anchors of twice the bytes instead.
+LONG_ANCHOR = 2 * ANCHOR
 PASSED_ON = -1
 LAST_ID = np.iinfo(np.int64).max
 
@@ -50,10 +53,10 @@ def _hash(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     step = 1
     while step * 2 <= width:
-        x = np.minimum(x[:-step], x[step:])
+        x = np.minimum(x[..., :-step], x[..., step:])
         step *= 2
     rest = width - step
-    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+    return np.minimum(x[..., :-rest], x[..., rest:]) if rest else x
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
@@ -86,10 +89,11 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
 
-def _anchor_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    padded = np.concatenate((data, np.zeros(16, dtype=np.uint8)))
-    words = np.ndarray(buffer=padded, shape=(len(data) + 8,), dtype="<u8", strides=(1,))
-    return _hash(words[places], words[places + 8])
+def _anchor_hashes(data: np.ndarray, places: np.ndarray, anchor: int = ANCHOR) -> np.ndarray:
+    padded = np.concatenate((data, np.zeros(anchor, dtype=np.uint8)))
+    words = np.ndarray(buffer=padded, shape=(len(padded) - 8,), dtype="<u8", strides=(1,))
+    first = _hash(words[places], words[places + 8])
+    return first if anchor == ANCHOR else _hash(first, _hash(words[places + 16], words[places + 24]))
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -97,13 +101,14 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Block:
-    """Some texts after one another, as stored: ids, ends, tags, places of anchors, bytes."""
+    """Some texts after one another, as stored: ids, ends, digests, places of anchors, bytes."""
 
-    def __init__(self, ids: bytes, ends: bytes, tags: bytes, places: bytes, data: bytes):
+    def __init__(self, ids: bytes, ends: bytes, digests: bytes, places: bytes, data: bytes):
         self.ids = np.frombuffer(ids, dtype="<i8")
         self.ends = np.frombuffer(ends, dtype="<i8")
         self.begins = np.concatenate(([0], self.ends[:-1])).astype(np.int64)
-        self.tags = np.frombuffer(tags, dtype="<u8")
+        # A text's tag: 48 bits of its digest, never 0.
+        self.tags = np.frombuffer(digests, dtype="<u8")[::2] >> np.uint64(16) | np.uint64(1 << 48)
         self.places = np.cumsum(np.frombuffer(places, dtype="<u4"), dtype=np.int64)
         self.data = np.frombuffer(data, dtype=np.uint8)
         self.text_of = np.searchsorted(self.ends, self.places, side="right")
@@ -120,8 +125,8 @@ class Block:
                 yield int(part[lo]), lo, hi
 
 
-_BLOCK = "block long, ids binary, ends binary, tags binary, places binary, data binary"
-_BLOCK_COLUMNS = ["ids", "ends", "tags", "places", "data"]
+_BLOCK = "block long, ids binary, ends binary, digests binary, places binary, data binary"
+_BLOCK_COLUMNS = ["ids", "ends", "digests", "places", "data"]
 
 
 def _pack_blocks(texts: DataFrame, length: int) -> DataFrame:
@@ -139,13 +144,12 @@ def _pack_blocks(texts: DataFrame, length: int) -> DataFrame:
             ends = np.cumsum(np.concatenate(sizes)).astype("<i8")
             begins = np.concatenate(([0], ends[:-1]))
             raw = data.tobytes()
-            tags = np.array(
-                [int.from_bytes(hashlib.blake2b(raw[a:b], digest_size=6).digest(), "little") | 1 << 48
-                 for a, b in zip(begins.tolist(), ends.tolist())], dtype="<u8",
+            digests = b"".join(
+                hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), ends.tolist())
             )
             places = anchors(data, ends, length)
             steps = np.diff(places, prepend=0).astype("<u4")
-            values = [np.concatenate(ids).astype("<i8").tobytes(), ends.tobytes(), tags.tobytes(), steps.tobytes(), raw]
+            values = [np.concatenate(ids).astype("<i8").tobytes(), ends.tobytes(), digests, steps.tobytes(), raw]
             return pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), *[pa.array([v], pa.binary()) for v in values]],
                 names=["block", *_BLOCK_COLUMNS],
@@ -294,30 +298,84 @@ def _contexts(blocks: DataFrame, shared: DataFrame, parts: int, shards: int, len
                 own = np.where(ids[other] == ids[leader[~first]], block.places[at[leader[~first]]], -1)
                 passed = np.stack((block.places[at[other]], own), axis=1).astype("<i8").tobytes()
                 sent = order[first]
-                shard = _part(block.hashes[block.which[at[sent]]], shards)
-                by = np.argsort(shard, kind="stable")
-                sent, shard = sent[by], shard[by]
-                cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]))
-                out_shard, counts, payload = [PASSED_ON - number % shards], [0], [_squeezed(passed)]
-                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    if lo < hi:
-                        s = sent[lo:hi]
-                        record = np.zeros(hi - lo, dtype=_record(length))
-                        record["id"], record["place"] = ids[s], block.places[at[s]]
-                        record["lead"], record["size"], record["bytes"] = lead[s], size[s], matrix[s]
-                        out_shard.append(int(shard[lo]))
-                        counts.append(hi - lo)
-                        payload.append(_squeezed(record.tobytes()))
+                record = np.zeros(len(sent), dtype=_record(length, ANCHOR))
+                record["id"], record["place"] = ids[sent], block.places[at[sent]]
+                record["lead"], record["size"], record["bytes"] = lead[sent], size[sent], matrix[sent]
                 yield _rows({
-                    "shard": (out_shard, pa.int32()),
-                    "block": ([number] * len(payload), pa.int64()),
-                    "n_contexts": (counts, pa.int64()),
-                    "payload": (payload, pa.binary()),
+                    "shard": ([PASSED_ON - number % shards], pa.int32()), "block": ([number], pa.int64()),
+                    "n_contexts": ([0], pa.int64()), "payload": ([_squeezed(passed)], pa.binary()),
                 })
+                yield _dealt(number, record, block.hashes[block.which[at[sent]]], shards)
+
+    return joined.select("block", *_BLOCK_COLUMNS, "masks").mapInArrow(cut, _CONTEXTS)
+
+
+_CONTEXTS = "shard int, block long, n_contexts long, payload binary"
+
+
+def _dealt(block: int, records: np.ndarray, hashes: np.ndarray, shards: int) -> pa.RecordBatch:
+    """Contexts of a block to the shards of their anchors' hashes."""
+    shard = _part(hashes, shards)
+    by = np.argsort(shard, kind="stable")
+    shard = shard[by]
+    cuts = np.flatnonzero(np.diff(shard, prepend=-1))
+    ends = np.append(cuts[1:], len(shard))[: len(cuts)]
+    payload = [_squeezed(records[by[lo:hi]].tobytes()) for lo, hi in zip(cuts.tolist(), ends.tolist())]
+    return _rows({
+        "shard": (shard[cuts].astype(np.int32), pa.int32()), "block": ([block] * len(cuts), pa.int64()),
+        "n_contexts": (ends - cuts, pa.int64()), "payload": (payload, pa.binary()),
+    })
+
+
+def _owned(rows: np.ndarray, hashes: np.ndarray, length: int) -> np.ndarray:
+    """Per context, which of its strings have its anchor for their own: no anchor of less hash."""
+    wide = length - ANCHOR + 1
+    least = _sliding_min(hashes[:, : 2 * wide - 1], wide)
+    own = hashes[np.arange(len(rows)), rows["lead"]]
+    at = np.arange(wide)
+    return (least == own[:, None]) & (at <= rows["lead"][:, None]) & (at + length <= rows["size"][:, None])
 
-    return joined.select("block", *_BLOCK_COLUMNS, "masks").mapInArrow(
-        cut, "shard int, block long, n_contexts long, payload binary"
-    )
+
+def _long_anchored(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of longer anchors, cut from ``rows``, and the hashes of those anchors.
+
+    Of each string of a context the longer anchor is the leftmost of least hash; strings
+    next to one another with the same one make a context. Equal strings have equal ones.
+    """
+    wide, first = length - LONG_ANCHOR + 1, length - ANCHOR + 1
+    flat = np.ascontiguousarray(rows["bytes"])
+    width = flat.shape[1]
+    words = _words(np.concatenate((flat.ravel(), np.zeros(16, dtype=np.uint8))), flat.size + 8)
+    short = _hash(words[:-8], words[8:])
+    long = _hash(short, np.concatenate((short[ANCHOR:], short[:ANCHOR]))).reshape(len(rows), width)
+    inner = np.lib.stride_tricks.sliding_window_view(long[:, : first + wide - 1], wide, axis=1)
+    row, bit = np.nonzero(_owned(rows, short.reshape(len(rows), width), length))
+    at = bit + inner[row, bit].argmin(axis=1)
+    starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))
+    lasts = np.append(starts[1:], len(row))[: len(starts)] - 1
+    row, at, low, high = row[starts], at[starts], bit[starts], bit[lasts]
+    out = np.zeros(len(row), dtype=_record(length, LONG_ANCHOR))
+    out["id"], out["place"], out["bit"] = rows["id"][row], rows["place"][row], rows["bit"][row] + low
+    out["lead"], out["size"] = at - low, high - low + length
+    each = np.arange(out["bytes"].shape[1])
+    taken = flat[row[:, None], np.minimum(low[:, None] + each, width - 1)]
+    taken[each >= out["size"][:, None]] = 0
+    out["bytes"] = taken
+    return out, long[row, at]
+
+
+def _long_contexts(contexts: DataFrame, shards: int, length: int) -> DataFrame:
+    """The contexts of large shards by longer anchors, of which each string has one."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = np.frombuffer(_unsqueezed(payload.as_buffer()), dtype=_record(length, ANCHOR))
+                some = [_long_anchored(rows[lo : lo + 4_000], length) for lo in range(0, len(rows), 4_000)]
+                if some:
+                    yield _dealt(number, np.concatenate([r for r, _ in some]), np.concatenate([h for _, h in some]), shards)
+
+    return contexts.select("block", "payload").mapInArrow(cut, _CONTEXTS)
 
 
 def _divided(contexts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -327,9 +385,13 @@ def _divided(contexts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return contexts.join(large, "shard", "left_anti"), contexts.join(large, "shard", "left_semi")
 
 
-def _record(length: int) -> np.dtype:
-    width = 2 * length - ANCHOR
-    return np.dtype([("id", "<i8"), ("place", "<u4"), ("lead", "u1"), ("size", "u1"), ("bytes", "u1", (width,))])
+def _record(length: int, anchor: int) -> np.dtype:
+    """A context: document, place of its (short) anchor, number of its first string around
+    that, place of its anchor in it, size, bytes."""
+    return np.dtype([
+        ("id", "<i8"), ("place", "<u4"), ("bit", "u1"), ("lead", "u1"), ("size", "u1"),
+        ("bytes", "u1", (2 * length - anchor,)),
+    ])
 
 
 def _squeezed(raw: bytes) -> bytes:
@@ -365,17 +427,17 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, ids: np.ndarray, length:
     return out
 
 
-def _several(contexts: np.ndarray) -> np.ndarray:
+def _several(contexts: np.ndarray, anchor: int) -> np.ndarray:
     """Which of the distinct contexts share their anchor with another one."""
     rows = np.ascontiguousarray(contexts["bytes"])
     at = np.arange(len(rows)) * rows.shape[1] + contexts["lead"]
-    _, which, count = np.unique(_anchor_hashes(rows.ravel(), at), return_inverse=True, return_counts=True)
+    _, which, count = np.unique(_anchor_hashes(rows.ravel(), at, anchor), return_inverse=True, return_counts=True)
     return count[which] > 1
 
 
 def _judged(contexts: np.ndarray, length: int) -> np.ndarray:
     """Per context, as bits: which of its strings also begin in a context of smaller id."""
-    wide = length - ANCHOR + 1
+    wide = contexts["bytes"].shape[1] - length + 1
     taken = np.arange(contexts["bytes"].shape[1]) < contexts["size"][:, None]
     ends = np.cumsum(contexts["size"].astype(np.int64))
     repeated = repeated_starts(contexts["bytes"][taken], ends, contexts["id"], length)
@@ -385,7 +447,7 @@ def _judged(contexts: np.ndarray, length: int) -> np.ndarray:
     return (bits * (np.uint64(1) << np.arange(wide, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
-def _marks(contexts: DataFrame, length: int) -> DataFrame:
+def _marks(contexts: DataFrame, length: int, anchor: int) -> DataFrame:
     """Per block: which strings around which anchors are repeated (block, marks)."""
 
     def judge(table: pa.Table) -> pa.Table:
@@ -393,7 +455,7 @@ def _marks(contexts: DataFrame, length: int) -> DataFrame:
         payloads = [_unsqueezed(p.as_buffer()) for c in table.column("payload").chunks for p in c]
         if table.column("shard")[0].as_py() < 0:
             return pa.table({"block": blocks, "passed": pa.array([True] * len(blocks)), "marks": pa.array(payloads, pa.binary())})
-        rows = [np.frombuffer(p, dtype=_record(length)) for p in payloads]
+        rows = [np.frombuffer(p, dtype=_record(length, anchor)) for p in payloads]
         sizes = np.array([len(r) for r in rows])
         every = np.concatenate(rows)
         key = _context_keys(every["bytes"], every["lead"], every["size"])
@@ -404,9 +466,11 @@ def _marks(contexts: DataFrame, length: int) -> DataFrame:
         least = every[order[first]]
         masks = np.zeros(len(least), dtype=np.uint64)
         # An anchor with one surrounding shares no string but with that one's equals.
-        some = np.flatnonzero(_several(least))
+        some = np.flatnonzero(_several(least, anchor))
         masks[some] = _judged(least[some], length)
-        mask = np.where(every["id"] > least["id"][group], ~np.uint64(0), masks[group])
+        strings = every["size"].astype(np.uint64) - np.uint64(length - 1)
+        mask = np.where(every["id"] > least["id"][group], (np.uint64(1) << strings) - np.uint64(1), masks[group])
+        mask <<= every["bit"].astype(np.uint64)
         out = []
         for at, n in zip(np.cumsum(sizes) - sizes, sizes):
             own, found = every["place"][at : at + n], mask[at : at + n]
@@ -433,31 +497,29 @@ def _string_keys(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _string_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """The marks of ``_marks`` for contexts that are too many for a suffix array.
+    """The marks of ``_marks`` for longer anchors that one suffix array cannot take.
 
-    Every string around an anchor goes by its own hash and its anchor's place in it, so
-    that an anchor with very many surroundings spreads over all tasks; the least
-    document of equal strings is an aggregate, of which each map task sends one row.
+    Here a group is one string, by its hash and its anchor's place in it, so that an
+    anchor with very many surroundings spreads over all tasks; the least document of
+    equal strings is an aggregate, of which each map task sends one row.
     """
-    wide = length - ANCHOR + 1
+    wide = length - LONG_ANCHOR + 1
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                every = np.frombuffer(_unsqueezed(payload.as_buffer()), dtype=_record(length))
+                every = np.frombuffer(_unsqueezed(payload.as_buffer()), dtype=_record(length, LONG_ANCHOR))
                 for lo in range(0, len(every), 4_000):
                     rows = every[lo : lo + 4_000]
-                    at = np.arange(wide)
-                    # Strings that hold the anchor and lie inside the text.
-                    row, bit = np.nonzero((at <= rows["lead"][:, None]) & (at + length <= rows["size"][:, None]))
+                    row, at = np.nonzero(np.arange(wide) + length <= rows["size"][:, None])
                     windows = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(rows["bytes"]), length, axis=1)
-                    one, two = _string_keys(windows[row, bit])
+                    one, two = _string_keys(windows[row, at])
                     yield _rows({
                         "_one": (one, pa.int64()), "_two": (two, pa.int64()),
-                        "_offset": ((rows["lead"][row] - bit).astype(np.int32), pa.int32()),
+                        "_offset": ((rows["lead"][row] - at).astype(np.int32), pa.int32()),
                         "_id": (rows["id"][row], pa.int64()), "block": (np.full(len(row), number), pa.int64()),
                         "place": (rows["place"][row].astype(np.int64), pa.int64()),
-                        "bit": (bit.astype(np.int32), pa.int32()),
+                        "bit": ((rows["bit"][row] + at).astype(np.int32), pa.int32()),
                     })
 
     schema = "_one long, _two long, _offset int, _id long, block long, place long, bit int"
@@ -494,7 +556,7 @@ def _covered(block: Block, marks: list[dict], copies: np.ndarray, length: int) -
     place = np.concatenate(places) if places else np.empty(0, np.int64)
     mask = np.concatenate(masks) if masks else np.empty(0, np.uint64)
     by_place = np.zeros(n + 1, dtype=np.uint64)
-    by_place[place] = mask
+    np.bitwise_or.at(by_place, place, mask)
     for m in marks:
         if m["passed"]:
             pairs = np.frombuffer(m["marks"], dtype="<i8").reshape(-1, 2)
@@ -527,10 +589,11 @@ def remove_repeats(
     hash) find strings that may occur in two different texts; the bytes around each such
     anchor go to the shard of its hash, where equal ones are joined under their least
     document and a suffix array, built by induced sorting, and its permuted common
-    prefixes tell exactly which strings are repeated. A shard with more contexts than
-    one suffix array may take, as that of an anchor with very many surroundings, is dealt
-    out by whole strings instead. Only those decisions return to the
-    blocks. A text that equals one of a smaller id goes as a whole if it is long enough.
+    prefixes tell exactly which strings are repeated. In a shard with more contexts than
+    one suffix array may take, as that of an anchor with very many surroundings, each
+    string gets an anchor of twice the bytes, and the bytes around that go to its shard
+    and suffix array; what is too much for one there goes by whole strings, the least
+    document of each by an aggregate. Only those decisions return to the blocks. A text that equals one of a smaller id goes as a whole if it is long enough.
 
     A null text is empty. A null id is larger than all others; rows that share an id are
     one document to the rule and do not remove one another's bytes. Ids are whole
@@ -551,7 +614,7 @@ def remove_repeats(
     )
     blocks = spark.table(name)
 
-    owners = blocks.select("block", "ids", "tags", "ends").mapInArrow(
+    owners = blocks.select("block", "ids", "digests").mapInArrow(
         _owners, "block long, at int, _id long, _key binary"
     )
     owners = keep(owners, "owners")
@@ -561,12 +624,22 @@ def remove_repeats(
     shared = keep(_shared(_entries(blocks, parts)), "shared")
     contexts = keep(_contexts(blocks, shared, parts, shards, length), "contexts")
     few, many = _divided(contexts, SHARD_CONTEXTS)
-    marks = _marks(few, length)
-    if not many.isEmpty():
-        marks = marks.unionByName(_string_marks(many, length))
-    marks = keep(marks, "marks")
-    discard(contexts)
-    by_block = marks.groupBy("block").agg(F.collect_list(F.struct("passed", "marks")).alias("marks"))
+    marks = [keep(_marks(few, length, ANCHOR), "marks")]
+    n_many = many.agg(F.sum("n_contexts")).first()[0]
+    if n_many:
+        # A context has some three longer anchors.
+        more = max(1, -(-3 * n_many // (SHARD_CONTEXTS // 3 + 1)))
+        longer = keep(_long_contexts(many, more, length), "long-contexts")
+        discard(contexts)
+        few, many = _divided(longer, SHARD_CONTEXTS)
+        marks.append(keep(_marks(few, length, LONG_ANCHOR), "marks"))
+        if not many.isEmpty():
+            marks.append(keep(_string_marks(many, length), "marks"))
+        discard(longer)
+    else:
+        discard(contexts)
+    every = functools.reduce(DataFrame.unionByName, marks)
+    by_block = every.groupBy("block").agg(F.collect_list(F.struct("passed", "marks")).alias("marks"))
     sides = by_block.join(copies, "block", "full").select("block", "marks", "copies")
     joined = blocks.join(sides.hint("shuffle_hash"), "block", "left")
 
@@ -600,21 +673,18 @@ def remove_repeats(
     result = keep(joined.select("block", *_BLOCK_COLUMNS, "marks", "copies").mapInArrow(cleaned, schema), "cleaned")
     spark.sql(f"DROP TABLE {name}")
     blocks.kept_at = path
-    discard(blocks, owners, first, shared, marks)
+    discard(blocks, owners, first, shared, *marks)
     return result.withColumnRenamed("_id", id_col)
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's id and key, and its place in its block."""
+    """Each text's id and digest, and its place in its block."""
     for batch in batches:
-        for number, ids, tags, ends in zip(*[c.to_pylist() for c in batch.columns]):
+        for number, ids, digests in zip(*[c.to_pylist() for c in batch.columns]):
             owner = np.frombuffer(ids, dtype="<i8")
-            size = np.diff(np.frombuffer(ends, dtype="<i8"), prepend=0)
-            tag = np.frombuffer(tags, dtype="<u8")
-            keys = [int(t).to_bytes(8, "little") + int(s).to_bytes(8, "little") for t, s in zip(tag, size)]
             yield _rows({
                 "block": ([number] * len(owner), pa.int64()),
                 "at": (list(range(len(owner))), pa.int32()),
                 "_id": (owner.tolist(), pa.int64()),
-                "_key": (keys, pa.binary()),
+                "_key": ([digests[k : k + 16] for k in range(0, len(digests), 16)], pa.binary()),
             })
