@@ -93,7 +93,14 @@ def _anchor_hashes(data: np.ndarray, places: np.ndarray, anchor: int = ANCHOR) -
     padded = np.concatenate((data, np.zeros(anchor, dtype=np.uint8)))
     words = np.ndarray(buffer=padded, shape=(len(padded) - 8,), dtype="<u8", strides=(1,))
     first = _hash(words[places], words[places + 8])
-    return first if anchor == ANCHOR else _hash(first, _hash(words[places + 16], words[places + 24]))
+    return _evened(first if anchor == ANCHOR else _hash(first, _hash(words[places + 16], words[places + 24])))
+
+
+def _evened(hashes: np.ndarray) -> np.ndarray:
+    """Anchors are what has the least hash, so theirs are small: other ones, spread over all numbers."""
+    h = hashes * _C[1]
+    h ^= h >> np.uint64(31)
+    return h * _C[0]
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -361,7 +368,7 @@ def _long_anchored(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     taken = flat[row[:, None], np.minimum(low[:, None] + each, width - 1)]
     taken[each >= out["size"][:, None]] = 0
     out["bytes"] = taken
-    return out, long[row, at]
+    return out, _evened(long[row, at])
 
 
 def _long_contexts(contexts: DataFrame, shards: int, length: int) -> DataFrame:
