@@ -354,7 +354,7 @@ def test_repeats_around_a_frequent_anchor(spark, odd, monkeypatch):
 
     monkeypatch.setattr(repeats, "_divided", watched)
     monkeypatch.setattr(repeats, "SHARD_BYTES", 2_000)
-    for most, table, given in ((200, docs, rows), (30, docs, rows), (0, odd, [(i, t) for i, t, _ in ROWS])):
+    for most, table, given in ((60, docs, rows), (20, docs, rows), (0, odd, [(i, t) for i, t, _ in ROWS])):
         seen.clear()
         monkeypatch.setattr(repeats, "SHARD_CONTEXTS", most)
         want = Counter((i, sum(g)) for (i, _), g in zip(given, removed_bytes(given).values()))
