@@ -16,8 +16,8 @@ from vitrina.llm.shingles import Shingler, text_slices
 
 # Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-# Minwise tokens per document, two bytes each; their last two bits make the sketch, 32 to a
-# long. Of a pair at the threshold 13 of 16 of those agree on average, and fewer than
+# Minwise tokens per document, four bytes each, so that few documents share one by chance;
+# their last two bits make the sketch, 32 to a long. Of a pair at the threshold 13 of 16 of those agree on average, and fewer than
 # LEAST_EQUAL with a chance of about one in 100,000.
 TOKENS = 128
 LEAST_EQUAL = 85
@@ -53,11 +53,11 @@ def document_sets(blocks: Blocks, id_col: str, text: str, tokens: int = TOKENS)
                 found, sizes = shingler.sets(data, ends)
                 full = np.flatnonzero(sizes)
                 starts = np.concatenate(([0], np.cumsum(sizes[full])))
-                least = np.empty((len(full), tokens), dtype=np.uint16)
+                least = np.empty((len(full), tokens), dtype=np.uint32)
                 if len(full):
                     for k, factor in enumerate(factors):
                         # The high bits of a minimum are small numbers; those in the middle are even.
-                        least[:, k] = np.minimum.reduceat(found * factor, starts[:-1]) >> np.uint64(24)
+                        least[:, k] = np.minimum.reduceat(found * factor, starts[:-1]) >> np.uint64(16)
                 keys: list[bytes | None] = [None] * (hi - lo)
                 signs: list[bytes | None] = [None] * (hi - lo)
                 for j, i in enumerate(full):
@@ -207,7 +207,7 @@ def _branch(members: DataFrame) -> DataFrame:
     twice = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(PERCENT)) < 100 - PERCENT
     chosen = F.when(twice, F.array(first, second)).otherwise(F.array(first))
     picked = members.select("_row", "node", "_tokens", "n_shingles", *SKETCH, F.explode(chosen).alias("_at"))
-    token = F.substring(F.col("_tokens"), F.col("_at") * 2 + 1, F.lit(2))
+    token = F.substring(F.col("_tokens"), F.col("_at") * 4 + 1, F.lit(4))
     return picked.select("_row", "n_shingles", *SKETCH, F.xxhash64("node", "_at", token).alias("node"))
 
 
