@@ -11,6 +11,7 @@ from vitrina.functions.rules import band as band_rule
 from vitrina.functions.rules import guess_type
 from vitrina.operators.brands import names_brand
 from vitrina.operators.contains import exclude_by_table, first_contained, guess_type_by_table
+from vitrina.operators import nearest, outlines as outline_module
 from vitrina.operators.nearest import nearest_in_table
 from vitrina.operators.outlines import count_in_outlines, points_in_outlines
 from vitrina.operators.ranges import first_band
@@ -69,6 +70,34 @@ def test_nearest_with_ties_and_without_sites(spark):
     assert nearest_in_table(points.limit(0), sites).count() == 0
 
 
+def test_places_outside_a_dense_group_meet_few_of_its_sites(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 2000
+    sites = [(i, f"s{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(40 + rng.normal(0, 0.02, n), -3.7 + rng.normal(0, 0.02, n)))]
+    sites += [(n, "far", -50.0, 100.0), (n + 1, "no number", float("nan"), 0.0)]
+    places = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(40 + rng.uniform(0.2, 2, 150), -3.7 + rng.uniform(-2, 2, 150)))]
+    places += [(900, -49.0, 99.0), (901, float("nan"), 1.0)]
+    met = spark.sparkContext.accumulator(0)
+    plain = nearest.haversine_km
+
+    @F.udf("double")
+    def counted(value):
+        met.add(1)
+        return value
+
+    monkeypatch.setattr(nearest, "haversine_km", lambda *places: counted(plain(*places)))
+    frame = spark.createDataFrame(places, "k int, lat double, lon double")
+    found = {r["k"]: (r["km"], r["site"]) for r in nearest_in_table(frame, spark.createDataFrame(
+        sites, "pos long, site string, lat double, lon double")).collect()}
+    lat, lon = (np.array([s[i] for s in sites[:-1]]) for i in (2, 3))
+    for k, a, b in places[:-1]:
+        d = km(a, b, lat, lon)
+        assert math.isclose(found[k][0], d.min(), rel_tol=1e-9) and found[k][1] == sites[int(d.argmin())][1]
+    assert math.isnan(found[901][0]) and found[901][1] == "s0"
+    # Asked of each place and site at most a few times over, as expressions may be computed twice.
+    assert met.value <= 4 * nearest.AT_ONCE * len(places)
+
+
 def test_needles_in_a_table_equal_the_list_forms(spark):
     rng = random.Random(7)
     def word(n):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina.functions.geo import EARTH_KM, haversine_km
 from vitrina.operators.durable import keep
@@ -107,9 +108,10 @@ def _candidates(sites: list[tuple]) -> tuple[float, list[tuple]]:
 
 
 # Sides of the cubes around the unit sphere's points are 2 ** -level.
-FINEST, STEP = 20, 3
-# Sites in a cube at the first level that is searched.
-SITES_PER_CUBE = 16
+FINEST = 20
+# Sites that a place is compared with at once; beyond that its cubes are split.
+AT_ONCE = 64
+_CUBE = ["_level", "_cx", "_cy", "_cz"]
 
 
 def nearest_in_table(
@@ -119,12 +121,12 @@ def nearest_in_table(
 
     ``sites`` has pos (unique), site, lat, lon and may be as large as the points. Both sides are
     places on the unit sphere, so neither the poles nor the 180th meridian are special. Only
-    distinct places take part, so a place with very many points or sites counts once. A site is
-    entered in the 27 cubes around its own; a place that finds a site no further away
-    than a cube's side there has found its closest. The first cubes are small enough that
-    none holds more than ``SITES_PER_CUBE`` sites, if need be down to some six metres; places
-    that find none go on with cubes of four times the side, up to the whole sphere. Every
-    step is one join by cube and one aggregation by place.
+    distinct places take part, so a place with very many points or sites counts once. The
+    smallest cube around a place that holds a site bounds how far the closest is; of the
+    cubes of twice that side around it those within the bound are looked at. A place whose cubes hold more
+    than ``AT_ONCE`` sites goes on with their parts of half the side, which bound it more tightly, down to some
+    six metres; all others meet the sites of their cubes. So neither a dense group of sites nor an empty
+    region makes places meet many sites.
 
     Null without coordinates; without sites all are null. Rows of equal coordinates stay rows
     of their own. Runs a job for each step while the plan is built.
@@ -133,29 +135,28 @@ def nearest_in_table(
     located = F.col(lat).isNotNull() & F.col(lon).isNotNull()
     placed = points.withColumns({"_lat": F.when(located, F.col(lat).cast("double")),
                                  "_lon": F.when(located, F.col(lon).cast("double"))})
-    open_ = keep(_on_sphere(placed.where(located).select(*where).distinct()), "places")
     own = sites.where("lat is not null and lon is not null").select(
         F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon"), "pos", "site"
     )
     known = keep(_on_sphere(own.groupBy(*where).agg(F.min(F.struct("pos", "site")).alias("_site"))), "sites")
-    found = []
-    level = _first_level(known)
-    while level is not None and not open_.isEmpty():
-        # Cubes of side 2: those around any place make up the whole sphere.
-        last = level < 0
-        near = keep(_closest(open_, known, level), "nearest")
-        # The chord of a great-circle distance; rounding is kept on the safe side.
-        chord = 2 * F.sin(F.col("_best.km") / (2 * EARTH_KM))
-        sure = F.lit(True) if last else F.coalesce(chord <= 0.999999 * 2.0**-level, F.lit(False))
-        found.append(near.where(sure).select(*where, "_best"))
-        open_ = keep(near.where(~sure).drop("_best"), "places")
-        level = None if last else max(level - STEP, -1)
-    if not found:
+    if known.isEmpty():
         return points.withColumns({"km": F.lit(None).cast("double"), "site": F.lit(None).cast("string")})
-    best = found[0]
-    for more in found[1:]:
-        best = best.unionByName(more)
-    joined = attach(placed, best, where)
+    finite = known.where(_finite())
+    levels = F.explode(F.array(*[F.struct(*_cube(v)) for v in range(FINEST + 1)]))
+    cubes = keep(
+        finite.select(levels.alias("c")).select("c.*").groupBy(*_CUBE).agg(F.count(F.lit(1)).alias("_n")), "cubes"
+    )
+    places = _on_sphere(placed.where(located).select(*where).distinct())
+    places = keep(places.withColumn("_place", F.monotonically_increasing_id()), "places")
+    found = _closest(_around(places.where(_finite()), cubes, levels), cubes, finite)
+    # No distance from or to a place that is no number; all are as far.
+    least = known.agg(F.min("_site").alias("_least"))
+    far = F.struct(F.lit(float("nan")).alias("km"), F.col("_least.pos").alias("pos"), F.col("_least.site").alias("site"))
+    best = places.join(found, "_place", "left").crossJoin(F.broadcast(least)).select(
+        *where, F.coalesce("_best", far).alias("_best")
+    )
+    # Kept, as the join with the rows asks for its size.
+    joined = attach(placed, keep(best, "nearest"), where)
     return joined.select(
         *points.columns, F.col("_best.km").alias("km"), F.col("_best.site").cast("string").alias("site")
     )
@@ -168,37 +169,84 @@ def _on_sphere(places: DataFrame) -> DataFrame:
     )
 
 
-def _cube(level: int, *shift: Column) -> list[Column]:
-    shift = shift or (F.lit(0),) * 3
-    return [
-        (F.floor(F.col(c) * float(2**level)) + s).alias(f"_c{c}") for c, s in zip(("_x", "_y", "_z"), shift)
-    ]
+def _finite() -> Column:
+    return ~(F.isnan("_x") | F.isnan("_y") | F.isnan("_z"))
+
+
+def _cube(level: int) -> list[Column]:
+    number = [F.floor(F.col(c) * float(2**level)).alias(n) for c, n in zip(("_x", "_y", "_z"), _CUBE[1:])]
+    return [F.lit(level).alias("_level"), *number]
 
 
-def _first_level(known: DataFrame) -> int | None:
-    """The coarsest level at which no cube holds more than SITES_PER_CUBE sites; None without sites."""
-    levels = list(range(0, FINEST + 1, STEP))
-    cubes = F.array(*[F.struct(F.lit(v).alias("level"), *_cube(v)) for v in levels])
-    counts = known.select(F.explode(cubes).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    fullest = {r["level"]: r["n"] for r in counts.groupBy("c.level").agg(F.max("n").alias("n")).collect()}
-    if not fullest:
-        return None
-    return next((v for v in levels if fullest[v] <= SITES_PER_CUBE), FINEST)
+def _distances() -> tuple[Column, Column]:
+    """The least and the greatest distance of the place's point from a point of the cube."""
+    side = F.pow(F.lit(2.0), -F.col("_level"))
+    least, most = F.lit(0.0), F.lit(0.0)
+    for c, n in zip(("_x", "_y", "_z"), _CUBE[1:]):
+        low, high = F.col(n) * side - F.col(c), (F.col(n) + 1) * side - F.col(c)
+        out = F.greatest(low, -high, F.lit(0.0))
+        reach = F.greatest(F.abs(low), F.abs(high))
+        least, most = least + out * out, most + reach * reach
+    return F.sqrt(least), F.sqrt(most)
 
 
-def _closest(places: DataFrame, known: DataFrame, level: int) -> DataFrame:
-    """The places with _best, the closest site in the 27 cubes around them, or null."""
-    around = F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip((x, y, z), "abc")])
+def _around(places: DataFrame, cubes: DataFrame, levels: Column) -> DataFrame:
+    """A row for each place and cube that holds sites and may hold the closest.
+
+    The cubes have twice the side of the smallest around the place that holds a site.
+    """
+    each = places.select("_place", levels.alias("c")).select("_place", "c.*")
+    own = each.join(cubes, _CUBE).groupBy("_place").agg(F.max("_level").alias("_own"))
+    # Cubes of side 2: those around any place make up the whole sphere.
+    level = F.coalesce("_own", F.lit(0)) - 1
+    shifts = F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip((x, y, z), "abc")])
                        for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
-    shifted = known.withColumn("_d", F.explode(around))
-    entered = shifted.select(
-        *_cube(level, F.col("_d.a"), F.col("_d.b"), F.col("_d.c")),
-        F.struct(F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "_site").alias("_s"),
+    scaled = places.join(own, "_place", "left").withColumn("_level", level).withColumn("_d", F.explode(shifts))
+    scale = F.pow(F.lit(2.0), F.col("_level"))
+    placed = scaled.select(
+        "_place", "_lat", "_lon", "_x", "_y", "_z", "_level",
+        *[(F.floor(F.col(c) * scale) + F.col(f"_d.{a}")).alias(n) for c, a, n in zip(("_x", "_y", "_z"), "abc", _CUBE[1:])],
+        F.when(F.col("_own").isNotNull(), F.sqrt(F.lit(3.0)) * F.pow(F.lit(2.0), -F.col("_own"))).otherwise(2.0).alias("_reach"),
     )
-    cubes = ["_c_x", "_c_y", "_c_z"]
-    met = places.select("*", *_cube(level)).join(entered, cubes, "left")
+    near = placed.where(_distances()[0] <= F.col("_reach") * 1.000001 + 1e-12).drop("_reach")
+    return near.join(_with_top(cubes), _CUBE)
+
+
+def _with_top(cubes: DataFrame) -> DataFrame:
+    top = cubes.where("_level = 0").groupBy(
+        F.lit(-1).alias("_level"), *[F.floor(F.col(n) / 2).alias(n) for n in _CUBE[1:]]
+    ).agg(F.sum("_n").alias("_n"))
+    return cubes.unionByName(top)
+
+
+def _closest(around: DataFrame, cubes: DataFrame, known: DataFrame) -> DataFrame:
+    """_place and _best, the closest of the sites in the cubes of each place."""
+    one = Window.partitionBy("_place")
+    met, open_ = [], around
+    while True:
+        least, most = _distances()
+        # Some site is no further than the far corner of the nearest such cube.
+        bounded = open_.withColumns({"_least": least, "_bound": F.min(most).over(one)})
+        near = bounded.where(F.col("_least") <= F.col("_bound") * 1.000001 + 1e-12).drop("_least", "_bound")
+        near = keep(near.withColumn("_sum", F.sum("_n").over(one)), "near")
+        last = (F.col("_sum") <= AT_ONCE) | (F.col("_level") == FINEST)
+        met.append(near.where(last))
+        more = near.where(~last)
+        if more.isEmpty():
+            break
+        parts = cubes.select(
+            (F.col("_level") - 1).alias("_level"), *[F.floor(F.col(n) / 2).alias(n) for n in _CUBE[1:]],
+            *[F.col(n).alias(f"_part{n}") for n in _CUBE[1:]], F.col("_n").alias("_part_n"),
+        )
+        open_ = more.join(parts, _CUBE).select(
+            "_place", "_lat", "_lon", "_x", "_y", "_z", (F.col("_level") + 1).alias("_level"),
+            *[F.col(f"_part{n}").alias(n) for n in _CUBE[1:]], F.col("_part_n").alias("_n"),
+        )
+    pairs = reduce(DataFrame.unionByName, met)
+    each = F.explode(F.array(*[F.struct(*_cube(v)) for v in range(-1, FINEST + 1)]))
+    entered = known.select(
+        each.alias("c"), F.struct(F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "_site").alias("_s")
+    ).select("c.*", "_s")
     km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_s.lat"), F.col("_s.lon"))
-    best = F.min(F.when(F.col("_s").isNotNull(), F.struct(
-        km.alias("km"), F.col("_s._site.pos").alias("pos"), F.col("_s._site.site").alias("site")
-    )))
-    return met.groupBy("_lat", "_lon", "_x", "_y", "_z").agg(best.alias("_best"))
+    best = F.min(F.struct(km.alias("km"), F.col("_s._site.pos").alias("pos"), F.col("_s._site.site").alias("site")))
+    return pairs.select("_place", "_lat", "_lon", *_CUBE).join(entered, _CUBE).groupBy("_place").agg(best.alias("_best"))
