@@ -190,3 +190,67 @@ def test_points_in_many_outlines(spark, seed):
     counted = {r["outline"]: r["n"] for r in count_in_outlines(frame, table).collect()}
     assert counted[200] == 0 and counted[100] == sum(i == 100 for _, i in want)
     assert points_in_outlines(frame, table.where("outline >= 200")).count() == 0
+
+
+def test_pairs_of_points_and_outlines_are_not_shuffled(spark):
+    square = [(0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)]
+    outlines = spark.createDataFrame(
+        [(i, [tuple(float(v) for v in e) for e in square]) for i in range(50)],
+        "outline int, edges array<struct<x1:double, y1:double, x2:double, y2:double>>",
+    )
+    places = [(0.001 + i / 420, 0.0005 + i % 20 * 0.0005) for i in range(400)] + [(1.5, 0.5), (None, 0.5)]
+    points = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(places)], "k int, lat double, lon double")
+
+    def shuffled(df):
+        """Rows that exchanges wrote while the result was made."""
+        assert df.count() == 400 * 50
+        executed = df._jdf.queryExecution()
+        df._jdf.collectToPython()
+        nodes, total = [executed.executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            name = node.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                nodes.append(node.executedPlan())
+            elif name.endswith("QueryStageExec"):
+                nodes.append(node.plan())
+            else:
+                written = node.metrics().get("shuffleRecordsWritten")
+                total += written.get().value() if written.isDefined() else 0
+                children = node.children()
+                nodes += [children.apply(i) for i in range(children.size())]
+        return total
+
+    cells = outline_module._binned(outlines)[1].count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Rows with a key are shuffled before they meet, what they make is not.
+        written = shuffled(points_in_outlines(points, outlines))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert written < cells + 400 * 50 / 2
+    counted = count_in_outlines(points, outlines)
+    assert {r["n"] for r in counted.collect()} == {400} and counted.count() == 50
+
+
+def test_strips_of_many_edges_in_outlines(spark):
+    rng = random.Random(3)
+    turns = [2 * math.pi * i / 3000 for i in range(3000)]
+    ring = [((1 + 0.3 * rng.random()) * math.cos(t), (1 + 0.3 * rng.random()) * math.sin(t)) for t in turns]
+    edges = [(*a, *b) for a, b in zip(ring, ring[1:] + ring[:1])]
+    square = [(-9.0, -9.0, 9.0, -9.0), (9.0, -9.0, 9.0, 9.0), (9.0, 9.0, -9.0, 9.0), (-9.0, 9.0, -9.0, -9.0)]
+    outlines = spark.createDataFrame([(1, edges), (2, square), (3, [])], "outline int, edges array<struct<x1:double, y1:double, x2:double, y2:double>>")
+    places = [(i, rng.uniform(-1.4, 1.4), rng.uniform(-1.4, 1.4)) for i in range(500)]
+    points = spark.createDataFrame(places, "k int, lat double, lon double")
+
+    def within(lat, lon):
+        cut = [x1 + (lat - y1) * (x2 - x1) / (y2 - y1) for x1, y1, x2, y2 in edges if (y1 > lat) != (y2 > lat)]
+        return sum(lon < x for x in cut) % 2 == 1
+
+    want = {(k, 1) for k, a, b in places if within(a, b)} | {(k, 2) for k, _, _ in places}
+    assert outline_module._binned(outlines)[1].where("not whole and edges is null").count() > 0
+    got = points_in_outlines(points, outlines).collect()
+    assert len(got) == len(want) and {(r["k"], r["outline"]) for r in got} == want
+    n = {r["outline"]: r["n"] for r in count_in_outlines(points, outlines).collect()}
+    assert n == {1: len(want) - 500, 2: 500, 3: 0}
