@@ -79,6 +79,27 @@ def test_two_key_dedup_of_a_long_chain(spark, monkeypatch):
     assert written.count("ranked") == 1 and written.count("chain") <= 20
 
 
+def test_two_key_dedup_moves_the_links_of_a_long_chain_few_times(spark, monkeypatch):
+    rows = []
+    keep = dedup.keep
+
+    def counted(df, label):
+        kept = keep(df, label)
+        rows.append(kept.count() if label == "chain" else 0)
+        return kept
+
+    monkeypatch.setattr(dedup, "keep", counted)
+    monkeypatch.setattr(dedup, "DIRECT", 500, raising=False)
+    n = 10_000
+    # One chain, in an order that has nothing to do with the numbers of its keys, and a few short ones.
+    order = random.Random(3).sample(range(n), n)
+    chain = [(i, f"u{order[(i + 1) // 2]}", f"f{order[i // 2]}") for i in range(n)]
+    short = [(n + i, f"v{(i + i // 5) // 2}", f"g{i}" if i % 5 else f"g{i - 1}") for i in range(200)]
+    df = spark.createDataFrame(chain + short, "seq long, url_key string, fallback_key string")
+    assert seqs(dedup.dedup_two_keys(df)) == sorted(greedy(chain + short))
+    assert sum(rows) < 8 * n
+
+
 def test_two_key_dedup_of_nothing(spark):
     df = spark.createDataFrame([], "seq long, url_key string, fallback_key string")
     assert seqs(dedup.dedup_two_keys(df)) == []

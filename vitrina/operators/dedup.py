@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vitrina.functions.text import strip, text
 from vitrina.operators.durable import discard, keep
 
+# Links beyond which chains are shortened before they are doubled, and pairs for each splitter.
+DIRECT = 250_000
+SPLIT = 4
+
 
 def with_keys(listings: DataFrame) -> DataFrame:
     """Add url_key (null without a link) and fallback_key (name, address, phone)."""
@@ -96,7 +100,7 @@ def dedup_two_keys(
 def _freed(ranked: DataFrame, free: DataFrame, waiting: DataFrame) -> DataFrame:
     """The waiting pairs that an even number of steps leads to a free one."""
     rival = F.when(F.col("n_a") == 2, F.col("least_a")).otherwise(F.col("least_b"))
-    even = _chain_ends(waiting.select("seq", rival.alias("to"))).where("not odd")
+    even = _chain_ends(waiting.select("seq", rival.alias("to"), F.lit(True).alias("odd"))).where("not odd")
     freed = even.join(free.select(F.col("seq").alias("to")), "to", "left_semi")
     return ranked.join(freed, "seq", "left_semi").select("seq", "a", "b")
 
@@ -116,24 +120,54 @@ def _first_two(pairs: DataFrame, key: str) -> DataFrame:
     return ranked.where(F.col(f"n_{key}") <= 2)
 
 
-def _chain_ends(waiting: DataFrame) -> DataFrame:
-    """Where the chain of rivals of each pair (seq, to) ends, and whether after an odd number of steps."""
-    links = waiting.withColumn("odd", F.lit(True))
+def _chain_ends(links: DataFrame, level: int = 0) -> DataFrame:
+    """Where the chain of rivals of each pair (seq, to) ends, and whether after an odd number of steps; kept.
+
+    ``odd`` tells whether a link stands for an odd number of steps. Doubling moves all links as often as the
+    longest chain asks for, so many links are first shortened to chains of splitters.
+    """
+    if links.count() > DIRECT:
+        return _through_splitters(links, level)
     while True:
-        ahead = links.select(
-            F.col("seq").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd")
-        )
-        stepped = keep(
-            links.join(ahead, "to", "left").select(
-                "seq",
-                F.coalesce("_to", "to").alias("to"),
-                (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
-                F.col("_to").isNotNull().alias("moved"),
-            ),
-            "chain",
-        )
+        stepped = keep(_stepped(links, links).withColumn("moved", F.col("_to").isNotNull()).drop("_to"), "chain")
         if hasattr(links, "kept_at"):
             discard(links)
         links = stepped
         if stepped.where("moved").isEmpty():
             return links
+
+
+def _through_splitters(links: DataFrame, level: int) -> DataFrame:
+    """The same by way of splitters, one pair in ``SPLIT`` by its hash.
+
+    Doubling takes every link to the next splitter or the end of its chain. That is a few steps away
+    however long the chain is, and a link that is there does not move again. The splitters' links are
+    chains of their own, of which there are ``SPLIT`` times fewer.
+    """
+
+    def splits(seq: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(seq), F.lit(level)), F.lit(SPLIT)) == 0
+
+    moving, there, kept = links.where(~splits("to")), [links.where(splits("to"))], []
+    while True:
+        others = reduce(DataFrame.unionByName, [*there, moving]).where(~splits("seq"))
+        open_ = F.col("_to").isNotNull() & ~splits("_to")
+        stepped = keep(_stepped(moving, others).withColumn("open", F.coalesce(open_, F.lit(False))).drop("_to"), "chain")
+        kept.append(stepped)
+        there.append(stepped.where("not open").drop("open"))
+        moving = stepped.where("open").drop("open")
+        if moving.isEmpty():
+            break
+    near = reduce(DataFrame.unionByName, there)
+    ends = _chain_ends(near.where(splits("seq")), level + 1)
+    whole = keep(_stepped(near, ends).drop("_to"), "chain")
+    discard(ends, *kept)
+    return whole
+
+
+def _stepped(links: DataFrame, others: DataFrame) -> DataFrame:
+    """Links led on by the others; ``_to`` is null where there was none to lead them."""
+    ahead = others.select(F.col("seq").alias("to"), F.col("to").alias("_to"), F.col("odd").alias("_odd"))
+    return links.join(ahead, "to", "left").select(
+        "seq", F.coalesce("_to", "to").alias("to"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"), "_to"
+    )
