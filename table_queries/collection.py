@@ -122,7 +122,9 @@ def place_responses(spark, sf_dir):
         F.lit("2026-01-01T00:00:00Z").alias("retrieved_at_utc"),
         F.array(place).alias("places"),
     )
-    return table(spark, sf_dir, "customer").select(
+    # Spread, as a customer's few bytes become a long text.
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return customer.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select(
         k.alias("seq"), F.to_json(document).alias("body")
     )
 

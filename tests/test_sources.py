@@ -227,3 +227,14 @@ def test_history_and_logs(spark, tmp_path):
     lines = ledgers.read_run_logs(spark, str(tmp_path / "logs")).orderBy("line_no").collect()
     assert [(r["run"], r["line"]) for r in lines][1:] == [
         ("run.1", "STATS discovered=1 processed=1 valid=1 errors=0"), ("run.1", "valid=9")]
+
+
+def test_responses_are_parsed_once(spark):
+    bodies = ['{"query": "q", "places": [{"displayName": {"text": "A"}}, null, {"rating": 4.5}]}', '{"query": "none", "places": []}', '{"query": "null"}']
+    saved = spark.createDataFrame(list(enumerate(bodies)), "line int, body string").select(
+        "line", F.from_json("body", model.PLACES_RESPONSE).alias("r")
+    ).select("line", "r.*")
+    listed = responses.places_to_listings(saved.repartition(2))
+    assert listed._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+    rows = responses.places_to_listings(saved, ["line"]).orderBy("seq").collect()
+    assert [(r["nombre"], r["rating"], r["source_query"]) for r in rows] == [("A", "", "q"), ("", "", "q"), ("", "4.5", "q")]

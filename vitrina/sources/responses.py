@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vitrina import defaults, model
+from vitrina.operators.durable import keep
 from vitrina.operators.ordering import with_order
 
 
@@ -31,10 +32,12 @@ def places_to_listings(saved: DataFrame, order: Sequence[str] = ()) -> DataFrame
     With ``order``, columns that tell the responses apart and put them in order, the
     listings are numbered by ``seq`` in that order and by their place in the response.
     """
+    # The outer form: with the other one the planner tests the parsed places for being there
+    # below the parser, by parsing every response twice more.
     one = saved.select(
         *order, "query", "municipio_origen", "retrieved_at_utc",
-        F.posexplode("places").alias("_place", "place"),
-    )
+        F.posexplode_outer("places").alias("_place", "place"),
+    ).where("_place is not null")
     listings = one.select(
         *order, "_place",
         *map_place(
@@ -42,7 +45,8 @@ def places_to_listings(saved: DataFrame, order: Sequence[str] = ()) -> DataFrame
         ),
     )
     if order:
-        listings = with_order(listings, *order, "_place")
+        # Kept, as putting rows in order reads them twice and responses are costly to parse.
+        listings = with_order(keep(listings, "places"), *order, "_place")
     return listings.drop(*order, "_place")
 
 
