@@ -1,5 +1,7 @@
 """Streams over the events table, run until they have read it all."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from table_queries.collection import EVENT_PAIRS, event_keys, two_keys_sql
@@ -7,7 +9,7 @@ from table_queries.operations import _LOG_SQL, log_lines
 from table_queries.registry import query
 from table_queries.shops import table
 from vitrina.operators.dedup import first_per_key
-from vitrina.operators.durable import keep, new_path
+from vitrina.operators.durable import file_system, keep, names_in, new_path
 from vitrina.operators.ordering import numbered
 from vitrina.streaming.append import append_deduped, stored
 from vitrina.streaming.listings import append_listings, current_listings
@@ -110,6 +112,8 @@ def stream_within_watermark(spark, sf_dir):
     return spark.read.schema("event_id long, batch int").parquet(output)
 
 
+# Rows of a listing file, about.
+_FILE_ROWS = 100_000
 _FILE_PAIRS = """SELECT coalesce('u' || CASE WHEN seq % 5 > 0 THEN 'https://maps.example.com/' || (seq % 3000)::VARCHAR END,
     'f' || row_key) AS a, row_key AS b, seq FROM (
   SELECT *, lower('Shop ' || (seq % 700)::VARCHAR) || '|' || (seq % 11)::VARCHAR || '|' AS row_key FROM (
@@ -133,7 +137,13 @@ def stream_of_listing_files(spark, sf_dir):
     folder, output, progress = (new_path(spark, x) for x in ("listing-files", "listings", "progress"))
     names = ["nombre", "direccion", "maps_url"]
     for part in range(3):
-        piece = files.where(F.floor(s * 3 / n) == part).orderBy("s").coalesce(1)
-        piece.select(*names).write.mode("append").options(header=True, escape='"').csv(folder)
+        # One task reads a file, so large parts come in several files, named in order and of one time.
+        piece = files.where(F.floor(s * 3 / n) == part).repartitionByRange(1 + n // (3 * _FILE_ROWS), "s")
+        earlier = set(names_in(spark, folder))
+        piece.sortWithinPartitions("s").select(*names).write.mode("append").options(header=True, escape='"').csv(folder)
+        now = int(time.time() * 1000)
+        for name in set(names_in(spark, folder)) - earlier:
+            system, path = file_system(spark, f"{folder}/{name}")
+            system.setTimes(path, now, -1)
         append_listings(spark, folder, output, progress, names).awaitTermination()
     return current_listings(spark, output, names).select("seq", "nombre", "direccion")

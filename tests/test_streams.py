@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from table_queries import QUERIES, streams as table_streams
 from vitrina import model
 from vitrina.operators.dedup import with_keys
-from vitrina.operators.durable import file_system, new_path
+from vitrina.operators.durable import file_system, names_in, new_path
 from vitrina.sources.listings import read_listings, write_listings
 from vitrina.streaming import keys as key_module
 from vitrina.streaming.append import append_batch, append_deduped, key_store, stored
@@ -181,3 +182,16 @@ def test_first_listings_within_a_watermark(spark, tmp_path):
             .trigger(availableNow=True).start().awaitTermination()
         )
     assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [0, 1, 3, 6, 7]
+
+
+def test_listing_parts_in_several_files_arrive_in_order(spark, tmp_path, monkeypatch):
+    spark.range(3000).selectExpr("id * 7 AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    query = QUERIES["stream_of_listing_files"]
+    whole = sorted(tuple(r) for r in query(spark, str(tmp_path)).collect())
+    written = []
+    new_path = table_streams.new_path
+    monkeypatch.setattr(table_streams, "new_path", lambda s, label: written.append(new_path(s, label)) or written[-1])
+    monkeypatch.setattr(table_streams, "_FILE_ROWS", 150, raising=False)
+    assert sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == whole
+    folder = next(p for p in written if "listing-files" in p)
+    assert len(names_in(spark, folder)) > 12
