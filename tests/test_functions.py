@@ -23,6 +23,11 @@ def test_clean_rating(one, raw, want):
     assert one(text.clean_rating(C("x")), x=raw) == want
 
 
+def test_clean_rating_cleans_its_text_once(spark):
+    plan = spark.range(1).select(text.clean_rating(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("cast(id#") == 1
+
+
 def test_with_scheme(one):
     assert one(text.with_scheme(C("x")), x="shop.es") == "https://shop.es"
     assert one(text.with_scheme(C("x")), x="http://shop.es") == "http://shop.es"

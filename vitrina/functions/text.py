@@ -98,13 +98,16 @@ def clean_text(c: Column) -> Column:
 
 def clean_rating(c: Column) -> Column:
     """One decimal without trailing zeros; anything that is no number gives ''."""
-    dotted = F.replace(clean_text(c), F.lit(","), F.lit("."))
-    number = F.when(
-        dotted.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"),
-        dotted.try_cast("double"),
-    )
-    shown = F.format_string("%.1f", _one_decimal(number))
-    return F.when(number.isNull(), "").otherwise(F.regexp_replace(shown, r"\.0\z", ""))
+    def shown(number: Column) -> Column:
+        one = F.format_string("%.1f", _one_decimal(number))
+        return F.when(number.isNull(), "").otherwise(F.regexp_replace(one, r"\.0\z", ""))
+
+    def rating(dotted: Column) -> Column:
+        plain = dotted.rlike(r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z")
+        return let(F.when(plain, dotted.try_cast("double")), shown)
+
+    # The number is named many times; without ``let`` its text would be cleaned as often.
+    return let(F.replace(clean_text(c), F.lit(","), F.lit(".")), rating)
 
 
 def _one_decimal(x: Column) -> Column:
