@@ -57,7 +57,7 @@ def dedup_two_keys(
     can be kept, so the work is on pairs. A round settles two kinds of open pairs. A pair
     that comes first for both its keys is kept. A pair with one earlier rival is kept
     just when the rival is not; such pairs form chains, which are followed to their ends
-    by doubling, so a chain of n pairs takes about log2 n joins. Pairs that share a key
+    by doubling, by way of ever fewer pairs where there are many. Pairs that share a key
     with a kept one are then dropped. Runs jobs while the plan is built: some per round.
     """
     # A row without a link is tied by its row key alone.
