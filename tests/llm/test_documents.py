@@ -125,6 +125,42 @@ def test_near_duplicates_that_branch(spark, monkeypatch):
     assert len(looks) > 1
 
 
+def test_near_duplicates_of_a_loose_group_without_branching(spark, monkeypatch):
+    """Many near documents of which few are linked are compared where they meet first."""
+    rng = np.random.default_rng(7)
+    common = [f"c{k}" for k in range(120)]
+    rows = []
+    for i in range(200):
+        own = list(common)
+        for x in rng.integers(0, 120, int(rng.integers(2, 8))):
+            own[x] = f"t{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(own)))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    assert sum(x != want[0] for x in want.values()) > 64
+    looks = []
+    branch = minhash._branch
+    monkeypatch.setattr(minhash, "_branch", lambda members: looks.append(1) or branch(members))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+    assert len(looks) == 1
+
+
+def test_likely_links_of_small_nodes(spark):
+    """All likely pairs where they are few, else a forest of them and the documents; none inside a component."""
+    schema = "node long, _row long, component long, n_shingles long, s0 long, s1 long, s2 long, s3 long"
+    alike = lambda node, rows, component=None: [(node, r, r if component is None else component, 100, 5, 5, 5, 5) for r in rows]
+    rows = alike(1, [3, 1]) + alike(2, [4, 5, 6]) + alike(3, range(10, 50)) + alike(4, range(60, 90), 60)
+    rows += [(1, 2, 2, 200, 5, 5, 5, 5), (5, 7, 7, 100, 5, 5, 5, 5)]
+    found = minhash._likely(spark.createDataFrame(rows, schema).repartition(3)).collect()
+    pairs = [(r["a"], r["b"]) for r in found if r["b"] is not None]
+    assert {p for p in pairs if p[1] < 10} == {(1, 3), (4, 5), (4, 6), (5, 6)}
+    forest = [p for p in pairs if p[0] >= 10]
+    assert len(pairs) == 4 + 39 and set(roots(range(10, 50), forest).values()) == {10}
+    assert {(r["node"], r["a"]) for r in found if r["b"] is None} == {(3, i) for i in range(10, 50)}
+
+
 def test_blocks_keep_whole_rows(odd, none):
     named = odd.withColumn("a.b", F.lit("dot")).withColumn("row", F.lit("x")).withColumn("block", F.lit(None).cast("int"))
     for docs in (named, named.limit(0)):

@@ -27,56 +27,77 @@ ODD = np.uint64(0x5555555555555555)
 # pair has at least one common child on average; a pair at the threshold that takes three
 # levels to get into a small node is missed by all trees with a chance of about 1e-4.
 TREES = 10
-# A node is small when at most so many of its documents lie outside its largest component:
-# those are compared with all. Documents of the largest component come in parts of PART.
+# A small node holds at most FEW * FEW documents: all its pairs are looked at in one task. A node with
+# several components is compared on whole sets when its documents outside the largest component have at
+# most the pairs of a small node with all its documents, and at most HASHES shingles; else it branches.
 FEW = 64
-PART = 256
-# Documents that a level's nodes share among them to compare the others with first.
+# Documents of the largest component come in parts of at most PART, or of about HASHES shingles.
+PART = 4_096
+HASHES = 2_000_000
+# Pairs per document up to which a small node yields all of them instead of a forest of the likeliest.
+SPARSE = 2
+# Documents that a level's larger nodes share among them to compare the others with first.
 PIVOTS = 4
 SEED = 40_009
 
 
-def document_sets(blocks: Blocks, id_col: str, text: str, tokens: int = TOKENS) -> DataFrame:
-    """One row per row: _row, _id, n_shingles, _key (16 bytes, equal for equal sets), _tokens, s0 to s3.
+def document_keys(blocks: Blocks, id_col: str, text: str) -> DataFrame:
+    """One row per row: _row, _id, n_shingles, _key (16 bytes, equal for equal sets; null for empty ones)."""
+    rows = blocks.rows(_id=id_col, _text=text).select("row", "_id", F.col("_text").cast("string").alias("_text"))
+    schema = f"_row long, _id {dict(rows.dtypes)['_id']}, n_shingles long, _key binary"
 
-    ``_tokens`` are the minwise tokens, one hash function each; empty sets have none.
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            for lo, hi, data, ends in text_slices(batch.column(2)):
+                found, sizes = shingler.sets(data, ends)
+                own = [found[e - n : e] for e, n in zip(np.cumsum(sizes), sizes)]
+                keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in own]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
+                        pa.array(sizes), pa.array(keys, pa.binary()),
+                    ],
+                    names=["_row", "_id", "n_shingles", "_key"],
+                )
+
+    return rows.mapInArrow(keyed, schema)
+
+
+def document_sets(blocks: Blocks, wanted: DataFrame, text: str, tokens: int = TOKENS) -> DataFrame:
+    """One row per wanted row (_row) with a set: _row, n_shingles, _tokens, s0 to s3.
+
+    ``_tokens`` are the minwise tokens, one hash function each. They are made where the texts lie.
     """
-    rows = blocks.rows(_id=id_col, _text=text).select("row", "_id", F.col("_text").cast("string").alias("_text"))
-    schema = f"_row long, _id {dict(rows.dtypes)['_id']}, n_shingles long, _key binary, _tokens binary"
-    schema += "".join(f", {s} long" for s in SKETCH)
+    schema = "_row long, n_shingles long, _tokens binary" + "".join(f", {s} long" for s in SKETCH)
     factors = np.random.default_rng(SEED).integers(0, 2**64, tokens, dtype=np.uint64) | np.uint64(1)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            for lo, hi, data, ends in text_slices(batch.column(2)):
+            for lo, hi, data, ends in text_slices(batch.column(1)):
                 found, sizes = shingler.sets(data, ends)
                 full = np.flatnonzero(sizes)
-                starts = np.concatenate(([0], np.cumsum(sizes[full])))
+                if not len(full):
+                    continue
+                starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
                 least = np.empty((len(full), tokens), dtype=np.uint32)
-                if len(full):
-                    for k, factor in enumerate(factors):
-                        # The high bits of a minimum are small numbers; those in the middle are even.
-                        least[:, k] = np.minimum.reduceat(found * factor, starts[:-1]) >> np.uint64(16)
-                keys: list[bytes | None] = [None] * (hi - lo)
-                signs: list[bytes | None] = [None] * (hi - lo)
-                for j, i in enumerate(full):
-                    own = found[starts[j] : starts[j + 1]]
-                    keys[i] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
-                    signs[i] = least[j].tobytes()
-                sketch = np.zeros((hi - lo, len(SKETCH)), dtype=np.uint64)
+                for k, factor in enumerate(factors):
+                    # The high bits of a minimum are small numbers; those in the middle are even.
+                    least[:, k] = np.minimum.reduceat(found * factor, starts) >> np.uint64(16)
                 pairs_of_bits = (least & 3).astype(np.uint64).reshape(len(full), len(SKETCH), 32)
-                sketch[full] = (pairs_of_bits << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+                sketch = (pairs_of_bits << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
-                        pa.array(sizes), pa.array(keys, pa.binary()), pa.array(signs, pa.binary()),
+                        batch.column(0).slice(lo, hi - lo).take(pa.array(full)), pa.array(sizes[full]),
+                        pa.array([x.tobytes() for x in least], pa.binary()),
                         *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in sketch.T],
                     ],
-                    names=["_row", "_id", "n_shingles", "_key", "_tokens", *SKETCH],
+                    names=["_row", "n_shingles", "_tokens", *SKETCH],
                 )
 
-    return rows.mapInArrow(signed, schema)
+    some = blocks.some(wanted.select(F.col("_row").alias("row")), _text=text)
+    return some.select("row", F.col("_text").cast("string").alias("_text")).mapInArrow(signed, schema)
 
 
 def _full_sets(blocks: Blocks, wanted: DataFrame, text: str) -> DataFrame:
@@ -137,39 +158,131 @@ def _near(other: str) -> Column:
     return (differ <= TOKENS - LEAST_EQUAL) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
-def _partners(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For every document outside the largest component: its place, others' places, tokens that differ.
-
-    Others are those of other components whose sketches agree enough. The pivot has met all before.
+def _differ(sketch: np.ndarray, size: np.ndarray, i: np.ndarray | int) -> np.ndarray:
+    """In how many tokens all documents differ from the i-th (or each of some); 255 if in too many, or too unlike in size."""
+    x = sketch[i][..., None, :] ^ sketch
+    differ = np.bitwise_count((x | (x >> np.uint64(1))) & ODD).sum(axis=-1, dtype=np.uint8)
+    n = size[i][..., None]
+    differ[(100 * np.minimum(size, n) < PERCENT * np.maximum(size, n)) | (differ > TOKENS - LEAST_EQUAL)] = 255
+    return differ
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
+
+
+def _forest(differ: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that join all that likely pairs can join, the likeliest ones; equal groups are joined already."""
+    n = len(differ)
+    near = np.full(n, 255, dtype=np.uint8)
+    source = np.zeros(n, dtype=np.int64)
+    out = np.ones(n, dtype=bool)
+    found = []
+    for _ in range(n):
+        v = int(np.argmin(np.where(out, near, 255)))
+        if not out[v]:
+            v = int(np.argmax(out))
+        if near[v] < 255 and group[v] != group[source[v]]:
+            found.append((int(source[v]), v))
+        out[v] = False
+        own = np.where(group == group[v], 0, differ[v])
+        nearer = own < near
+        near[nearer] = own[nearer]
+        source[nearer] = v
+    return found
+
+
+def _likely(members: DataFrame) -> DataFrame:
+    """Likely links (a, b) of small nodes; where they are many, a forest of them and the node's documents.
+
+    ``members`` has node, _row, component, n_shingles, s0 to s3. All pairs of a node whose documents are in
+    different components are looked at. The documents (node, a, n_shingles, s0 to s3; b is null) are those
+    with such a pair.
+    """
+    names = ["a", "b", "node", "n_shingles", *SKETCH]
+
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        node, row, component, size = [table[c].to_numpy() for c in ("node", "_row", "component", "n_shingles")]
+        sketch = _sketches(table)
+        starts = np.concatenate(([0], np.flatnonzero(node[1:] != node[:-1]) + 1))
+        counts = np.diff(np.append(starts, len(node)))
+        one = starts[counts == 2]
+        x = sketch[one] ^ sketch[one + 1]
+        agree = np.bitwise_count((x | (x >> np.uint64(1))) & ODD).sum(axis=1) <= TOKENS - LEAST_EQUAL
+        agree &= 100 * np.minimum(size[one], size[one + 1]) >= PERCENT * np.maximum(size[one], size[one + 1])
+        one = one[agree & (component[one] != component[one + 1])]
+        pairs, dense = [np.stack([one, one + 1], axis=1)], [np.empty(0, dtype=np.int64)]
+        for lo, n in zip(starts[counts > 2], counts[counts > 2]):
+            own = slice(lo, lo + n)
+            differ = np.concatenate(
+                [_differ(sketch[own], size[own], np.arange(k, min(k + 64, n))) for k in range(0, n, 64)]
+            )
+            _, group = np.unique(component[own], return_inverse=True)
+            likely = differ < 255
+            for k in range(0, n, 64):
+                likely[k : k + 64] &= group[k : k + 64, None] != group
+            if likely.sum() <= 2 * SPARSE * n:
+                a, b = np.nonzero(likely)
+                pairs.append(lo + np.stack([a, b], axis=1)[a < b])
+            else:
+                pairs.append(lo + np.array(_forest(differ, group), dtype=np.int64).reshape(-1, 2))
+                dense.append(lo + np.flatnonzero(likely.any(axis=1)))
+        ends, dense = row[np.concatenate(pairs)], np.concatenate(dense)
+        none = pa.nulls(len(ends), pa.int64())
+        columns = [pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1)), *[none] * 6]
+        whole = [row[dense], None, node[dense], size[dense], *[table[c].to_numpy()[dense] for c in SKETCH]]
+        whole = [pa.nulls(len(dense), pa.int64()) if c is None else pa.array(c) for c in whole]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(columns, whole)], names=names)
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last node of a batch may go on in the next one.
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            node = table["node"].to_numpy()
+            last = int(np.flatnonzero(np.append(True, node[1:] != node[:-1]))[-1])
+            if last:
+                yield compared(table.slice(0, last))
+            rest = table.slice(last)
+        if rest is not None:
+            yield compared(rest)
+
+    columns = members.select("node", "_row", "component", "n_shingles", *SKETCH)
+    return columns.repartition("node").sortWithinPartitions("node").mapInArrow(nodes, ", ".join(f"{c} long" for c in names))
+
+
+def _partners(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """For every document outside the largest component: its place, and others' places.
+
+    Others are those of other components whose sketches agree enough, likeliest first.
     """
-    row, component, size = [table[c].to_numpy() for c in ("_row", "component", "n_shingles")]
-    met = row == table["pivot"][0].as_py()
-    sketch = np.stack([table[c].to_numpy() for c in SKETCH], axis=1).view(np.uint64)
-    for i in np.flatnonzero((component != table["_main"][0].as_py()) & ~met):
-        fits = (component != component[i]) & ~met
-        fits &= 100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i])
-        others = np.flatnonzero(fits)
-        x = sketch[others] ^ sketch[i]
-        differ = np.bitwise_count((x | (x >> np.uint64(1))) & ODD).sum(axis=1)
-        yield i, others[differ <= TOKENS - LEAST_EQUAL], differ[differ <= TOKENS - LEAST_EQUAL]
+    component, size = [table[c].to_numpy() for c in ("component", "n_shingles")]
+    sketch = _sketches(table)
+    for i in np.flatnonzero(component != table["_main"][0].as_py()):
+        differ = _differ(sketch, size, i)
+        others = np.flatnonzero((differ < 255) & (component != component[i]))
+        yield i, others[np.argsort(differ[others], kind="stable")]
 
 
-def _involved(small: DataFrame) -> DataFrame:
-    """Documents of small nodes that agree with one of another component in enough tokens.
+def _involved(few: DataFrame) -> DataFrame:
+    """Documents that agree with one of another component of their node in enough tokens.
 
     Documents outside the largest component meet all others; those inside it are dealt
-    to parts, and the few outside go to each part. A task sees one part at a time.
+    to parts, and those outside go to each part. A task sees one part at a time.
     """
-    parts = F.ceil(F.col("_all") / PART).cast("int")
+    parts = F.greatest(F.ceil(F.col("_all") / PART), F.ceil(F.col("_hashes") / HASHES)).cast("int")
     inside = F.array(F.pmod(F.xxhash64("_row"), parts).cast("int"))
     chosen = F.when(F.col("component") == F.col("_main"), inside).otherwise(F.sequence(F.lit(0), parts - 1))
-    dealt = small.select(
-        "node", "_row", "component", "_main", "pivot", "n_shingles", *SKETCH, F.explode(chosen).alias("part")
+    dealt = few.select(
+        "node", "_row", "component", "_main", "n_shingles", *SKETCH, F.explode(chosen).alias("part")
     )
 
     def alike(table: pa.Table) -> pa.Table:
         found = np.zeros(table.num_rows, dtype=bool)
-        for i, others, _ in _partners(table):
+        for i, others in _partners(table.combine_chunks()):
             found[others] = True
             found[i] |= len(others) > 0
         return table.filter(pa.array(found))
@@ -188,13 +301,29 @@ def _spanning(involved: DataFrame, sets: DataFrame) -> DataFrame:
         table = table.combine_chunks()
         row, component = [table[c].to_numpy() for c in ("_row", "component")]
         whole = _whole_sets(table["_set"].combine_chunks())
+        size = np.array([len(x) for x in whole])
+        begins = np.concatenate(([0], np.cumsum(size)))
+        _, hashes = np.unique(np.concatenate(whole), return_inverse=True)
+        held = np.zeros(hashes.max() + 1, dtype=np.int64)
         _, group = np.unique(component, return_inverse=True)
         found = []
-        for i, others, differ in _partners(table):
-            for j in others[np.argsort(differ, kind="stable")]:
-                if group[i] != group[j] and _linked(whole[i], whole[j]):
-                    group[group == group[j]] = group[i]
-                    found.append((row[i], row[j]))
+        for i, others in _partners(table):
+            own = hashes[begins[i] : begins[i + 1]]
+            held[own] = 1
+            for lo in range(0, len(others), FEW):
+                some = others[lo : lo + FEW]
+                some = some[group[some] != group[i]]
+                if not len(some):
+                    continue
+                # The hashes of some sets after one another: how many of each are the document's.
+                ends = np.cumsum(size[some])
+                at = np.arange(ends[-1]) + np.repeat(begins[some] - ends + size[some], size[some])
+                common = np.add.reduceat(held[hashes[at]], ends - size[some])
+                for j in some[100 * common >= PERCENT * (size[i] + size[some] - common)]:
+                    if group[i] != group[j]:
+                        group[group == group[j]] = group[i]
+                        found.append((row[i], row[j]))
+            held[own] = 0
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return involved.join(sets, "_row").groupBy("node", "part").applyInArrow(joined, "a long, b long")
@@ -211,41 +340,41 @@ def _branch(members: DataFrame) -> DataFrame:
     return picked.select("_row", "n_shingles", *SKETCH, F.xxhash64("node", "_at", token).alias("node"))
 
 
-def _crowded(members: DataFrame, level: int) -> DataFrame:
-    """Members of nodes that hold at least two, with a pivot and whether they are near it.
+def _near_pivots(members: DataFrame, level: int) -> DataFrame:
+    """Likely links (a, b) of larger nodes' documents with one of each node.
 
     A level's nodes use few orders of the documents, so that nodes with the same
     documents have few pivots among them, and other levels have others.
     """
     by = F.xxhash64(F.lit(level), F.pmod("node", F.lit(PIVOTS)), "_row")
-    members = keep(members, "children")
-    nodes = keep(
-        members.groupBy("node").agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("_row", "n_shingles", *SKETCH), by).alias("_pivot"))
-        .where("_n > 1").drop("_n"),
-        "nodes",
+    pivots = members.groupBy("node").agg(F.min_by(F.struct("_row", "component", "n_shingles", *SKETCH), by).alias("_pivot"))
+    near = members.join(pivots, "node").where(_near("_pivot") & (F.col("component") != F.col("_pivot.component")))
+    return near.select(F.least("_pivot._row", "_row").alias("a"), F.greatest("_pivot._row", "_row").alias("b"))
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with their component, the least row known to be reachable."""
+    if labels is None:
+        return members.withColumn("component", F.col("_row"))
+    return members.join(labels.withColumnRenamed("node", "_row"), "_row", "left").withColumn(
+        "component", F.coalesce("component", "_row")
     )
-    crowded = members.join(nodes, "node").withColumn("near", _near("_pivot") & (F.col("_row") != F.col("_pivot._row")))
-    crowded = keep(crowded.withColumn("pivot", F.col("_pivot._row")).drop("_pivot"), "members", "zstd")
-    discard(members, nodes)
-    return crowded
 
 
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members of nodes with several components, with the nodes' counts.
 
-    Added: component, _all (members), _main (the largest component), _out (members outside it).
+    Added: component, _main (the largest component), _all and _hashes (members and their shingles),
+    _out and _out_hashes (those outside the largest component).
     """
-    if labels is None:
-        labelled = members.withColumn("component", F.col("_row"))
-    else:
-        labelled = members.join(labels.withColumnRenamed("node", "_row"), "_row", "left").withColumn(
-            "component", F.coalesce("component", "_row")
-        )
-    labelled = keep(labelled, "labelled")
-    parts = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_n"))
+    labelled = keep(_labelled(members, labels), "labelled")
+    parts = labelled.groupBy("node", "component").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_h"))
     nodes = parts.groupBy("node").agg(
-        F.sum("_n").alias("_all"), F.max(F.struct("_n", "component")).alias("_most")
-    ).select("node", "_all", (F.col("_all") - F.col("_most._n")).alias("_out"), F.col("_most.component").alias("_main"))
+        F.sum("_n").alias("_all"), F.sum("_h").alias("_hashes"), F.max(F.struct("_n", "component", "_h")).alias("_most")
+    ).select(
+        "node", "_all", "_hashes", (F.col("_all") - F.col("_most._n")).alias("_out"),
+        (F.col("_hashes") - F.col("_most._h")).alias("_out_hashes"), F.col("_most.component").alias("_main"),
+    )
     nodes = keep(nodes.where("_out > 0"), "open-nodes")
     opened = keep(labelled.join(nodes, "node"), "open-members")
     discard(labelled, nodes)
@@ -267,34 +396,33 @@ def near_rows(blocks: Blocks, id_col: str = "doc_id", text: str = "text") -> Dat
     one row of each component only, and for every row without words.
 
     Equal sets are joined first, so that groups of copies take part once. Trees: the
-    documents of a node are dealt to children by minwise tokens that the node chooses;
-    every node's documents are compared with one of them. When all but a few are then in
-    one component, the few are compared with all, in parts, each of which yields no more
-    links than join its components; else the node branches, until no node is left.
+    documents of a node are dealt to children by minwise tokens that the node chooses.
+    In a small node all pairs are looked at, and its likely pairs, or a forest of them where
+    they are many, are confirmed on whole sets; of a larger node's documents those near one of
+    them are. What a node's documents are then still apart by is compared if few are
+    outside its largest component, in parts, each of which yields no more links than join
+    its components; else the node branches, until no node is left.
     What agrees in enough bits of its minwise tokens is confirmed on whole sets;
     pairs inside a component found before are not compared again. Links between
     different texts are lost only with the small chance that no tree brings a pair
-    together. The texts stay in their blocks; whole sets are made where they lie.
+    together. The texts stay in their blocks; tokens and whole sets are made where they lie.
 
     Rows without words have no links: component_id is their own id. Rows that
     share an id share its outcome if their texts do; a null id counts as larger than all
     others. Other columns are ignored; an empty table gives an empty one.
     """
-    rows = keep(document_sets(blocks, id_col, text), "sets", "zstd")
-    filled = rows.where("n_shingles > 0")
+    rows = keep(document_keys(blocks, id_col, text), "keys", "zstd")
+    least = F.min(F.struct(F.col("_id").isNull().alias("_none"), "_id", "_row")).alias("_least")
     classes = keep(
-        filled.groupBy("_key").agg(
-            F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row")))["_row"].alias("_row")
-        ),
-        "classes",
+        rows.where("n_shingles > 0").groupBy("_key").agg(least).select("_key", "_least._id", "_least._row"), "classes", "zstd"
     )
-    reps = keep(filled.join(classes.select("_row"), "_row"), "representatives")
+    reps = keep(document_sets(blocks, classes, text), "representatives", "zstd")
     trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)])).alias("_tree")
     roots = reps.select("_row", "_tokens", "n_shingles", *SKETCH, trees).select(
         "_row", "_tokens", "n_shingles", *SKETCH, F.xxhash64(F.lit(SEED), "_tree").alias("node")
     )
     level = 1
-    members = _crowded(_branch(roots), level)
+    children = _branch(roots)
     labels = None
 
     def label(links: DataFrame) -> None:
@@ -315,47 +443,45 @@ def near_rows(blocks: Blocks, id_col: str = "doc_id", text: str = "text") -> Dat
         return keep(_full_sets(blocks, wanted.distinct(), text), "full-sets", "zstd")
 
     while True:
-        likely = members.where("near").select(
-            F.least("pivot", "_row").alias("a"), F.greatest("pivot", "_row").alias("b")
-        ).distinct()
-        if labels is not None:
-            one = labels.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
-            two = labels.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
-            likely = likely.join(one, "a", "left").join(two, "b", "left").where(
-                F.coalesce("_ca", "a") != F.coalesce("_cb", "b")
-            ).select("a", "b")
-        likely = keep(likely, "candidates")
+        counts = children.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+        large = keep(counts.where(f"_n > {FEW * FEW}").select("node"), "large-nodes")
+        found = keep(_likely(_labelled(children.join(large, "node", "left_anti"), labels)), "found", "zstd")
+        dense = found.where("b is null").select("node", F.col("a").alias("_row"), "n_shingles", *SKETCH)
+        likely = found.where("b is not null").select("a", "b")
+        members = None
+        if not large.isEmpty():
+            members = keep(children.join(large, "node", "left_semi"), "members", "zstd")
+            likely = likely.unionByName(_near_pivots(_labelled(members, labels), level))
+            dense = dense.unionByName(members.select(*dense.columns))
+        likely = keep(likely.distinct(), "candidates")
         if not likely.isEmpty():
             sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("_row")))
             label(_confirmed(likely, sets))
             discard(sets)
-        discard(likely)
+        discard(likely, large)
 
-        again = _open(members, labels)
-        # Two members have met as pivot and other.
-        involved = keep(_involved(again.where(f"_out <= {FEW} and _all > 2")), "involved", "zstd")
+        again = _open(dense, labels)
+        discard(found, *([] if members is None else [members]))
+        few = (F.col("_out") * F.col("_all") <= FEW**4) & (F.col("_out_hashes") <= HASHES)
+        involved = keep(_involved(again.where(few)), "involved", "zstd")
         if not involved.isEmpty():
             sets = sets_of(involved.select("_row"))
             label(_spanning(involved, sets))
             discard(sets)
-        discard(involved, members)
+        discard(involved)
 
-        larger = again.where(f"_out > {FEW}").select("node", "_row")
-        if larger.isEmpty():
+        larger = again.where(~few).select("node", "_row")
+        done = larger.isEmpty()
+        if level > 1:
+            discard(children)
+        if done:
             discard(again)
             break
         level += 1
-        members = _crowded(_branch(larger.join(reps.select("_row", "_tokens", "n_shingles", *SKETCH), "_row")), level)
+        children = keep(_branch(larger.join(reps.select("_row", "_tokens", "n_shingles", *SKETCH), "_row")), "children")
         discard(again)
 
-    named = reps.select("_row", "_key", "_id")
-    if labels is not None:
-        named = named.join(labels.withColumnRenamed("node", "_row"), "_row", "left").withColumn(
-            "component", F.coalesce("component", "_row")
-        )
-    else:
-        named = named.withColumn("component", F.col("_row"))
-    named = keep(named, "named")
+    named = keep(_labelled(classes, labels), "named")
     # Representatives are the first rows of their keys, so one of them is the component's.
     first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row")))["_row"]
     least = keep(named.groupBy("component").agg(F.min("_id").alias("_least"), first.alias("_least_row")), "least")
