@@ -370,6 +370,37 @@ def test_surrogates_stay_distinct(spark):
     assert not old & {r["p"].strip() for r in out.collect()}
 
 
+def test_repeats_reach_the_suffix_array_cut_and_joined(monkeypatch):
+    """Passages in other surroundings are cut to what occurs twice; equal ones need no suffix array."""
+    rng = np.random.default_rng(11)
+    text = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    passages = [text(200) for _ in range(30)]
+    rows = [(i, text(60) + passages[i % 30] + text(60)) for i in range(90)]
+    # Parts of a passage, so that some anchors keep several surroundings; one id twice.
+    rows += [(200 + i, text(40) + passages[i][30:120] + passages[i + 1][70:140]) for i in range(3)] + [(3, rows[3][1][20:230])]
+    data = np.frombuffer("".join(t for _, t in rows).encode(), dtype=np.uint8)
+    ends, ids = np.cumsum([len(t) for _, t in rows]).astype("<i8"), np.array([i for i, _ in rows], dtype="<i8")
+    places = repeats.anchors(data, ends, 50)
+    block = repeats.Block(
+        ids.tobytes(), ends.tobytes(), bytes(16 * len(rows)), np.diff(places, prepend=0).astype("<u4").tobytes(), data.tobytes()
+    )
+    matrix, lead, size = repeats._context_rows(block, np.arange(len(places)), 50)
+    every = np.zeros(len(places), dtype=repeats._record(50, repeats.ANCHOR))
+    every["id"], every["place"], every["lead"], every["size"], every["bytes"] = ids[block.text_of], places, lead, size, matrix
+    least, group = repeats._joined(every)
+    some = np.flatnonzero(repeats._several(least, repeats.ANCHOR))
+    judged, taken = repeats._judged, []
+    monkeypatch.setattr(repeats, "_judged", lambda contexts, length: taken.append(contexts) or judged(contexts, length))
+    masks = np.zeros(len(least), dtype=np.uint64)
+    masks[some] = repeats._decided(least[some], 50, repeats.ANCHOR)
+    mask = repeats._masks(every, least, group, masks, 50)
+    marks = [{"passed": False, "marks": places.astype("<u4").tobytes() + mask.astype("<u8").tobytes()}]
+    gone = repeats._covered(block, marks, np.zeros(len(rows), dtype=bool), 50)
+    assert gone.tolist() == [g for own in removed_bytes(rows).values() for g in own]
+    assert 0 < sum(map(len, taken)) < len(some) / 2
+    assert sum(int(c["size"].sum()) for c in taken) < int(least["size"][some].sum()) / 3
+
+
 def test_repeats_around_a_frequent_anchor(spark, odd, monkeypatch):
     """One phrase with other text around it in every document: no shard takes all of it."""
     rng = np.random.default_rng(9)

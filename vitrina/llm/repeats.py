@@ -34,6 +34,7 @@ LAST_ID = np.iinfo(np.int64).max
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB)]
 _CONTEXT = np.random.default_rng(3_001).integers(0, 2**64, 16, dtype=np.uint64) | np.uint64(1)
+_OF_BYTE = np.random.default_rng(3_003).integers(0, 2**64, 256, dtype=np.uint64)
 _STRING = np.random.default_rng(3_002).integers(0, 2**64, (2, 16), dtype=np.uint64) | np.uint64(1)
 
 
@@ -66,12 +67,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
     found = []
     padded = np.concatenate((data, np.zeros(16, dtype=np.uint8)))
     # Starts of whole strings: not within the last length - 1 bytes of a text.
-    whole = np.ones(n, dtype=bool)
-    spoilt = np.zeros(n + 1, dtype=np.int32)
-    begins = np.concatenate(([0], ends[:-1]))
-    np.add.at(spoilt, np.maximum(ends - length + 1, begins), 1)
-    np.add.at(spoilt, ends, -1)
-    whole = np.cumsum(spoilt[:-1]) == 0
+    sizes = np.diff(ends, prepend=0)
+    rest = np.minimum(sizes, length - 1)
+    whole = np.repeat(np.tile([True, False], len(ends)), np.stack((sizes - rest, rest), axis=1).ravel())
     step = 1 << 17
     for lo in range(0, n, step):
         hi = min(lo + step, n)
@@ -118,10 +116,24 @@ class Block:
         self.tags = np.frombuffer(digests, dtype="<u8")[::2] >> np.uint64(16) | np.uint64(1 << 48)
         self.places = np.cumsum(np.frombuffer(places, dtype="<u4"), dtype=np.int64)
         self.data = np.frombuffer(data, dtype=np.uint8)
-        self.text_of = np.searchsorted(self.ends, self.places, side="right")
-        hashes = _anchor_hashes(self.data, self.places)
-        # Distinct anchors in ascending order, and which of them is at each place.
-        self.hashes, self.which = np.unique(hashes, return_inverse=True)
+
+    @functools.cached_property
+    def text_of(self) -> np.ndarray:
+        return np.searchsorted(self.ends, self.places, side="right")
+
+    @functools.cached_property
+    def _distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(_anchor_hashes(self.data, self.places), return_inverse=True)
+
+    @property
+    def hashes(self) -> np.ndarray:
+        """Distinct anchors in ascending order."""
+        return self._distinct[0]
+
+    @property
+    def which(self) -> np.ndarray:
+        """Which of the distinct anchors is at each place."""
+        return self._distinct[1]
 
     def slices(self, parts: int) -> Iterator[tuple[int, int, int]]:
         """Part, and where its distinct anchors begin and end."""
@@ -434,11 +446,15 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, ids: np.ndarray, length:
     return out
 
 
+def _own_hashes(contexts: np.ndarray, anchor: int) -> np.ndarray:
+    """The hash of each context's anchor."""
+    rows = np.ascontiguousarray(contexts["bytes"])
+    return _anchor_hashes(rows.ravel(), np.arange(len(rows)) * rows.shape[1] + contexts["lead"], anchor)
+
+
 def _several(contexts: np.ndarray, anchor: int) -> np.ndarray:
     """Which of the distinct contexts share their anchor with another one."""
-    rows = np.ascontiguousarray(contexts["bytes"])
-    at = np.arange(len(rows)) * rows.shape[1] + contexts["lead"]
-    _, which, count = np.unique(_anchor_hashes(rows.ravel(), at, anchor), return_inverse=True, return_counts=True)
+    _, which, count = np.unique(_own_hashes(contexts, anchor), return_inverse=True, return_counts=True)
     return count[which] > 1
 
 
@@ -454,6 +470,90 @@ def _judged(contexts: np.ndarray, length: int) -> np.ndarray:
     return (bits * (np.uint64(1) << np.arange(wide, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
 
 
+def _joined(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts, each with its least document, and which of them each context is."""
+    key = _context_keys(contexts["bytes"], contexts["lead"], contexts["size"])
+    order = np.lexsort((contexts["id"], key))
+    first = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    group = np.empty(len(contexts), dtype=np.int64)
+    group[order] = np.cumsum(first) - 1
+    return contexts[order[first]], group
+
+
+def _masks(contexts: np.ndarray, least: np.ndarray, group: np.ndarray, masks: np.ndarray, length: int) -> np.ndarray:
+    """Per context, as bits: all its strings if it is a smaller document's too, else those of its group."""
+    strings = contexts["size"].astype(np.uint64) - np.uint64(length - 1)
+    return np.where(contexts["id"] > least["id"][group], (np.uint64(1) << strings) - np.uint64(1), masks[group])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _string_hashes(contexts: np.ndarray, length: int) -> np.ndarray:
+    """A number for the ``length`` bytes from each place of each context on; equal bytes have equal ones."""
+    width = contexts["bytes"].shape[1]
+    wide = width - length + 1
+    powers, back = _powers(int(_C[0]), width), _powers(pow(int(_C[0]), -1, 1 << 64), wide)
+    out = np.empty((len(contexts), wide), dtype=np.uint64)
+    for lo in range(0, len(contexts), 4_000):
+        rows = contexts["bytes"][lo : lo + 4_000]
+        sums = np.zeros((len(rows), width + 1), dtype=np.uint64)
+        np.cumsum(_OF_BYTE[rows] * powers, axis=1, out=sums[:, 1:])
+        out[lo : lo + 4_000] = (sums[:, length:] - sums[:, :wide]) * back
+    return out
+
+
+def _twice(contexts: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first string of each context begins that may occur twice around its anchor,
+    and how many bytes there are up to the end of the last such one: 0 if there is none."""
+    hashes = _string_hashes(contexts, length) ^ _own_hashes(contexts, anchor)[:, None]
+    inside = np.arange(hashes.shape[1]) + length <= contexts["size"][:, None]
+    flat = hashes[inside]
+    order = np.argsort(flat)
+    same = flat[order][1:] == flat[order][:-1]
+    found = np.empty(len(flat), dtype=bool)
+    found[order] = np.append(same, False) | np.append(False, same)
+    twice = np.zeros(hashes.shape, dtype=bool)
+    twice[inside] = found
+    begin, last = twice.argmax(axis=1), hashes.shape[1] - 1 - twice[:, ::-1].argmax(axis=1)
+    return begin, np.where(twice.any(axis=1), last - begin + length, 0)
+
+
+def _cut(contexts: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """So many bytes of each context, from a place on."""
+    out = contexts.copy()
+    width = out["bytes"].shape[1]
+    each = np.arange(width)
+    taken = np.take_along_axis(contexts["bytes"], np.minimum(begin[:, None] + each, width - 1), axis=1)
+    taken[each >= size[:, None]] = 0
+    out["bytes"], out["lead"], out["size"] = taken, contexts["lead"] - begin, size
+    return out
+
+
+def _decided(contexts: np.ndarray, length: int, anchor: int) -> np.ndarray:
+    """Per distinct context, as bits: which of its strings also begin in a context of smaller id.
+
+    A string that occurs once around its anchor by its hash is nobody else's, so contexts are
+    cut to what lies between the first and the last of the others; contexts that are equal then are joined
+    under their least document. Where an anchor still has several surroundings, the suffix
+    array decides.
+    """
+    begin, size = _twice(contexts, length, anchor)
+    some = np.flatnonzero(size)
+    masks = np.zeros(len(contexts), dtype=np.uint64)
+    if len(some):
+        cut = _cut(contexts[some], begin[some], size[some])
+        least, group = _joined(cut)
+        own = np.zeros(len(least), dtype=np.uint64)
+        rest = np.flatnonzero(_several(least, anchor))
+        own[rest] = _judged(least[rest], length)
+        masks[some] = _masks(cut, least, group, own, length) << begin[some].astype(np.uint64)
+    return masks
+
+
 def _marks(contexts: DataFrame, length: int, anchor: int) -> DataFrame:
     """Per block: which strings around which anchors are repeated (block, marks)."""
 
@@ -465,18 +565,12 @@ def _marks(contexts: DataFrame, length: int, anchor: int) -> DataFrame:
         rows = [np.frombuffer(p, dtype=_record(length, anchor)) for p in payloads]
         sizes = np.array([len(r) for r in rows])
         every = np.concatenate(rows)
-        key = _context_keys(every["bytes"], every["lead"], every["size"])
-        order = np.lexsort((every["id"], key))
-        first = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-        group = np.empty(len(every), dtype=np.int64)
-        group[order] = np.cumsum(first) - 1
-        least = every[order[first]]
+        least, group = _joined(every)
         masks = np.zeros(len(least), dtype=np.uint64)
         # An anchor with one surrounding shares no string but with that one's equals.
         some = np.flatnonzero(_several(least, anchor))
-        masks[some] = _judged(least[some], length)
-        strings = every["size"].astype(np.uint64) - np.uint64(length - 1)
-        mask = np.where(every["id"] > least["id"][group], (np.uint64(1) << strings) - np.uint64(1), masks[group])
+        masks[some] = _decided(least[some], length, anchor)
+        mask = _masks(every, least, group, masks, length)
         mask <<= every["bit"].astype(np.uint64)
         out = []
         for at, n in zip(np.cumsum(sizes) - sizes, sizes):
@@ -572,16 +666,21 @@ def _covered(block: Block, marks: list[dict], copies: np.ndarray, length: int) -
     text = np.searchsorted(block.ends, at, side="right")
     start = np.maximum(block.begins[text], at - (length - ANCHOR))
     last = np.minimum(block.ends[text] - length, at)
-    change = np.zeros(n + 1, dtype=np.int32)
+    masks = by_place[at]
+    begun = np.zeros(n + 1, dtype=bool)
     for k in range(wide):
-        hit = ((by_place[at] >> np.uint64(k)) & np.uint64(1) == 1) & (start + k <= last)
-        np.add.at(change, start[hit] + k, 1)
-        np.add.at(change, start[hit] + k + length, -1)
+        hit = ((masks >> np.uint64(k)) & np.uint64(1) == 1) & (start + k <= last)
+        begun[start[hit] + k] = True
+    # Strings that meet make one run.
+    at = np.flatnonzero(begun)
+    apart = np.diff(at) > length
+    runs = np.stack((at[np.append(True, apart)[: len(at)]], at[np.append(apart, True)[: len(at)]] + length), axis=1)
+    lengths = np.diff(runs.ravel(), prepend=0, append=n)
+    gone = np.repeat(np.arange(len(lengths)) % 2 == 1, lengths)
     for t in np.flatnonzero(copies).tolist():
         if block.ends[t] - block.begins[t] >= length:
-            change[block.begins[t]] += 1
-            change[block.ends[t]] -= 1
-    return np.cumsum(change[:n]) > 0
+            gone[block.begins[t] : block.ends[t]] = True
+    return gone
 
 
 def remove_repeats(
