@@ -1,5 +1,6 @@
 """Exact copies, periodic runs and ranked search against plain versions."""
 
+import glob
 import hashlib
 import math
 import re
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +245,24 @@ def test_best_of_shard_prunes_without_loss(monkeypatch, block, step):
     assert saved > 0
 
 
+def test_index_is_read_shard_by_shard(spark, monkeypatch):
+    """A task that makes many shards writes a row group for each; lists packed in parts come back."""
+    monkeypatch.setattr(ranking, "SHARD_DOCS", 20)
+    monkeypatch.setattr(ranking, "GROUP_BYTES", 1)
+    rows = [(i, " ".join(f"w{(i * j) % 61}" for j in range(i % 50))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = ranking.build_index(docs)
+    footers = [pq.ParquetFile(f).metadata for f in glob.glob(index.kept_at.removeprefix("file:") + "/*.parquet")]
+    assert [f.num_row_groups for f in footers if f.num_rows] == [5]
+    assert index.agg(F.sum("n_terms")).first()[0] == sum(i % 50 for i in range(100))
+    texts = [t.encode() for _, t in rows]
+    whole = ranking.index_of(texts)
+    monkeypatch.setattr(ranking, "CHUNK", 7)
+    in_parts = ranking.index_of(texts)
+    assert all(np.array_equal(whole[c], in_parts[c]) for c in whole)
+    assert whole["block_byte"].dtype == np.int32
+
+
 def test_packed_numbers_come_back():
     values = np.array([0, 1, 127, 128, 300, 16_383, 16_384, 2_097_152, 10**12], dtype=np.int64)
     data, begins = ranking.packed_numbers(values)

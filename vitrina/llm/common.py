@@ -14,10 +14,19 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-def keep(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back; ``discard`` removes it."""
+def keep(df: DataFrame, label: str, codec: str | None = None, group_bytes: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back; ``discard`` removes it.
+
+    With ``group_bytes`` a row group ends with the row that brings it to so many bytes, looked
+    at after every row: neither writing nor reading then holds many large rows at once.
+    """
     path = new_path(df.sparkSession, label)
-    (df.write if codec is None else df.write.option("compression", codec)).parquet(path)
+    write = df.write if codec is None else df.write.option("compression", codec)
+    if group_bytes is not None:
+        write = write.option("parquet.block.size", group_bytes)
+        for each in ("min", "max"):
+            write = write.option(f"parquet.page.size.row.check.{each}", 1)
+    write.parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept.kept_at = path
     return kept

@@ -17,12 +17,16 @@ from vitrina.llm.common import discard, keep
 SHARD_DOCS = 50_000
 SHARD_BYTES = 16_000_000
 BLOCK = 128
+# Bytes of a row group of the index, which its readers hold at once; a larger shard has its own.
+GROUP_BYTES = 4_000_000
 # Queries whose terms are sent to the tasks together, and bytes of their texts.
 QUERIES = 1_000
 QUERY_BYTES = 1_000_000
 # Documents whose essential postings are scored before the threshold is looked at for the
 # first time; each such range is four times as long as the one before.
 RANGE = 256
+# Postings of a shard that are packed together.
+CHUNK = 1 << 17
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UP, _DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,43 +85,71 @@ def index_of(texts: list[bytes]) -> dict:
         counted = Counter(terms)
         sizes.append(len(terms))
         distinct.append(len(counted))
-        codes.append(np.array([number.setdefault(w, len(number)) for w in counted], dtype=np.int64))
-        counts.append(np.array(list(counted.values()), dtype=np.int64))
+        codes.append(np.array([number.setdefault(w, len(number)) for w in counted], dtype=np.int32))
+        counts.append(np.array(list(counted.values()), dtype=np.int32))
     sizes = np.array(sizes, dtype=np.int64)
-    term = np.concatenate(codes) if codes else np.empty(0, np.int64)
+    term = np.concatenate(codes) if codes else np.empty(0, np.int32)
+    tf = np.concatenate(counts) if counts else term
+    del codes, counts
     by_term = np.argsort(term, kind="stable")
-    doc = np.repeat(np.arange(len(texts)), distinct)[by_term]
-    tf = (np.concatenate(counts) if counts else term)[by_term]
-    term = term[by_term]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), distinct)[by_term]
+    tf, term = tf[by_term], term[by_term]
+    del by_term
     df = np.bincount(term, minlength=len(number)).astype(np.int64)
     first = np.concatenate(([0], np.cumsum(df)))[:-1]
-    nth = np.arange(len(term)) - first[term]
-    n_blocks = -(-df // BLOCK)
-    first_block = np.concatenate(([0], np.cumsum(n_blocks)))
-    block = first_block[term] + nth // BLOCK
-    starts = np.flatnonzero(np.diff(block, prepend=-1))
-    # Documents as steps inside a block, from 0 at its start.
-    step = np.diff(doc, prepend=0)
-    step[starts] = doc[starts]
-    data, begins = packed_numbers(np.stack((step, tf), axis=1).ravel())
-    last = doc[np.append(starts[1:], len(doc)) - 1] if len(doc) else doc
-    size, most_tf, most_size = sizes[doc], int(tf.max(initial=0)), int(sizes.max(initial=0))
-    if (int(first_block[-1]) + 1) * (most_tf + 1) * (most_size + 1) < 1 << 62:
+    first_block = np.concatenate(([0], np.cumsum(-(-df // BLOCK))))
+    # Where the blocks of all lists begin: every BLOCK postings from the list's first on.
+    nth = np.arange(int(first_block[-1])) - np.repeat(first_block[:-1], np.diff(first_block))
+    starts = np.repeat(first, np.diff(first_block)) + nth * BLOCK
+    ends = np.append(starts[1:], len(term))[: len(starts)]
+    del term, nth
+    packed, begins, held, impact_tf, impact_size, n_impacts = [], [], 0, [], [], []
+    # Some whole blocks at a time, as what follows takes many numbers for each posting.
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, int(starts[-1]) + 1 if len(starts) else 0, CHUNK))).tolist()
+    for low, high in zip(cuts, [*cuts[1:], len(starts)]):
+        own = slice(int(starts[low]), int(ends[high - 1]))
+        at = starts[low:high] - own.start
+        size_of_block = ends[low:high] - starts[low:high]
+        # Documents as steps inside a block, from 0 at its start.
+        step = np.diff(doc[own], prepend=0)
+        step[at] = doc[own][at]
+        data, places = packed_numbers(np.stack((step, tf[own]), axis=1).ravel())
+        packed.append(data)
+        begins.append(places[::2][at] + held)
+        held += len(data)
+        block = np.repeat(np.arange(high - low), size_of_block)
+        by, best_tf, best_size = _best_pairs(block, tf[own].astype(np.int64), sizes[doc[own]])
+        n_impacts.append(np.bincount(by, minlength=high - low))
+        impact_tf.append(best_tf)
+        impact_size.append(best_size)
+
+    def joined(parts: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+    numbers = {
+        "sizes": sizes, "first_block": first_block, "block_last": doc[ends - 1], "block_byte": np.append(joined(begins), held),
+        "block_impact": np.append(0, np.cumsum(joined(n_impacts))), "impact_tf": joined(impact_tf), "impact_size": joined(impact_size),
+    }
+    # None reaches 2^31, as the postings are one binary value.
+    return {name: values.astype("<i4") for name, values in numbers.items()} | {
+        "n_docs": int((sizes > 0).sum()), "n_terms": int(sizes.sum()), "terms": list(number), "dfs": df,
+        "postings": np.concatenate(packed) if packed else np.empty(0, np.uint8),
+    }
+
+
+def _best_pairs(block: np.ndarray, tf: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block, occurrences and size of the pairs that no other pair of their block beats in both."""
+    most_tf, most_size = int(tf.max(initial=0)), int(size.max(initial=0))
+    if (int(block[-1]) + 1) * (most_tf + 1) * (most_size + 1) < 1 << 62:
         order = np.argsort((block * (most_tf + 1) + most_tf - tf) * (most_size + 1) + size)
     else:
         order = np.lexsort((size, -tf, block))
     by, own = block[order], size[order]
     # Sizes smaller than those of all pairs before in the block; lower blocks lie higher.
     level = own - by * (most_size + 1)
-    before = np.concatenate(([np.iinfo(np.int64).max], np.minimum.accumulate(level)[:-1])) if len(level) else level
+    before = np.concatenate(([np.iinfo(np.int64).max], np.minimum.accumulate(level)[:-1]))
     best = np.flatnonzero(level < before)
-    impact = np.searchsorted(by[best], np.arange(int(first_block[-1]) + 1))
-    return {
-        "sizes": sizes, "n_docs": int((sizes > 0).sum()), "n_terms": int(sizes.sum()),
-        "terms": list(number), "dfs": df, "first_block": first_block, "block_last": last,
-        "block_byte": begins[::2][np.append(starts, len(doc))] if len(doc) else np.zeros(1, np.int64),
-        "block_impact": impact, "impact_tf": tf[order][best], "impact_size": own[best], "postings": data,
-    }
+    return by[best], tf[order][best], own[best]
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,6 +157,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     A task makes a shard of each run of its documents, in order of their ids within the
     shard; texts are read once and do not move. All terms of all documents are indexed.
+    Row groups end with a shard, so that a task holds a few shards however many it makes or reads.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"ids array<{kind}>, {_INDEX}"
@@ -167,7 +200,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
             yield shard()
 
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
-    return keep(docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body")).mapInArrow(made, schema), "index")
+    shards = docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body")).mapInArrow(made, schema)
+    return keep(shards, "index", group_bytes=GROUP_BYTES)
 
 
 def gain(tf: np.ndarray, size: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -210,7 +244,7 @@ class Shard:
     def __init__(self, row: dict, n: int, total: int):
         self.ids, self.terms, self.n, self.total = row["ids"], row["terms"], n, total
         for name in ("sizes", "first_block", "block_last", "block_byte", "block_impact", "impact_tf", "impact_size"):
-            setattr(self, name, np.frombuffer(row[name], dtype=np.int64))
+            setattr(self, name, np.frombuffer(row[name], dtype="<i4").astype(np.int64))
         self.packed = np.frombuffer(row["postings"], dtype=np.uint8)
         self.dfs = row["dfs"]
         self.unpacked = 0
@@ -364,15 +398,19 @@ def search(
 
         def searched(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             heap: dict[int, list[tuple]] = {}
+            kind = None
             for batch in batches:
+                kind = batch.column(0).type.value_type
                 for i in range(batch.num_rows):
                     _search_shard(Shard(_row(batch, i), n, total), sent.value, k, heap)
+                # Not held while the next one is read.
+                del batch
             rows = [(number, *r) for number, best in heap.items() for r in best]
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[2] for r in rows], batch.column(0).type.value_type),
+                        pa.array([r[2] for r in rows], kind),
                         pa.array([r[1] for r in rows], pa.int64()),
                     ],
                     names=["number", "id", "score"],
