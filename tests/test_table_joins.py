@@ -11,7 +11,7 @@ from vitrina.functions.rules import band as band_rule
 from vitrina.functions.rules import guess_type
 from vitrina.operators.brands import names_brand
 from vitrina.operators.contains import exclude_by_table, first_contained, guess_type_by_table
-from vitrina.operators import nearest, outlines as outline_module
+from vitrina.operators import nearest, outlines as outline_module, slabs
 from vitrina.operators.nearest import nearest_in_table
 from vitrina.operators.outlines import count_in_outlines, points_in_outlines
 from vitrina.operators.ranges import first_band
@@ -254,3 +254,45 @@ def test_strips_of_many_edges_in_outlines(spark):
     assert len(got) == len(want) and {(r["k"], r["outline"]) for r in got} == want
     n = {r["outline"]: r["n"] for r in count_in_outlines(points, outlines).collect()}
     assert n == {1: len(want) - 500, 2: 500, 3: 0}
+
+
+def plain_counts(places, edges):
+    """Points inside each outline, by all pairs."""
+    out = {}
+    for number, own in edges.items():
+        out[number] = sum(
+            sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for x1, y1, x2, y2 in own) % 2 for y, x in places
+        )
+    return out
+
+
+def test_counts_in_outlines_test_few_points(monkeypatch):
+    """Points far from an outline's edges are counted, not tested."""
+    rng = np.random.default_rng(4)
+    lat, lon = rng.uniform(0, 1, 2_500), rng.uniform(0, 1, 2_500)
+    corners = {i: (rng.uniform(0.3, 0.7, 2), rng.uniform(0.1, 0.3)) for i in range(100)}
+    edges = {i: edges_of([[(x - r, y), (x, y + r), (x + r, y), (x, y - r)]]) for i, ((x, y), r) in corners.items()}
+    ranges, made = slabs._ranges, []
+    monkeypatch.setattr(slabs, "_ranges", lambda starts, sizes: made.append(int(sizes.sum())) or ranges(starts, sizes))
+    rows = np.array([(i, *e) for i, own in edges.items() for e in own], dtype=slabs._EDGE)
+    numbers, n = slabs.inside_counts(lat, lon, rows, 50)
+    assert dict(zip(numbers.tolist(), n.tolist())) == plain_counts(list(zip(lat, lon)), edges)
+    assert 0 < sum(made) < 2_500 * 100 / 5
+
+
+def test_counts_in_outlines_of_crowded_bands(spark, monkeypatch):
+    """One latitude with most points, level edges on it, bands that several tasks share, repeated outlines."""
+    monkeypatch.setattr(slabs, "SLAB", 4)
+    monkeypatch.setattr(slabs, "SLABS", 2)
+    monkeypatch.setattr(slabs, "EDGES", 20)
+    rng = random.Random(8)
+    places = [(0.5, rng.uniform(-1, 1)) for _ in range(300)] + [(rng.uniform(-1, 1), rng.uniform(-1, 1)) for _ in range(300)]
+    edges = {i: edges_of([ring(rng, rng.uniform(-1, 1), rng.uniform(-1, 1), 0.6, 9)]) for i in range(30)}
+    edges[30] = edges_of([[(-0.9, 0.25), (0.9, 0.25), (0.9, 0.75), (0.0, 0.75), (0.0, 0.625), (-0.9, 0.625)]])
+    kind = "outline int, edges array<struct<x1:double,y1:double,x2:double,y2:double>>"
+    table = spark.createDataFrame([*edges.items(), (31, edges[30]), (31, edges[30]), (None, edges[30])], kind)
+    points = spark.createDataFrame([*places, (None, 0.0), (0.5, float("nan"))], "lat double, lon double").repartition(5)
+    got = sorted(((r["outline"], r["n"]) for r in count_in_outlines(points, table).collect()), key=repr)
+    # Two equal rows make one outline that is inside nowhere.
+    want = [*plain_counts(places, edges).items(), (31, 0), (31, 0), (None, 0)]
+    assert got == sorted(want, key=repr)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina.functions.geo import crossings, inside
 from vitrina.operators.durable import keep
+from vitrina.operators.slabs import count_by_slabs
 
 # Cells along the longer side of an outline's box, at least; sides are 2 ** -level degrees.
 CELLS = 32
@@ -44,18 +45,15 @@ def points_in_outlines(points: DataFrame, outlines: DataFrame, lat: str = "lat",
 def count_in_outlines(points: DataFrame, outlines: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """outline, n: points inside each outline, 0 for those without any.
 
-    Points in cells that lie wholly inside are counted by cell, and the cells' numbers added up.
+    No pair of a point and an outline is made but where an edge passes close by: see
+    ``count_by_slabs``. Rows that share an outline are one, each with its number; runs jobs.
     """
-    strips, cells = _binned(outlines)
-    levels = _levels(cells)
-    if not levels:
-        return outlines.select("outline", F.lit(0).cast("long").alias("n"))
-    places = points.select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
-    placed = _placed(places, levels, "_lat", "_lon")
-    per_cell = placed.groupBy(*_AT).agg(F.count(F.lit(1)).alias("n"))
-    whole = cells.where("whole").select(*_AT, "outline").join(per_cell, _AT).groupBy("outline").agg(F.sum("n").alias("n"))
-    cut = _cut(placed, strips, cells, "_lat", "_lon").groupBy("outline").agg(F.count(F.lit(1)).alias("n"))
-    n = whole.unionByName(cut).groupBy("outline").agg(F.sum("n").alias("n"))
+    each = outlines.where("outline is not null").groupBy("outline").agg(F.flatten(F.collect_list("edges")).alias("edges"))
+    numbered = keep(each.withColumn("number", F.monotonically_increasing_id()), "outlines")
+    whole = numbered.select("number", F.filter("edges", lambda e: e.isNotNull()).alias("edges"))
+    places = points.select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    places = places.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    n = count_by_slabs(places, whole).join(numbered.select("outline", "number"), "number").select("outline", "n")
     return outlines.select("outline").join(n, "outline", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
